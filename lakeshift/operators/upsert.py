@@ -53,7 +53,7 @@ def merge_upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_
 
 def merge_actions(merged_with_action: DataFrame) -> DataFrame:
     """Writer metadata of one merge: rows per action."""
-    return merged_with_action.groupBy("_action").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("_action", "action")
+    return merged_with_action.groupBy("_action").agg(F.count(F.lit(1)).alias("row_count")).withColumnRenamed("_action", "action")
 
 
 def apply_deletes(latest_all: DataFrame) -> DataFrame:

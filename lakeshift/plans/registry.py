@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_changelog, queries_changelog
+from . import oracle_changelog, oracle_versioning, queries_changelog, queries_versioning
 
-_MODULES = [(queries_changelog, oracle_changelog)]
+_MODULES = [(queries_changelog, oracle_changelog), (queries_versioning, oracle_versioning)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
