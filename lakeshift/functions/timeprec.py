@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _c(x) -> Column:
@@ -18,12 +21,12 @@ def _c(x) -> Column:
 
 def epoch_micros(ts_ntz) -> Column:
     """Microseconds since the epoch of a UTC wall-clock ``timestamp_ntz``."""
-    return F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, _c(ts_ntz))
+    return F.timestamp_diff("MICROSECOND", _epoch(), _c(ts_ntz))
 
 
 def micros_to_ntz(us) -> Column:
     """Epoch microseconds -> UTC wall-clock ``timestamp_ntz``."""
-    return F.timestamp_add("MICROSECOND", _c(us), _EPOCH_NTZ)
+    return F.timestamp_add("MICROSECOND", _c(us), _epoch())
 
 
 def precision_class(ts_us) -> Column:
@@ -53,4 +56,4 @@ def gtid_source(gtid) -> Column:
 
 def gtid_txn(gtid) -> Column:
     g = F.nullif(_c(gtid), F.lit(""))
-    return F.try_cast(F.split_part(g, F.lit(":"), F.lit(2)), "bigint") if hasattr(F, "try_cast") else F.split_part(g, F.lit(":"), F.lit(2)).try_cast("bigint")
+    return F.split_part(g, F.lit(":"), F.lit(2)).try_cast("bigint")

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_changelog, oracle_versioning, queries_changelog, queries_versioning
+from . import oracle_changelog, oracle_lineage, oracle_versioning, queries_changelog, queries_lineage, queries_versioning
 
-_MODULES = [(queries_changelog, oracle_changelog), (queries_versioning, oracle_versioning)]
+_MODULES = [
+    (queries_changelog, oracle_changelog),
+    (queries_versioning, oracle_versioning),
+    (queries_lineage, oracle_lineage),
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
