@@ -88,15 +88,16 @@ class TableSpec:
         return [f"after.{k}" for k in self.keys]
 
 
-def project(changes: DataFrame, mapping: Sequence[ColumnRule]) -> DataFrame:
-    """``select`` driven by the mapping (all expressions stay JVM-side)."""
+def project(changes: DataFrame, mapping: Sequence[ColumnRule], extra: Sequence[Column] = ()) -> DataFrame:
+    """``select`` driven by the mapping (all expressions stay JVM-side); ``extra`` columns
+    (e.g. the log offset for newer-wins merges) are appended."""
     out = []
     for r in mapping:
         c = F.expr(r.expr)
         if r.data_type:
             c = c.cast(r.data_type)
         out.append(c.alias(r.out_col))
-    return changes.select(*out)
+    return changes.select(*out, *extra)
 
 
 EDGE_SCHEMA = T.StructType(

@@ -51,6 +51,24 @@ def merge_upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_
     return merged if with_action else merged.drop("_action")
 
 
+def merge_upsert_newer(target: DataFrame, stage: DataFrame, keys: Sequence[str], order_col: str = "_offset") -> DataFrame:
+    """Upsert that keeps, per key, the row with the highest ``order_col``.
+
+    Incremental and streaming loads keep the log offset of each key beside the row, so a
+    batch that arrives out of order can never overwrite a newer image.
+    """
+    cols = target.columns
+    vals = [c for c in cols if c not in keys]
+    t = target.select(*keys, F.struct(*vals).alias("_t"))
+    s = stage.select(*cols).select(*keys, F.struct(*vals).alias("_s"))
+    j = t.join(s, list(keys), "full_outer")
+    take_s = F.col("_t").isNull() | (F.col("_s").isNotNull() & (F.col(f"_s.{order_col}") > F.col(f"_t.{order_col}")))
+    action = F.when(F.col("_t").isNull(), F.lit("insert")).when(take_s, F.lit("update")).otherwise(F.lit("keep"))
+    return j.select(*keys, *[F.when(take_s, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in vals], action.alias("_action")).select(
+        *cols, "_action"
+    )
+
+
 def merge_actions(merged_with_action: DataFrame) -> DataFrame:
     """Writer metadata of one merge: rows per action."""
     return merged_with_action.groupBy("_action").agg(F.count(F.lit(1)).alias("row_count")).withColumnRenamed("_action", "action")
@@ -145,20 +163,17 @@ def commit_version(
 ) -> int:
     """Write ``df`` as a new version, then append its snapshot-log row (the commit point).
 
-    If ``df`` carries ``_action`` the insert/update/keep counts are taken from the written
-    files (one cheap column scan) and the column is not stored.
+    If ``df`` carries ``_action`` it is stored beside the data (readers select the table
+    schema only) and the insert/update/keep counts come from one scan of that column.
     """
     sid = _new_snapshot_id()
     path = table_path(root, table, sid)
-    data = df.drop("_action") if "_action" in df.columns else df
+    df.write.mode("error").parquet(path)
+    written = spark.read.parquet(path)
     if "_action" in df.columns:
-        df.write.mode("error").parquet(path + "_staging")
-        written = spark.read.parquet(path + "_staging")
         counts = {r["_action"]: r["n"] for r in written.groupBy("_action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        written.drop("_action").write.mode("error").parquet(path)
     else:
-        data.write.mode("error").parquet(path)
-        counts = {"insert": spark.read.parquet(path).count()}
+        counts = {"insert": written.count()}
     row = [
         (
             table,

@@ -97,7 +97,7 @@ def decoded_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None
     )
 
 
-def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None) -> DataFrame:
+def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, keep_offset: bool = False) -> DataFrame:
     """The upsert stage: one row per key, projected to the sink columns.
 
     ``deletes="ignore"`` (default): deletes and tombstones are dropped *before* ranking,
@@ -110,7 +110,7 @@ def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None) ->
         latest = live_changes(latest_by_key(flat, pk))
     else:
         latest = latest_by_key(live_changes(flat), spec.key_paths)
-    return project(latest, spec.mapping)
+    return project(latest, spec.mapping, extra=[F.col("offset").alias("_offset")] if keep_offset else ())
 
 
 def load_table(

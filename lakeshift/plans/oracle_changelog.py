@@ -105,3 +105,5 @@ FROM j WHERE op IS NOT NULL
 UNION ALL
 SELECT k, NULL, true, NULL, NULL, CAST(k % 3 AS INTEGER), (k // 3) * 2 + 1 FROM j WHERE op = 'd'""",
 }
+
+SQL["stream_upsert"] = SQL["json_upsert_projection"]
