@@ -23,6 +23,7 @@ def latest_by_key(
     keys: Sequence[str | Column],
     order: Sequence[str] = ("offset",),
     method: str = "agg",
+    where: Column | None = None,
 ) -> DataFrame:
     """Keep the latest event per primary key (highest ``order``), ties impossible by offset.
 
@@ -30,8 +31,27 @@ def latest_by_key(
     hot key is reduced to one row per input partition before the shuffle.
     ``method="window"``: ``row_number() = 1`` over ``partitionBy(keys)``; Spark inserts a
     partial ``WindowGroupLimit`` before the exchange.  Both keep one row for the NULL key.
+
+    ``where`` restricts the candidates *inside* the aggregate (rows failing it get a NULL
+    ordering, which ``max_by`` skips; keys with no candidate are dropped afterwards).  No
+    Filter node exists for the optimizer to push below an expensive decode projection, so
+    the decode runs once per row instead of once per predicate.
     """
     key_cols = _cols(keys)
+    if where is not None and method == "agg":
+        names = changes.columns
+        ordering = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
+        return (
+            changes.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key_cols)])
+            .agg(F.max_by(F.struct(*[F.col(c) for c in names]), F.when(where, ordering)).alias("_row"))
+            .filter(F.col("_row").isNotNull())
+            .select(*[F.col(f"_row.{c}").alias(c) for c in names])
+        )
+    if where is not None and method == "window":
+        # candidates first in the ordering; the check runs above the window (not pushed)
+        w = Window.partitionBy(*key_cols).orderBy(F.when(where, 1).otherwise(0).desc(), *[F.col(o).desc() for o in order])
+        ranked = changes.withColumn("_rn", F.row_number().over(w)).withColumn("_ok", where)
+        return ranked.filter((F.col("_rn") == 1) & F.col("_ok")).drop("_rn", "_ok")
     if method == "window":
         w = Window.partitionBy(*key_cols).orderBy(*[F.col(o).desc() for o in order])
         return changes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

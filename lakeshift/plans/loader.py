@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.decode import attach_writer_schema, decode_avro, decode_json, live_changes, split_confluent
+from ..operators.decode import attach_writer_schema, decode_avro, decode_json, drop_tombstones, live_changes, live_condition, split_confluent
 from ..operators.transform import ColumnRule, TableSpec, latest_by_key, project
 from ..operators import upsert
 from ..sources.derived import EVENTS_AFTER_DDL, EVENTS_TOPIC, EVENTS_AVRO_TOPIC, CUSTOMER_AFTER_DDL, CUSTOMERS_TOPIC
@@ -75,12 +75,14 @@ def key_ddl(spec: TableSpec) -> str:
     return ", ".join(f"{k} {names.get(k, 'string')}" for k in spec.keys)
 
 
-def decoded_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None) -> DataFrame:
+def decoded_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, tombstones: bool = True) -> DataFrame:
     """``after, op, _key, topic, partition, offset``: decoded envelope beside the log position.
 
     ``_key`` is the primary key parsed from the message key, so tombstones (no envelope)
-    still carry their key.
+    still carry their key.  ``tombstones=False`` drops NULL values at the scan first.
     """
+    if not tombstones:
+        log = drop_tombstones(log)
     if spec.fmt == "json":
         parsed = decode_json(log, spec.after_ddl)
     else:
@@ -104,12 +106,12 @@ def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, ke
     so the last live image of a deleted key wins.  ``deletes="apply"``: rank all changes
     by the message key, then drop keys whose latest change is a delete/tombstone.
     """
-    flat = decoded_changes(log, spec, registry)
+    flat = decoded_changes(log, spec, registry, tombstones=spec.deletes == "apply")
     if spec.deletes == "apply":
         pk = [F.col(f"_key.{k}") for k in spec.keys]
         latest = live_changes(latest_by_key(flat, pk))
     else:
-        latest = latest_by_key(live_changes(flat), spec.key_paths)
+        latest = latest_by_key(flat, spec.key_paths, where=live_condition())
     return project(latest, spec.mapping, extra=[F.col("offset").alias("_offset")] if keep_offset else ())
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeprec import gtid_source, gtid_txn, ns_is_derived, precision_class
-from ..operators.decode import decode_json, flatten_envelope, live_changes, split_confluent
+from ..operators.decode import decode_json, flatten_envelope, live_changes, live_condition, split_confluent
 from ..operators.transform import latest_by_key, project
 from ..sources import changelog as cl
 from ..sources import derived as d
@@ -32,12 +32,12 @@ def q_live_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest live change per key, ``row_number`` form."""
-    return _change_cols(latest_by_key(live_changes(_events_flat(spark, sf_dir)), ["after.user_id"], method="window"))
+    return _change_cols(latest_by_key(_events_flat(spark, sf_dir), ["after.user_id"], method="window", where=live_condition()))
 
 
 def q_latest_by_key_maxby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest live change per key, ``max_by`` (partial aggregate) form."""
-    return _change_cols(latest_by_key(live_changes(_events_flat(spark, sf_dir)), ["after.user_id"], method="agg"))
+    return _change_cols(latest_by_key(_events_flat(spark, sf_dir), ["after.user_id"], method="agg", where=live_condition()))
 
 
 def q_json_upsert_projection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import avro_binary
-from ..functions.timeprec import epoch_micros
 from .changelog import snapshot_to_changes
 
 EVENTS_TOPIC = "mysqljson.shop.events"
@@ -39,69 +38,65 @@ CUSTOMER_AFTER_DDL = "c_custkey bigint, c_name string, c_nationkey int, c_acctba
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores.
+
+    A single-row-group file cannot be split by the reader, so derivation work on it would
+    run in one task.  Large inputs (many files / row groups) already plan at least
+    ``defaultParallelism`` partitions and are left untouched -- no extra shuffle at scale.
+    The partition count comes from planning only (no job).
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 # ------------------------------------------------------------------ events log -------
 
 
-def events_op(event_type: Column) -> Column:
-    """signup -> c, view -> r (snapshot read), click/purchase -> u, error -> d."""
-    return (
-        F.when(event_type == "signup", F.lit("c"))
-        .when(event_type == "view", F.lit("r"))
-        .when(event_type.isin("click", "purchase"), F.lit("u"))
-        .when(event_type == "error", F.lit("d"))
-    )
+OP_SQL = (
+    "CASE event_type WHEN 'signup' THEN 'c' WHEN 'view' THEN 'r' WHEN 'click' THEN 'u' "
+    "WHEN 'purchase' THEN 'u' WHEN 'error' THEN 'd' END"
+)
+TRUE_US_SQL = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 
 def events_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed change rows of ``events`` before encoding (shared by the JSON and Avro logs)."""
-    ev = table(spark, sf_dir, "events")
-    op = events_op(F.col("event_type"))
-    true_us = epoch_micros(F.col("ts"))
-    gtid_on = (F.col("event_id") % 3 != 0) & (op != "r")
-    ts_us = F.when(gtid_on, true_us).otherwise(F.floor(true_us / 1_000_000) * 1_000_000).cast("bigint")
-    return ev.select(
+    """Typed change rows of ``events`` before encoding (shared by the JSON and Avro logs).
+
+    GTID is on for ``event_id % 3 != 0`` except snapshot reads; without it the source
+    timestamp is padded to whole seconds.
+    """
+    gtid_on = f"(event_id % 3 <> 0 AND {OP_SQL} <> 'r')"
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
         "user_id",
         "event_type",
-        op.alias("op"),
-        (F.lit(1) + F.col("event_id") % 10).cast("int").alias("quantity"),
-        F.col("value").cast("decimal(10,2)").alias("unit_price"),
-        F.date_format(F.date_trunc("day", F.col("ts")), ISO_Z).alias("created_at"),
-        F.date_format(F.col("ts"), ISO_Z).alias("updated_at"),
-        ts_us.alias("ts_us"),
-        F.when(gtid_on, F.concat(F.lit(GTID_SERVER + ":"), F.col("event_id").cast("string"))).alias("gtid"),
-        F.concat(F.lit("mysql-bin."), F.lpad((F.floor(F.col("event_id") / 10000) + 1).cast("string"), 6, "0")).alias("binlog_file"),
-        ((F.col("event_id") % 10000) * 100 + 4).alias("binlog_pos"),
+        f"{OP_SQL} AS op",
+        "CAST(1 + event_id % 10 AS INT) AS quantity",
+        "CAST(value AS DECIMAL(10,2)) AS unit_price",
+        f"date_format(date_trunc('day', ts), \"{ISO_Z}\") AS created_at",
+        f"date_format(ts, \"{ISO_Z}\") AS updated_at",
+        f"CAST(CASE WHEN {gtid_on} THEN {TRUE_US_SQL} ELSE ({TRUE_US_SQL} div 1000000) * 1000000 END AS BIGINT) AS ts_us",
+        f"CASE WHEN {gtid_on} THEN concat('{GTID_SERVER}:', CAST(event_id AS STRING)) END AS gtid",
+        "concat('mysql-bin.', lpad(CAST(event_id div 10000 + 1 AS STRING), 6, '0')) AS binlog_file",
+        "(event_id % 10000) * 100 + 4 AS binlog_pos",
     )
 
 
-def _after_struct(c: DataFrame | None = None) -> Column:
-    return F.struct(
-        F.col("user_id"),
-        F.col("quantity"),
-        F.col("unit_price").cast("string").alias("unit_price"),
-        F.col("event_type").alias("status"),
-        F.col("created_at"),
-        F.col("updated_at"),
-    )
+AFTER_SQL = (
+    "named_struct('user_id', user_id, 'quantity', quantity, 'unit_price', CAST(unit_price AS STRING), "
+    "'status', event_type, 'created_at', created_at, 'updated_at', updated_at)"
+)
 
 
-def _source_struct(name: str) -> Column:
-    return F.struct(
-        F.lit("mysql").alias("connector"),
-        F.lit(name).alias("name"),
-        F.lit("shop").alias("db"),
-        F.lit("events").alias("table"),
-        F.floor(F.col("ts_us") / 1000).cast("bigint").alias("ts_ms"),
-        F.col("ts_us"),
-        (F.col("ts_us") * 1000).alias("ts_ns"),
-        F.col("gtid"),
-        F.col("binlog_file").alias("file"),
-        F.col("binlog_pos").alias("pos"),
-        F.when(F.col("op") == "r", F.lit("true")).otherwise(F.lit("false")).alias("snapshot"),
+def source_sql(name: str) -> str:
+    return (
+        f"named_struct('connector', 'mysql', 'name', '{name}', 'db', 'shop', 'table', 'events', "
+        "'ts_ms', ts_us div 1000, 'ts_us', ts_us, 'ts_ns', ts_us * 1000, 'gtid', gtid, "
+        "'file', binlog_file, 'pos', binlog_pos, 'snapshot', CASE WHEN op = 'r' THEN 'true' ELSE 'false' END)"
     )
 
 
@@ -111,21 +106,18 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     error events are deletes: an even ``event_id`` is a tombstone (NULL value), an odd
     one a delete envelope with a ``before`` image and no ``after``.
     """
-    ch = events_changes(spark, sf_dir)
-    after = _after_struct()
-    src = _source_struct("mysqljson")
-    is_err = F.col("event_type") == "error"
+    src = source_sql("mysqljson")
     value = (
-        F.when(is_err & (F.col("event_id") % 2 == 0), F.lit(None).cast("string"))
-        .when(is_err, F.to_json(F.struct(after.alias("before"), F.col("op"), src.alias("source"))))
-        .otherwise(F.to_json(F.struct(after.alias("after"), F.col("op"), src.alias("source"))))
+        "CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN NULL "
+        f"WHEN event_type = 'error' THEN to_json(named_struct('before', {AFTER_SQL}, 'op', op, 'source', {src})) "
+        f"ELSE to_json(named_struct('after', {AFTER_SQL}, 'op', op, 'source', {src})) END"
     )
-    return ch.select(
-        F.to_json(F.struct("user_id")).cast("binary").alias("key"),
-        value.cast("binary").alias("value"),
-        F.lit(EVENTS_TOPIC).alias("topic"),
-        F.pmod(F.col("user_id"), F.lit(LOG_PARTITIONS)).cast("int").alias("partition"),
-        F.col("event_id").alias("offset"),
+    return events_changes(spark, sf_dir).selectExpr(
+        "CAST(to_json(named_struct('user_id', user_id)) AS BINARY) AS key",
+        f"CAST({value} AS BINARY) AS value",
+        f"'{EVENTS_TOPIC}' AS topic",
+        f"CAST(pmod(user_id, {LOG_PARTITIONS}) AS INT) AS partition",
+        "event_id AS offset",
     )
 
 
@@ -271,43 +263,27 @@ def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------- run events ------------
 
-RUN_TYPES = ("scheduled", "manual", "backfill")
-
-
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per user: ``run-{user_id}``.  Users with ``user_id % 10 = 0`` are orchestrator
     runs (no dataset I/O) and parents of the next nine users' Spark runs."""
-    ev = table(spark, sf_dir, "events")
-    u = F.col("user_id")
-    is_orch = u % 10 == 0
-    state = (
-        F.when(F.col("event_type") == "signup", F.lit("START"))
-        .when(F.col("event_type").isin("view", "click"), F.lit("RUNNING"))
-        .when(F.col("event_type") == "purchase", F.lit("COMPLETE"))
-        .when(F.col("event_type") == "error", F.lit("FAIL"))
-    )
-    t = (u % 4).cast("string")
-    io = F.struct(F.lit("").alias("ns"), F.lit("").alias("name"))
-    inputs = F.when(is_orch, F.array_remove(F.array(io), io)).otherwise(
-        F.array(F.struct(F.lit("kafka://kafka:9092").alias("ns"), F.concat(F.lit("mysqljson.shop.t"), t).alias("name")))
-    )
-    outputs = F.when(is_orch, F.array_remove(F.array(io), io)).otherwise(
-        F.array(F.struct(F.lit("s3://poc-warehouse").alias("ns"), F.concat(F.lit("poc/shop_t"), t, F.lit("_json")).alias("name")))
-    )
-    run_type = F.element_at(F.array(*[F.lit(r) for r in RUN_TYPES]), (u % 3 + 1).cast("int"))
-    return ev.select(
-        F.col("ts").alias("event_time"),
-        F.col("event_id").alias("seq"),
-        state.alias("event_type"),
-        F.concat(F.lit("run-"), u.cast("string")).alias("run_id"),
-        F.when(~is_orch, F.concat(F.lit("run-"), (u - u % 10).cast("string"))).alias("parent_run_id"),
-        F.when(is_orch, F.lit("airflow")).otherwise(F.lit("spark")).alias("job_ns"),
-        F.when(is_orch, F.concat(F.lit("dag_t"), t)).otherwise(F.concat(F.lit("load_t"), t)).alias("job_name"),
-        inputs.alias("inputs"),
-        outputs.alias("outputs"),
-        F.create_map(F.lit("run_type"), run_type, F.lit("app_id"), F.concat(F.lit("app-"), u.cast("string"))).alias("facets"),
-        F.concat(F.lit("inst-"), (u % 2).cast("string")).alias("instance_id"),
-        F.when((u % 13 == 0) & (F.col("event_id") % 2 == 0), F.lit(2)).otherwise(F.lit(1)).alias("stack_epoch"),
+    orch = "user_id % 10 = 0"
+    k = "CAST(user_id % 4 AS STRING)"
+    no_io = "CAST(array() AS ARRAY<STRUCT<ns: STRING, name: STRING>>)"
+    return table(spark, sf_dir, "events").selectExpr(
+        "ts AS event_time",
+        "event_id AS seq",
+        "CASE event_type WHEN 'signup' THEN 'START' WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'RUNNING' "
+        "WHEN 'purchase' THEN 'COMPLETE' WHEN 'error' THEN 'FAIL' END AS event_type",
+        "concat('run-', CAST(user_id AS STRING)) AS run_id",
+        f"CASE WHEN NOT ({orch}) THEN concat('run-', CAST(user_id - user_id % 10 AS STRING)) END AS parent_run_id",
+        f"CASE WHEN {orch} THEN 'airflow' ELSE 'spark' END AS job_ns",
+        f"CASE WHEN {orch} THEN concat('dag_t', {k}) ELSE concat('load_t', {k}) END AS job_name",
+        f"CASE WHEN {orch} THEN {no_io} ELSE array(named_struct('ns', 'kafka://kafka:9092', 'name', concat('mysqljson.shop.t', {k}))) END AS inputs",
+        f"CASE WHEN {orch} THEN {no_io} ELSE array(named_struct('ns', 's3://poc-warehouse', 'name', concat('poc/shop_t', {k}, '_json'))) END AS outputs",
+        "map('run_type', element_at(array('scheduled', 'manual', 'backfill'), CAST(user_id % 3 + 1 AS INT)), "
+        "'app_id', concat('app-', CAST(user_id AS STRING))) AS facets",
+        "concat('inst-', CAST(user_id % 2 AS STRING)) AS instance_id",
+        "CASE WHEN user_id % 13 = 0 AND event_id % 2 = 0 THEN 2 ELSE 1 END AS stack_epoch",
     )
 
 
