@@ -90,24 +90,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_r
         F.col("dst").alias("_from"), F.col("src").alias("_to")
     )
     frontier = seeds.select("root", F.col("root").alias("node")).distinct()
-    visited = frontier.withColumn("depth", F.lit(0))
+    visited = None  # a root is in its own closure only when a cycle leads back to it
     parts: list[DataFrame] = []
     for depth in range(1, max_rounds + 1):
         nxt = (
             frontier.join(e, frontier["node"] == e["_from"])
             .select("root", F.col("_to").alias("node"))
             .distinct()
-            .join(visited.select("root", "node"), ["root", "node"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-            .checkpoint()
         )
+        if visited is not None:
+            nxt = nxt.join(visited.select("root", "node"), ["root", "node"], "left_anti")
+        nxt = nxt.withColumn("depth", F.lit(depth)).checkpoint()
         if nxt.isEmpty():
             break
         parts.append(nxt)
-        visited = visited.unionByName(nxt)  # a union of materialised pieces: short lineage
+        visited = nxt if visited is None else visited.unionByName(nxt)  # union of materialised pieces
         frontier = nxt.select("root", "node")
     if not parts:
-        return visited.limit(0)
+        return frontier.withColumn("depth", F.lit(0)).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
