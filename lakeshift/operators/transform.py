@@ -24,6 +24,7 @@ def latest_by_key(
     order: Sequence[str] = ("offset",),
     method: str = "agg",
     where: Column | None = None,
+    keep_keys: bool = False,
 ) -> DataFrame:
     """Keep the latest event per primary key (highest ``order``), ties impossible by offset.
 
@@ -32,36 +33,36 @@ def latest_by_key(
     ``method="window"``: ``row_number() = 1`` over ``partitionBy(keys)``; Spark inserts a
     partial ``WindowGroupLimit`` before the exchange.  Both keep one row for the NULL key.
 
-    ``where`` restricts the candidates *inside* the aggregate (rows failing it get a NULL
-    ordering, which ``max_by`` skips; keys with no candidate are dropped afterwards).  No
-    Filter node exists for the optimizer to push below an expensive decode projection, so
-    the decode runs once per row instead of once per predicate.
+    ``where`` restricts the candidates without a Filter node below the ranking (agg: rows
+    failing it get a NULL ordering, which ``max_by`` skips; window: they sort last and are
+    dropped above the window).  The optimizer therefore cannot push the predicate below an
+    expensive decode projection, and the decode runs once per row.
+
+    ``keep_keys`` (agg form) also returns the grouping keys as ``_k0, _k1, ...``; a later
+    projection that reads the key from them keeps the aggregate's hash partitioning, so a
+    merge join on the key needs no second shuffle of the stage.
     """
     key_cols = _cols(keys)
-    if where is not None and method == "agg":
-        names = changes.columns
-        ordering = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
-        return (
-            changes.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key_cols)])
-            .agg(F.max_by(F.struct(*[F.col(c) for c in names]), F.when(where, ordering)).alias("_row"))
-            .filter(F.col("_row").isNotNull())
-            .select(*[F.col(f"_row.{c}").alias(c) for c in names])
-        )
-    if where is not None and method == "window":
-        # candidates first in the ordering; the check runs above the window (not pushed)
-        w = Window.partitionBy(*key_cols).orderBy(F.when(where, 1).otherwise(0).desc(), *[F.col(o).desc() for o in order])
-        ranked = changes.withColumn("_rn", F.row_number().over(w)).withColumn("_ok", where)
-        return ranked.filter((F.col("_rn") == 1) & F.col("_ok")).drop("_rn", "_ok")
-    if method == "window":
-        w = Window.partitionBy(*key_cols).orderBy(*[F.col(o).desc() for o in order])
-        return changes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     names = changes.columns
+    if method == "window":
+        cand = [F.when(where, 1).otherwise(0).desc()] if where is not None else []
+        w = Window.partitionBy(*key_cols).orderBy(*cand, *[F.col(o).desc() for o in order])
+        ranked = changes.withColumn("_rn", F.row_number().over(w))
+        keep = F.col("_rn") == 1
+        if where is not None:
+            ranked = ranked.withColumn("_ok", where)
+            keep = keep & F.col("_ok")
+        return ranked.filter(keep).select(*names)
     ordering = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
-    return (
-        changes.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key_cols)])
-        .agg(F.max_by(F.struct(*[F.col(c) for c in names]), ordering).alias("_row"))
-        .select(*[F.col(f"_row.{c}").alias(c) for c in names])
+    if where is not None:
+        ordering = F.when(where, ordering)
+    out = changes.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key_cols)]).agg(
+        F.max_by(F.struct(*[F.col(c) for c in names]), ordering).alias("_row")
     )
+    if where is not None:
+        out = out.filter(F.col("_row").isNotNull())
+    key_out = [F.col(f"_k{i}") for i in range(len(key_cols))] if keep_keys else []
+    return out.select(*[F.col(f"_row.{c}").alias(c) for c in names], *key_out)
 
 
 def duplicate_keys(stage: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,12 +109,16 @@ class TableSpec:
         return [f"after.{k}" for k in self.keys]
 
 
-def project(changes: DataFrame, mapping: Sequence[ColumnRule], extra: Sequence[Column] = ()) -> DataFrame:
+def project(
+    changes: DataFrame, mapping: Sequence[ColumnRule], extra: Sequence[Column] = (), key_columns: dict[str, str] | None = None
+) -> DataFrame:
     """``select`` driven by the mapping (all expressions stay JVM-side); ``extra`` columns
-    (e.g. the log offset for newer-wins merges) are appended."""
+    (e.g. the log offset for newer-wins merges) are appended.  ``key_columns`` maps a rule
+    expression (``after.pk``) to an equal grouping column (``_k0``) to read it from."""
     out = []
     for r in mapping:
-        c = F.expr(r.expr)
+        src = (key_columns or {}).get(r.expr)
+        c = F.col(src) if src else F.expr(r.expr)
         if r.data_type:
             c = c.cast(r.data_type)
         out.append(c.alias(r.out_col))
