@@ -78,6 +78,12 @@ def export_edges(datasets: DataFrame, jobs: DataFrame, edges_by_name: DataFrame)
     return ds_groups.unionByName(job_groups).unionByName(ds_nodes).unionByName(job_nodes).unionByName(edge_lines)
 
 
+def write_diagram(lines: DataFrame, path: str) -> None:
+    """Write ``export_edges`` output as text: groups, nodes, then edges (one file)."""
+    rank = F.when(F.col("section").endswith("group"), 0).when(F.col("section") == "edge", 2).otherwise(1)
+    lines.select(rank.alias("_r"), "line").orderBy("_r", "line").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_rounds: int = 10_000) -> DataFrame:
     """Transitive closure from seed nodes: ``(root, node, depth)`` for depth >= 1.
 

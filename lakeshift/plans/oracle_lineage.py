@@ -74,6 +74,14 @@ mm AS (
   UNION ALL SELECT 'run-' || CAST(user_id AS VARCHAR), 'snapshot_id' FROM per WHERE has_p IS NULL)"""
 
 SQL = {
+    "dataset_chain": f"""
+WITH m AS (SELECT 'shop.t' || {_s('user_id % 4')} AS mysql_name, COUNT(*) AS source_rows FROM events GROUP BY user_id % 4),
+r AS (SELECT DISTINCT 'run-' || {_s('user_id')} AS run_id, 'load_t' || {_s('user_id % 4')} AS job_name, {_s('user_id % 4')} AS k
+      FROM events WHERE user_id % 10 <> 0)
+SELECT r.run_id, r.job_name, m.mysql_name, m.source_rows, 'mysqljson.shop.t' || r.k AS topic,
+       'poc/shop_t' || r.k || '_json' AS sink_storage, 'nessie.poc.shop_t' || r.k || '_json' AS sink_physical,
+       'poc.shop_t' || r.k || '_json' AS sink_logical
+FROM r JOIN m ON m.mysql_name = 'shop.t' || r.k""",
     "current_edges": "WITH " + STORE + """
 SELECT jb.namespace_name || ':' || jb.name AS job, ds.namespace_name || ':' || ds.name AS dataset, e.io_type
 FROM e JOIN jb ON e.job_uuid = jb.uuid JOIN ds ON e.dataset_uuid = ds.uuid""",

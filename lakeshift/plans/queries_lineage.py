@@ -297,7 +297,30 @@ def q_commits_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.commits_in_window(d.snapshots(spark, sf_dir), windows)
 
 
+def q_dataset_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MySQL table -> Kafka topic -> Spark run -> sink table, composed from identity joins:
+    MySQL <-> Kafka on the ``{db}.{table}`` embedded in the topic, Kafka <-> Spark on the
+    input dataset identity, Spark <-> sink through the storage -> physical -> logical map."""
+    from ..functions import identity as idn
+
+    ev = d.table(spark, sf_dir, "events")
+    mysql = ev.groupBy((F.col("user_id") % 4).alias("k")).agg(F.count(F.lit(1)).alias("source_rows")).select(
+        F.concat(F.lit("shop.t"), F.col("k").cast("string")).alias("mysql_name"), "source_rows"
+    )
+    io = lev.flatten_events(d.run_events(spark, sf_dir)).select("run_id", "job_name", "io_type", "namespace", "name").distinct()
+    inputs = io.filter(F.col("io_type") == "INPUT").select("run_id", "job_name", F.col("namespace").alias("topic_ns"), F.col("name").alias("topic"))
+    outputs = io.filter(F.col("io_type") == "OUTPUT").select("run_id", F.col("namespace").alias("sink_ns"), F.col("name").alias("sink_storage"))
+    topics = inputs.select("topic_ns", "topic").distinct().withColumn("mysql_name", idn.mysql_dataset_name(F.col("topic")))
+    chain = mysql.join(topics, "mysql_name").join(inputs, ["topic_ns", "topic"]).join(outputs, "run_id")
+    physical = F.regexp_replace(F.col("sink_storage"), "^poc/", "")
+    return chain.select(
+        "run_id", "job_name", "mysql_name", "source_rows", "topic", "sink_storage",
+        F.concat(F.lit("nessie.poc."), physical).alias("sink_physical"), F.concat(F.lit("poc."), physical).alias("sink_logical"),
+    )
+
+
 QUERIES = {
+    "dataset_chain": q_dataset_chain,
     "current_edges": q_current_edges,
     "datasets_by_namespace": q_datasets_by_namespace,
     "jobs_by_namespace": q_jobs_by_namespace,

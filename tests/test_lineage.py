@@ -89,3 +89,18 @@ def test_identity_rules(spark):
     assert (r["ds"], r["sink"], r["rt"]) == ("shop.orders", "poc.shop_orders_json", "mysqljson.shop.orders")
     assert (r["ns"], r["nm"], r["lg"]) == ("kafka://kafka:9092", "mysql.shop.orders", "poc/shop_orders")
     assert r["m"] == {"a": "1", "b": "2"}
+
+
+def test_tab_export_and_diagram_text(spark, scratch):
+    from lakeshift.sources.lineage_store import read_tab_export
+
+    path = f"{scratch}/export"
+    spark.createDataFrame([("spark:load\tkafka://k:mysql.shop.t\tINPUT",), ("a:b\tc:d\tOUT\tPUT",)], "value string").coalesce(1).write.text(path)
+    rows = read_tab_export(spark, path, ["job", "dataset", "io_type"]).collect()
+    assert sorted(r["io_type"] for r in rows) == ["INPUT", "OUT\tPUT"]  # limit keeps the tail
+    ds = spark.createDataFrame([("d1", "ns", "x")], "uuid string, namespace_name string, name string")
+    jb = spark.createDataFrame([("j1", "spark", "y")], "uuid string, namespace_name string, name string")
+    ed = spark.createDataFrame([("spark:y", "ns:x", "OUTPUT")], "job string, dataset string, io_type string")
+    graph.write_diagram(graph.export_edges(ds, jb, ed), f"{scratch}/diagram")
+    text = [r["value"] for r in spark.read.text(f"{scratch}/diagram").collect()]
+    assert text[0].startswith("subgraph") and text[-1] == "J_spark_y -->|OUTPUT| D_ns_x"
