@@ -8,6 +8,7 @@ executor recomputes at most one round.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_r
     e = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")) if direction == "down" else edges.select(
         F.col("dst").alias("_from"), F.col("src").alias("_to")
     )
+    # the edge table is read once per round: keep it for the loop (lost blocks are
+    # recomputed from lineage); the result only depends on the checkpointed rounds
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)
     frontier = seeds.select("root", F.col("root").alias("node")).distinct()
     visited = None  # a root is in its own closure only when a cycle leads back to it
     parts: list[DataFrame] = []
@@ -112,6 +116,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_r
         parts.append(nxt)
         visited = nxt if visited is None else visited.unionByName(nxt)  # union of materialised pieces
         frontier = nxt.select("root", "node")
+    e.unpersist()
     if not parts:
         return frontier.withColumn("depth", F.lit(0)).limit(0)
     out = parts[0]

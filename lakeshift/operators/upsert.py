@@ -23,13 +23,20 @@ SNAPSHOT_DDL = (
 MARKER_DDL = "run_id string, hop string, marker_kind string, marker_value string"
 
 
-def merge_upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False) -> DataFrame:
+def merge_upsert(
+    target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False, bypass_null_target: bool = True
+) -> DataFrame:
     """``MERGE ... WHEN MATCHED UPDATE * WHEN NOT MATCHED INSERT *`` as a DataFrame.
 
     Matched rows take every stage value (unconditionally, even when equal); unmatched
     stage rows are inserted; target rows without a stage row are kept; nothing is deleted.
-    Rows with a NULL key never match: they bypass the join (so they cannot pile up in one
-    shuffle partition) and are unioned back.  ``_action`` = insert / update / keep.
+    A NULL key never matches.  Target rows with a NULL key (one more per load, as with a
+    SQL MERGE) bypass the join -- a cheap second scan of the target with a pushed-down
+    filter -- so they cannot pile up in one shuffle partition; the stage goes through the
+    join once (a deduplicated stage holds at most one NULL-key row), so it is computed
+    once.  ``bypass_null_target=False`` when the target is itself a deduplicated stage (at
+    most one NULL-key row): it then goes through the join once as well.
+    ``_action`` = insert / update / keep.
     """
     cols = target.columns
     vals = [c for c in cols if c not in keys]
@@ -37,8 +44,8 @@ def merge_upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_
     null_key = F.lit(False)
     for k in keys:
         null_key = null_key | F.col(k).isNull()
-    t = target.filter(~null_key).select(*keys, F.struct(*vals).alias("_t"), F.lit(True).alias("_in_t"))
-    s = stage.filter(~null_key).select(*keys, F.struct(*vals).alias("_s"), F.lit(True).alias("_in_s"))
+    t = (target.filter(~null_key) if bypass_null_target else target).select(*keys, F.struct(*vals).alias("_t"), F.lit(True).alias("_in_t"))
+    s = stage.select(*keys, F.struct(*vals).alias("_s"), F.lit(True).alias("_in_s"))
     j = t.join(s, list(keys), "full_outer")
     action = F.when(F.col("_in_s").isNull(), F.lit("keep")).when(F.col("_in_t").isNull(), F.lit("insert")).otherwise(F.lit("update"))
     merged = j.select(
@@ -46,8 +53,8 @@ def merge_upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_
         *[F.when(F.col("_in_s").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in vals],
         action.alias("_action"),
     ).select(*cols, "_action")
-    merged = merged.unionByName(target.filter(null_key).select(*cols, F.lit("keep").alias("_action")))
-    merged = merged.unionByName(stage.filter(null_key).select(*cols, F.lit("insert").alias("_action")))
+    if bypass_null_target:
+        merged = merged.unionByName(target.filter(null_key).select(*cols, F.lit("keep").alias("_action")))
     return merged if with_action else merged.drop("_action")
 
 

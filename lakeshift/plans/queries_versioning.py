@@ -33,14 +33,15 @@ def q_merge_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_merge_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incremental loads: first half of each partition, then the rest merged on top --
-    equal to one full load."""
+    """Incremental loads: the first half of each partition, then the rest merged on top --
+    equal to one full load.  (The committed-version form of the same flow is exercised by
+    ``stream_upsert`` and the tests.)"""
     log = d.events_log(spark, sf_dir)
-    resume = loader_resume(log)
-    first = cl.restrict_offsets(log, resume.select("topic", "partition", F.lit(0).cast("bigint").alias("start_offset"), F.col("start_offset").alias("end_offset")))
-    second = cl.restrict_offsets(log, resume)
+    resume = loader_resume(log).collect()  # one row per topic partition
+    first = cl.restrict_offsets(log, [(r["topic"], r["partition"], 0, r["start_offset"]) for r in resume])
+    second = cl.restrict_offsets(log, [(r["topic"], r["partition"], r["start_offset"], None) for r in resume])
     spec = loader.events_spec("json")
-    return merge_upsert(loader.stage(first, spec), loader.stage(second, spec), ["user_id"])
+    return merge_upsert(loader.stage(first, spec), loader.stage(second, spec), ["user_id"], bypass_null_target=False)
 
 
 def loader_resume(log: DataFrame) -> DataFrame:

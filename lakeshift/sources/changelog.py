@@ -53,23 +53,27 @@ def read_changelog(
     return log
 
 
-def restrict_offsets(log: DataFrame, ranges: DataFrame) -> DataFrame:
+def restrict_offsets(log: DataFrame, ranges: DataFrame | list) -> DataFrame:
     """Keep ``start_offset <= offset < end_offset`` per (topic, partition).
 
     The range table has one row per topic partition, so it is small by construction; it
     is turned into a predicate on ``offset`` that reaches the parquet scan (row-group
     skipping on min/max).  A range table above ``MAX_PREDICATE_RANGES`` rows falls back to
-    a join.  A NULL ``end_offset`` means "to the end".
+    a join.  A NULL ``end_offset`` means "to the end".  ``ranges`` may also be the already
+    collected rows (``topic, partition, start_offset, end_offset``).
     """
-    bounded = ranges.select("topic", "partition", "start_offset", "end_offset").limit(MAX_PREDICATE_RANGES + 1).collect()
+    if isinstance(ranges, list):
+        bounded = ranges
+    else:
+        bounded = ranges.select("topic", "partition", "start_offset", "end_offset").limit(MAX_PREDICATE_RANGES + 1).collect()
     if len(bounded) <= MAX_PREDICATE_RANGES:
         if not bounded:
             return log.limit(0)
         cond: Column | None = None
-        for r in bounded:
-            c = (F.col("topic") == r["topic"]) & (F.col("partition") == r["partition"]) & (F.col("offset") >= r["start_offset"])
-            if r["end_offset"] is not None:
-                c = c & (F.col("offset") < r["end_offset"])
+        for topic, part, start, end in (tuple(r) for r in bounded):
+            c = (F.col("topic") == topic) & (F.col("partition") == part) & (F.col("offset") >= start)
+            if end is not None:
+                c = c & (F.col("offset") < end)
             cond = c if cond is None else (cond | c)
         return log.filter(cond)
     r = ranges.select("topic", "partition", "start_offset", "end_offset")

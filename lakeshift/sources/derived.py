@@ -37,8 +37,10 @@ EVENTS_AFTER_DDL = "user_id bigint, quantity int, unit_price string, status stri
 CUSTOMER_AFTER_DDL = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table; ``spread`` for inputs of CPU-heavy derivations (encoding logs)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if spread else df
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def events_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     timestamp is padded to whole seconds.
     """
     gtid_on = f"(event_id % 3 <> 0 AND {OP_SQL} <> 'r')"
-    return table(spark, sf_dir, "events").selectExpr(
+    return table(spark, sf_dir, "events", spread=True).selectExpr(
         "event_id",
         "user_id",
         "event_type",
@@ -242,7 +244,7 @@ def customers_v1_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     return snapshot_to_changes(o, "o_orderkey", ORDERS_TOPIC, LOG_PARTITIONS, {"db": "shop", "table": "orders"})
 
 
