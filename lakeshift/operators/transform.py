@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _cols(keys: Sequence[str | Column]) -> list[Column]:
@@ -125,17 +124,6 @@ def project(
     return changes.select(*out, *extra)
 
 
-EDGE_SCHEMA = T.StructType(
-    [
-        T.StructField("out_table", T.StringType()),
-        T.StructField("out_col", T.StringType()),
-        T.StructField("in_col", T.StringType()),
-        T.StructField("transformation", T.StringType()),
-        T.StructField("precision", T.StringType()),
-    ]
-)
-
-
 def mapping_frame(spark: SparkSession, table: str, mapping: Sequence[ColumnRule]) -> DataFrame:
     """The mapping as a DataFrame: one row per output column, inputs as an array."""
     rows = [(table, r.out_col, list(r.inputs), r.transformation, r.precision) for r in mapping]

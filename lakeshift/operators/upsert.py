@@ -81,12 +81,6 @@ def merge_actions(merged_with_action: DataFrame) -> DataFrame:
     return merged_with_action.groupBy("_action").agg(F.count(F.lit(1)).alias("row_count")).withColumnRenamed("_action", "action")
 
 
-def apply_deletes(latest_all: DataFrame) -> DataFrame:
-    """``deletes="apply"``: rank first (over *all* changes), then drop keys whose last
-    change is a delete or tombstone."""
-    return latest_all.filter(F.col("after").isNotNull() & (F.col("op") != "d"))
-
-
 # ----------------------------------------------------------- versioned tables --------
 
 

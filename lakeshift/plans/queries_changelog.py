@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeprec import gtid_source, gtid_txn, ns_is_derived, precision_class
 from ..operators.decode import decode_json, flatten_envelope, live_changes, live_condition, split_confluent
-from ..operators.transform import latest_by_key, project
+from ..operators.transform import latest_by_key
 from ..sources import changelog as cl
 from ..sources import derived as d
 from . import loader

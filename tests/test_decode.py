@@ -99,3 +99,16 @@ def test_live_changes_decodes_once(spark):
     flat = loader.decoded_changes(d.events_log(spark, "/root/testdata/sf0.001"), loader.events_spec("json"))
     plan = live_changes(flat)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(StructField(after") == 1
+
+
+def test_hot_key_is_reduced_before_the_shuffle(spark):
+    """A key holding a third of all rows: the dedup aggregates partially on the map side."""
+    from pyspark.sql import functions as F
+
+    rows = [(b'{"order_id":1}' if i % 3 == 0 else b'{"order_id":%d}' % i,
+             (_after(1 if i % 3 == 0 else i, 1, 1, 1, "1.00", "NEW")).encode(), "t", 0, i) for i in range(300)]
+    log = spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset bigint").repartition(4)
+    st = loader.stage(log, ORDERS)
+    plan = st._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan
+    assert st.filter(F.col("order_id") == 1).count() == 1 and st.count() == 200  # keys 1 and 2..299 not divisible by 3
