@@ -150,6 +150,12 @@ a AS (
          MAX(event_time) AS last_event_at
   FROM rev GROUP BY run_id)
 SELECT *, state IN ('START', 'RUNNING') AND last_event_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 DAY AS stale FROM a""",
+    "stream_run_state": "WITH " + RUNEV + """
+SELECT run_id, arg_max(event_type, seq) AS state,
+       MIN(CASE WHEN event_type = 'START' THEN event_time END) AS started_at,
+       MAX(CASE WHEN event_type IN ('COMPLETE', 'FAIL') THEN event_time END) AS ended_at,
+       MAX(event_time) AS last_event_at
+FROM rev GROUP BY run_id""",
     "parent_child_runs": "WITH " + RUNEV + """
 SELECT c.run_id, c.job_name, c.parent_run_id, p.job_name AS parent_job_name, p.job_ns AS parent_job_ns
 FROM runs c LEFT JOIN runs p ON c.parent_run_id = p.run_id WHERE c.parent_run_id IS NOT NULL""",

@@ -4,9 +4,14 @@ Structured Streaming ``foreachBatch`` upsert; the result must equal the batch lo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import upsert
 
 from ..session import scratch_path
 from ..sources import derived as d
+from ..streaming.run_state import TABLE_DDL as RUN_STATE_TABLE_DDL
+from ..streaming.run_state import stream_run_state
 from ..streaming.stream import current_table, stream_upsert, write_log_files
 from . import loader
 
@@ -23,4 +28,28 @@ def q_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_table(spark, f"{root}/tables", spec, loader.EVENTS_SINK_DDL)
 
 
-QUERIES = {"stream_upsert": q_stream_upsert}
+def write_time_sliced(df: DataFrame, path: str, time_col: str, slices: int) -> None:
+    """Drop ``df`` as ``slices`` files in event-time order (one write per slice, so file
+    modification order follows event time, as in an append-only landing folder)."""
+    bounds = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    step = (hi - lo) / slices
+    for i in range(slices):
+        a = lo + step * i
+        part = df.filter(F.col(time_col) >= F.lit(a))
+        part = part.filter(F.col(time_col) < F.lit(lo + step * (i + 1))) if i < slices - 1 else part
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def q_stream_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run events as a stream -> stateful per-run state with stale-run eviction -> table."""
+    root = scratch_path(spark, "stream_run_state")
+    write_time_sliced(d.run_events(spark, sf_dir), f"{root}/events", "event_time", LOG_FILES)
+    ddl = spark.read.parquet(f"{root}/events").schema
+    q = stream_run_state(spark, f"{root}/events", ddl, f"{root}/tables", f"{root}/_checkpoint")
+    q.awaitTermination()
+    t = upsert.read_current(spark, f"{root}/tables", "lineage.run_state", RUN_STATE_TABLE_DDL)
+    return t.select("run_id", "state", "started_at", "ended_at", "last_event_at")
+
+
+QUERIES = {"stream_upsert": q_stream_upsert, "stream_run_state": q_stream_run_state}

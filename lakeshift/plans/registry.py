@@ -13,6 +13,7 @@ _MODULES = [
     (queries_versioning, oracle_versioning),
     (queries_lineage, oracle_lineage),
     (queries_streaming, oracle_changelog),
+    (queries_streaming, oracle_lineage),
 ]
 
 
