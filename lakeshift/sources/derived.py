@@ -253,13 +253,10 @@ def orders_snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(src, dst)`` node edges: region -> nation -> customer -> order."""
-    n = table(spark, sf_dir, "nation")
-    c = table(spark, sf_dir, "customer")
-    o = table(spark, sf_dir, "orders")
     return (
-        n.select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("dst"))
-        .unionByName(c.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("src"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("dst")))
-        .unionByName(o.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("dst")))
+        table(spark, sf_dir, "nation").selectExpr("concat('region:', CAST(n_regionkey AS STRING)) AS src", "concat('nation:', CAST(n_nationkey AS STRING)) AS dst")
+        .unionByName(table(spark, sf_dir, "customer").selectExpr("concat('nation:', CAST(c_nationkey AS STRING)) AS src", "concat('customer:', CAST(c_custkey AS STRING)) AS dst"))
+        .unionByName(table(spark, sf_dir, "orders").selectExpr("concat('customer:', CAST(o_custkey AS STRING)) AS src", "concat('order:', CAST(o_orderkey AS STRING)) AS dst"))
     )
 
 
@@ -338,41 +335,29 @@ def lineage_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     write a supplier (OUTPUT); current iff ``l_linestatus = 'O'``.
     """
     part = table(spark, sf_dir, "part")
-    supp = table(spark, sf_dir, "supplier")
-    cust = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem")
-    pk = F.col("p_partkey").cast("string")
+    part_ns = "concat('kafka://broker-', CAST(p_size % 3 AS STRING)) AS namespace_name"
     datasets = (
-        part.select(F.concat(F.lit("part-"), pk).alias("uuid"), F.concat(F.lit("kafka://broker-"), (F.col("p_size") % 3).cast("string")).alias("namespace_name"), F.col("p_name").alias("name"))
-        .unionByName(
-            part.filter(F.col("p_partkey") % 97 == 0).select(
-                F.concat(F.lit("part-dup-"), pk).alias("uuid"), F.concat(F.lit("kafka://broker-"), (F.col("p_size") % 3).cast("string")).alias("namespace_name"), F.col("p_name").alias("name")
-            )
-        )
+        part.selectExpr("concat('part-', CAST(p_partkey AS STRING)) AS uuid", part_ns, "p_name AS name")
+        .unionByName(part.filter("p_partkey % 97 = 0").selectExpr("concat('part-dup-', CAST(p_partkey AS STRING)) AS uuid", part_ns, "p_name AS name"))
         .unionByName(
-            supp.select(
-                F.concat(F.lit("supp-"), F.col("s_suppkey").cast("string")).alias("uuid"),
-                F.concat(F.lit("s3://warehouse-"), (F.col("s_nationkey") % 4).cast("string")).alias("namespace_name"),
-                F.concat(F.lit("poc/"), F.col("s_name")).alias("name"),
+            table(spark, sf_dir, "supplier").selectExpr(
+                "concat('supp-', CAST(s_suppkey AS STRING)) AS uuid",
+                "concat('s3://warehouse-', CAST(s_nationkey % 4 AS STRING)) AS namespace_name",
+                "concat('poc/', s_name) AS name",
             )
         )
     )
-    jobs = cust.select(
-        F.concat(F.lit("job-"), F.col("c_custkey").cast("string")).alias("uuid"),
-        F.concat(F.lit("spark."), F.lower(F.col("c_mktsegment"))).alias("namespace_name"),
-        F.col("c_name").alias("name"),
+    jobs = table(spark, sf_dir, "customer").selectExpr(
+        "concat('job-', CAST(c_custkey AS STRING)) AS uuid", "concat('spark.', lower(c_mktsegment)) AS namespace_name", "c_name AS name"
     )
-    job_versions = orders.select(
-        F.concat(F.lit("jv-"), F.col("o_orderkey").cast("string")).alias("uuid"),
-        F.concat(F.lit("job-"), F.col("o_custkey").cast("string")).alias("job_uuid"),
+    job_versions = table(spark, sf_dir, "orders").selectExpr(
+        "concat('jv-', CAST(o_orderkey AS STRING)) AS uuid", "concat('job-', CAST(o_custkey AS STRING)) AS job_uuid"
     )
-    odd = F.col("l_linenumber") % 2 == 1
-    io_mapping = li.select(
-        F.concat(F.lit("jv-"), F.col("l_orderkey").cast("string")).alias("job_version_uuid"),
-        F.when(odd, F.concat(F.lit("part-"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string"))).alias("dataset_uuid"),
-        F.when(odd, F.lit("INPUT")).otherwise(F.lit("OUTPUT")).alias("io_type"),
-        (F.col("l_linestatus") == "O").alias("is_current_job_version"),
+    io_mapping = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('jv-', CAST(l_orderkey AS STRING)) AS job_version_uuid",
+        "CASE WHEN l_linenumber % 2 = 1 THEN concat('part-', CAST(l_partkey AS STRING)) ELSE concat('supp-', CAST(l_suppkey AS STRING)) END AS dataset_uuid",
+        "CASE WHEN l_linenumber % 2 = 1 THEN 'INPUT' ELSE 'OUTPUT' END AS io_type",
+        "l_linestatus = 'O' AS is_current_job_version",
     )
     return {"datasets": datasets, "jobs": jobs, "job_versions": job_versions, "io_mapping": io_mapping}
 
