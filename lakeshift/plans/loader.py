@@ -117,6 +117,16 @@ def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, ke
     return project(latest, spec.mapping, extra=[F.col("offset").alias("_offset")] if keep_offset else ())
 
 
+def register_stage_views(log: DataFrame, spec: TableSpec, prefix: str, registry: DataFrame | None = None) -> list[str]:
+    """Expose each step as a temp view for SQL users: ``{prefix}_flat`` (decoded
+    envelopes), ``{prefix}_dedup`` (latest live change per key), ``{prefix}_stage``."""
+    flat = decoded_changes(log, spec, registry)
+    flat.createOrReplaceTempView(f"{prefix}_flat")
+    latest_by_key(flat, spec.key_paths, where=live_condition()).createOrReplaceTempView(f"{prefix}_dedup")
+    stage(log, spec, registry).createOrReplaceTempView(f"{prefix}_stage")
+    return [f"{prefix}_flat", f"{prefix}_dedup", f"{prefix}_stage"]
+
+
 def load_table(
     spark: SparkSession,
     spec: TableSpec,

@@ -106,3 +106,13 @@ def test_tab_export_and_diagram_text(spark, scratch):
 
     text = [ln.rstrip("\n") for f in sorted(glob.glob(f"{scratch}/diagram/part-*")) for ln in open(f)]
     assert text[0].startswith("subgraph") and text[-1] == "J_spark_y -->|OUTPUT| D_ns_x"
+
+
+def test_emit_events_appends(spark, scratch):
+    from lakeshift.sources import derived as d
+
+    ev = d.run_events(spark, "/root/testdata/sf0.001")
+    lev.emit_events(ev, f"{scratch}/events")
+    lev.emit_events(ev, f"{scratch}/events")
+    back = spark.read.parquet(f"{scratch}/events")
+    assert back.count() == 2 * ev.count() and "event_date" in back.columns

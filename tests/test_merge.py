@@ -77,3 +77,10 @@ def test_load_table_twice_is_idempotent_on_rows(spark, scratch):
     second = upsert.read_current(spark, scratch, spec.table, loader.EVENTS_SINK_DDL).collect()
     assert sorted(first) == sorted(second)
     assert upsert.read_snapshots(spark, scratch).filter(F.col("table") == spec.table).count() == 3  # create + 2 merges
+
+
+def test_stage_views_for_sql(spark):
+    views = loader.register_stage_views(d.events_log(spark, SF), loader.events_spec("json"), "ev")
+    assert views == ["ev_flat", "ev_dedup", "ev_stage"]
+    n_stage = spark.sql("SELECT COUNT(*) FROM ev_stage").first()[0]
+    assert n_stage == spark.sql("SELECT COUNT(DISTINCT after.user_id) FROM ev_dedup").first()[0] > 0
