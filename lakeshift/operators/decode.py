@@ -160,16 +160,20 @@ def _arrow_decoder(after_type: T.StructType, arrow_schema: pa.Schema):
     return run
 
 
-def decode_avro(frames: DataFrame, after_type: T.StructType) -> DataFrame:
+def decode_avro(frames: DataFrame, after_type: T.StructType, registry: DataFrame | None = None, max_schemas: int = 10_000) -> DataFrame:
     """Decode schemaless Avro bodies to ``envelope: struct<after, op>`` with the reader type.
 
     Input: ``split_confluent`` + ``attach_writer_schema`` output.  Fields the writer has
     and the reader lacks are dropped; fields the reader has and the writer lacks are NULL.
+    With ``spark-avro`` loaded, one ``from_avro`` branch is built per registered schema
+    (``registry``: one row per schema version, read up to ``max_schemas`` rows).
     """
     spark = frames.sparkSession
     env_type = T.StructType([T.StructField("after", after_type), T.StructField("op", T.StringType())])
-    if avro_package_loaded(spark):
-        return _decode_with_package(frames, after_type)
+    if avro_package_loaded(spark) and registry is not None:
+        schemas = registry.select("schema_id", "schema").limit(max_schemas + 1).collect()
+        if len(schemas) <= max_schemas:
+            return _decode_with_package(frames, after_type, [(r[0], r[1]) for r in schemas])
     out_type = T.StructType(
         [
             T.StructField("key", T.BinaryType()),
@@ -185,16 +189,32 @@ def decode_avro(frames: DataFrame, after_type: T.StructType) -> DataFrame:
     return frames.select(*PASS_COLUMNS, "payload", "writer_schema").mapInArrow(decoder, out_type)
 
 
-def _decode_with_package(frames: DataFrame, after_type: T.StructType) -> DataFrame:
+def _after_field_names(schema: str) -> set[str]:
+    """Field names of the ``after`` record of an envelope writer schema."""
+    node = avro_binary.parse_schema(schema)
+    for name, sub in node["fields"]:
+        if name == "after":
+            for b in sub.get("branches", [sub]):
+                if b["type"] == "record":
+                    return {n for n, _ in b["fields"]}
+    return set()
+
+
+def _decode_with_package(frames: DataFrame, after_type: T.StructType, schemas: list[tuple[int, str]]) -> DataFrame:
     """``from_avro`` per writer schema (one branch per registered id), projected to the reader type."""
     from pyspark.sql.avro.functions import from_avro
 
-    ids = frames.select("schema_id", "writer_schema").where(F.col("schema_id").isNotNull()).distinct().collect()
     branches = []
-    for r in ids:
-        dec = from_avro(F.col("payload"), r["writer_schema"])
-        after = F.struct(*[dec.getField("after").getField(f.name).cast(f.dataType).alias(f.name) for f in after_type.fields])
+    for schema_id, schema in schemas:
+        writer_fields = _after_field_names(schema)
+        dec = from_avro(F.col("payload"), schema)
+        after = F.struct(
+            *[
+                (dec.getField("after").getField(f.name) if f.name in writer_fields else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in after_type.fields
+            ]
+        )
         env = F.struct(F.when(dec.getField("after").isNotNull(), after).alias("after"), dec.getField("op").alias("op"))
-        branches.append(F.when(F.col("schema_id") == r["schema_id"], env))
+        branches.append(F.when(F.col("schema_id") == schema_id, env))
     env_col = F.coalesce(*branches) if branches else F.lit(None)
     return frames.select(*PASS_COLUMNS, env_col.alias("envelope"))

@@ -88,7 +88,7 @@ def decoded_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None
     else:
         if registry is None:
             raise ValueError("Avro decoding needs the registry")
-        parsed = decode_avro(attach_writer_schema(split_confluent(log), registry), EVENTS_AVRO_AFTER)
+        parsed = decode_avro(attach_writer_schema(split_confluent(log), registry), EVENTS_AVRO_AFTER, registry)
     return parsed.select(
         F.col("envelope.after").alias("after"),
         F.col("envelope.op").alias("op"),
