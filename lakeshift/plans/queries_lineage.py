@@ -12,6 +12,7 @@ from ..lineage import audit, events as lev, graph
 from ..operators.decode import split_confluent
 from ..operators.transform import mapping_frame, mapping_to_edges
 from ..plans.sizing import bounded_broadcast
+from ..session import scratch_root
 from ..sources import derived as d
 from . import loader
 
@@ -270,8 +271,15 @@ def q_declared_vs_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _used_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows of the schema ids that occur in the log.
+
+    The result has at most one row per schema version but is read several times by the
+    field-level audits, so it is materialised once (reliable checkpoint) instead of
+    re-scanning the log per reference.
+    """
+    scratch_root(spark)
     ids = split_confluent(d.events_avro_log(spark, sf_dir)).select("schema_id").where(F.col("schema_id").isNotNull()).distinct()
-    return d.registry(spark).join(ids, "schema_id")
+    return d.registry(spark).join(ids, "schema_id").checkpoint()
 
 
 def q_after_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
