@@ -132,6 +132,22 @@ def committed(spark: SparkSession, root: str, table: str, batch_id: int) -> bool
     return snaps.filter((F.col("table") == table) & (F.col("batch_id") == batch_id)).limit(1).count() > 0
 
 
+def table_state(spark: SparkSession, root: str, table: str, batch_id: int | None = None) -> tuple[int | None, bool]:
+    """``(current snapshot id or None, batch_id already committed)`` in one aggregate over
+    the snapshot log (one row comes back, whatever the log size)."""
+    snaps = read_snapshots(spark, root).filter(F.col("table") == table)
+    done = F.max((F.col("batch_id") == F.lit(batch_id)).cast("int")) if batch_id is not None else F.lit(0)
+    r = snaps.agg(F.max_by("snapshot_id", F.struct("committed_at", "snapshot_id")).alias("sid"), done.alias("done")).first()
+    return (None if r is None or r["sid"] is None else int(r["sid"])), bool(r and r["done"])
+
+
+def read_version(spark: SparkSession, root: str, table: str, snapshot_id: int | None, schema: T.StructType | str) -> DataFrame:
+    """Rows of one version (``None`` -> empty frame of ``schema``)."""
+    if snapshot_id is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(table_path(root, table, snapshot_id))
+
+
 def read_current(spark: SparkSession, root: str, table: str, schema: T.StructType | str) -> DataFrame:
     """Rows of the current version, or an empty frame of ``schema`` if the table is new."""
     try:

@@ -113,10 +113,10 @@ def merge_run_state(target: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def sink_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, table: str) -> None:
-    if upsert.committed(spark, root, table, batch_id):
+    current, done = upsert.table_state(spark, root, table, batch_id)
+    if done:
         return
-    upsert.ensure_table(spark, root, table, TABLE_DDL, "run-state")
-    target = upsert.read_current(spark, root, table, TABLE_DDL)
+    target = upsert.read_version(spark, root, table, current, TABLE_DDL)
     upsert.commit_version(spark, merge_run_state(target, batch), root, table, "stream-merge", "run-state", batch_id)
 
 

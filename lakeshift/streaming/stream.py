@@ -33,16 +33,19 @@ def sink_ddl_with_offset(sink_ddl: str) -> str:
 
 
 def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, spec: TableSpec, root: str, sink_ddl: str, run_id: str) -> None:
-    """One micro-batch: skip if already committed, else merge newer-offset-wins and commit."""
-    if upsert.committed(spark, root, spec.table, batch_id):
+    """One micro-batch: skip if already committed, else merge newer-offset-wins and commit.
+
+    The snapshot-log row carries ``(app_id, batch_id)``: it is the stream hop's version
+    marker, written last as the commit point.
+    """
+    current, done = upsert.table_state(spark, root, spec.table, batch_id)
+    if done:
         return
     ddl = sink_ddl_with_offset(sink_ddl)
-    upsert.ensure_table(spark, root, spec.table, ddl, run_id)
-    target = upsert.read_current(spark, root, spec.table, ddl)
+    target = upsert.read_version(spark, root, spec.table, current, ddl)
     staged = loader.stage(batch, spec, keep_offset=True)
     merged = upsert.merge_upsert_newer(target, staged, list(spec.keys))
     upsert.commit_version(spark, merged, root, spec.table, "stream-merge", run_id, batch_id)
-    upsert.record_marker(spark, root, run_id, "stream", "batch_id", str(batch_id))
 
 
 def stream_upsert(
