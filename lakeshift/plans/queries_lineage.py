@@ -120,11 +120,19 @@ def q_run_of_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ column lineage ---------
 
 
-def spark_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spark runs with their sink table / source topic (one row per run)."""
+def spark_runs(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """Spark runs with their sink table / source topic (one row per run).
+
+    ``materialize`` writes it once (reliable checkpoint) for queries that read it several
+    times -- one aggregation over the events instead of one per reference.
+    """
     ev = d.run_events(spark, sf_dir).filter(F.col("job_ns") == "spark")
     r = ev.groupBy("run_id").agg(F.max(F.col("outputs")[0]["name"]).alias("out_name"), F.max(F.col("inputs")[0]["name"]).alias("in_name"))
-    return r.withColumn("user_id", F.regexp_extract("run_id", r"^run-(\d+)$", 1).cast("bigint"))
+    r = r.withColumn("user_id", F.regexp_extract("run_id", r"^run-(\d+)$", 1).cast("bigint"))
+    if materialize:
+        scratch_root(spark)
+        r = r.checkpoint()
+    return r
 
 
 def sink_tables(spark: SparkSession) -> list[str]:
@@ -144,10 +152,9 @@ def table_columns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "out_table string, out_col string")
 
 
-def observed_column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observed_column_edges(spark: SparkSession, r: DataFrame) -> DataFrame:
     """Column edges as a listener reports them: mapping edges (the facet of runs with
     ``user_id % 6 = 4`` lacks ``status``) plus MERGE self-edges sink -> sink."""
-    r = spark_runs(spark, sf_dir)
     m = bounded_broadcast(mapping_registry(spark), MAX_MAPPING_ROWS)
     mapped = r.join(m, r["out_name"] == m["out_table"]).filter(~((F.col("user_id") % 6 == 4) & (F.col("out_col") == "status")))
     mapped = mapped.select(
@@ -161,27 +168,30 @@ def observed_column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.unionByName(selfe)
 
 
+def column_edges(spark: SparkSession, r: DataFrame) -> DataFrame:
+    return audit.resolve_merge_edges(observed_column_edges(spark, r))
+
+
 def q_column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.resolve_merge_edges(observed_column_edges(spark, sf_dir))
+    return column_edges(spark, spark_runs(spark, sf_dir, materialize=True))
 
 
-def _schema_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark_runs(spark, sf_dir)
+def _schema_cols(spark: SparkSession, r: DataFrame) -> DataFrame:
     cols = bounded_broadcast(table_columns(spark), MAX_MAPPING_ROWS)
     return r.join(cols, r["out_name"] == cols["out_table"]).select("run_id", "out_col")
 
 
 def q_untraced_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.untraced_columns(_schema_cols(spark, sf_dir), q_column_edges(spark, sf_dir))
+    r = spark_runs(spark, sf_dir, materialize=True)
+    return audit.untraced_columns(_schema_cols(spark, r), column_edges(spark, r))
 
 
 HOPS = ("mysql->kafka", "kafka->spark", "spark->sink")
 
 
-def hop_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hop_facets(r: DataFrame) -> DataFrame:
     """Precision facets reported per hop: the connector hop only for ``user_id % 4 = 0``;
     the sink hop is missing for ``user_id % 9 = 8`` and ``lost`` where a column is untraced."""
-    r = spark_runs(spark, sf_dir)
     u = F.col("user_id")
     rows = F.array(
         F.when(u % 4 == 0, F.struct(F.lit(HOPS[0]).alias("hop"), F.lit("exact").alias("precision"))),
@@ -191,12 +201,13 @@ def hop_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("run_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("f")).select("run_id", "f.hop", "f.precision")
 
 
-def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_runs(spark, sf_dir).select("run_id", F.explode(F.array(*[F.lit(h) for h in HOPS])).alias("hop"))
+def _hops(r: DataFrame) -> DataFrame:
+    return r.select("run_id", F.explode(F.array(*[F.lit(h) for h in HOPS])).alias("hop"))
 
 
 def q_hop_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.hop_precision(_hops(spark, sf_dir), hop_facets(spark, sf_dir))
+    r = spark_runs(spark, sf_dir, materialize=True)
+    return audit.hop_precision(_hops(r), hop_facets(r))
 
 
 def q_path_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,10 +216,9 @@ def q_path_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_overclaimed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs claiming ``exact`` (``user_id`` even) whose facet misses table columns."""
-    claims = spark_runs(spark, sf_dir).select(
-        "run_id", F.when(F.col("user_id") % 2 == 0, F.lit("exact")).otherwise(F.lit("inferred")).alias("claimed_precision")
-    )
-    return audit.overclaimed_runs(claims, _schema_cols(spark, sf_dir), q_column_edges(spark, sf_dir))
+    r = spark_runs(spark, sf_dir, materialize=True)
+    claims = r.select("run_id", F.when(F.col("user_id") % 2 == 0, F.lit("exact")).otherwise(F.lit("inferred")).alias("claimed_precision"))
+    return audit.overclaimed_runs(claims, _schema_cols(spark, r), column_edges(spark, r))
 
 
 # ------------------------------------------------------------------ markers ----------
@@ -219,7 +229,7 @@ def q_missing_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_complete_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.complete_paths(spark_runs(spark, sf_dir), d.markers(spark, sf_dir), d.run_events(spark, sf_dir))
+    return audit.complete_paths(spark_runs(spark, sf_dir, materialize=True), d.markers(spark, sf_dir), d.run_events(spark, sf_dir))
 
 
 # --------------------------------------------------------------- identities ----------
