@@ -23,7 +23,51 @@ SNAPSHOT_DDL = (
 MARKER_DDL = "run_id string, hop string, marker_kind string, marker_value string"
 
 
+# Stage-key broadcast bound for the shuffle-free merge (keys only are broadcast).
+BROADCAST_STAGE_MAX_ROWS = 1_000_000
+
+
 def merge_upsert(
+    target: DataFrame,
+    stage: DataFrame,
+    keys: Sequence[str],
+    with_action: bool = False,
+    bypass_null_target: bool = True,
+    strategy: str = "auto",
+    broadcast_max_rows: int = BROADCAST_STAGE_MAX_ROWS,
+) -> DataFrame:
+    """Upsert ``stage`` into ``target`` on ``keys`` (see ``merge_upsert_join``).
+
+    ``strategy="auto"`` checks the stage size with a bounded count: a stage of at most
+    ``broadcast_max_rows`` rows uses ``merge_upsert_broadcast`` (the target is never
+    shuffled), a larger one the full-outer join.  ``"broadcast"`` / ``"join"`` force one.
+    """
+    if strategy == "broadcast" or (strategy == "auto" and stage.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows):
+        return merge_upsert_broadcast(target, stage, keys, with_action)
+    return merge_upsert_join(target, stage, keys, with_action, bypass_null_target)
+
+
+def merge_upsert_broadcast(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False) -> DataFrame:
+    """Shuffle-free upsert for a stage of checked, bounded size.
+
+    Only the stage keys are broadcast.  Target rows whose key is not staged are kept by a
+    broadcast anti-join (the target is streamed once, no exchange); a key-column-only scan
+    of the target with a broadcast semi-join tells updates from inserts.  NULL keys never
+    match: NULL-key target rows are kept, NULL-key stage rows inserted.
+    """
+    cols = target.columns
+    stage = stage.select(*cols)
+    skeys = F.broadcast(stage.select(*keys).distinct())
+    kept = target.join(skeys, list(keys), "left_anti").withColumn("_action", F.lit("keep"))
+    hit = F.broadcast(target.select(*keys).join(skeys, list(keys), "left_semi").distinct().withColumn("_hit", F.lit(True)))
+    staged = stage.join(hit, list(keys), "left").select(
+        *cols, F.when(F.col("_hit"), F.lit("update")).otherwise(F.lit("insert")).alias("_action")
+    )
+    merged = kept.select(*cols, "_action").unionByName(staged)
+    return merged if with_action else merged.drop("_action")
+
+
+def merge_upsert_join(
     target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False, bypass_null_target: bool = True
 ) -> DataFrame:
     """``MERGE ... WHEN MATCHED UPDATE * WHEN NOT MATCHED INSERT *`` as a DataFrame.

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..operators.decode import attach_writer_schema, decode_avro, decode_json, drop_tombstones, live_changes, live_condition, split_confluent
 from ..operators.transform import ColumnRule, TableSpec, latest_by_key, project
 from ..operators import upsert
+from ..session import scratch_root
 from ..sources.derived import EVENTS_AFTER_DDL, EVENTS_TOPIC, EVENTS_AVRO_TOPIC, CUSTOMER_AFTER_DDL, CUSTOMERS_TOPIC
 
 EVENTS_AVRO_AFTER = T.StructType(
@@ -137,8 +138,14 @@ def load_table(
     app_id: str = "",
     batch_id: int | None = None,
 ) -> int:
-    """Run one load: stage -> merge into the current version -> commit; returns the snapshot id."""
+    """Run one load: stage -> merge into the current version -> commit; returns the snapshot id.
+
+    The stage is materialised once (reliable checkpoint): its bounded size check then
+    picks the merge strategy -- a small stage is merged without shuffling the table.
+    """
     upsert.ensure_table(spark, root, spec.table, sink_ddl, app_id)
     target = upsert.read_current(spark, root, spec.table, sink_ddl)
-    merged = upsert.merge_upsert(target, stage(log, spec, registry), list(spec.keys), with_action=True)
+    scratch_root(spark)
+    staged = stage(log, spec, registry).checkpoint()
+    merged = upsert.merge_upsert(target, staged, list(spec.keys), with_action=True)
     return upsert.commit_version(spark, merged, root, spec.table, "merge", app_id, batch_id)

@@ -10,6 +10,7 @@ from ..functions import identity as idn
 from ..lineage import audit
 from ..lineage.events import runs
 from ..operators.upsert import current_snapshots, merge_actions, merge_upsert
+from ..session import scratch_root
 from ..sources import changelog as cl
 from ..sources import derived as d
 from . import loader
@@ -18,8 +19,10 @@ EVAL_TIME = "2024-01-31 00:00:00"  # evaluation time of the retention check (fix
 
 
 def _customer_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The v1 -> v2 upsert stage, materialised once (it is size-checked, then merged)."""
     log = cl.table_diff_to_changes(d.customers_v1(spark, sf_dir), d.customers_v2(spark, sf_dir), "c_custkey", d.CUSTOMERS_TOPIC, d.LOG_PARTITIONS)
-    return loader.stage(log, loader.customers_spec())
+    scratch_root(spark)
+    return loader.stage(log, loader.customers_spec()).checkpoint()
 
 
 def q_merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +44,8 @@ def q_merge_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = cl.restrict_offsets(log, [(r["topic"], r["partition"], 0, r["start_offset"]) for r in resume])
     second = cl.restrict_offsets(log, [(r["topic"], r["partition"], r["start_offset"], None) for r in resume])
     spec = loader.events_spec("json")
-    return merge_upsert(loader.stage(first, spec), loader.stage(second, spec), ["user_id"], bypass_null_target=False)
+    # the target is itself a computed stage: one full-outer join computes each side once
+    return merge_upsert(loader.stage(first, spec), loader.stage(second, spec), ["user_id"], bypass_null_target=False, strategy="join")
 
 
 def loader_resume(log: DataFrame) -> DataFrame:

@@ -13,13 +13,27 @@ SF = "/root/testdata/sf0.001"
 DDL = "k int, v string"
 
 
-def test_merge_semantics(spark):
+@pytest.mark.parametrize("strategy", ["join", "broadcast"])
+def test_merge_semantics(spark, strategy):
     t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], DDL)
     s = spark.createDataFrame([(2, "b"), (3, "c"), (None, "m")], DDL)
-    out = {(r["k"], r["v"], r["_action"]) for r in upsert.merge_upsert(t, s, ["k"], with_action=True).collect()}
+    out = {(r["k"], r["v"], r["_action"]) for r in upsert.merge_upsert(t, s, ["k"], with_action=True, strategy=strategy).collect()}
     assert out == {(1, "a", "keep"), (2, "b", "update"), (3, "c", "insert"), (None, "n", "keep"), (None, "m", "insert")}
 
 
+def test_broadcast_merge_equals_join_and_skips_target_shuffle(spark):
+    import random
+
+    rnd = random.Random(7)
+    t = spark.createDataFrame([(k if k % 50 else None, f"t{k}") for k in range(2000)], DDL)
+    s = spark.createDataFrame([(k if k % 40 else None, f"s{k}") for k in rnd.sample(range(3000), 300)], DDL)
+    a = upsert.merge_upsert(t, s, ["k"], with_action=True, strategy="join")
+    b = upsert.merge_upsert(t, s, ["k"], with_action=True, strategy="broadcast")
+    assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_merge_is_idempotent(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], DDL)
     s = spark.createDataFrame([(2, "x"), (3, "c")], DDL)
