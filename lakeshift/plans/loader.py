@@ -112,7 +112,9 @@ def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, ke
         pk = [F.col(f"_key.{k}") for k in spec.keys]
         latest = live_changes(latest_by_key(flat, pk))
     else:
-        latest = latest_by_key(flat, spec.key_paths, where=live_condition(), keep_keys=True)
+        # only what the projection reads enters the aggregate buffer (the optimizer cannot
+        # prune fields inside max_by's struct): less to sort and to shuffle
+        latest = latest_by_key(flat.select("after", "op", "offset"), spec.key_paths, where=live_condition(), keep_keys=True)
         keys = {p: f"_k{i}" for i, p in enumerate(spec.key_paths)}
         return project(latest, spec.mapping, extra=[F.col("offset").alias("_offset")] if keep_offset else (), key_columns=keys)
     return project(latest, spec.mapping, extra=[F.col("offset").alias("_offset")] if keep_offset else ())
