@@ -87,6 +87,9 @@ def run_of_record(run_table: DataFrame) -> DataFrame:
     chosen = r.groupBy("job_name", "logical_date").agg(
         F.max_by("run_id", F.struct(-F.col("_rank"), F.col("started_at"), F.col("run_id"))).alias("_chosen")
     )
+    # one row per (job, day): few keys with many runs each.  ``chosen`` leaves a shuffle
+    # stage, so adaptive execution broadcasts it at runtime when small (skew-join
+    # splitting otherwise) without a separate counting pass.
     return r.join(chosen, ["job_name", "logical_date"], "inner").select(
         "run_id", "job_name", "logical_date", "run_type", (F.col("run_id") == F.col("_chosen")).alias("is_run_of_record")
     )

@@ -329,7 +329,10 @@ def q_dataset_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = io.filter(F.col("io_type") == "INPUT").select("run_id", "job_name", F.col("namespace").alias("topic_ns"), F.col("name").alias("topic"))
     outputs = io.filter(F.col("io_type") == "OUTPUT").select("run_id", F.col("namespace").alias("sink_ns"), F.col("name").alias("sink_storage"))
     topics = inputs.select("topic_ns", "topic").distinct().withColumn("mysql_name", idn.mysql_dataset_name(F.col("topic")))
-    chain = mysql.join(topics, "mysql_name").join(inputs, ["topic_ns", "topic"]).join(outputs, "run_id")
+    # topics are few and each carries many runs: the topic side is sized at runtime by
+    # adaptive execution (broadcast when small, skew-join splitting otherwise)
+    src = mysql.join(topics, "mysql_name")
+    chain = inputs.join(src, ["topic_ns", "topic"]).join(outputs, "run_id")
     physical = F.regexp_replace(F.col("sink_storage"), "^poc/", "")
     return chain.select(
         "run_id", "job_name", "mysql_name", "source_rows", "topic", "sink_storage",

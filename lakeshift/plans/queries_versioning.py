@@ -68,6 +68,9 @@ def q_snapshot_for_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = d.snapshots(spark, sf_dir)
     by_app = snaps.groupBy("app_id", "table").agg(F.max_by("snapshot_id", F.struct("committed_at", "snapshot_id")).alias("run_snapshot_id"))
     r = runs(d.run_events(spark, sf_dir)).select("run_id", "app_id")
+    # one row per table: few keys, each with many runs.  The side comes out of a shuffle
+    # stage, so adaptive execution sizes it at runtime and broadcasts it (skew-join
+    # splitting otherwise) -- no extra counting pass over the events.
     cur = current_snapshots(snaps).select("table", F.col("snapshot_id").alias("current_snapshot_id"))
     return (
         r.join(by_app, "app_id")
