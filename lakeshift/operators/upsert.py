@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_root
+
 SNAPSHOT_DDL = (
     "table string, snapshot_id bigint, committed_at timestamp_ntz, operation string, "
     "inserted bigint, updated bigint, kept bigint, app_id string, batch_id bigint"
@@ -102,12 +104,52 @@ def merge_upsert_join(
     return merged if with_action else merged.drop("_action")
 
 
-def merge_upsert_newer(target: DataFrame, stage: DataFrame, keys: Sequence[str], order_col: str = "_offset") -> DataFrame:
+def merge_upsert_newer(
+    target: DataFrame,
+    stage: DataFrame,
+    keys: Sequence[str],
+    order_col: str = "_offset",
+    strategy: str = "auto",
+    broadcast_max_rows: int = BROADCAST_STAGE_MAX_ROWS,
+) -> DataFrame:
     """Upsert that keeps, per key, the row with the highest ``order_col``.
 
     Incremental and streaming loads keep the log offset of each key beside the row, so a
-    batch that arrives out of order can never overwrite a newer image.
+    batch that arrives out of order can never overwrite a newer image.  A stage of at most
+    ``broadcast_max_rows`` rows (bounded count; pass a materialised stage) is merged
+    without shuffling the target (``merge_upsert_newer_broadcast``).
     """
+    if strategy == "broadcast" or (strategy == "auto" and stage.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows):
+        return merge_upsert_newer_broadcast(target, stage, keys, order_col)
+    return merge_upsert_newer_join(target, stage, keys, order_col)
+
+
+def merge_upsert_newer_broadcast(target: DataFrame, stage: DataFrame, keys: Sequence[str], order_col: str = "_offset") -> DataFrame:
+    """Shuffle-free newer-wins upsert for a small stage.
+
+    The stage is broadcast; a key+order-column scan of the target decides which staged
+    rows win (insert, or newer than the stored row); the winners -- at most the stage --
+    are materialised once; the target is streamed through a broadcast anti-join on them.
+    """
+    cols = target.columns
+    s = stage.select(*cols)
+    stored = target.select(*keys, F.col(order_col).alias("_t_order")).join(
+        F.broadcast(s.select(*keys)), list(keys), "left_semi"
+    )
+    labeled = s.join(F.broadcast(stored), list(keys), "left").select(
+        *cols,
+        F.when(F.col("_t_order").isNull(), F.lit("insert"))
+        .when(F.col(order_col) > F.col("_t_order"), F.lit("update"))
+        .alias("_action"),
+    )
+    scratch_root(target.sparkSession)
+    winners = labeled.filter(F.col("_action").isNotNull()).checkpoint()
+    kept = target.join(F.broadcast(winners.select(*keys)), list(keys), "left_anti").select(*cols, F.lit("keep").alias("_action"))
+    return kept.unionByName(winners)
+
+
+def merge_upsert_newer_join(target: DataFrame, stage: DataFrame, keys: Sequence[str], order_col: str = "_offset") -> DataFrame:
+    """Newer-wins upsert as one full-outer join on the key (large stages)."""
     cols = target.columns
     vals = [c for c in cols if c not in keys]
     t = target.select(*keys, F.struct(*vals).alias("_t"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import upsert
 from ..operators.transform import TableSpec
 from ..plans import loader
+from ..session import scratch_root
 from ..sources.changelog import LOG_DDL, LOG_COLUMNS
 
 
@@ -43,7 +44,8 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, spec: Tab
         return
     ddl = sink_ddl_with_offset(sink_ddl)
     target = upsert.read_version(spark, root, spec.table, current, ddl)
-    staged = loader.stage(batch, spec, keep_offset=True)
+    scratch_root(spark)
+    staged = loader.stage(batch, spec, keep_offset=True).checkpoint()  # computed once: size check + merge
     merged = upsert.merge_upsert_newer(target, staged, list(spec.keys))
     upsert.commit_version(spark, merged, root, spec.table, "stream-merge", run_id, batch_id)
 

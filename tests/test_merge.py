@@ -42,12 +42,14 @@ def test_merge_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(twice.collect())
 
 
-def test_newer_offset_wins(spark):
+@pytest.mark.parametrize("strategy", ["join", "broadcast"])
+def test_newer_offset_wins(spark, strategy):
     ddl = "k int, v string, _offset bigint"
-    t = spark.createDataFrame([(1, "new", 10), (2, "old", 1)], ddl)
-    s = spark.createDataFrame([(1, "stale", 5), (2, "fresh", 7)], ddl)
-    out = {r["k"]: r["v"] for r in upsert.merge_upsert_newer(t, s, ["k"]).collect()}
-    assert out == {1: "new", 2: "fresh"}
+    t = spark.createDataFrame([(1, "new", 10), (2, "old", 1), (4, "kept", 3)], ddl)
+    s = spark.createDataFrame([(1, "stale", 5), (2, "fresh", 7), (3, "ins", 1)], ddl)
+    got = upsert.merge_upsert_newer(t, s, ["k"], strategy=strategy)
+    out = {r["k"]: (r["v"], r["_action"]) for r in got.collect()}
+    assert out == {1: ("new", "keep"), 2: ("fresh", "update"), 3: ("ins", "insert"), 4: ("kept", "keep")}
 
 
 def test_cardinality_guard(spark):
