@@ -64,17 +64,21 @@ def live_condition() -> F.Column:
     return F.col("after").isNotNull() & (F.col("op") != F.lit("d"))
 
 
-def live_changes(flat: DataFrame) -> DataFrame:
-    """Keep live changes, decoding each envelope once.
+def keep_decoded(df: DataFrame, predicate) -> DataFrame:
+    """Filter rows on fields of a decoded envelope without re-decoding.
 
     ``from_json`` is not whole-stage-codegen'd and a plain ``filter`` on its fields is
     pushed below the decoding projection, re-parsing the value once per predicate.  The
-    predicate is therefore applied inside a generator over the already decoded row
-    (``inline(filter(array(row), live))``), which the optimizer does not push through.
+    predicate is applied inside a generator over the already decoded row
+    (``inline(filter(array(row), predicate))``), which the optimizer does not push through.
+    ``predicate`` maps the row struct to a boolean column.
     """
-    cols = flat.columns
-    keep = F.filter(F.array(F.struct(*cols)), lambda r: r["after"].isNotNull() & (r["op"] != F.lit("d")))
-    return flat.select(F.inline(keep))
+    return df.select(F.inline(F.filter(F.array(F.struct(*df.columns)), predicate)))
+
+
+def live_changes(flat: DataFrame) -> DataFrame:
+    """Keep live changes (``after`` present, ``op != 'd'``), decoding each envelope once."""
+    return keep_decoded(flat, lambda r: r["after"].isNotNull() & (r["op"] != F.lit("d")))
 
 
 def drop_tombstones(log: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeprec import gtid_source, gtid_txn, ns_is_derived, precision_class
-from ..operators.decode import decode_json, flatten_envelope, live_changes, live_condition, split_confluent
+from ..operators.decode import decode_json, flatten_envelope, keep_decoded, live_changes, live_condition, split_confluent
 from ..operators.transform import latest_by_key
 from ..sources import changelog as cl
 from ..sources import derived as d
@@ -65,7 +65,7 @@ def q_customer_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_source_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-hop marker from the envelope ``source`` block, with the timestamp precision class."""
     parsed = decode_json(d.events_log(spark, sf_dir), d.EVENTS_AFTER_DDL, with_source=True)
-    flat = flatten_envelope(parsed, keep=("source",)).filter(F.col("source").isNotNull())
+    flat = keep_decoded(flatten_envelope(parsed, keep=("source",)), lambda r: r["source"].isNotNull())
     s = "source."
     return flat.select(
         "offset",

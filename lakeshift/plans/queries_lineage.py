@@ -302,10 +302,10 @@ def q_schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ts_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = d.events_log(spark, sf_dir)
-    from ..operators.decode import decode_json, flatten_envelope
+    from ..operators.decode import decode_json, flatten_envelope, keep_decoded
     from ..functions.timeprec import precision_class
 
-    flat = flatten_envelope(decode_json(parsed, d.EVENTS_AFTER_DDL, with_source=True), keep=("source",)).filter(F.col("source").isNotNull())
+    flat = keep_decoded(flatten_envelope(decode_json(parsed, d.EVENTS_AFTER_DDL, with_source=True), keep=("source",)), lambda r: r["source"].isNotNull())
     return audit.ts_precision(flat.select("op", precision_class(F.col("source.ts_us")).alias("precision")))
 
 
