@@ -353,7 +353,7 @@ def lineage_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     job_versions = table(spark, sf_dir, "orders").selectExpr(
         "concat('jv-', CAST(o_orderkey AS STRING)) AS uuid", "concat('job-', CAST(o_custkey AS STRING)) AS job_uuid"
     )
-    io_mapping = table(spark, sf_dir, "lineitem").selectExpr(
+    io_mapping = table(spark, sf_dir, "lineitem", spread=True).selectExpr(
         "concat('jv-', CAST(l_orderkey AS STRING)) AS job_version_uuid",
         "CASE WHEN l_linenumber % 2 = 1 THEN concat('part-', CAST(l_partkey AS STRING)) ELSE concat('supp-', CAST(l_suppkey AS STRING)) END AS dataset_uuid",
         "CASE WHEN l_linenumber % 2 = 1 THEN 'INPUT' ELSE 'OUTPUT' END AS io_type",
