@@ -256,7 +256,7 @@ def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "nation").selectExpr("concat('region:', CAST(n_regionkey AS STRING)) AS src", "concat('nation:', CAST(n_nationkey AS STRING)) AS dst")
         .unionByName(table(spark, sf_dir, "customer").selectExpr("concat('nation:', CAST(c_nationkey AS STRING)) AS src", "concat('customer:', CAST(c_custkey AS STRING)) AS dst"))
-        .unionByName(table(spark, sf_dir, "orders").selectExpr("concat('customer:', CAST(o_custkey AS STRING)) AS src", "concat('order:', CAST(o_orderkey AS STRING)) AS dst"))
+        .unionByName(table(spark, sf_dir, "orders", spread=True).selectExpr("concat('customer:', CAST(o_custkey AS STRING)) AS src", "concat('order:', CAST(o_orderkey AS STRING)) AS dst"))
     )
 
 
