@@ -255,6 +255,13 @@ def _new_snapshot_id() -> int:
     return uuid.uuid4().int >> 65
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed to the table after this writer read its base version."""
+
+
+_UNSET = object()
+
+
 def commit_version(
     spark: SparkSession,
     df: DataFrame,
@@ -263,11 +270,16 @@ def commit_version(
     operation: str,
     app_id: str,
     batch_id: int | None = None,
+    expected_parent: int | None | object = _UNSET,
 ) -> int:
     """Write ``df`` as a new version, then append its snapshot-log row (the commit point).
 
     If ``df`` carries ``_action`` it is stored beside the data (readers select the table
     schema only) and the insert/update/keep counts come from one scan of that column.
+
+    ``expected_parent`` (the snapshot the merge read) makes the commit optimistic: if the
+    table moved on meanwhile, ``CommitConflict`` is raised before the log row is written
+    and the caller re-reads and retries (the written version folder is never referenced).
     """
     sid = _new_snapshot_id()
     path = table_path(root, table, sid)
@@ -277,6 +289,10 @@ def commit_version(
         counts = {r["_action"]: r["n"] for r in written.groupBy("_action").agg(F.count(F.lit(1)).alias("n")).collect()}
     else:
         counts = {"insert": written.count()}
+    if expected_parent is not _UNSET:
+        now_current, _ = table_state(spark, root, table)
+        if now_current != expected_parent:
+            raise CommitConflict(f"{table}: read snapshot {expected_parent}, current is {now_current}")
     row = [
         (
             table,

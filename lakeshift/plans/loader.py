@@ -139,15 +139,26 @@ def load_table(
     registry: DataFrame | None = None,
     app_id: str = "",
     batch_id: int | None = None,
+    max_attempts: int = 3,
 ) -> int:
     """Run one load: stage -> merge into the current version -> commit; returns the snapshot id.
 
+    The commit is optimistic: if another writer committed after the base version was
+    read, the merge is redone on the new current version (up to ``max_attempts``).
+
     The stage is materialised once (reliable checkpoint): its bounded size check then
     picks the merge strategy -- a small stage is merged without shuffling the table.
     """
     upsert.ensure_table(spark, root, spec.table, sink_ddl, app_id)
-    target = upsert.read_current(spark, root, spec.table, sink_ddl)
     scratch_root(spark)
     staged = stage(log, spec, registry).checkpoint()
-    merged = upsert.merge_upsert(target, staged, list(spec.keys), with_action=True)
-    return upsert.commit_version(spark, merged, root, spec.table, "merge", app_id, batch_id)
+    for attempt in range(max_attempts):
+        base, _ = upsert.table_state(spark, root, spec.table)
+        target = upsert.read_version(spark, root, spec.table, base, sink_ddl)
+        merged = upsert.merge_upsert(target, staged, list(spec.keys), with_action=True)
+        try:
+            return upsert.commit_version(spark, merged, root, spec.table, "merge", app_id, batch_id, expected_parent=base)
+        except upsert.CommitConflict:
+            if attempt == max_attempts - 1:
+                raise
+    raise AssertionError("unreachable")

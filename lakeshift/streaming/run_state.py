@@ -117,7 +117,7 @@ def sink_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     if done:
         return
     target = upsert.read_version(spark, root, table, current, TABLE_DDL)
-    upsert.commit_version(spark, merge_run_state(target, batch), root, table, "stream-merge", "run-state", batch_id)
+    upsert.commit_version(spark, merge_run_state(target, batch), root, table, "stream-merge", "run-state", batch_id, expected_parent=current)
 
 
 def stream_run_state(spark: SparkSession, events_dir: str, events_ddl: str, root: str, checkpoint: str, table: str = "lineage.run_state", max_files_per_trigger: int = 1):

@@ -47,7 +47,8 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, spec: Tab
     scratch_root(spark)
     staged = loader.stage(batch, spec, keep_offset=True).checkpoint()  # computed once: size check + merge
     merged = upsert.merge_upsert_newer(target, staged, list(spec.keys))
-    upsert.commit_version(spark, merged, root, spec.table, "stream-merge", run_id, batch_id)
+    # optimistic: a concurrent writer fails this batch, which then replays idempotently
+    upsert.commit_version(spark, merged, root, spec.table, "stream-merge", run_id, batch_id, expected_parent=current)
 
 
 def stream_upsert(

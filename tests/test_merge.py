@@ -100,3 +100,14 @@ def test_stage_views_for_sql(spark):
     assert views == ["ev_flat", "ev_dedup", "ev_stage"]
     n_stage = spark.sql("SELECT COUNT(*) FROM ev_stage").first()[0]
     assert n_stage == spark.sql("SELECT COUNT(DISTINCT after.user_id) FROM ev_dedup").first()[0] > 0
+
+
+def test_optimistic_commit_detects_concurrent_writer(spark, scratch):
+    base_sid = upsert.commit_version(spark, spark.createDataFrame([(1, "a")], DDL), scratch, "t", "create", "w0")
+    base, _ = upsert.table_state(spark, scratch, "t")
+    assert base == base_sid
+    mine = upsert.merge_upsert(upsert.read_version(spark, scratch, "t", base, DDL), spark.createDataFrame([(2, "b")], DDL), ["k"])
+    upsert.commit_version(spark, spark.createDataFrame([(1, "a"), (3, "c")], DDL), scratch, "t", "merge", "w1")  # concurrent writer
+    with pytest.raises(upsert.CommitConflict):
+        upsert.commit_version(spark, mine, scratch, "t", "merge", "w2", expected_parent=base)
+    assert sorted(upsert.read_current(spark, scratch, "t", DDL).collect()) == [(1, "a"), (3, "c")]  # nothing lost
