@@ -15,6 +15,8 @@ KAFKA_NAMESPACE = "kafka://{bootstrap}"            # dataset name: the topic {pr
 JSON_TOPIC_PREFIX = "mysqljson"                    # JSON twin of prefix "mysql"
 SINK_LOGICAL = "{namespace}.{db}_{table}"          # JSON twin appends "_json"
 SINK_PHYSICAL_NAMESPACE = "{catalog}.{namespace}"  # physical name: {db}_{table}
+SINK_CATALOG = "nessie"
+SINK_NAMESPACE = "poc"
 CONNECTOR_JOB_LOGICAL = "debezium:{connector}"     # physical ns debezium.{connector}, name {prefix}.{task}
 ORCHESTRATOR_JOB = "airflow:{dag_id}.{task_id}"
 SPARK_JOB = "spark:{app_name}"
@@ -60,6 +62,10 @@ def sink_logical_name(namespace, topic) -> Column:
     return F.when(topic_prefix(topic) == F.lit(JSON_TOPIC_PREFIX), F.concat(base, F.lit("_json"))).otherwise(base)
 
 
+def sink_physical_namespace() -> str:
+    return SINK_PHYSICAL_NAMESPACE.format(catalog=SINK_CATALOG, namespace=SINK_NAMESPACE)
+
+
 def uri_namespace(uri) -> Column:
     """Asset URI -> namespace (everything before the last ``/``)."""
     return F.regexp_extract(_c(uri), URI_SPLIT_RE, 1)

@@ -336,7 +336,7 @@ def q_dataset_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     physical = F.regexp_replace(F.col("sink_storage"), "^poc/", "")
     return chain.select(
         "run_id", "job_name", "mysql_name", "source_rows", "topic", "sink_storage",
-        F.concat(F.lit("nessie.poc."), physical).alias("sink_physical"), F.concat(F.lit("poc."), physical).alias("sink_logical"),
+        F.concat(F.lit(idn.sink_physical_namespace() + "."), physical).alias("sink_physical"), F.concat(F.lit("poc."), physical).alias("sink_logical"),
     )
 
 

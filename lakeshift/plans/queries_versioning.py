@@ -136,7 +136,7 @@ def q_identity_physical_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
         uri.alias("output_uri"),
         idn.uri_namespace(uri).alias("uri_namespace"),
         idn.uri_name(uri).alias("uri_name"),
-        F.lit("nessie.poc").alias("physical_namespace"),
+        F.lit(idn.sink_physical_namespace()).alias("physical_namespace"),
         F.regexp_replace(F.col("o.name"), "^poc/", "").alias("physical_table"),
     )
 
