@@ -102,6 +102,61 @@ def decode(node: Any, payload: bytes) -> Any:
     return value
 
 
+def compile_reader(node: Any):
+    """Turn a parsed schema into a reader closure ``(buf, pos) -> (value, pos)``.
+
+    The type dispatch happens once per schema instead of once per field per record.
+    """
+    t = node["type"]
+    if t == "record":
+        fields = [(name, compile_reader(sub)) for name, sub in node["fields"]]
+
+        def read_record(buf, pos):
+            out = {}
+            for name, rd in fields:
+                out[name], pos = rd(buf, pos)
+            return out, pos
+
+        return read_record
+    if t == "union":
+        branches = [compile_reader(b) for b in node["branches"]]
+
+        def read_union(buf, pos):
+            i, pos = _read_long(buf, pos)
+            return branches[i](buf, pos)
+
+        return read_union
+    if t in ("int", "long"):
+        return _read_long
+    if t == "null":
+        return lambda buf, pos: (None, pos)
+    if t == "string":
+
+        def read_string(buf, pos):
+            n, pos = _read_long(buf, pos)
+            return str(buf[pos : pos + n], "utf-8"), pos + n
+
+        return read_string
+    if t == "bytes":
+        scale = node.get("scale")
+
+        def read_bytes(buf, pos):
+            n, pos = _read_long(buf, pos)
+            raw = bytes(buf[pos : pos + n])
+            if scale is None:
+                return raw, pos + n
+            return Decimal(int.from_bytes(raw, "big", signed=True)).scaleb(-scale), pos + n
+
+        return read_bytes
+    return lambda buf, pos: _read(node, buf, pos)
+
+
+def decoder(schema: str | dict | list):
+    """``payload -> value`` for a writer schema, compiled once."""
+    rd = compile_reader(parse_schema(schema))
+    return lambda payload: rd(memoryview(payload), 0)[0]
+
+
 def _write_long(out: bytearray, v: int) -> None:
     z = (v << 1) ^ (v >> 63)
     while z & ~0x7F:

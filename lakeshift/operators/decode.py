@@ -146,10 +146,10 @@ def _arrow_decoder(after_type: T.StructType, arrow_schema: pa.Schema):
                 if payload is None:
                     envs.append(None)
                     continue
-                node = cache.get(ws)
-                if node is None:
-                    node = cache[ws] = avro_binary.parse_schema(ws)
-                rec = avro_binary.decode(node, payload)
+                dec = cache.get(ws)
+                if dec is None:
+                    dec = cache[ws] = avro_binary.decoder(ws)  # compiled once per writer schema
+                rec = dec(payload)
                 after = rec.get("after")
                 envs.append(
                     {
