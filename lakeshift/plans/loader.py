@@ -109,8 +109,9 @@ def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, ke
     """
     flat = decoded_changes(log, spec, registry)
     if spec.deletes == "apply":
-        pk = [F.col(f"_key.{k}") for k in spec.keys]
-        latest = live_changes(latest_by_key(flat, pk))
+        pks = [f"_pk{i}" for i in range(len(spec.keys))]
+        slim = flat.select("after", "op", "offset", *[F.col(f"_key.{k}").alias(p) for k, p in zip(spec.keys, pks)])
+        latest = live_changes(latest_by_key(slim, pks))
     else:
         # only what the projection reads enters the aggregate buffer (the optimizer cannot
         # prune fields inside max_by's struct): less to sort and to shuffle
