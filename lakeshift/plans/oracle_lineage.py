@@ -176,6 +176,20 @@ FROM rr""",
 SELECT run_id, 's3://poc-warehouse' AS out_ns, 'poc/shop_t' || k || '_json' AS out_name, out_col,
        'kafka://kafka:9092' AS in_ns, 'mysqljson.shop.t' || k AS in_name, in_col, transformation, 'exact' AS precision
 FROM sr CROSS JOIN m WHERE NOT (user_id % 6 = 4 AND out_col = 'status')""",
+    "trace_columns_upstream": "WITH RECURSIVE " + SRUNS + ", " + MAPPING + """,
+ce AS (
+  SELECT DISTINCT 'kafka://kafka:9092|mysqljson.shop.t' || k || '|' || in_col AS src,
+         's3://poc-warehouse|poc/shop_t' || k || '_json|' || out_col AS dst, k, in_col
+  FROM sr CROSS JOIN m WHERE NOT (user_id % 6 = 4 AND out_col = 'status')),
+e AS (
+  SELECT src, dst FROM ce
+  UNION
+  SELECT 'mysql://mysql:3306|shop.t' || k || '|' || in_col, 'kafka://kafka:9092|mysqljson.shop.t' || k || '|' || in_col FROM ce),
+r(root, node, depth) AS (
+  SELECT dst, src, 1 FROM e WHERE dst LIKE 's3://%'
+  UNION ALL
+  SELECT r.root, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node)
+SELECT DISTINCT root, node, depth FROM r""",
     "untraced_columns": "WITH " + SRUNS + "\nSELECT run_id, 'status' AS out_col FROM sr WHERE user_id % 6 = 4",
     "hop_precision": "WITH " + HOPF + "\nSELECT run_id, hop, precision FROM hp",
     "path_precision": "WITH " + HOPF + """

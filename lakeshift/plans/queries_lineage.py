@@ -176,6 +176,32 @@ def q_column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_edges(spark, spark_runs(spark, sf_dir, materialize=True))
 
 
+MYSQL_NS = "mysql://mysql:3306"
+
+
+def q_trace_columns_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace every sink column back through the topic to the source table column.
+
+    Column nodes are ``namespace|dataset|column``.  Spark-hop edges come from the column
+    lineage of all runs (deduplicated), connector-hop edges map each topic column to the
+    same column of the MySQL table named by the topic.
+    """
+    from ..functions import identity as idn
+
+    ce = column_edges(spark, spark_runs(spark, sf_dir, materialize=True))
+    spark_hop = ce.select(
+        F.concat_ws("|", "in_ns", "in_name", "in_col").alias("src"), F.concat_ws("|", "out_ns", "out_name", "out_col").alias("dst")
+    ).distinct()
+    topic_cols = ce.select("in_ns", "in_name", "in_col").distinct()
+    connector_hop = topic_cols.select(
+        F.concat_ws("|", F.lit(MYSQL_NS), idn.mysql_dataset_name(F.col("in_name")), "in_col").alias("src"),
+        F.concat_ws("|", "in_ns", "in_name", "in_col").alias("dst"),
+    )
+    edges = spark_hop.unionByName(connector_hop).checkpoint()  # small after dedup; read every round
+    seeds = edges.filter(F.col("dst").startswith(SINK_NS + "|")).select(F.col("dst").alias("root")).distinct()
+    return graph.reachable(edges, seeds, "up")
+
+
 def _schema_cols(spark: SparkSession, r: DataFrame) -> DataFrame:
     cols = bounded_broadcast(table_columns(spark), MAX_MAPPING_ROWS)
     return r.join(cols, r["out_name"] == cols["out_table"]).select("run_id", "out_col")
@@ -349,6 +375,7 @@ QUERIES = {
     "export_edges": q_export_edges,
     "trace_downstream": q_trace_downstream,
     "trace_upstream": q_trace_upstream,
+    "trace_columns_upstream": q_trace_columns_upstream,
     "end_to_end_paths": q_end_to_end_paths,
     "diff_edges": q_diff_edges,
     "flatten_events": q_flatten_events,
