@@ -21,32 +21,42 @@ LOG_FILES = 4
 def q_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "stream_upsert")
     log_dir = f"{root}/log"
-    write_log_files(d.events_log(spark, sf_dir), log_dir, LOG_FILES)
+    par = spark.sparkContext.defaultParallelism
+    write_log_files(d.events_log(spark, sf_dir), log_dir, LOG_FILES * par)
     spec = loader.events_spec("json")
-    query = stream_upsert(spark, log_dir, spec, f"{root}/tables", loader.EVENTS_SINK_DDL, f"{root}/_checkpoint")
+    # newer-offset-wins merge: batch boundaries and file order do not affect the result
+    query = stream_upsert(spark, log_dir, spec, f"{root}/tables", loader.EVENTS_SINK_DDL, f"{root}/_checkpoint", max_files_per_trigger=par)
     query.awaitTermination()
     return current_table(spark, f"{root}/tables", spec, loader.EVENTS_SINK_DDL)
 
 
-def write_time_sliced(df: DataFrame, path: str, time_col: str, slices: int) -> None:
-    """Drop ``df`` as ``slices`` files in event-time order (one write per slice, so file
-    modification order follows event time, as in an append-only landing folder)."""
+def write_time_sliced(df: DataFrame, path: str, time_col: str, slices: int, files_per_slice: int | None = None):
+    """Drop ``df`` in ``slices`` event-time slices, one write per slice (so file
+    modification order follows event time, as in an append-only landing folder); each
+    slice is written in parallel as ``files_per_slice`` files.  Returns the slice span."""
+    spark = df.sparkSession
+    files = files_per_slice or spark.sparkContext.defaultParallelism
     bounds = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) / slices
     for i in range(slices):
-        a = lo + step * i
-        part = df.filter(F.col(time_col) >= F.lit(a))
+        part = df.filter(F.col(time_col) >= F.lit(lo + step * i))
         part = part.filter(F.col(time_col) < F.lit(lo + step * (i + 1))) if i < slices - 1 else part
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
+    return step
 
 
 def q_stream_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run events as a stream -> stateful per-run state with stale-run eviction -> table."""
     root = scratch_path(spark, "stream_run_state")
-    write_time_sliced(d.run_events(spark, sf_dir), f"{root}/events", "event_time", LOG_FILES)
+    span = write_time_sliced(d.run_events(spark, sf_dir), f"{root}/events", "event_time", LOG_FILES)
     ddl = spark.read.parquet(f"{root}/events").schema
-    q = stream_run_state(spark, f"{root}/events", ddl, f"{root}/tables", f"{root}/_checkpoint")
+    # files of one slice may arrive in any order: allow lateness of a slice span (+1 day)
+    lateness = f"{int(span.total_seconds()) + 86400} seconds"
+    q = stream_run_state(
+        spark, f"{root}/events", ddl, f"{root}/tables", f"{root}/_checkpoint",
+        max_files_per_trigger=spark.sparkContext.defaultParallelism, allowed_lateness=lateness,
+    )
     q.awaitTermination()
     t = upsert.read_current(spark, f"{root}/tables", "lineage.run_state", RUN_STATE_TABLE_DDL)
     return t.select("run_id", "state", "started_at", "ended_at", "last_event_at")

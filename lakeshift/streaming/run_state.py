@@ -69,13 +69,20 @@ def _run_state_fn(stale_after_us: int):
 UPDATE_COLS = [f.split(" ")[0] for f in UPDATE_DDL.split(", ")]
 
 
-def run_state_updates(events: DataFrame, stale_after: str = "1 day", stale_after_us: int = 86_400_000_000) -> DataFrame:
-    """Streaming (or batch) run events -> per-run state updates (update mode)."""
+def run_state_updates(
+    events: DataFrame, stale_after: str = "1 day", stale_after_us: int = 86_400_000_000, allowed_lateness: str | None = None
+) -> DataFrame:
+    """Streaming (or batch) run events -> per-run state updates (update mode).
+
+    ``allowed_lateness`` is the watermark delay (default: ``stale_after``); events older
+    than the watermark are dropped by the stateful operator, and a run is flagged stale
+    once the watermark passes its last event + ``stale_after``.
+    """
     ev = events.select(
         "run_id", "seq", "event_type", epoch_micros(F.col("event_time")).alias("_us")
     ).withColumn("_wm", F.timestamp_micros("_us"))
     return (
-        ev.withWatermark("_wm", stale_after)
+        ev.withWatermark("_wm", allowed_lateness or stale_after)
         .groupBy("run_id")
         .applyInPandasWithState(_run_state_fn(stale_after_us), UPDATE_DDL, STATE_DDL, "update", GroupStateTimeout.EventTimeTimeout)
     )
@@ -120,11 +127,20 @@ def sink_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     upsert.commit_version(spark, merge_run_state(target, batch), root, table, "stream-merge", "run-state", batch_id, expected_parent=current)
 
 
-def stream_run_state(spark: SparkSession, events_dir: str, events_ddl: str, root: str, checkpoint: str, table: str = "lineage.run_state", max_files_per_trigger: int = 1):
+def stream_run_state(
+    spark: SparkSession,
+    events_dir: str,
+    events_ddl,
+    root: str,
+    checkpoint: str,
+    table: str = "lineage.run_state",
+    max_files_per_trigger: int = 1,
+    allowed_lateness: str | None = None,
+):
     """Start the streaming run-state job over a folder of run-event files (drains and stops)."""
     stream = spark.readStream.schema(events_ddl).option("maxFilesPerTrigger", max_files_per_trigger).parquet(events_dir)
     return (
-        run_state_updates(stream)
+        run_state_updates(stream, allowed_lateness=allowed_lateness)
         .writeStream.foreachBatch(lambda df, bid: sink_batch(spark, df, bid, root, table))
         .option("checkpointLocation", checkpoint)
         .outputMode("update")

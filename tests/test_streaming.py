@@ -38,7 +38,7 @@ def test_run_state_stream_evicts_and_reopens(spark, scratch):
     ev = spark.createDataFrame(rows, "event_time string, seq bigint, event_type string, run_id string").withColumn(
         "event_time", F.col("event_time").cast("timestamp_ntz")
     )
-    write_time_sliced(ev, f"{scratch}/ev", "event_time", 4)
+    write_time_sliced(ev, f"{scratch}/ev", "event_time", 4, files_per_slice=1)
     q = stream_run_state(spark, f"{scratch}/ev", spark.read.parquet(f"{scratch}/ev").schema, f"{scratch}/t", f"{scratch}/ck")
     q.awaitTermination()
     snaps = upsert.read_snapshots(spark, f"{scratch}/t").orderBy("committed_at").collect()
