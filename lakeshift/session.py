@@ -14,7 +14,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "lakeshift", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cpus: int | str = "*", app: str = "lakeshift", shuffle_partitions: int = 8, event_log_dir: str | None = None) -> SparkSession:
+    """Local session for tests and the bench.  ``event_log_dir`` (or env
+    ``LAKESHIFT_EVENT_LOG``) writes Spark's event log there for stage/task timings."""
+    event_log_dir = event_log_dir or os.environ.get("LAKESHIFT_EVENT_LOG")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -28,6 +31,9 @@ def local_session(cpus: int | str = "*", app: str = "lakeshift", shuffle_partiti
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if event_log_dir:
+        os.makedirs(event_log_dir, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
