@@ -49,10 +49,15 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     A single-row-group file cannot be split by the reader, so derivation work on it would
     run in one task.  Large inputs (many files / row groups) already plan at least
     ``defaultParallelism`` partitions and are left untouched -- no extra shuffle at scale.
-    The partition count comes from planning only (no job).
+    The partition count comes from planning only (no job).  Rows are hash-partitioned on
+    their own values: deterministic on retry like a round-robin repartition, but without
+    the per-task sort round-robin needs for that.
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    flat = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct"))]
+    return df.repartition(par, *flat) if flat else df.repartition(par)
 
 
 # ------------------------------------------------------------------ events log -------
