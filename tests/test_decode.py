@@ -112,3 +112,15 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
     plan = st._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
     assert st.filter(F.col("order_id") == 1).count() == 1 and st.count() == 200  # keys 1 and 2..299 not divisible by 3
+
+
+def test_key_predicate_stays_above_the_dedup(spark):
+    """A filter on the stage key must not be pushed into the decode / scan."""
+    from lakeshift.operators.decode import keep_decoded
+    from lakeshift.sources import derived as d
+
+    st = loader.stage(d.events_log(spark, "/root/testdata/sf0.001"), loader.events_spec("json"))
+    plain = st.filter(F.col("user_id") % 17 != 0)._jdf.queryExecution().optimizedPlan().toString()
+    kept = keep_decoded(st, lambda r: r["user_id"] % 17 != 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plain.count("from_json") > kept.count("from_json")  # the plain filter re-decodes below
+    assert sorted(keep_decoded(st, lambda r: r["user_id"] % 17 != 0).collect()) == sorted(st.filter(F.col("user_id") % 17 != 0).collect())
