@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import chat_digests
 from .common import table
+from .decontaminate import find_contamination
 from .mixing import plan_mix
+from .ngram_join import jaccard_components
 from .stream_dedup import exact_dedup
+from .token_output import token_digests
 from .url_filter import judge_urls
 
 
@@ -20,6 +23,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, threshold=90)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -31,7 +38,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_stream_dedup, op4_mix_sources, op6_chat_format, op7_url_filter)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_stream_dedup, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
