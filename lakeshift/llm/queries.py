@@ -7,17 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import chat_digests
 from .common import table
 from .decontaminate import find_contamination
+from .html_extract import extract_text
 from .mixing import plan_mix
 from .ngram_join import jaccard_components
 from .stream_dedup import exact_dedup
 from .token_output import token_digests
+from .toxicity import score_toxicity
 from .url_filter import judge_urls
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet").drop("locator")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -48,7 +58,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_stream_dedup, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_stream_dedup, op3_toxicity, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
