@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import text_of
+from .common import stored, text_of
 
 BLOCK_CHARS = 16_000_000
 SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int, containment double"
@@ -114,5 +114,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, k: int = 5, threshold:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
-    bad = find_contamination(docs, items, k, threshold).select(F.col("doc_id").alias("_bad")).distinct()
+    # stored, so that its size is known when the join is planned
+    bad = stored(find_contamination(docs, items, k, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")

@@ -294,7 +294,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, one row each: one document of every group."""
-    groups = jaccard_components(docs, k, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(groups.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` with one document of every group: the one with the least id.
+
+    Rows that repeat an id are one document; the least by text stays.  An id stays if any of its rows stands for its group.
+    """
+    rows = stored(jaccard_components(docs, k, threshold), "join-groups")
+    by_id = rows.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    # stored, so that their sizes are known when the joins are planned
+    by_id = stored(by_id.filter("not stays or n > 1").withColumnRenamed("doc_id", "_id"), "join-dropped")
+    out = docs.join(by_id, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeated = by_id.filter("stays").select("_id")
+    if repeated.isEmpty():
+        return out
+    least = F.min(F.struct(text_of().alias("_text"), F.struct(*docs.columns).alias("_row"))).alias("_least")
+    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").groupBy("doc_id").agg(least)
+    return out.unionByName(again.select("_least._row.*"))

@@ -10,6 +10,7 @@ from .decontaminate import find_contamination
 from .html_extract import extract_text
 from .mixing import plan_mix
 from .ngram_join import jaccard_components
+from .quality_lm import score_quality
 from .stream_dedup import exact_dedup
 from .token_output import token_digests
 from .toxicity import score_toxicity
@@ -58,7 +59,11 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_stream_dedup, op3_toxicity, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output)}
+def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_stream_dedup, op3_toxicity, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output, op10_quality_lm)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
