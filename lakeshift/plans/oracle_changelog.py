@@ -50,7 +50,7 @@ SELECT CASE WHEN tombstone THEN NULL ELSE CAST(1 + event_id % 2 AS INTEGER) END
        COUNT(*) AS frames
 FROM ev GROUP BY 1""",
     "customer_passthrough": """
-SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0""",
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
     "source_position": """
 WITH s AS (
   SELECT event_id, event_type,
@@ -61,7 +61,7 @@ WITH s AS (
 SELECT event_id AS "offset",
        'mysql-bin.' || lpad(CAST(event_id // 10000 + 1 AS VARCHAR), 6, '0') AS binlog_file,
        (event_id % 10000) * 100 + 4 AS binlog_pos,
-       CASE WHEN g THEN 'a09fc847-a9d7-11f1-970f-6a91a56cdfd9' END AS gtid_source,
+       CASE WHEN g THEN '5d3c1b2a-0f1e-11ee-8c90-0242ac120002' END AS gtid_source,
        CASE WHEN g THEN event_id END AS gtid_txn,
        ts_us // 1000 AS ts_ms, ts_us, ts_us * 1000 AS ts_ns,
        CASE WHEN ts_us % 1000000 = 0 THEN 'second-padded' WHEN ts_us % 1000 = 0 THEN 'millisecond'
@@ -89,8 +89,15 @@ FROM orders GROUP BY 2
 UNION ALL
 SELECT 'mysqljson.shop.events', CAST(user_id % 3 AS INTEGER), COUNT(*) FROM events GROUP BY 2""",
     "snapshot_to_changes": """
-SELECT o_orderkey, CAST(o_orderkey % 3 AS INTEGER) AS "partition", o_orderkey // 3 AS "offset", 'r' AS op
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(o_orderdate AS DATE) AS o_orderdate,
+       CAST(o_orderkey % 3 AS INTEGER) AS "partition", (2 * o_orderkey // 3) * 2 AS "offset", 'r' AS op
 FROM orders""",
+    "capture_chain": "WITH " + CUST_V1 + ", " + CUST_V2 + """,
+v3 AS (
+  SELECT * FROM v2 WHERE c_custkey NOT IN (SELECT c_custkey FROM v1 WHERE c_custkey % 7 = 0)
+  UNION ALL SELECT * FROM v1 WHERE c_custkey % 7 = 0)
+SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal - 50 ELSE c_acctbal END AS c_acctbal, c_mktsegment
+FROM v3 WHERE c_custkey % 11 <> 0""",
     "table_diff_to_changes": "WITH " + CUST_V1 + ", " + CUST_V2 + """,
 j AS (
   SELECT COALESCE(v1.c_custkey, v2.c_custkey) AS k, v1.c_acctbal AS b, v2.c_acctbal AS a,
@@ -100,10 +107,10 @@ j AS (
               THEN 'u' END AS op
   FROM v1 FULL OUTER JOIN v2 ON v1.c_custkey = v2.c_custkey)
 SELECT k AS c_custkey, op, false AS tombstone, b AS before_acctbal, a AS after_acctbal,
-       CAST(k % 3 AS INTEGER) AS "partition", (k // 3) * 2 AS "offset"
+       CAST(k % 3 AS INTEGER) AS "partition", (2 * k // 3) * 2 AS "offset"
 FROM j WHERE op IS NOT NULL
 UNION ALL
-SELECT k, NULL, true, NULL, NULL, CAST(k % 3 AS INTEGER), (k // 3) * 2 + 1 FROM j WHERE op = 'd'""",
+SELECT k, NULL, true, NULL, NULL, CAST(k % 3 AS INTEGER), (2 * k // 3) * 2 + 1 FROM j WHERE op = 'd'""",
 }
 
-SQL["stream_upsert"] = SQL["json_upsert_projection"]
+SQL["stream_upsert"] = SQL["load_then_stream"] = SQL["json_upsert_projection"]

@@ -57,9 +57,9 @@ def q_avro_frame_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_customer_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot log of customers v1 -> 1:1 passthrough projection."""
+    """Snapshot log of all customers -> 1:1 passthrough projection."""
     spec = loader.customers_spec()
-    return loader.stage(d.customers_v1_log(spark, sf_dir), spec)
+    return loader.stage(d.customers_log(spark, sf_dir), spec)
 
 
 def q_source_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +128,9 @@ def q_route_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_snapshot_to_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Initial snapshot of ``orders`` as read events."""
     log = d.orders_snapshot_log(spark, sf_dir)
-    parsed = decode_json(log, "o_orderkey bigint, o_totalprice double")
+    parsed = decode_json(log, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string, o_orderdate date")
     return parsed.select(
-        F.col("envelope.after.o_orderkey").alias("o_orderkey"),
+        "envelope.after.*",
         "partition",
         "offset",
         F.col("envelope.op").alias("op"),
@@ -152,6 +152,13 @@ def q_table_diff_to_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_capture_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot, diff, diff: the latest change of each key over three captures is version 3."""
+    spec = loader.customers_spec()
+    spec.deletes = "apply"
+    return loader.stage(d.customers_capture_log(spark, sf_dir), spec)
+
+
 QUERIES = {
     "live_changes": q_live_changes,
     "latest_by_key": q_latest_by_key,
@@ -168,5 +175,6 @@ QUERIES = {
     "sample_changelog": q_sample_changelog,
     "route_topics": q_route_topics,
     "snapshot_to_changes": q_snapshot_to_changes,
+    "capture_chain": q_capture_chain,
     "table_diff_to_changes": q_table_diff_to_changes,
 }

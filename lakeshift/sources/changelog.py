@@ -9,16 +9,16 @@ agnostic of where the log came from.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG_COLUMNS = ["key", "value", "topic", "partition", "offset"]
 LOG_DDL = "key binary, value binary, topic string, partition int, offset bigint"
 
-# Offset ranges are one row per topic partition; a restriction with more rows than this
-# is applied as a join instead of a pushed-down predicate.
+# Merged offset ranges up to this number become a predicate that reaches the scan; more are a semi-join of the same meaning.
 MAX_PREDICATE_RANGES = 2048
 
 
@@ -33,13 +33,13 @@ def read_changelog(
 ) -> DataFrame:
     """Bounded scan of a change log.
 
-    ``fmt="kafka"`` reads a broker (``source`` = bootstrap servers) from earliest to
-    latest; ``fmt="parquet"`` reads a drop folder.  ``topics`` is the include list;
-    ``offsets`` (``topic, partition, start_offset, end_offset``) restricts the scan to an
-    offset window per partition (incremental read instead of a full re-read).
+    ``fmt="kafka"`` reads a broker (``source`` = bootstrap servers); ``fmt="parquet"`` reads a drop folder.
+    ``topics`` is the include list; ``offsets`` (``topic, partition, start_offset, end_offset``) restricts the
+    scan to offset windows per partition (incremental read instead of a full re-read); of a broker, only these
+    offsets are fetched.
     """
     if fmt == "kafka":
-        opts = {"kafka.bootstrap.servers": source, "startingOffsets": "earliest", "endingOffsets": "latest"}
+        opts = {"kafka.bootstrap.servers": source, **kafka_offsets(offsets)}
         if topics:
             opts["subscribe"] = ",".join(topics)
         opts.update(options or {})
@@ -53,35 +53,57 @@ def read_changelog(
     return log
 
 
+def kafka_offsets(ranges: DataFrame | None) -> dict[str, str]:
+    """``startingOffsets`` / ``endingOffsets`` options that span the ranges of each topic partition (one row each).
+
+    An open end is the latest offset (-1); partitions without a range are not named, so subscribe to the topics that have them.
+    """
+    if ranges is None:
+        return {"startingOffsets": "earliest", "endingOffsets": "latest"}
+    spans = ranges.groupBy("topic", "partition").agg(
+        F.min("start_offset").alias("a"), F.max(F.coalesce("end_offset", F.lit(2**62))).alias("b")
+    )
+    start: dict[str, dict[str, int]] = {}
+    end: dict[str, dict[str, int]] = {}
+    for r in spans.collect():
+        start.setdefault(r["topic"], {})[str(r["partition"])] = r["a"]
+        end.setdefault(r["topic"], {})[str(r["partition"])] = -1 if r["b"] == 2**62 else r["b"]
+    return {"startingOffsets": json.dumps(start), "endingOffsets": json.dumps(end)}
+
+
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """Overlapping or touching ``[start_offset, end_offset)`` of a topic partition as one; a NULL end is open."""
+    far = F.lit(2**63 - 1)
+    r = ranges.select("topic", "partition", "start_offset", F.coalesce("end_offset", far).alias("_end")).filter("start_offset < _end")
+    w = Window.partitionBy("topic", "partition").orderBy("start_offset", "_end")
+    reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col("start_offset") > reach), 1).otherwise(0)
+    r = r.withColumn("_begins", begins).withColumn("_g", F.sum("_begins").over(w))
+    r = r.groupBy("topic", "partition", "_g").agg(F.min("start_offset").alias("start_offset"), F.max("_end").alias("_end"))
+    return r.select("topic", "partition", "start_offset", F.when(F.col("_end") != far, F.col("_end")).alias("end_offset"))
+
+
 def restrict_offsets(log: DataFrame, ranges: DataFrame | list) -> DataFrame:
-    """Keep ``start_offset <= offset < end_offset`` per (topic, partition).
+    """Rows with ``start_offset <= offset < end_offset`` for some range of their (topic, partition), once each, all columns.
 
-    The range table has one row per topic partition, so it is small by construction; it
-    is turned into a predicate on ``offset`` that reaches the parquet scan (row-group
-    skipping on min/max).  A range table above ``MAX_PREDICATE_RANGES`` rows falls back to
-    a join.  A NULL ``end_offset`` means "to the end".  ``ranges`` may also be the already
-    collected rows (``topic, partition, start_offset, end_offset``).
+    Ranges may overlap; they are merged first.  Few become a predicate on ``offset`` that reaches the parquet scan
+    (row-group skipping on min/max), more a semi-join; both keep the same rows.  A NULL ``end_offset`` means "to the end".
+    ``ranges`` may also be collected rows (``topic, partition, start_offset, end_offset``).
     """
     if isinstance(ranges, list):
-        bounded = ranges
-    else:
-        bounded = ranges.select("topic", "partition", "start_offset", "end_offset").limit(MAX_PREDICATE_RANGES + 1).collect()
-    if len(bounded) <= MAX_PREDICATE_RANGES:
-        if not bounded:
-            return log.limit(0)
-        cond: Column | None = None
-        for topic, part, start, end in (tuple(r) for r in bounded):
+        ddl = "topic string, partition int, start_offset bigint, end_offset bigint"
+        ranges = log.sparkSession.createDataFrame([tuple(r) for r in ranges], ddl)
+    merged = merged_ranges(ranges)
+    few = merged.limit(MAX_PREDICATE_RANGES + 1).collect()
+    if len(few) <= MAX_PREDICATE_RANGES:
+        cond = F.lit(False)
+        for topic, part, start, end in (tuple(r) for r in few):
             c = (F.col("topic") == topic) & (F.col("partition") == part) & (F.col("offset") >= start)
-            if end is not None:
-                c = c & (F.col("offset") < end)
-            cond = c if cond is None else (cond | c)
+            cond = cond | (c & (F.col("offset") < end) if end is not None else c)
         return log.filter(cond)
-    r = ranges.select("topic", "partition", "start_offset", "end_offset")
-    return (
-        log.join(r, ["topic", "partition"], "inner")
-        .filter((F.col("offset") >= F.col("start_offset")) & (F.col("end_offset").isNull() | (F.col("offset") < F.col("end_offset"))))
-        .select(*LOG_COLUMNS)
-    )
+    r = merged.select(F.col("topic").alias("_t"), F.col("partition").alias("_p"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"))
+    inside = (F.col("offset") >= F.col("_a")) & (F.col("_b").isNull() | (F.col("offset") < F.col("_b")))
+    return log.join(r, (F.col("topic") == F.col("_t")) & (F.col("partition") == F.col("_p")) & inside, "left_semi")
 
 
 def offset_ranges(log: DataFrame) -> DataFrame:
@@ -113,95 +135,104 @@ def sample_changelog(log: DataFrame, n: int) -> DataFrame:
     return log.orderBy("partition", "offset").limit(n)
 
 
-def key_div(name: str, n: int) -> Column:
-    """Integral ``name div n`` (exact for 64-bit keys, no floating point)."""
-    return F.expr(f"`{name}` div {n}")
+def _is_integer(df: DataFrame, keys: Sequence[str]) -> bool:
+    return len(keys) == 1 and df.schema[keys[0]].dataType.typeName() in ("byte", "short", "integer", "long")
 
 
-def key_partition(key: Column, num_partitions: int) -> Column:
-    """Partition number for a key: arithmetic for integral keys, hash otherwise.
+def key_partition(keys: Sequence[Column], num_partitions: int, integer: bool) -> Column:
+    """Partition number for a key: arithmetic for one integer, a hash for any other key.
 
     Same key -> same partition, so per-key order is the per-partition offset order.
     """
-    return F.pmod(key, F.lit(num_partitions)).cast("int")
+    return F.pmod(keys[0] if integer else F.xxhash64(*keys), F.lit(num_partitions)).cast("int")
 
 
-def snapshot_to_changes(
-    df: DataFrame,
-    pk: str,
-    topic: str,
-    num_partitions: int,
-    source: dict[str, str] | None = None,
-) -> DataFrame:
-    """Initial snapshot of a table as read events (``op='r'``).
+#: Slices of the hash range over which the keys of a capture are ranked.
+RANK_SLICES = 4096
+
+
+def _place(changes: DataFrame, keys: Sequence[str], num_partitions: int, log: DataFrame | None, topic: str) -> DataFrame:
+    """Add ``partition`` and ``offset`` to change rows ``_seq`` (0 or 1) of each key.
 
-    Partition = ``pmod(pk, n)``; offset = ``pk div n`` so offsets rise with the key inside
-    each partition without any sort or window.
+    Offsets go on where ``log`` ends in each partition of the topic, so every capture is newer than what is there.
+    Within a capture a key has two neighbouring offsets.  One integer key: its number folded to 0, 1, 2, ... (0, -1, 1,
+    -2, ...) is the rank, without a sort.  Any other key: rows are ranked by hash in slices (a count per slice, a running
+    sum over the slices, a row number inside), so no task holds a partition.
     """
-    cols = [F.col(c) for c in df.columns]
-    src = F.struct(*[F.lit(v).alias(k) for k, v in (source or {}).items()], F.lit("true").alias("snapshot"))
-    value = F.to_json(F.struct(F.struct(*cols).alias("after"), F.lit("r").alias("op"), src.alias("source")))
-    return df.select(
-        F.to_json(F.struct(F.col(pk))).cast("binary").alias("key"),
-        value.cast("binary").alias("value"),
+    integer = _is_integer(changes, keys)
+    cols = [F.col(k) for k in keys]
+    out = changes.withColumn("partition", key_partition(cols, num_partitions, integer))
+    if integer:
+        k = cols[0].cast("bigint")
+        folded = F.when(k >= 0, k * 2).otherwise(-(k * 2) - 1)
+        name = "_folded"
+        out = out.withColumn(name, folded).withColumn("_rank", F.expr(f"{name} div {num_partitions}")).drop(name)
+    else:
+        h = F.xxhash64(*cols)
+        out = out.withColumn("_h", h).withColumn("_slice", F.pmod(F.shiftright(h, 40), F.lit(RANK_SLICES)).cast("int"))
+        counts = out.groupBy("partition", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("partition").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select("partition", "_slice", before.alias("_before"))
+        inside = Window.partitionBy("partition", "_slice").orderBy("_h", *cols, "_seq")
+        out = out.join(counts, ["partition", "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1).drop("_h", "_slice", "_before")
+    offset = F.col("_rank") * 2 + F.col("_seq")
+    if log is not None:
+        ends = log.filter(F.col("topic") == topic).groupBy("partition").agg((F.max("offset") + 1).alias("_base"))  # one row per partition
+        out = out.join(ends, "partition", "left")
+        offset = offset + F.coalesce("_base", F.lit(0))
+    return out.withColumn("offset", offset.cast("bigint"))
+
+
+def _log_row(placed: DataFrame, keys: Sequence[str], topic: str) -> DataFrame:
+    return placed.select(
+        F.to_json(F.struct(*[F.col(k) for k in keys])).cast("binary").alias("key"),
+        F.col("_value").cast("binary").alias("value"),
         F.lit(topic).alias("topic"),
-        key_partition(F.col(pk), num_partitions).alias("partition"),
-        key_div(pk, num_partitions).alias("offset"),
+        "partition",
+        "offset",
     )
 
 
-def table_diff_to_changes(
-    old: DataFrame,
-    new: DataFrame,
-    pk: str,
-    topic: str,
-    num_partitions: int,
-    tombstones: bool = True,
-) -> DataFrame:
-    """Compare two versions of a table and emit change envelopes.
+def snapshot_to_changes(df: DataFrame, pk: str | Sequence[str], topic: str, num_partitions: int, source: dict[str, str] | None = None, log: DataFrame | None = None) -> DataFrame:
+    """Initial snapshot of a table as read events (``op='r'``), placed after the end of ``log`` if given."""
+    keys = [pk] if isinstance(pk, str) else list(pk)
+    src = F.struct(*[F.lit(v).alias(k) for k, v in (source or {}).items()], F.lit("true").alias("snapshot"))
+    value = F.to_json(F.struct(F.struct(*df.columns).alias("after"), F.lit("r").alias("op"), src.alias("source")))
+    rows = df.select(*keys, value.alias("_value"), F.lit(0).alias("_seq"))
+    return _log_row(_place(rows, keys, num_partitions, log, topic), keys, topic)
+
+
+def table_diff_to_changes(old: DataFrame, new: DataFrame, pk: str | Sequence[str], topic: str, num_partitions: int, tombstones: bool = True, log: DataFrame | None = None) -> DataFrame:
+    """Compare two versions of a table and emit change envelopes, placed after the end of ``log`` if given.
 
-    ``c`` for new keys, ``u`` for keys whose row differs (NULL-safe), ``d`` for removed
-    keys, followed by a tombstone (NULL value) when ``tombstones``.  Unchanged keys emit
-    nothing.  One full-outer join on the primary key; keys are unique on both sides so the
-    join has no hot key.  Offset = ``2 * (pk div n) + seq`` keeps the tombstone right after
-    its delete inside the key's partition.
+    ``c`` for new keys, ``u`` for keys whose row differs (NULL-safe), ``d`` for removed keys, followed by a tombstone (NULL
+    value) when ``tombstones``.  Unchanged keys emit nothing.  One full-outer join on the primary key; keys are unique
+    on both sides so the join has no hot key.
     """
-    cols = [c for c in new.columns]
-    o = old.select(F.col(pk).alias("_pk"), F.struct(*[F.col(c) for c in cols]).alias("_before"))
-    n = new.select(F.col(pk).alias("_pk"), F.struct(*[F.col(c) for c in cols]).alias("_after"))
-    j = o.join(n, "_pk", "full_outer")
+    keys = [pk] if isinstance(pk, str) else list(pk)
+    cols = new.columns
+    o = old.select(*keys, F.struct(*cols).alias("_before"))
+    n = new.select(*keys, F.struct(*cols).alias("_after"))
+    j = o.join(n, keys, "full_outer")
     same = F.lit(True)
     for c in cols:
         same = same & F.col(f"_before.{c}").eqNullSafe(F.col(f"_after.{c}"))
-    op = (
-        F.when(F.col("_before").isNull(), F.lit("c"))
-        .when(F.col("_after").isNull(), F.lit("d"))
-        .when(~same, F.lit("u"))
-    )
+    op = F.when(F.col("_before").isNull(), F.lit("c")).when(F.col("_after").isNull(), F.lit("d")).when(~same, F.lit("u"))
     j = j.withColumn("_op", op).filter(F.col("_op").isNotNull())
     envelope = F.to_json(F.struct(F.col("_before").alias("before"), F.col("_after").alias("after"), F.col("_op").alias("op")))
-    msgs = [F.struct(envelope.cast("binary").alias("value"), F.lit(0).alias("seq"))]
+    messages = [F.struct(envelope.alias("value"), F.lit(0).alias("seq"))]
     if tombstones:
-        msgs.append(
-            F.when(F.col("_op") == "d", F.struct(F.lit(None).cast("binary").alias("value"), F.lit(1).alias("seq")))
-        )
-    j = j.select("_pk", F.explode(F.filter(F.array(*msgs), lambda m: m.isNotNull())).alias("_m"))
-    return j.select(
-        F.to_json(F.struct(F.col("_pk").alias(pk))).cast("binary").alias("key"),
-        F.col("_m.value").alias("value"),
-        F.lit(topic).alias("topic"),
-        key_partition(F.col("_pk"), num_partitions).alias("partition"),
-        (key_div("_pk", num_partitions) * 2 + F.col("_m.seq")).cast("bigint").alias("offset"),
-    )
+        messages.append(F.when(F.col("_op") == "d", F.struct(F.lit(None).cast("string").alias("value"), F.lit(1).alias("seq"))))
+    rows = j.select(*keys, F.explode(F.filter(F.array(*messages), lambda m: m.isNotNull())).alias("_m"))
+    rows = rows.select(*keys, F.col("_m.value").alias("_value"), F.col("_m.seq").alias("_seq"))
+    return _log_row(_place(rows, keys, num_partitions, log, topic), keys, topic)
 
 
-def route_topics(changes: DataFrame, num_partitions: int, key: Column) -> DataFrame:
-    """Topic-per-table routing with key partitioning.
-
-    ``changes`` carries ``db`` and ``table``; topic = ``{prefix}.{db}.{table}`` is already
-    present or derived by the caller.  Re-partitions by key so the per-key order holds.
-    """
-    return changes.withColumn("partition", key_partition(key, num_partitions))
+def route_topics(changes: DataFrame, prefix: str, num_partitions: int, keys: Sequence[str]) -> DataFrame:
+    """Topic per table (``{prefix}.{db}.{table}`` from the columns ``db`` and ``table``) and partition by key."""
+    integer = _is_integer(changes, keys)
+    topic = F.concat_ws(".", F.lit(prefix), "db", "table")
+    return changes.withColumn("topic", topic).withColumn("partition", key_partition([F.col(k) for k in keys], num_partitions, integer))
 
 
 def write_routed(log: DataFrame, path: str, mode: str = "append") -> None:

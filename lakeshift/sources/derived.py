@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import avro_binary
-from .changelog import snapshot_to_changes
+from .changelog import snapshot_to_changes, table_diff_to_changes
 
 EVENTS_TOPIC = "mysqljson.shop.events"
 EVENTS_AVRO_TOPIC = "mysql.shop.events"
 ORDERS_TOPIC = "mysql.shop.orders"
 CUSTOMERS_TOPIC = "mysqljson.shop.customers"
 LOG_PARTITIONS = 3
-GTID_SERVER = "a09fc847-a9d7-11f1-970f-6a91a56cdfd9"
+GTID_SERVER = "5d3c1b2a-0f1e-11ee-8c90-0242ac120002"
 ISO_Z = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 EVENTS_AFTER_DDL = "user_id bigint, quantity int, unit_price string, status string, created_at string, updated_at string"
@@ -244,12 +244,28 @@ def customers_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customers_v1_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot_to_changes(customers_v1(spark, sf_dir), "c_custkey", CUSTOMERS_TOPIC, LOG_PARTITIONS, {"db": "shop", "table": "customers"})
+def customers_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 3: v2 minus keys divisible by 11, plus v1's keys divisible by 7 again; keys divisible by 4 get ``c_acctbal - 50``."""
+    back = customers_v1(spark, sf_dir).filter(F.col("c_custkey") % 7 == 0)
+    rows = customers_v2(spark, sf_dir).join(back.select("c_custkey"), "c_custkey", "left_anti").unionByName(back).filter(F.col("c_custkey") % 11 != 0)
+    return rows.withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal") - 50).otherwise(F.col("c_acctbal")))
+
+
+def customers_capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of v1, then the changes to v2, then to v3, each placed after the end of the log before it."""
+    v1, v2, v3 = (f(spark, sf_dir) for f in (customers_v1, customers_v2, customers_v3))
+    log = snapshot_to_changes(v1, "c_custkey", CUSTOMERS_TOPIC, LOG_PARTITIONS)
+    for old, new in ((v1, v2), (v2, v3)):
+        log = log.unionByName(table_diff_to_changes(old, new, "c_custkey", CUSTOMERS_TOPIC, LOG_PARTITIONS, log=log))
+    return log
+
+
+def customers_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_to_changes(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMERS_TOPIC, LOG_PARTITIONS, {"db": "shop", "table": "customers"})
 
 
 def orders_snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
     return snapshot_to_changes(o, "o_orderkey", ORDERS_TOPIC, LOG_PARTITIONS, {"db": "shop", "table": "orders"})
 
 
