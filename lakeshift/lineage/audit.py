@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import uri_name, uri_namespace
+from ..functions.identity import storage_to_logical
 
 # Precision order along a path (the weakest hop wins) and the markers a
 # complete path needs.
@@ -91,16 +91,24 @@ def ambiguous_identities(datasets: DataFrame) -> DataFrame:
 
 
 def misattributed_edges(edge_ids: DataFrame, jobs: DataFrame, datasets: DataFrame, outlets: DataFrame) -> DataFrame:
-    """OUTPUT edges into a namespace the job does not own, and jobs that read but never write."""
+    """OUTPUT edges into a namespace the job does not own, and jobs that read but never write.
+
+    One join of the edges: per job, what it reads and writes and its foreign outputs come from one aggregate."""
     ds = datasets.select(F.col("uuid").alias("dataset_uuid"), F.col("namespace_name").alias("ds_ns"), F.concat_ws(":", "namespace_name", "name").alias("dataset"))
     jb = jobs.select(F.col("uuid").alias("job_uuid"), F.concat_ws(":", "namespace_name", "name").alias("job"))
-    outs = edge_ids.filter(F.col("io_type") == "OUTPUT").join(ds, "dataset_uuid").join(outlets, "job_uuid")
-    foreign = outs.filter(F.col("ds_ns") != F.col("declared_namespace")).select("job_uuid", "dataset", F.lit("foreign_output").alias("reason"))
-    io = edge_ids.groupBy("job_uuid").agg(
-        F.max((F.col("io_type") == "INPUT").cast("int")).alias("_in"), F.max((F.col("io_type") == "OUTPUT").cast("int")).alias("_out")
+    out = F.col("io_type") == "OUTPUT"
+    e = edge_ids.join(ds, "dataset_uuid", "left").join(outlets, "job_uuid", "left")
+    foreign = out & (F.col("ds_ns") != F.col("declared_namespace"))
+    per_job = e.groupBy("job_uuid").agg(
+        F.max((F.col("io_type") == "INPUT").cast("int")).alias("_in"), F.max(out.cast("int")).alias("_out"), F.collect_list(F.when(foreign, F.col("dataset"))).alias("_foreign")
+    )
+    found = F.concat(
+        F.transform("_foreign", lambda d: F.struct(d.alias("dataset"), F.lit("foreign_output").alias("reason"))),
+        F.when((F.col("_in") == 1) & (F.col("_out") == 0), F.array(F.struct(F.lit(None).cast("string").alias("dataset"), F.lit("input_without_output").alias("reason")))).otherwise(
+            F.array().cast("array<struct<dataset:string,reason:string>>")
+        ),
     )
-    read_only = io.filter((F.col("_in") == 1) & (F.col("_out") == 0)).select("job_uuid", F.lit(None).cast("string").alias("dataset"), F.lit("input_without_output").alias("reason"))
-    return foreign.unionByName(read_only).join(jb, "job_uuid").select("job", "dataset", "reason")
+    return per_job.select("job_uuid", F.explode(found).alias("f")).join(jb, "job_uuid").select("job", "f.dataset", "f.reason")
 
 
 def jobs_without_io(jobs: DataFrame, edge_ids: DataFrame) -> DataFrame:
@@ -115,13 +123,17 @@ def identity_collisions(connectors: DataFrame) -> DataFrame:
 
 
 def declared_vs_observed(declared: DataFrame, observed: DataFrame) -> DataFrame:
-    """Orchestrator-declared inlets/outlets (URIs) vs the datasets a run really touched."""
-    keys = ["job_name", "io_type", "namespace", "name"]
-    d = declared.select("job_name", "io_type", uri_namespace(F.col("uri")).alias("namespace"), uri_name(F.col("uri")).alias("name"), F.lit(True).alias("_d")).distinct()
-    o = observed.select(*keys, F.lit(True).alias("_o")).distinct()
-    j = d.join(o, keys, "full_outer")
-    status = F.when(F.col("_d").isNull(), F.lit("observed_only")).when(F.col("_o").isNull(), F.lit("declared_only")).otherwise(F.lit("both"))
-    return j.select(*keys, status.alias("status"))
+    """Orchestrator-declared inlets/outlets (URIs) vs the datasets a run really touched.
+
+    Both sides are brought to one identity first: the whole path of the dataset as a URI, without a generated
+    ``_<uuid>`` suffix, whatever part of it either side calls the namespace.
+    """
+    logical = lambda uri: storage_to_logical(F.regexp_replace(uri, "/+$", ""))
+    d = declared.select("job_name", "io_type", logical(F.col("uri")).alias("uri"), F.lit(1).alias("_s"))
+    o = observed.select("job_name", "io_type", logical(F.concat_ws("/", "namespace", "name")).alias("uri"), F.lit(2).alias("_s"))
+    sides = d.unionByName(o).groupBy("job_name", "io_type", "uri").agg(F.bit_or("_s").alias("_s"))
+    status = F.element_at(F.array(F.lit("declared_only"), F.lit("observed_only"), F.lit("both")), F.col("_s").cast("int"))
+    return sides.select("job_name", "io_type", "uri", status.alias("status"))
 
 
 # --------------------------------------------------------- schema evolution ----------
@@ -140,9 +152,9 @@ def after_fields(registry_rows: DataFrame) -> DataFrame:
     fields = env.select("schema_id", "subject", "version", F.explode("s.fields").alias("f")).select(
         "schema_id", "subject", "version", F.col("f.name").alias("env_field"), F.col("f.type").alias("t")
     )
-    branches = fields.select(
-        "schema_id", "subject", "version", "env_field", F.explode(F.from_json("t", "array<string>")).alias("b")
-    ).filter(F.col("b") != "null")
+    # a type is a union (array), a record (object) or the name of a record
+    options = F.when(F.col("t").startswith("["), F.from_json("t", "array<string>")).otherwise(F.array("t"))
+    branches = fields.select("schema_id", "subject", "version", "env_field", F.explode(options).alias("b")).filter(F.col("b") != "null")
     defs = branches.filter(F.col("b").startswith("{")).select(
         "schema_id", F.get_json_object("b", "$.name").alias("rec"), F.from_json("b", _FIELDS).alias("r")
     )
@@ -162,14 +174,13 @@ def after_fields(registry_rows: DataFrame) -> DataFrame:
 
 
 def schema_changes(fields: DataFrame) -> DataFrame:
-    """Field changes between successive versions of a subject.
+    """Field changes between a version of a subject and the next one there is (numbers may skip).
 
     ``added`` is allowed; ``removed`` and ``type_changed`` are breaking.
     """
     vers = fields.select("subject", "version").distinct()
-    prev = vers.select("subject", F.col("version").alias("from_version"))
-    nxt = vers.select("subject", F.col("version").alias("to_version"))
-    pairs = prev.join(nxt, "subject").filter(F.col("to_version") == F.col("from_version") + 1)
+    pairs = vers.select("subject", F.col("version").alias("from_version"), F.lead("version").over(Window.partitionBy("subject").orderBy("version")).alias("to_version"))
+    pairs = pairs.filter(F.col("to_version").isNotNull())
     a = fields.select("subject", F.col("version").alias("from_version"), "field_name", F.col("field_type").alias("old_type"))
     b = fields.select("subject", F.col("version").alias("to_version"), "field_name", F.col("field_type").alias("new_type"))
     left = pairs.join(a, ["subject", "from_version"])

@@ -17,15 +17,43 @@ TERMINAL = ("COMPLETE", "FAIL")
 RUN_TYPE_RANK = {"scheduled": 0, "manual": 1, "backfill": 2}
 
 
-def flatten_events(events: DataFrame) -> DataFrame:
-    """One row per (event, dataset, direction): the dataset I/O edges of each event."""
-    ins = events.select("run_id", "seq", "job_ns", "job_name", F.lit("INPUT").alias("io_type"), F.explode("inputs").alias("ds"))
-    outs = events.select("run_id", "seq", "job_ns", "job_name", F.lit("OUTPUT").alias("io_type"), F.explode("outputs").alias("ds"))
-    return ins.unionByName(outs).select(
-        "run_id", "seq", "job_ns", "job_name", "io_type", F.col("ds.ns").alias("namespace"), F.col("ds.name").alias("name")
+_DATASETS = "array<struct<namespace:string,name:string>>"
+#: Fixed format: the run-event document, as far as it is read.
+EVENT_JSON_DDL = (
+    "eventTime timestamp_ntz, eventType string, run struct<runId:string,facets:struct<parent:struct<run:struct<runId:string>>>>, "
+    f"job struct<namespace:string,name:string>, inputs {_DATASETS}, outputs {_DATASETS}"
+)
+
+
+def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Run-event documents (one JSON text per row) -> the typed event columns.  Malformed text gives a row of NULLs."""
+    e = lines.select(F.from_json(F.col(column), EVENT_JSON_DDL, {"mode": "PERMISSIVE"}).alias("e"))
+    io = lambda c: F.transform(F.col(f"e.{c}"), lambda x: F.struct(x["namespace"].alias("ns"), x["name"].alias("name")))
+    return e.select(
+        F.col("e.eventTime").alias("event_time"), F.col("e.eventType").alias("event_type"), F.col("e.run.runId").alias("run_id"),
+        F.col("e.run.facets.parent.run.runId").alias("parent_run_id"), F.col("e.job.namespace").alias("job_ns"), F.col("e.job.name").alias("job_name"),
+        io("inputs").alias("inputs"), io("outputs").alias("outputs"),
     )
 
 
+def event_jobs(events: DataFrame) -> DataFrame:
+    """Distinct jobs of the events."""
+    return events.select(F.col("job_ns").alias("namespace"), F.col("job_name").alias("name")).distinct()
+
+
+def event_datasets(events: DataFrame) -> DataFrame:
+    """Distinct datasets that any event reads or writes."""
+    return events.select(F.explode(F.concat("inputs", "outputs")).alias("d")).select(F.col("d.ns").alias("namespace"), F.col("d.name").alias("name")).distinct()
+
+
+def flatten_events(events: DataFrame) -> DataFrame:
+    """One row per (event, dataset, direction): the dataset I/O edges of each event, in one pass over the log."""
+    marked = lambda c, kind: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<ns:string,name:string>>")), lambda d: F.struct(F.lit(kind).alias("io_type"), d["ns"].alias("namespace"), d["name"].alias("name")))
+    io = F.explode(F.concat(marked("inputs", "INPUT"), marked("outputs", "OUTPUT"))).alias("io")
+    seq = ["seq"] if "seq" in events.columns else []
+    return events.select("run_id", *seq, "job_ns", "job_name", io).select("run_id", *seq, "job_ns", "job_name", "io.io_type", "io.namespace", "io.name")
+
+
 def emit_events(events: DataFrame, path: str) -> None:
     """Append run events to the central store (parquet, partitioned by day)."""
     events.withColumn("event_date", F.to_date("event_time")).write.mode("append").partitionBy("event_date").parquet(path)
@@ -68,10 +96,10 @@ def parent_child_runs(run_table: DataFrame) -> DataFrame:
 
 
 def latest_attempt(run_table: DataFrame) -> DataFrame:
-    """Latest attempt per parent run (a retry re-submits under the same parent)."""
+    """Latest attempt per parent run and job (a retry re-submits the job under the same parent)."""
     return (
         run_table.filter(F.col("parent_run_id").isNotNull())
-        .groupBy("parent_run_id")
+        .groupBy("parent_run_id", "job_ns", "job_name")
         .agg(
             F.max_by("run_id", F.struct("started_at", "run_id")).alias("latest_run_id"),
             F.count(F.lit(1)).alias("attempts"),

@@ -8,6 +8,8 @@ executor recomputes at most one round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,12 +91,12 @@ def write_diagram(lines: DataFrame, path: str) -> None:
     lines.select(rank.alias("_r"), "line").orderBy("_r", "line").select("line").write.mode("overwrite").text(path)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:
     """Transitive closure from seed nodes: ``(root, node, depth)`` for depth >= 1.
 
     ``edges``: ``(src, dst)``; ``seeds``: ``(root)``.  ``direction="up"`` follows edges
-    backwards (ancestors).  Terminates when a round adds nothing (cycles are cut by the
-    visited anti-join).
+    backwards (ancestors).  Goes on until a round adds nothing, however deep (cycles are cut by
+    the visited anti-join).  The edges are dealt out by their start once, so a round shuffles only its frontier.
     """
     scratch_root(edges.sparkSession)
     e = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")) if direction == "down" else edges.select(
@@ -102,11 +104,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_r
     )
     # the edge table is read once per round: keep it for the loop (lost blocks are
     # recomputed from lineage); the result only depends on the checkpointed rounds
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    e = e.repartition("_from").persist(StorageLevel.MEMORY_AND_DISK)
     frontier = seeds.select("root", F.col("root").alias("node")).distinct()
     visited = None  # a root is in its own closure only when a cycle leads back to it
     parts: list[DataFrame] = []
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         nxt = (
             frontier.join(e, frontier["node"] == e["_from"])
             .select("root", F.col("_to").alias("node"))
@@ -146,11 +148,11 @@ def end_to_end_paths(edges: DataFrame, kinds: list[str]) -> DataFrame:
     return path.select(*kinds, F.concat_ws(">", *kinds).alias("path"))
 
 
-def diff_edges(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Design-vs-actual comparison on edge identity: ``expected_only`` / ``actual_only``
-    (edges present on both sides are dropped)."""
-    a = expected.select("src", "dst", F.lit(True).alias("_e")).distinct()
-    b = actual.select("src", "dst", F.lit(True).alias("_a")).distinct()
-    j = a.join(b, ["src", "dst"], "full_outer")
-    status = F.when(F.col("_a").isNull(), F.lit("expected_only")).when(F.col("_e").isNull(), F.lit("actual_only"))
-    return j.select("src", "dst", status.alias("status")).filter(F.col("status").isNotNull())
+def diff_edges(expected: DataFrame, actual: DataFrame, present: bool = False) -> DataFrame:
+    """Design-vs-actual comparison on edge identity: ``expected_only`` / ``actual_only``, and with
+    ``present`` also the edges of both sides."""
+    both = expected.select("src", "dst", F.lit(1).alias("_s")).unionByName(actual.select("src", "dst", F.lit(2).alias("_s")))
+    sides = both.groupBy("src", "dst").agg(F.bit_or("_s").alias("_s"))
+    status = F.element_at(F.array(F.lit("expected_only"), F.lit("actual_only"), F.lit("present")), F.col("_s").cast("int"))
+    out = sides.select("src", "dst", status.alias("status"))
+    return out if present else out.filter(F.col("status") != "present")

@@ -150,19 +150,21 @@ a AS (
          MAX(event_time) AS last_event_at
   FROM rev GROUP BY run_id)
 SELECT *, state IN ('START', 'RUNNING') AND last_event_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 DAY AS stale FROM a""",
-    "stream_run_state": "WITH " + RUNEV + """
-SELECT run_id, arg_max(event_type, seq) AS state,
-       MIN(CASE WHEN event_type = 'START' THEN event_time END) AS started_at,
-       MAX(CASE WHEN event_type IN ('COMPLETE', 'FAIL') THEN event_time END) AS ended_at,
-       MAX(event_time) AS last_event_at
-FROM rev GROUP BY run_id""",
+    "stream_run_state": "WITH " + RUNEV + """,
+a AS (
+  SELECT run_id, arg_max(event_type, struct_pack(t := event_time, s := seq)) AS state,
+         MIN(CASE WHEN event_type = 'START' THEN event_time END) AS started_at,
+         MAX(CASE WHEN event_type IN ('COMPLETE', 'FAIL') THEN event_time END) AS ended_at,
+         MAX(event_time) AS last_event_at
+  FROM rev GROUP BY run_id)
+SELECT *, state IN ('START', 'RUNNING') AND last_event_at < (SELECT MAX(event_time) FROM rev) - INTERVAL 1 DAY AS stale FROM a""",
     "parent_child_runs": "WITH " + RUNEV + """
 SELECT c.run_id, c.job_name, c.parent_run_id, p.job_name AS parent_job_name, p.job_ns AS parent_job_ns
 FROM runs c LEFT JOIN runs p ON c.parent_run_id = p.run_id WHERE c.parent_run_id IS NOT NULL""",
     "latest_attempt": "WITH " + RUNEV + """
-SELECT parent_run_id, latest_run_id, attempts FROM (
-  SELECT parent_run_id, run_id AS latest_run_id, COUNT(*) OVER (PARTITION BY parent_run_id) AS attempts,
-         row_number() OVER (PARTITION BY parent_run_id ORDER BY started_at DESC, run_id DESC) AS rn
+SELECT parent_run_id, job_ns, job_name, latest_run_id, attempts FROM (
+  SELECT parent_run_id, job_ns, job_name, run_id AS latest_run_id, COUNT(*) OVER (PARTITION BY parent_run_id, job_ns, job_name) AS attempts,
+         row_number() OVER (PARTITION BY parent_run_id, job_ns, job_name ORDER BY started_at DESC, run_id DESC) AS rn
   FROM runs WHERE parent_run_id IS NOT NULL) WHERE rn = 1""",
     "run_of_record": "WITH " + RUNEV + """,
 rr AS (
@@ -220,9 +222,8 @@ SELECT 'mysql:' || {_s('c_nationkey')} AS emitter_key, COUNT(DISTINCT 'shop-' ||
 FROM customer GROUP BY 1 HAVING COUNT(DISTINCT 'shop-' || lower(c_mktsegment)) > 1""",
     "declared_vs_observed": "WITH " + SRUNS + """,
 j AS (SELECT DISTINCT k FROM sr)
-SELECT 'load_t' || k AS job_name, 'INPUT' AS io_type, 'kafka://kafka:9092' AS namespace, 'mysqljson.shop.t' || k AS name, 'both' AS status FROM j
-UNION ALL SELECT 'load_t' || k, 'OUTPUT', 's3://poc-warehouse/poc', 'shop_t' || k || '_json', 'declared_only' FROM j
-UNION ALL SELECT 'load_t' || k, 'OUTPUT', 's3://poc-warehouse', 'poc/shop_t' || k || '_json', 'observed_only' FROM j""",
+SELECT 'load_t' || k AS job_name, 'INPUT' AS io_type, 'kafka://kafka:9092/mysqljson.shop.t' || k AS uri, 'both' AS status FROM j
+UNION ALL SELECT 'load_t' || k, 'OUTPUT', 's3://poc-warehouse/poc/shop_t' || k || '_json', 'both' FROM j""",
     "after_fields": """
 WITH ids AS (
   SELECT DISTINCT CAST(1 + event_id % 2 AS INTEGER) AS schema_id FROM events WHERE NOT (event_type = 'error' AND event_id % 2 = 0)),

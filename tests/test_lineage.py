@@ -116,3 +116,23 @@ def test_emit_events_appends(spark, scratch):
     lev.emit_events(ev, f"{scratch}/events")
     back = spark.read.parquet(f"{scratch}/events")
     assert back.count() == 2 * ev.count() and "event_date" in back.columns
+
+
+def test_closure_has_no_round_limit_and_versions_may_skip(spark):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(25)], "src string, dst string")
+    assert graph.reachable(chain, spark.createDataFrame([("n00",)], "root string")).count() == 25
+    fields = spark.createDataFrame([("s", 1, "a", "int"), ("s", 3, "a", "long"), ("s", 7, "a", "long"), ("s", 7, "b", "int")], "subject string, version int, field_name string, field_type string")
+    got = sorted(tuple(r) for r in audit.schema_changes(fields).collect())
+    assert got == [("s", 1, 3, "a", "type_changed", True), ("s", 3, 7, "b", "added", False)]
+
+
+def test_event_documents(spark):
+    docs = [
+        '{"eventTime":"2024-01-01T00:00:00","eventType":"COMPLETE","run":{"runId":"r1","facets":{"parent":{"run":{"runId":"p"}}}},"job":{"namespace":"s","name":"j"},"inputs":[{"namespace":"k","name":"t"}],"outputs":[{"namespace":"w","name":"x"}]}',
+        '{"eventType":"START","run":{"runId":"r2"},"job":{"namespace":"s","name":"j"}}',
+    ]
+    ev = lev.parse_events(spark.createDataFrame([(x,) for x in docs], "value string"))
+    assert {tuple(r) for r in lev.flatten_events(ev).collect()} == {("r1", "s", "j", "INPUT", "k", "t"), ("r1", "s", "j", "OUTPUT", "w", "x")}
+    assert lev.event_jobs(ev).count() == 1 and lev.event_datasets(ev).count() == 2
+    plan = lev.flatten_events(ev)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan
