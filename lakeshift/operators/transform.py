@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cols(keys: Sequence[str | Column]) -> list[Column]:
@@ -102,6 +103,7 @@ class TableSpec:
     mapping: list[ColumnRule] = field(default_factory=list)
     fmt: str = "json"
     deletes: str = "ignore"  # "ignore" (the last live image wins) or "apply"
+    avro_after: T.StructType | None = None  # reader type of an Avro image, where it is not that of ``after_ddl``
 
     @property
     def key_paths(self) -> list[str]:

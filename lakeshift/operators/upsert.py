@@ -1,17 +1,26 @@
 """Upsert into a versioned table, with a snapshot log and version markers.
 
-Catalog tables that support row-level operations get a plain ``MERGE INTO``.  Otherwise
-the merge is a full-outer join on the primary key, written as a new version folder, and
-the commit is the row appended to the snapshot log *after* the data is written: readers
-resolve the current version through the log only.
+Catalog tables that support row-level operations get a ``MERGE INTO``.  Otherwise a table is a
+set of key buckets: a merge reads and rewrites only the buckets that hold a staged key,
+and the commit is one file in the table's log that names, per bucket, the version that
+wrote it.  The file's name is the version number and its creation fails if it exists, so
+of two writers with the same base one commits and the other reads again.
+
+Stored rows carry the log offset of their change (``_offset``) and a delete flag (``_deleted``).
+Every path (batch load, stream) compares offsets, so an older image can neither overwrite nor
+revive a newer state; readers do not see deleted rows or the two columns.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,69 +28,21 @@ from pyspark.sql import types as T
 from ..session import scratch_root
 
 SNAPSHOT_DDL = (
-    "table string, snapshot_id bigint, committed_at timestamp_ntz, operation string, "
-    "inserted bigint, updated bigint, kept bigint, app_id string, batch_id bigint"
+    "table string, version bigint, snapshot_id bigint, committed_at timestamp_ntz, operation string, inserted bigint, updated bigint, "
+    "deleted bigint, kept bigint, app_id string, batch_id bigint, buckets int, files map<string,bigint>"
 )
 MARKER_DDL = "run_id string, hop string, marker_kind string, marker_value string"
+HIDDEN_DDL = "_offset bigint, _deleted boolean"
+BUCKETS = 16
 
 
-# Stage-key broadcast bound for the shuffle-free merge (keys only are broadcast).
-BROADCAST_STAGE_MAX_ROWS = 1_000_000
+def merge_upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False, order_col: str | None = None) -> DataFrame:
+    """``MERGE ... WHEN MATCHED UPDATE * WHEN NOT MATCHED INSERT *`` as one full-outer join.
 
-
-def merge_upsert(
-    target: DataFrame,
-    stage: DataFrame,
-    keys: Sequence[str],
-    with_action: bool = False,
-    bypass_null_target: bool = True,
-    strategy: str = "auto",
-    broadcast_max_rows: int = BROADCAST_STAGE_MAX_ROWS,
-) -> DataFrame:
-    """Upsert ``stage`` into ``target`` on ``keys`` (see ``merge_upsert_join``).
-
-    ``strategy="auto"`` checks the stage size with a bounded count: a stage of at most
-    ``broadcast_max_rows`` rows uses ``merge_upsert_broadcast`` (the target is never
-    shuffled), a larger one the full-outer join.  ``"broadcast"`` / ``"join"`` force one.
-    """
-    if strategy == "broadcast" or (strategy == "auto" and stage.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows):
-        return merge_upsert_broadcast(target, stage, keys, with_action)
-    return merge_upsert_join(target, stage, keys, with_action, bypass_null_target)
-
-
-def merge_upsert_broadcast(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False) -> DataFrame:
-    """Shuffle-free upsert for a stage of checked, bounded size.
-
-    Only the stage keys are broadcast.  Target rows whose key is not staged are kept by a
-    broadcast anti-join (the target is streamed once, no exchange); a key-column-only scan
-    of the target with a broadcast semi-join tells updates from inserts.  NULL keys never
-    match: NULL-key target rows are kept, NULL-key stage rows inserted.
-    """
-    cols = target.columns
-    stage = stage.select(*cols)
-    skeys = F.broadcast(stage.select(*keys).distinct())
-    kept = target.join(skeys, list(keys), "left_anti").withColumn("_action", F.lit("keep"))
-    hit = F.broadcast(target.select(*keys).join(skeys, list(keys), "left_semi").distinct().withColumn("_hit", F.lit(True)))
-    staged = stage.join(hit, list(keys), "left").select(
-        *cols, F.when(F.col("_hit"), F.lit("update")).otherwise(F.lit("insert")).alias("_action")
-    )
-    merged = kept.select(*cols, "_action").unionByName(staged)
-    return merged if with_action else merged.drop("_action")
-
-
-def merge_upsert_join(
-    target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False, bypass_null_target: bool = True
-) -> DataFrame:
-    """``MERGE ... WHEN MATCHED UPDATE * WHEN NOT MATCHED INSERT *`` as a DataFrame.
-
-    Matched rows take every stage value (unconditionally, even when equal); unmatched
-    stage rows are inserted; target rows without a stage row are kept; nothing is deleted.
-    A NULL key never matches.  Target rows with a NULL key (one more per load, as with a
-    SQL MERGE) bypass the join -- a cheap second scan of the target with a pushed-down
-    filter -- so they cannot pile up in one shuffle partition; the stage goes through the
-    join once (a deduplicated stage holds at most one NULL-key row), so it is computed
-    once.  ``bypass_null_target=False`` when the target is itself a deduplicated stage (at
-    most one NULL-key row): it then goes through the join once as well.
+    Matched rows take every stage value, unconditionally without ``order_col``; with it, unless the
+    target's order is greater (a NULL order is older than any).  Unmatched stage rows are inserted, target rows
+    without a stage row are kept.  A NULL key never matches: such rows go around the join, so they
+    cannot pile up in one of its partitions.  The planner chooses how to join; the result does not depend on sizes.
     ``_action`` = insert / update / keep.
     """
     cols = target.columns
@@ -90,76 +51,29 @@ def merge_upsert_join(
     null_key = F.lit(False)
     for k in keys:
         null_key = null_key | F.col(k).isNull()
-    t = (target.filter(~null_key) if bypass_null_target else target).select(*keys, F.struct(*vals).alias("_t"), F.lit(True).alias("_in_t"))
-    s = stage.select(*keys, F.struct(*vals).alias("_s"), F.lit(True).alias("_in_s"))
+    t = target.filter(~null_key).select(*keys, F.struct(F.lit(True).alias("_in"), *vals).alias("_t"))
+    s = stage.filter(~null_key).select(*keys, F.struct(F.lit(True).alias("_in"), *vals).alias("_s"))
     j = t.join(s, list(keys), "full_outer")
-    action = F.when(F.col("_in_s").isNull(), F.lit("keep")).when(F.col("_in_t").isNull(), F.lit("insert")).otherwise(F.lit("update"))
-    merged = j.select(
-        *[F.col(k) for k in keys],
-        *[F.when(F.col("_in_s").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in vals],
-        action.alias("_action"),
-    ).select(*cols, "_action")
-    if bypass_null_target:
-        merged = merged.unionByName(target.filter(null_key).select(*cols, F.lit("keep").alias("_action")))
+    take = F.col("_s").isNotNull()
+    if order_col:
+        older = F.col("_t").isNull() | F.col(f"_t.{order_col}").isNull() | (F.col(f"_s.{order_col}") >= F.col(f"_t.{order_col}"))
+        take = take & F.coalesce(older, F.lit(False))
+    action = F.when(~take, F.lit("keep")).when(F.col("_t").isNull(), F.lit("insert")).otherwise(F.lit("update"))
+    merged = j.select(*keys, *[F.when(take, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in vals], action.alias("_action")).select(*cols, "_action")
+    merged = merged.unionByName(target.filter(null_key).select(*cols, F.lit("keep").alias("_action")))
+    merged = merged.unionByName(stage.filter(null_key).select(*cols, F.lit("insert").alias("_action")))
     return merged if with_action else merged.drop("_action")
 
 
-def merge_upsert_newer(
-    target: DataFrame,
-    stage: DataFrame,
-    keys: Sequence[str],
-    order_col: str = "_offset",
-    strategy: str = "auto",
-    broadcast_max_rows: int = BROADCAST_STAGE_MAX_ROWS,
-) -> DataFrame:
-    """Upsert that keeps, per key, the row with the highest ``order_col``.
-
-    Incremental and streaming loads keep the log offset of each key beside the row, so a
-    batch that arrives out of order can never overwrite a newer image.  A stage of at most
-    ``broadcast_max_rows`` rows (bounded count; pass a materialised stage) is merged
-    without shuffling the target (``merge_upsert_newer_broadcast``).
-    """
-    if strategy == "broadcast" or (strategy == "auto" and stage.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows):
-        return merge_upsert_newer_broadcast(target, stage, keys, order_col)
-    return merge_upsert_newer_join(target, stage, keys, order_col)
-
+def merge_changes(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Newer offset wins, deletes included: the merge of stored rows with a stage, with ``_action``.
 
-def merge_upsert_newer_broadcast(target: DataFrame, stage: DataFrame, keys: Sequence[str], order_col: str = "_offset") -> DataFrame:
-    """Shuffle-free newer-wins upsert for a small stage.
-
-    The stage is broadcast; a key+order-column scan of the target decides which staged
-    rows win (insert, or newer than the stored row); the winners -- at most the stage --
-    are materialised once; the target is streamed through a broadcast anti-join on them.
+    A staged delete marks its key (and keeps its offset); a delete of a key that is not there is kept as a mark
+    too, because an older image may still come.  The action counts a newly marked row as ``delete``.
     """
-    cols = target.columns
-    s = stage.select(*cols)
-    stored = target.select(*keys, F.col(order_col).alias("_t_order")).join(
-        F.broadcast(s.select(*keys)), list(keys), "left_semi"
-    )
-    labeled = s.join(F.broadcast(stored), list(keys), "left").select(
-        *cols,
-        F.when(F.col("_t_order").isNull(), F.lit("insert"))
-        .when(F.col(order_col) > F.col("_t_order"), F.lit("update"))
-        .alias("_action"),
-    )
-    scratch_root(target.sparkSession)
-    winners = labeled.filter(F.col("_action").isNotNull()).checkpoint()
-    kept = target.join(F.broadcast(winners.select(*keys)), list(keys), "left_anti").select(*cols, F.lit("keep").alias("_action"))
-    return kept.unionByName(winners)
-
-
-def merge_upsert_newer_join(target: DataFrame, stage: DataFrame, keys: Sequence[str], order_col: str = "_offset") -> DataFrame:
-    """Newer-wins upsert as one full-outer join on the key (large stages)."""
-    cols = target.columns
-    vals = [c for c in cols if c not in keys]
-    t = target.select(*keys, F.struct(*vals).alias("_t"))
-    s = stage.select(*cols).select(*keys, F.struct(*vals).alias("_s"))
-    j = t.join(s, list(keys), "full_outer")
-    take_s = F.col("_t").isNull() | (F.col("_s").isNotNull() & (F.col(f"_s.{order_col}") > F.col(f"_t.{order_col}")))
-    action = F.when(F.col("_t").isNull(), F.lit("insert")).when(take_s, F.lit("update")).otherwise(F.lit("keep"))
-    return j.select(*keys, *[F.when(take_s, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in vals], action.alias("_action")).select(
-        *cols, "_action"
-    )
+    merged = merge_upsert(target, stage, keys, with_action=True, order_col="_offset")
+    action = F.when((F.col("_action") != "keep") & F.col("_deleted"), F.lit("delete")).otherwise(F.col("_action"))
+    return merged.withColumn("_action", action)
 
 
 def merge_actions(merged_with_action: DataFrame) -> DataFrame:
@@ -170,8 +84,18 @@ def merge_actions(merged_with_action: DataFrame) -> DataFrame:
 # ----------------------------------------------------------- versioned tables --------
 
 
-def _snap_path(root: str) -> str:
-    return f"{root}/_snapshots"
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _log_path(root: str) -> str:
+    return f"{root}/_log"
 
 
 def _marker_path(root: str) -> str:
@@ -183,17 +107,17 @@ def table_path(root: str, table: str, snapshot_id: int) -> str:
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(SNAPSHOT_DDL).parquet(_snap_path(root))
-    except Exception:
+    """The snapshot log; empty only when there is no log.  Any other read error is raised."""
+    if not _exists(spark, _log_path(root)):
         return spark.createDataFrame([], SNAPSHOT_DDL)
+    rows = spark.read.schema(SNAPSHOT_DDL).option("recursiveFileLookup", "true").json(_log_path(root))
+    return rows.filter(F.col("version").isNotNull())  # a commit that is being written is not there yet
 
 
 def read_markers(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(MARKER_DDL).parquet(_marker_path(root))
-    except Exception:
+    if not _exists(spark, _marker_path(root)):
         return spark.createDataFrame([], MARKER_DDL)
+    return spark.read.schema(MARKER_DDL).parquet(_marker_path(root))
 
 
 def current_snapshots(snaps: DataFrame) -> DataFrame:
@@ -204,110 +128,143 @@ def current_snapshots(snaps: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TableState:
+    """A version of a table: its number, snapshot id, number of buckets, and which snapshot wrote each bucket."""
+
+    version: int = 0
+    snapshot_id: int | None = None
+    buckets: int = BUCKETS
+    files: dict[str, int] = field(default_factory=dict)
+
+
+def table_state(spark: SparkSession, root: str, table: str, snapshot_id: int | None = None) -> TableState:
+    """The current version, or that of ``snapshot_id``; version 0 when there is none.  One row comes back."""
+    snaps = read_snapshots(spark, root).filter(F.col("table") == table)
+    if snapshot_id is not None:
+        snaps = snaps.filter(F.col("snapshot_id") == snapshot_id)
+    row = snaps.agg(F.max_by(F.struct("version", "snapshot_id", "buckets", "files"), "version").alias("s")).first()["s"]
+    return TableState() if row is None else TableState(row["version"], row["snapshot_id"], row["buckets"], row["files"] or {})
+
+
 def current_snapshot(spark: SparkSession, root: str, table: str) -> int:
-    """Scalar read-back of a table's current snapshot id; raises when there is none."""
-    row = current_snapshots(read_snapshots(spark, root).filter(F.col("table") == table)).select("snapshot_id").first()
-    if row is None or row[0] is None:
+    """A table's current snapshot id; raises when there is none."""
+    state = table_state(spark, root, table)
+    if state.snapshot_id is None:
         raise RuntimeError(f"table {table} has no snapshot")
-    return int(row[0])
+    return state.snapshot_id
 
 
-def committed(spark: SparkSession, root: str, table: str, batch_id: int) -> bool:
-    """Was ``batch_id`` already committed to ``table``?  (Replay guard for streams.)"""
+def committed(spark: SparkSession, root: str, table: str, app_id: str, batch_id: int) -> bool:
+    """Did this application already commit this batch?  (Replay guard for streams.)"""
     snaps = read_snapshots(spark, root)
-    return snaps.filter((F.col("table") == table) & (F.col("batch_id") == batch_id)).limit(1).count() > 0
+    return not snaps.filter((F.col("table") == table) & (F.col("app_id") == app_id) & (F.col("batch_id") == batch_id)).isEmpty()
 
 
-def table_state(spark: SparkSession, root: str, table: str, batch_id: int | None = None) -> tuple[int | None, bool]:
-    """``(current snapshot id or None, batch_id already committed)`` in one aggregate over
-    the snapshot log (one row comes back, whatever the log size)."""
-    snaps = read_snapshots(spark, root).filter(F.col("table") == table)
-    done = F.max((F.col("batch_id") == F.lit(batch_id)).cast("int")) if batch_id is not None else F.lit(0)
-    r = snaps.agg(F.max_by("snapshot_id", F.struct("committed_at", "snapshot_id")).alias("sid"), done.alias("done")).first()
-    return (None if r is None or r["sid"] is None else int(r["sid"])), bool(r and r["done"])
+def _read_files(spark: SparkSession, root: str, table: str, state: TableState, schema: T.StructType, buckets: Sequence[int] | None = None) -> DataFrame:
+    wanted = state.files if buckets is None else {str(b): state.files[str(b)] for b in buckets if str(b) in state.files}
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{table_path(root, table, sid)}/_bucket={b}" for b, sid in sorted(wanted.items())])
 
 
-def read_version(spark: SparkSession, root: str, table: str, snapshot_id: int | None, schema: T.StructType | str) -> DataFrame:
-    """Rows of one version (``None`` -> empty frame of ``schema``)."""
-    if snapshot_id is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(table_path(root, table, snapshot_id))
+def _schema(ddl: T.StructType | str, hidden: bool) -> T.StructType:
+    s = ddl if isinstance(ddl, T.StructType) else T.StructType.fromDDL(ddl)
+    extra = T.StructType.fromDDL(HIDDEN_DDL).fields if hidden else []
+    return T.StructType([*s.fields, *[f for f in extra if f.name not in s.fieldNames()]])
+
+
+def read_version(spark: SparkSession, root: str, table: str, snapshot_id: int, schema: T.StructType | str) -> DataFrame:
+    """Rows of one version, without deleted ones."""
+    rows = _read_files(spark, root, table, table_state(spark, root, table, snapshot_id), _schema(schema, True))
+    return rows.filter(~F.coalesce("_deleted", F.lit(False))).select(*_schema(schema, False).fieldNames())
 
 
 def read_current(spark: SparkSession, root: str, table: str, schema: T.StructType | str) -> DataFrame:
     """Rows of the current version, or an empty frame of ``schema`` if the table is new."""
-    try:
-        sid = current_snapshot(spark, root, table)
-    except RuntimeError:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(table_path(root, table, sid))
+    state = table_state(spark, root, table)
+    rows = _read_files(spark, root, table, state, _schema(schema, True))
+    return rows.filter(~F.coalesce("_deleted", F.lit(False))).select(*_schema(schema, False).fieldNames())
 
 
-def ensure_table(spark: SparkSession, root: str, table: str, schema: T.StructType | str, app_id: str = "") -> None:
-    """``CREATE TABLE IF NOT EXISTS``: an empty first version when the log has none."""
-    try:
-        current_snapshot(spark, root, table)
-    except RuntimeError:
-        commit_version(spark, spark.createDataFrame([], schema), root, table, "create", app_id)
+class CommitConflict(RuntimeError):
+    """Another writer committed to the table after this writer read its base version."""
 
 
-def _new_snapshot_id() -> int:
-    return uuid.uuid4().int >> 65
+def _commit(spark: SparkSession, root: str, table: str, base: TableState, row: dict) -> None:
+    """Claim the version after ``base`` by creating its file, which fails if it exists."""
+    version = base.version + 1
+    fs, path = _fs(spark, f"{_log_path(root)}/{table}/{version:012d}.json")
+    text = json.dumps({"table": table, "version": version, "committed_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f"), **row})
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+            raise CommitConflict(f"{table}: version {version} is taken") from e
+        raise
+    out.write(bytearray(text, "utf-8"))
+    out.close()
 
 
-class CommitConflict(RuntimeError):
-    """Another writer committed to the table after this writer read its base version."""
+def ensure_table(spark: SparkSession, root: str, table: str, app_id: str = "", buckets: int = BUCKETS) -> None:
+    """``CREATE TABLE IF NOT EXISTS``: an empty first version when the log has none."""
+    state = table_state(spark, root, table)
+    if state.version == 0:
+        try:
+            _commit(spark, root, table, state, _row(spark, "create", app_id, None, uuid.uuid4().int >> 65, buckets, {}, {}))
+        except CommitConflict:
+            pass  # someone else created it
 
 
-_UNSET = object()
+def _row(spark: SparkSession, operation: str, app_id: str, batch_id: int | None, sid: int, buckets: int, files: dict[str, int], counts: dict[str, int]) -> dict:
+    n = {name: int(counts.get(a, 0)) for name, a in (("inserted", "insert"), ("updated", "update"), ("deleted", "delete"), ("kept", "keep"))}
+    return {"operation": operation, "snapshot_id": sid, **n, "app_id": app_id or spark.sparkContext.applicationId, "batch_id": batch_id, "buckets": buckets, "files": files}
 
 
-def commit_version(
+def merge_into_table(
     spark: SparkSession,
-    df: DataFrame,
     root: str,
     table: str,
-    operation: str,
-    app_id: str,
+    schema: T.StructType | str,
+    staged: DataFrame,
+    keys: Sequence[str],
+    combine: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame] = merge_changes,
+    operation: str = "merge",
+    app_id: str = "",
     batch_id: int | None = None,
-    expected_parent: int | None | object = _UNSET,
+    max_attempts: int = 5,
+    buckets: int = BUCKETS,
 ) -> int:
-    """Write ``df`` as a new version, then append its snapshot-log row (the commit point).
-
-    If ``df`` carries ``_action`` it is stored beside the data (readers select the table
-    schema only) and the insert/update/keep counts come from one scan of that column.
+    """Merge a materialised stage into the current version and commit; returns the snapshot id.
 
-    ``expected_parent`` (the snapshot the merge read) makes the commit optimistic: if the
-    table moved on meanwhile, ``CommitConflict`` is raised before the log row is written
-    and the caller re-reads and retries (the written version folder is never referenced).
+    ``combine(target, stage, keys)`` returns the merged rows of the buckets that hold a staged key (with ``_action``,
+    if it counts); only these buckets are read and written, the others stay the files they are.
+    A commit that finds its version taken reads the new base and merges again.
     """
-    sid = _new_snapshot_id()
-    path = table_path(root, table, sid)
-    df.write.mode("error").parquet(path)
-    written = spark.read.parquet(path)
-    if "_action" in df.columns:
-        counts = {r["_action"]: r["n"] for r in written.groupBy("_action").agg(F.count(F.lit(1)).alias("n")).collect()}
-    else:
-        counts = {"insert": written.count()}
-    if expected_parent is not _UNSET:
-        now_current, _ = table_state(spark, root, table)
-        if now_current != expected_parent:
-            raise CommitConflict(f"{table}: read snapshot {expected_parent}, current is {now_current}")
-    row = [
-        (
-            table,
-            sid,
-            datetime.now(timezone.utc).replace(tzinfo=None),
-            operation,
-            int(counts.get("insert", 0)),
-            int(counts.get("update", 0)),
-            int(counts.get("keep", 0)),
-            app_id or spark.sparkContext.applicationId,
-            batch_id,
-        )
-    ]
-    spark.createDataFrame(row, SNAPSHOT_DDL).coalesce(1).write.mode("append").parquet(_snap_path(root))
-    return sid
+    ensure_table(spark, root, table, app_id, buckets)
+    full = _schema(schema, combine is merge_changes)
+    for attempt in range(max_attempts):
+        base = table_state(spark, root, table)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(base.buckets)).cast("int")
+        touched = [r[0] for r in staged.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
+        target = _read_files(spark, root, table, base, full, touched)
+        sid = uuid.uuid4().int >> 65
+        merged = combine(target, staged, keys).withColumn("_bucket", bucket)
+        path = table_path(root, table, sid)
+        merged.repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(path)
+        counts = {}
+        if "_action" in merged.columns and touched:
+            written = spark.read.schema("_action string").parquet(path)
+            counts = {r["_action"]: r["n"] for r in written.groupBy("_action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        files = {**base.files, **{str(b): sid for b in touched}}
+        try:
+            _commit(spark, root, table, base, _row(spark, operation, app_id, batch_id, sid, base.buckets, files, counts))
+            return sid
+        except CommitConflict:
+            if attempt == max_attempts - 1:
+                raise
+            time.sleep(0.2 * (attempt + 1))
+    raise AssertionError("unreachable")
 
 
 def record_marker(spark: SparkSession, root: str, run_id: str, hop: str, kind: str, value: str) -> None:
@@ -316,18 +273,24 @@ def record_marker(spark: SparkSession, root: str, run_id: str, hop: str, kind: s
 
 def supports_merge(spark: SparkSession, table_name: str) -> bool:
     """True when ``table_name`` is a catalog table whose provider accepts ``MERGE INTO``."""
-    try:
-        provider = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name}").filter(F.col("col_name") == "Provider").first()
-    except Exception:
+    if not spark.catalog.tableExists(table_name):
         return False
+    provider = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name}").filter(F.col("col_name") == "Provider").first()
     return provider is not None and str(provider["data_type"]).lower() in {"delta", "iceberg", "hudi"}
 
 
-def merge_into_catalog(spark: SparkSession, table_name: str, stage: DataFrame, keys: Sequence[str]) -> None:
-    """Row-level ``MERGE INTO`` for catalog tables that support it."""
+def merge_into_catalog(spark: SparkSession, table_name: str, staged: DataFrame, keys: Sequence[str]) -> None:
+    """Row-level ``MERGE INTO`` for catalog tables that support it, with the same meaning: newer offset wins, deletes mark.
+
+    The catalog table has the ``_offset`` and ``_deleted`` columns like any other table here."""
     view = f"_stage_{uuid.uuid4().hex[:8]}"
-    stage.createOrReplaceTempView(view)
+    staged.createOrReplaceTempView(view)
     on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
-    spark.sql(f"MERGE INTO {table_name} AS t USING {view} AS s ON {on} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
+    spark.sql(f"MERGE INTO {table_name} AS t USING {view} AS s ON {on} WHEN MATCHED AND (t._offset IS NULL OR s._offset >= t._offset) THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
     spark.catalog.dropTempView(view)
 
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a reliable checkpoint in the shared folder."""
+    scratch_root(df.sparkSession)
+    return df.checkpoint()

@@ -1,7 +1,7 @@
 """The composed change-log -> table load: one declarative ``TableSpec`` per table.
 
 scan -> decode (JSON or Avro) -> flatten -> live filter -> latest per key -> projection
--> merge into the current version -> commit.  Everything up to the write is one lazy
+-> guard -> merge by offset into the touched buckets -> commit -> marker.  Everything up to the write is one lazy
 plan; the only shuffles are the one by primary key (latest-per-key, partial aggregate
 first) and the merge join by primary key.
 """
@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.decode import attach_writer_schema, decode_avro, decode_json, drop_tombstones, live_changes, live_condition, split_confluent
-from ..operators.transform import ColumnRule, TableSpec, latest_by_key, project
+from ..operators.decode import attach_writer_schema, decode_avro, decode_json, drop_tombstones, keep_decoded, live_changes, live_condition, split_confluent
+from ..operators.transform import ColumnRule, TableSpec, assert_unique_keys, latest_by_key, project
 from ..operators import upsert
-from ..session import scratch_root
 from ..sources.derived import EVENTS_AFTER_DDL, EVENTS_TOPIC, EVENTS_AVRO_TOPIC, CUSTOMER_AFTER_DDL, CUSTOMERS_TOPIC
 
 EVENTS_AVRO_AFTER = T.StructType(
@@ -59,6 +58,7 @@ def events_spec(fmt: str = "json", deletes: str = "ignore") -> TableSpec:
         mapping=events_mapping(fmt),
         fmt=fmt,
         deletes=deletes,
+        avro_after=EVENTS_AVRO_AFTER if fmt == "avro" else None,
     )
 
 
@@ -72,8 +72,8 @@ def customers_spec() -> TableSpec:
 
 
 def key_ddl(spec: TableSpec) -> str:
-    names = {f.split(" ")[0]: f.split(" ")[1] for f in [p.strip() for p in spec.after_ddl.split(",")]}
-    return ", ".join(f"{k} {names.get(k, 'string')}" for k in spec.keys)
+    types = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(spec.after_ddl).fields}
+    return ", ".join(f"`{k}` {types.get(k, 'string')}" for k in spec.keys)
 
 
 def decoded_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, tombstones: bool = True) -> DataFrame:
@@ -89,7 +89,7 @@ def decoded_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None
     else:
         if registry is None:
             raise ValueError("Avro decoding needs the registry")
-        parsed = decode_avro(attach_writer_schema(split_confluent(log), registry), EVENTS_AVRO_AFTER, registry)
+        parsed = decode_avro(attach_writer_schema(split_confluent(log), registry), spec.avro_after or T.StructType.fromDDL(spec.after_ddl), registry)
     return parsed.select(
         F.col("envelope.after").alias("after"),
         F.col("envelope.op").alias("op"),
@@ -121,6 +121,24 @@ def stage(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None, ke
     return project(latest, spec.mapping, extra=[F.col("offset").alias("_offset")] if keep_offset else ())
 
 
+def stage_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None = None) -> DataFrame:
+    """The stage of a load into a table: the sink columns, ``_offset`` and ``_deleted``, one row per key.
+
+    ``deletes="ignore"``: the last live image of each key.  ``deletes="apply"``: the last change of each key; where it is a
+    delete or a tombstone the row holds only the key (from the message key), its offset and the flag.
+    """
+    if spec.deletes != "apply":
+        return stage(log, spec, registry, keep_offset=True).withColumn("_deleted", F.lit(False))
+    pks = {f"after.{k}": f"_pk{i}" for i, k in enumerate(spec.keys)}
+    flat = decoded_changes(log, spec, registry)
+    slim = flat.select("after", "op", "offset", *[F.col(f"_key.{k}").alias(p) for k, p in zip(spec.keys, pks.values(), strict=True)])
+    latest = latest_by_key(slim, list(pks.values())).withColumn("_deleted", ~F.coalesce(live_condition(), F.lit(False)))
+    # a delete of no key deletes nothing
+    latest = keep_decoded(latest, lambda r: ~(r["_deleted"] & r["_pk0"].isNull()))
+    latest = latest.withColumn("after", F.when(~F.col("_deleted"), F.col("after")))
+    return project(latest, spec.mapping, extra=[F.col("offset").alias("_offset"), F.col("_deleted")], key_columns=pks)
+
+
 def register_stage_views(log: DataFrame, spec: TableSpec, prefix: str, registry: DataFrame | None = None) -> list[str]:
     """Expose each step as a temp view for SQL users: ``{prefix}_flat`` (decoded
     envelopes), ``{prefix}_dedup`` (latest live change per key), ``{prefix}_stage``."""
@@ -140,26 +158,22 @@ def load_table(
     registry: DataFrame | None = None,
     app_id: str = "",
     batch_id: int | None = None,
-    max_attempts: int = 3,
-) -> int:
-    """Run one load: stage -> merge into the current version -> commit; returns the snapshot id.
-
-    The commit is optimistic: if another writer committed after the base version was
-    read, the merge is redone on the new current version (up to ``max_attempts``).
+    run_id: str = "",
+) -> int | None:
+    """Run one load: stage -> guard -> merge into the current version -> commit -> marker.
 
-    The stage is materialised once (reliable checkpoint): its bounded size check then
-    picks the merge strategy -- a small stage is merged without shuffling the table.
+    The stage is materialised once, checked to hold one row per key, and merged by offset (``upsert.merge_changes``),
+    deletes included.  A catalog table that supports it gets the same as ``MERGE INTO`` (and returns None); else
+    the snapshot id is returned.  The run's version marker is recorded after the commit.
     """
-    upsert.ensure_table(spark, root, spec.table, sink_ddl, app_id)
-    scratch_root(spark)
-    staged = stage(log, spec, registry).checkpoint()
-    for attempt in range(max_attempts):
-        base, _ = upsert.table_state(spark, root, spec.table)
-        target = upsert.read_version(spark, root, spec.table, base, sink_ddl)
-        merged = upsert.merge_upsert(target, staged, list(spec.keys), with_action=True)
-        try:
-            return upsert.commit_version(spark, merged, root, spec.table, "merge", app_id, batch_id, expected_parent=base)
-        except upsert.CommitConflict:
-            if attempt == max_attempts - 1:
-                raise
-    raise AssertionError("unreachable")
+    staged = upsert.materialised(stage_changes(log, spec, registry))
+    keyed = staged.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in spec.keys))
+    assert_unique_keys(keyed, spec.keys)
+    run = run_id or app_id or spark.sparkContext.applicationId
+    if upsert.supports_merge(spark, spec.table):
+        upsert.merge_into_catalog(spark, spec.table, staged, list(spec.keys))
+        upsert.record_marker(spark, root, run, "topic->table", "catalog_merge", spec.table)
+        return None
+    sid = upsert.merge_into_table(spark, root, spec.table, sink_ddl, staged, list(spec.keys), app_id=app_id, batch_id=batch_id)
+    upsert.record_marker(spark, root, run, "topic->table", "snapshot_id", str(sid))
+    return sid

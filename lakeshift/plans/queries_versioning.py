@@ -10,8 +10,8 @@ from ..functions import identity as idn
 from ..lineage import audit
 from ..lineage.events import runs
 from ..operators.decode import keep_decoded
-from ..operators.upsert import current_snapshots, merge_actions, merge_upsert
-from ..session import scratch_root
+from ..operators.upsert import current_snapshots, merge_actions, merge_upsert, read_current, read_markers, read_snapshots
+from ..session import scratch_path, scratch_root
 from ..sources import changelog as cl
 from ..sources import derived as d
 from . import loader
@@ -45,8 +45,7 @@ def q_merge_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = cl.restrict_offsets(log, [(r["topic"], r["partition"], 0, r["start_offset"]) for r in resume])
     second = cl.restrict_offsets(log, [(r["topic"], r["partition"], r["start_offset"], None) for r in resume])
     spec = loader.events_spec("json")
-    # the target is itself a computed stage: one full-outer join computes each side once
-    return merge_upsert(loader.stage(first, spec), loader.stage(second, spec), ["user_id"], bypass_null_target=False, strategy="join")
+    return merge_upsert(loader.stage(first, spec), loader.stage(second, spec), ["user_id"])
 
 
 def loader_resume(log: DataFrame) -> DataFrame:
@@ -55,9 +54,30 @@ def loader_resume(log: DataFrame) -> DataFrame:
     return second_batch_ranges(log)
 
 
+def _two_loads(spark: SparkSession, sf_dir: str, name: str, deletes: str) -> tuple[str, object]:
+    """Two loads of the events log into one table: the first half of each partition, then the rest."""
+    log = d.events_log(spark, sf_dir)
+    resume = loader_resume(log).collect()  # one row per topic partition
+    root = scratch_path(spark, name)
+    spec = loader.events_spec("json", deletes=deletes)
+    halves = [(r["topic"], r["partition"], 0, r["start_offset"]) for r in resume], [(r["topic"], r["partition"], r["start_offset"], None) for r in resume]
+    for i, half in enumerate(halves):
+        loader.load_table(spark, spec, cl.restrict_offsets(log, half), root, loader.EVENTS_SINK_DDL, run_id=f"load-{i + 1}")
+    return root, spec
+
+
 def q_merge_apply_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``deletes="apply"``: keys whose last change is a delete/tombstone disappear."""
-    return loader.stage(d.events_log(spark, sf_dir), loader.events_spec("json", deletes="apply"))
+    """``deletes="apply"``: the second load's deletes take keys out of the table that the first load wrote."""
+    root, spec = _two_loads(spark, sf_dir, "apply_deletes", "apply")
+    return read_current(spark, root, spec.table, loader.EVENTS_SINK_DDL)
+
+
+def q_load_table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot log and version markers of two loads."""
+    root, spec = _two_loads(spark, sf_dir, "load_versions", "ignore")
+    snaps = read_snapshots(spark, root).filter(F.col("table") == spec.table)
+    marks = read_markers(spark, root).select(F.col("marker_value").cast("bigint").alias("snapshot_id"), "run_id", "hop")
+    return snaps.join(marks, "snapshot_id", "left").select("version", "operation", "inserted", "updated", "deleted", "run_id", "hop")
 
 
 def q_current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +124,7 @@ def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = d.events_log(spark, sf_dir).select("topic").unionByName(d.orders_snapshot_log(spark, sf_dir).select("topic")).unionByName(
-        d.customers_v1_log(spark, sf_dir).select("topic")
+        d.customers_log(spark, sf_dir).select("topic")
     )
     return logs.distinct()
 
@@ -168,6 +188,7 @@ QUERIES = {
     "merge_actions": q_merge_actions,
     "merge_two_batches": q_merge_two_batches,
     "merge_apply_deletes": q_merge_apply_deletes,
+    "load_table_versions": q_load_table_versions,
     "current_snapshot": q_current_snapshot,
     "snapshot_for_run": q_snapshot_for_run,
     "check_retention": q_check_retention,

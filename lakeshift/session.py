@@ -42,10 +42,12 @@ def local_session(cpus: int | str = "*", app: str = "lakeshift", shuffle_partiti
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
-    Reads ``spark.checkpoint.dir`` from the session (cluster setting).  Only when it is
-    unset -- local tests -- a private folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session (cluster setting).  Only a local master, whose tasks
+    share the driver's disk, may leave it unset: a private folder is then created and registered.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="lakeshift-")
         spark.conf.set("spark.checkpoint.dir", root)

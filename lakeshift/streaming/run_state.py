@@ -1,130 +1,67 @@
-"""Streaming run state: heartbeats, terminal events and stale runs (custom stateful operator).
+"""Streaming run state, without state in Python.
 
-Per run the stream keeps one small state row (current state, first START, last terminal
-event, last event time and sequence) in ``applyInPandasWithState``.  Each micro-batch
-emits the updated rows; a run that sees no event for ``stale_after`` (event time, with a
-watermark) is emitted once more flagged ``stale`` and its state is removed, so state holds
-only runs that are still active.  A later event re-opens the run.
+Every micro-batch is reduced to one row per run by a plain aggregate (map-side first, so a run that holds
+a third of all events costs one row per partition) and merged into a versioned table by an order-independent
+combine: first START = min, last terminal event = max, current state = newest event.  No watermark drops a late
+event: in whatever order events arrive, the table equals the batch ``run_state`` of what has arrived.
 
-The sink merges the updates into a versioned table with an order-independent combine
-(first START = min, last terminal = max, current state = newest event), so evicting state
-never loses information and the table equals the batch ``run_state`` at every point.
+A run is *stale* when it is still open and its last event is older than ``stale_after`` before the newest event of the
+table; that depends on all runs, so it is derived when the table is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.timeprec import epoch_micros
 from ..operators import upsert
 
-UPDATE_DDL = "run_id string, state string, started_us long, ended_us long, last_us long, last_seq long, stale boolean"
-STATE_DDL = "state string, started_us long, ended_us long, last_us long, last_seq long"
-TABLE_DDL = (
-    "run_id string, state string, started_at timestamp_ntz, ended_at timestamp_ntz, "
-    "last_event_at timestamp_ntz, last_seq bigint, stale boolean"
-)
+TABLE_DDL = "run_id string, state string, started_at timestamp_ntz, ended_at timestamp_ntz, last_event_at timestamp_ntz, last_seq bigint"
 TERMINAL = ("COMPLETE", "FAIL")
-
-
-def _min(a, b):
-    return b if a is None else a if b is None else min(a, b)
-
-
-def _max(a, b):
-    return b if a is None else a if b is None else max(a, b)
-
-
-def _run_state_fn(stale_after_us: int):
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run_id,) = key
-        if state.hasTimedOut:
-            cur, started, ended, last_us, last_seq = state.get
-            state.remove()
-            if cur in ("START", "RUNNING"):
-                yield pd.DataFrame([(run_id, cur, started, ended, last_us, last_seq, True)], columns=UPDATE_COLS)
-            return
-        cur, started, ended, last_us, last_seq = state.get if state.exists else (None, None, None, None, None)
-        for pdf in batches:
-            pdf = pdf.sort_values(["_us", "seq"])
-            top = pdf.iloc[-1]
-            if last_us is None or (int(top["_us"]), int(top["seq"])) > (last_us, last_seq):
-                cur, last_us, last_seq = top["event_type"], int(top["_us"]), int(top["seq"])
-            s = pdf.loc[pdf["event_type"] == "START", "_us"]
-            e = pdf.loc[pdf["event_type"].isin(TERMINAL), "_us"]
-            started = _min(started, int(s.min()) if len(s) else None)
-            ended = _max(ended, int(e.max()) if len(e) else None)
-        state.update((cur, started, ended, last_us, last_seq))
-        state.setTimeoutTimestamp(max(last_us // 1000 + stale_after_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(run_id, cur, started, ended, last_us, last_seq, False)], columns=UPDATE_COLS)
-
-    return fn
-
-
-UPDATE_COLS = [f.split(" ")[0] for f in UPDATE_DDL.split(", ")]
-
-
-def run_state_updates(
-    events: DataFrame, stale_after: str = "1 day", stale_after_us: int = 86_400_000_000, allowed_lateness: str | None = None
-) -> DataFrame:
-    """Streaming (or batch) run events -> per-run state updates (update mode).
-
-    ``allowed_lateness`` is the watermark delay (default: ``stale_after``); events older
-    than the watermark are dropped by the stateful operator, and a run is flagged stale
-    once the watermark passes its last event + ``stale_after``.
-    """
-    ev = events.select(
-        "run_id", "seq", "event_type", epoch_micros(F.col("event_time")).alias("_us")
-    ).withColumn("_wm", F.timestamp_micros("_us"))
-    return (
-        ev.withWatermark("_wm", allowed_lateness or stale_after)
-        .groupBy("run_id")
-        .applyInPandasWithState(_run_state_fn(stale_after_us), UPDATE_DDL, STATE_DDL, "update", GroupStateTimeout.EventTimeTimeout)
+OPEN = ("START", "RUNNING")
+
+
+def reduce_events(events: DataFrame) -> DataFrame:
+    """Batch of run events -> one row per run, in the columns of the table."""
+    newest = F.struct(F.col("event_time").cast("timestamp_ntz"), "seq")
+    at = F.col("event_time").cast("timestamp_ntz")
+    return events.groupBy("run_id").agg(
+        F.max_by("event_type", newest).alias("state"),
+        F.min(F.when(F.col("event_type") == "START", at)).alias("started_at"),
+        F.max(F.when(F.col("event_type").isin(*TERMINAL), at)).alias("ended_at"),
+        F.max(at).alias("last_event_at"),
+        F.max_by("seq", newest).alias("last_seq"),
     )
 
 
-def _to_ntz(us_col: str):
-    return F.timestamp_add("MICROSECOND", F.col(us_col), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+def merge_run_state(target: DataFrame, updates: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Order-independent combine of run-state rows."""
+    both = target.unionByName(updates.select(*target.columns))
+    newest = F.struct("last_event_at", "last_seq")
+    return both.groupBy(*keys).agg(
+        F.max_by("state", newest).alias("state"),
+        F.min("started_at").alias("started_at"),
+        F.max("ended_at").alias("ended_at"),
+        F.max("last_event_at").alias("last_event_at"),
+        F.max_by("last_seq", newest).alias("last_seq"),
+    )
 
 
-def merge_run_state(target: DataFrame, updates: DataFrame) -> DataFrame:
-    """Order-independent combine of run-state rows (keyed by ``run_id``)."""
-    u = updates.select(
-        "run_id", "state", _to_ntz("started_us").alias("started_at"), _to_ntz("ended_us").alias("ended_at"),
-        _to_ntz("last_us").alias("last_event_at"), "last_seq", "stale",
-    )
-    u = u.groupBy("run_id").agg(
-        F.max_by(F.struct("state", "stale"), F.struct("last_event_at", "last_seq", "stale")).alias("_n"),
-        F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"),
-        F.max("last_event_at").alias("last_event_at"), F.max("last_seq").alias("last_seq"),
-    )
-    t = target.select("run_id", F.struct(*[c for c in target.columns if c != "run_id"]).alias("_t"))
-    j = t.join(u, "run_id", "full_outer")
-    newer = F.col("_t").isNull() | (
-        F.col("_n").isNotNull() & (F.struct("last_event_at", "last_seq", F.col("_n.stale")) >= F.struct("_t.last_event_at", "_t.last_seq", "_t.stale"))
-    )
-    return j.select(
-        "run_id",
-        F.when(newer, F.col("_n.state")).otherwise(F.col("_t.state")).alias("state"),
-        F.least("started_at", "_t.started_at").alias("started_at"),
-        F.greatest("ended_at", "_t.ended_at").alias("ended_at"),
-        F.greatest("last_event_at", "_t.last_event_at").alias("last_event_at"),
-        F.greatest("last_seq", "_t.last_seq").alias("last_seq"),
-        F.when(newer, F.col("_n.stale")).otherwise(F.col("_t.stale")).alias("stale"),
-    )
+def with_stale(table: DataFrame, stale_after: str = "1 day") -> DataFrame:
+    """The table with its ``stale`` flag; the newest event of the table is the clock (one row, joined to all)."""
+    now = table.select(F.lit(1).alias("_one"), "last_event_at").groupBy("_one").agg(F.max("last_event_at").alias("_now"))
+    rows = table.withColumn("_one", F.lit(1)).join(F.broadcast(now), "_one", "left")
+    stale = F.col("state").isin(*OPEN) & (F.col("last_event_at") < F.col("_now") - F.expr(f"INTERVAL {stale_after}"))
+    return rows.withColumn("stale", F.coalesce(stale, F.lit(False))).drop("_one", "_now")
 
 
-def sink_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, table: str) -> None:
-    current, done = upsert.table_state(spark, root, table, batch_id)
-    if done:
+def sink_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, table: str, run_id: str) -> None:
+    if upsert.committed(spark, root, table, run_id, batch_id):
         return
-    target = upsert.read_version(spark, root, table, current, TABLE_DDL)
-    upsert.commit_version(spark, merge_run_state(target, batch), root, table, "stream-merge", "run-state", batch_id, expected_parent=current)
+    staged = upsert.materialised(reduce_events(batch))
+    upsert.merge_into_table(spark, root, table, TABLE_DDL, staged, ["run_id"], combine=merge_run_state, operation="stream-merge", app_id=run_id, batch_id=batch_id)
 
 
 def stream_run_state(
@@ -135,15 +72,14 @@ def stream_run_state(
     checkpoint: str,
     table: str = "lineage.run_state",
     max_files_per_trigger: int = 1,
-    allowed_lateness: str | None = None,
+    run_id: str = "run-state",
 ):
     """Start the streaming run-state job over a folder of run-event files (drains and stops)."""
     stream = spark.readStream.schema(events_ddl).option("maxFilesPerTrigger", max_files_per_trigger).parquet(events_dir)
     return (
-        run_state_updates(stream, allowed_lateness=allowed_lateness)
-        .writeStream.foreachBatch(lambda df, bid: sink_batch(spark, df, bid, root, table))
+        stream.select("run_id", "seq", "event_type", "event_time")
+        .writeStream.foreachBatch(lambda df, bid: sink_batch(spark, df, bid, root, table, run_id))
         .option("checkpointLocation", checkpoint)
-        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..operators import upsert
 from ..operators.transform import TableSpec
 from ..plans import loader
-from ..session import scratch_root
 from ..sources.changelog import LOG_DDL, LOG_COLUMNS
 
 
@@ -29,26 +28,16 @@ def stream_changelog(spark: SparkSession, source: str, fmt: str = "parquet", max
     return spark.readStream.schema(LOG_DDL).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
 
 
-def sink_ddl_with_offset(sink_ddl: str) -> str:
-    return sink_ddl + ", _offset bigint"
-
-
 def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, spec: TableSpec, root: str, sink_ddl: str, run_id: str) -> None:
-    """One micro-batch: skip if already committed, else merge newer-offset-wins and commit.
+    """One micro-batch: skip if this stream already committed it, else merge by offset and commit.
 
-    The snapshot-log row carries ``(app_id, batch_id)``: it is the stream hop's version
-    marker, written last as the commit point.
+    The snapshot-log row carries ``(app_id, batch_id)``: it is the stream hop's version marker, written last as
+    the commit point.  A batch load and a stream may write one table: both compare offsets.
     """
-    current, done = upsert.table_state(spark, root, spec.table, batch_id)
-    if done:
+    if upsert.committed(spark, root, spec.table, run_id, batch_id):
         return
-    ddl = sink_ddl_with_offset(sink_ddl)
-    target = upsert.read_version(spark, root, spec.table, current, ddl)
-    scratch_root(spark)
-    staged = loader.stage(batch, spec, keep_offset=True).checkpoint()  # computed once: size check + merge
-    merged = upsert.merge_upsert_newer(target, staged, list(spec.keys))
-    # optimistic: a concurrent writer fails this batch, which then replays idempotently
-    upsert.commit_version(spark, merged, root, spec.table, "stream-merge", run_id, batch_id, expected_parent=current)
+    staged = upsert.materialised(loader.stage_changes(batch, spec))
+    upsert.merge_into_table(spark, root, spec.table, sink_ddl, staged, list(spec.keys), operation="stream-merge", app_id=run_id, batch_id=batch_id)
 
 
 def stream_upsert(
@@ -72,7 +61,7 @@ def stream_upsert(
 
 
 def current_table(spark: SparkSession, root: str, spec: TableSpec, sink_ddl: str) -> DataFrame:
-    return upsert.read_current(spark, root, spec.table, sink_ddl_with_offset(sink_ddl)).drop("_offset")
+    return upsert.read_current(spark, root, spec.table, sink_ddl)
 
 
 def write_log_files(log: DataFrame, path: str, files: int) -> None:

@@ -21,33 +21,23 @@ def test_stream_equals_batch_and_replay_is_noop(spark, scratch):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     snaps = upsert.read_snapshots(spark, f"{scratch}/tables")
     n = snaps.count()
-    upsert_batch(spark, spark.read.parquet(log_dir), 0, spec, f"{scratch}/tables", loader.EVENTS_SINK_DDL, "replay")
+    upsert_batch(spark, spark.read.parquet(log_dir), 0, spec, f"{scratch}/tables", loader.EVENTS_SINK_DDL, "stream")
     assert upsert.read_snapshots(spark, f"{scratch}/tables").count() == n
 
 
-def test_run_state_stream_evicts_and_reopens(spark, scratch):
-    from lakeshift.plans.queries_streaming import write_time_sliced
-    from lakeshift.streaming.run_state import TABLE_DDL, stream_run_state
+def test_run_state_stream_takes_late_events(spark, scratch):
+    from lakeshift.streaming.run_state import TABLE_DDL, stream_run_state, with_stale
 
-    rows = [
-        ("2024-01-01 00:00:00", 1, "START", "a"), ("2024-01-01 01:00:00", 2, "RUNNING", "a"),
-        ("2024-01-01 00:30:00", 3, "START", "b"),
-    ] + [(f"2024-01-{d:02d} 12:00:00", 10 + d, "RUNNING", "b") for d in range(2, 9)] + [
-        ("2024-01-09 00:00:00", 30, "COMPLETE", "a"),  # a re-opens after going stale
+    slices = [
+        [("2024-01-20 00:00:00", 9, "START", "b"), ("2024-01-01 00:00:00", 1, "START", "a")],
+        [("2024-01-02 00:00:00", 2, "COMPLETE", "a"), ("2024-01-19 00:00:00", 3, "RUNNING", "b"), (None, 4, "RUNNING", "c")],
+        [("2024-01-05 00:00:00", 5, "START", "d")],
     ]
-    ev = spark.createDataFrame(rows, "event_time string, seq bigint, event_type string, run_id string").withColumn(
-        "event_time", F.col("event_time").cast("timestamp_ntz")
-    )
-    write_time_sliced(ev, f"{scratch}/ev", "event_time", 4, files_per_slice=1)
-    q = stream_run_state(spark, f"{scratch}/ev", spark.read.parquet(f"{scratch}/ev").schema, f"{scratch}/t", f"{scratch}/ck")
-    q.awaitTermination()
-    snaps = upsert.read_snapshots(spark, f"{scratch}/t").orderBy("committed_at").collect()
-    got = {r["run_id"]: r for r in upsert.read_current(spark, f"{scratch}/t", "lineage.run_state", TABLE_DDL).collect()}
-    assert str(got["a"]["started_at"]) == "2024-01-01 00:00:00" and got["a"]["state"] == "COMPLETE" and not got["a"]["stale"]
-    assert got["b"]["state"] == "RUNNING" and str(got["b"]["last_event_at"]) == "2024-01-08 12:00:00"
-    # some version in between had run a flagged stale (its state was evicted, then re-opened)
-    stale_seen = False
-    for s in snaps:
-        v = spark.read.schema(TABLE_DDL).parquet(upsert.table_path(f"{scratch}/t", "lineage.run_state", s["snapshot_id"]))
-        stale_seen |= v.filter("run_id = 'a' AND stale").count() > 0
-    assert stale_seen
+    for rows in slices:
+        ev = spark.createDataFrame(rows, "event_time string, seq bigint, event_type string, run_id string")
+        ev.withColumn("event_time", F.col("event_time").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{scratch}/ev")
+        q = stream_run_state(spark, f"{scratch}/ev", spark.read.parquet(f"{scratch}/ev").schema, f"{scratch}/t", f"{scratch}/ck")
+        q.awaitTermination()
+    got = {r["run_id"]: r for r in with_stale(upsert.read_current(spark, f"{scratch}/t", "lineage.run_state", TABLE_DDL)).collect()}
+    assert (got["a"]["state"], str(got["a"]["started_at"]), str(got["a"]["ended_at"]), got["a"]["stale"]) == ("COMPLETE", "2024-01-01 00:00:00", "2024-01-02 00:00:00", False)
+    assert (got["b"]["state"], got["b"]["stale"], got["c"]["state"], got["d"]["stale"]) == ("START", False, "RUNNING", True)
