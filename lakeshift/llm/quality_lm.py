@@ -109,8 +109,8 @@ def _tagged(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _all_orders(keys: np.ndarray, order: int) -> np.ndarray:
-    """The distinct n-grams of all orders in ``keys``, tagged and ascending; contexts of a text's first bytes too."""
-    out = [_tagged(keys, order)]
+    """The distinct n-grams of all orders in ``keys`` and the empty context, tagged and ascending; contexts of a text's first bytes too."""
+    out = [np.zeros(1, _U), _tagged(keys, order)]
     for n in range(order - 1, 0, -1):
         keys = np.unique(np.concatenate([keys & _U((1 << 8 * n) - 1), keys >> _U(8)]))
         out.append(_tagged(keys, n))
