@@ -1,8 +1,7 @@
-"""Schemaless Avro binary reader/writer for the record shapes of change envelopes.
+"""Avro schemas, and an encoder for the change logs that ``sources/derived.py`` makes (a log's writer is not this library).
 
-Used only inside Arrow batches (``mapInArrow``) when the ``spark-avro`` package is not
-on the classpath.  Covered types: null, boolean, int, long, float, double, string, bytes
-(with the decimal logical type), enum, records (named and referenced) and unions.
+Reading is in ``avro_columns``.  Covered types: null, boolean, int, long, float, double, string, bytes (with the
+decimal logical type), enum, records (named and referenced) and unions.
 """
 
 from __future__ import annotations
@@ -49,114 +48,6 @@ def parse_schema(schema: str | dict | list) -> Any:
     return walk(json.loads(schema) if isinstance(schema, str) else schema, None)
 
 
-def _read_long(buf: memoryview, pos: int) -> tuple[int, int]:
-    shift = 0
-    acc = 0
-    while True:
-        b = buf[pos]
-        pos += 1
-        acc |= (b & 0x7F) << shift
-        if b < 0x80:
-            break
-        shift += 7
-    return (acc >> 1) ^ -(acc & 1), pos
-
-
-def _read(node: Any, buf: memoryview, pos: int) -> tuple[Any, int]:
-    t = node["type"]
-    if t == "record":
-        out = {}
-        for name, sub in node["fields"]:
-            out[name], pos = _read(sub, buf, pos)
-        return out, pos
-    if t == "union":
-        idx, pos = _read_long(buf, pos)
-        return _read(node["branches"][idx], buf, pos)
-    if t in ("int", "long"):
-        return _read_long(buf, pos)
-    if t in ("string", "bytes"):
-        n, pos = _read_long(buf, pos)
-        raw = bytes(buf[pos : pos + n])
-        pos += n
-        if t == "string":
-            return raw.decode("utf-8"), pos
-        if "scale" in node:
-            return Decimal(int.from_bytes(raw, "big", signed=True)).scaleb(-node["scale"]), pos
-        return raw, pos
-    if t == "null":
-        return None, pos
-    if t == "boolean":
-        return buf[pos] == 1, pos + 1
-    if t == "double":
-        return struct.unpack_from("<d", buf, pos)[0], pos + 8
-    if t == "float":
-        return struct.unpack_from("<f", buf, pos)[0], pos + 4
-    if t == "enum":
-        i, pos = _read_long(buf, pos)
-        return node["symbols"][i], pos
-    raise ValueError(f"unsupported Avro type {t}")
-
-
-def decode(node: Any, payload: bytes) -> Any:
-    value, _ = _read(node, memoryview(payload), 0)
-    return value
-
-
-def compile_reader(node: Any):
-    """Turn a parsed schema into a reader closure ``(buf, pos) -> (value, pos)``.
-
-    The type dispatch happens once per schema instead of once per field per record.
-    """
-    t = node["type"]
-    if t == "record":
-        fields = [(name, compile_reader(sub)) for name, sub in node["fields"]]
-
-        def read_record(buf, pos):
-            out = {}
-            for name, rd in fields:
-                out[name], pos = rd(buf, pos)
-            return out, pos
-
-        return read_record
-    if t == "union":
-        branches = [compile_reader(b) for b in node["branches"]]
-
-        def read_union(buf, pos):
-            i, pos = _read_long(buf, pos)
-            return branches[i](buf, pos)
-
-        return read_union
-    if t in ("int", "long"):
-        return _read_long
-    if t == "null":
-        return lambda buf, pos: (None, pos)
-    if t == "string":
-
-        def read_string(buf, pos):
-            n, pos = _read_long(buf, pos)
-            return str(buf[pos : pos + n], "utf-8"), pos + n
-
-        return read_string
-    if t == "bytes":
-        scale = node.get("scale")
-
-        def read_bytes(buf, pos):
-            n, pos = _read_long(buf, pos)
-            raw = bytes(buf[pos : pos + n])
-            if scale is None:
-                return raw, pos + n
-            return Decimal(int.from_bytes(raw, "big", signed=True)).scaleb(-scale), pos + n
-
-        return read_bytes
-    return lambda buf, pos: _read(node, buf, pos)
-
-
-def decoder(schema: str | dict | list):
-    """``payload -> value`` for a writer schema, compiled once."""
-    rd = compile_reader(parse_schema(schema))
-    return lambda payload: rd(memoryview(payload), 0)[0]
-
-
 def _write_long(out: bytearray, v: int) -> None:
     z = (v << 1) ^ (v >> 63)
     while z & ~0x7F:

@@ -1,21 +1,22 @@
 """Envelope decoding: JSON (``from_json``) and Confluent-framed Avro.
 
-JSON stays JVM-side.  Avro uses ``from_avro`` when the ``spark-avro`` package is loaded;
-otherwise frames are split natively, joined to their writer schema, and only the record
-body is decoded in Arrow batches (``mapInArrow``) -- never row-at-a-time UDFs.
+JSON stays JVM-side.  Avro frames are split natively; the bodies are decoded in Arrow batches (``mapInArrow``),
+column by column for all rows of a writer schema (``functions/avro_columns``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import avro_binary
-from ..plans.sizing import bounded_broadcast
+from ..functions import avro_columns
 
 SOURCE_DDL = (
     "struct<connector:string,name:string,db:string,table:string,ts_ms:bigint,ts_us:bigint,"
@@ -99,7 +100,7 @@ def split_confluent(log: DataFrame) -> DataFrame:
     magic_ok = F.hex(F.substring(v, 1, 1)) == F.lit("00")
     schema_id = F.conv(F.hex(F.substring(v, 2, 4)), 16, 10).cast("int")
     checked_id = F.when(v.isNull(), F.lit(None).cast("int")).when(magic_ok, schema_id).otherwise(
-        F.raise_error(F.concat(F.lit("Unexpected Confluent magic byte: "), F.hex(F.substring(v, 1, 1)))).cast("int")
+        F.raise_error(F.concat(F.lit("frame does not begin with the magic byte 00 but with "), F.hex(F.substring(v, 1, 1)))).cast("int")
     )
     return log.select(
         *PASS_COLUMNS,
@@ -108,117 +109,63 @@ def split_confluent(log: DataFrame) -> DataFrame:
     )
 
 
-def attach_writer_schema(frames: DataFrame, registry: DataFrame, max_schemas: int = 10_000) -> DataFrame:
-    """Join each frame to its writer schema by id; an unknown id fails the job.
+#: Schema texts that are sent to the tasks; a larger registry is joined to the frames by id.
+REGISTRY_BYTES = 16 << 20
 
-    The registry holds one row per schema version -- small by construction; it is
-    broadcast only after its row count is checked against ``max_schemas``.
-    """
-    reg = bounded_broadcast(registry.select("schema_id", F.col("schema").alias("writer_schema")), max_schemas)
-    j = frames.join(reg, "schema_id", "left")
-    missing = F.col("schema_id").isNotNull() & F.col("writer_schema").isNull()
-    return j.withColumn(
-        "writer_schema",
-        F.when(missing, F.raise_error(F.concat(F.lit("Unknown schema id: "), F.col("schema_id").cast("string")))).otherwise(
-            F.col("writer_schema")
-        ),
-    )
 
+def with_schema(frames: DataFrame, id_column: str, registry: DataFrame) -> tuple[DataFrame, dict[int, str] | None]:
+    """The frames and the schema of each id: as a map when all texts together are small, else as a joined column ``writer_schema``."""
+    size = registry.agg(F.coalesce(F.sum(F.octet_length("schema")), F.lit(0))).first()[0]
+    if size <= REGISTRY_BYTES:
+        return frames, {r["schema_id"]: r["schema"] for r in registry.select("schema_id", "schema").collect()}
+    return frames.join(registry.select(F.col("schema_id").alias(id_column), F.col("schema").alias("writer_schema")), id_column, "left"), None
 
-def avro_package_loaded(spark) -> bool:
-    try:
-        jvm = spark.sparkContext._jvm
-        jvm.java.lang.Class.forName("org.apache.spark.sql.avro.AvroDataToCatalyst")
-        return True
-    except Exception:
-        return False
 
-
-def _arrow_decoder(after_type: T.StructType, arrow_schema: pa.Schema):
-    after_fields = [f.name for f in after_type.fields]
+def _arrow_decoder(column: str, kind: pa.DataType, schemas: dict[int, str] | None, keep: list[str], out: pa.Schema):
+    """Decode the bodies in ``column``, the rows of one schema id at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, object] = {}
         for b in batches:
-            cols = b.to_pydict()
-            envs = []
-            for payload, ws in zip(cols["payload"], cols["writer_schema"]):
-                if payload is None:
-                    envs.append(None)
+            ids = b.column(f"{column}_id")
+            parts, order = [], []
+            for schema_id in ids.unique().to_pylist():
+                rows = np.flatnonzero((ids.is_null() if schema_id is None else pc.equal(ids, schema_id).fill_null(False)).to_numpy(zero_copy_only=False))
+                order.append(rows)
+                if schema_id is None:
+                    parts.append(pa.nulls(len(rows), kind))
                     continue
-                dec = cache.get(ws)
-                if dec is None:
-                    dec = cache[ws] = avro_binary.decoder(ws)  # compiled once per writer schema
-                rec = dec(payload)
-                after = rec.get("after")
-                envs.append(
-                    {
-                        "after": None if after is None else {k: after.get(k) for k in after_fields},
-                        "op": rec.get("op"),
-                    }
-                )
-            out = {c: cols[c] for c in PASS_COLUMNS}
-            out["envelope"] = envs
-            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+                text = schemas.get(schema_id) if schemas is not None else b.column("writer_schema")[int(rows[0])].as_py()
+                if text is None:
+                    raise ValueError(f"Unknown schema id: {schema_id}")
+                parts.append(avro_columns.conform(avro_columns.read_bodies(text, b.column(column).take(pa.array(rows))), kind))
+            back = np.argsort(np.concatenate(order)) if order else np.zeros(0, np.int64)
+            decoded = pa.concat_arrays(parts).take(pa.array(back)) if parts else pa.nulls(0, kind)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], decoded], schema=out)
 
     return run
 
 
-def decode_avro(frames: DataFrame, after_type: T.StructType, registry: DataFrame | None = None, max_schemas: int = 10_000) -> DataFrame:
-    """Decode schemaless Avro bodies to ``envelope: struct<after, op>`` with the reader type.
+def _decode_bodies(frames: DataFrame, column: str, kind: T.DataType, name: str, registry: DataFrame) -> DataFrame:
+    """Replace ``column`` (bodies) and ``{column}_id`` by the decoded column ``name``."""
+    frames, schemas = with_schema(frames, f"{column}_id", registry)
+    keep = [c for c in frames.columns if c not in (column, f"{column}_id", "writer_schema")]
+    out = T.StructType([*[frames.schema[c] for c in keep], T.StructField(name, kind)])
+    arrow = to_arrow_schema(out)
+    return frames.mapInArrow(_arrow_decoder(column, arrow.field(name).type, schemas, keep, arrow), out)
+
 
-    Input: ``split_confluent`` + ``attach_writer_schema`` output.  Fields the writer has
-    and the reader lacks are dropped; fields the reader has and the writer lacks are NULL.
-    With ``spark-avro`` loaded, one ``from_avro`` branch is built per registered schema
-    (``registry``: one row per schema version, read up to ``max_schemas`` rows).
+def decode_avro(frames: DataFrame, after_type: T.StructType, registry: DataFrame) -> DataFrame:
+    """Decode schemaless Avro bodies (``split_confluent`` output) to ``envelope: struct<after, op>`` with the reader type.
+
+    Fields the writer has and the reader lacks are dropped; fields the reader has and the writer lacks are NULL;
+    an id that the registry does not have fails the job.  Only ids and bodies go to the tasks.
     """
-    spark = frames.sparkSession
-    env_type = T.StructType([T.StructField("after", after_type), T.StructField("op", T.StringType())])
-    if avro_package_loaded(spark) and registry is not None:
-        schemas = registry.select("schema_id", "schema").limit(max_schemas + 1).collect()
-        if len(schemas) <= max_schemas:
-            return _decode_with_package(frames, after_type, [(r[0], r[1]) for r in schemas])
-    out_type = T.StructType(
-        [
-            T.StructField("key", T.BinaryType()),
-            T.StructField("topic", T.StringType()),
-            T.StructField("partition", T.IntegerType()),
-            T.StructField("offset", T.LongType()),
-            T.StructField("envelope", env_type),
-        ]
-    )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    decoder = _arrow_decoder(after_type, to_arrow_schema(out_type))
-    return frames.select(*PASS_COLUMNS, "payload", "writer_schema").mapInArrow(decoder, out_type)
-
-
-def _after_field_names(schema: str) -> set[str]:
-    """Field names of the ``after`` record of an envelope writer schema."""
-    node = avro_binary.parse_schema(schema)
-    for name, sub in node["fields"]:
-        if name == "after":
-            for b in sub.get("branches", [sub]):
-                if b["type"] == "record":
-                    return {n for n, _ in b["fields"]}
-    return set()
-
-
-def _decode_with_package(frames: DataFrame, after_type: T.StructType, schemas: list[tuple[int, str]]) -> DataFrame:
-    """``from_avro`` per writer schema (one branch per registered id), projected to the reader type."""
-    from pyspark.sql.avro.functions import from_avro
-
-    branches = []
-    for schema_id, schema in schemas:
-        writer_fields = _after_field_names(schema)
-        dec = from_avro(F.col("payload"), schema)
-        after = F.struct(
-            *[
-                (dec.getField("after").getField(f.name) if f.name in writer_fields else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in after_type.fields
-            ]
-        )
-        env = F.struct(F.when(dec.getField("after").isNotNull(), after).alias("after"), dec.getField("op").alias("op"))
-        branches.append(F.when(F.col("schema_id") == schema_id, env))
-    env_col = F.coalesce(*branches) if branches else F.lit(None)
-    return frames.select(*PASS_COLUMNS, env_col.alias("envelope"))
+    envelope = T.StructType([T.StructField("after", after_type), T.StructField("op", T.StringType())])
+    return _decode_bodies(frames.withColumnRenamed("schema_id", "payload_id"), "payload", envelope, "envelope", registry)
+
+
+def decode_avro_key(df: DataFrame, key_type: T.StructType, registry: DataFrame) -> DataFrame:
+    """Decode Confluent-framed message keys (column ``key``) to ``_key: key_type``."""
+    k = F.col("key")
+    framed = df.withColumn("_body_id", F.conv(F.hex(F.substring(k, 2, 4)), 16, 10).cast("int")).withColumn("_body", F.substring(k, 6, 2147483647)).drop("key")
+    return _decode_bodies(framed, "_body", key_type, "_key", registry)

@@ -103,6 +103,7 @@ class TableSpec:
     mapping: list[ColumnRule] = field(default_factory=list)
     fmt: str = "json"
     deletes: str = "ignore"  # "ignore" (the last live image wins) or "apply"
+    avro_keys: bool = False  # message keys are Avro frames, not JSON
     avro_after: T.StructType | None = None  # reader type of an Avro image, where it is not that of ``after_ddl``
 
     @property

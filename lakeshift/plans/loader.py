@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.decode import attach_writer_schema, decode_avro, decode_json, drop_tombstones, keep_decoded, live_changes, live_condition, split_confluent
+from ..operators.decode import decode_avro, decode_avro_key, decode_json, drop_tombstones, keep_decoded, live_changes, live_condition, split_confluent
 from ..operators.transform import ColumnRule, TableSpec, assert_unique_keys, latest_by_key, project
 from ..operators import upsert
 from ..sources.derived import EVENTS_AFTER_DDL, EVENTS_TOPIC, EVENTS_AVRO_TOPIC, CUSTOMER_AFTER_DDL, CUSTOMERS_TOPIC
@@ -67,8 +67,9 @@ CUSTOMER_MAPPING = [
 ]
 
 
-def customers_spec() -> TableSpec:
-    return TableSpec("poc.shop_customers_json", CUSTOMERS_TOPIC, ("c_custkey",), CUSTOMER_AFTER_DDL, CUSTOMER_MAPPING)
+def customers_spec(fmt: str = "json", deletes: str = "ignore") -> TableSpec:
+    table = "poc.shop_customers_json" if fmt == "json" else "poc.shop_customers"
+    return TableSpec(table, CUSTOMERS_TOPIC, ("c_custkey",), CUSTOMER_AFTER_DDL, CUSTOMER_MAPPING, fmt=fmt, deletes=deletes, avro_keys=fmt == "avro")
 
 
 def key_ddl(spec: TableSpec) -> str:
@@ -89,11 +90,13 @@ def decoded_changes(log: DataFrame, spec: TableSpec, registry: DataFrame | None
     else:
         if registry is None:
             raise ValueError("Avro decoding needs the registry")
-        parsed = decode_avro(attach_writer_schema(split_confluent(log), registry), spec.avro_after or T.StructType.fromDDL(spec.after_ddl), registry)
+        parsed = decode_avro(split_confluent(log), spec.avro_after or T.StructType.fromDDL(spec.after_ddl), registry)
+        if spec.avro_keys:
+            parsed = decode_avro_key(parsed, T.StructType.fromDDL(key_ddl(spec)), registry)
     return parsed.select(
         F.col("envelope.after").alias("after"),
         F.col("envelope.op").alias("op"),
-        F.from_json(F.col("key").cast("string"), key_ddl(spec)).alias("_key"),
+        F.col("_key") if spec.avro_keys else F.from_json(F.col("key").cast("string"), key_ddl(spec)).alias("_key"),
         "topic",
         "partition",
         "offset",

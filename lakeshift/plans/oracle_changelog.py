@@ -113,4 +113,5 @@ UNION ALL
 SELECT k, NULL, true, NULL, NULL, CAST(k % 3 AS INTEGER), (2 * k // 3) * 2 + 1 FROM j WHERE op = 'd'""",
 }
 
+SQL["customers_avro_projection"] = SQL["capture_chain"]
 SQL["stream_upsert"] = SQL["load_then_stream"] = SQL["json_upsert_projection"]

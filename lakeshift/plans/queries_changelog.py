@@ -154,9 +154,13 @@ def q_table_diff_to_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_capture_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot, diff, diff: the latest change of each key over three captures is version 3."""
-    spec = loader.customers_spec()
-    spec.deletes = "apply"
-    return loader.stage(d.customers_capture_log(spark, sf_dir), spec)
+    return loader.stage(d.customers_capture_log(spark, sf_dir), loader.customers_spec(deletes="apply"))
+
+
+def q_customers_avro_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same captures as Avro values and keys: equal to the JSON path, deletes found by their Avro keys."""
+    log, registry = d.customers_avro_log(spark, sf_dir)
+    return loader.stage(log, loader.customers_spec("avro", deletes="apply"), registry)
 
 
 QUERIES = {
@@ -176,5 +180,6 @@ QUERIES = {
     "route_topics": q_route_topics,
     "snapshot_to_changes": q_snapshot_to_changes,
     "capture_chain": q_capture_chain,
+    "customers_avro_projection": q_customers_avro_projection,
     "table_diff_to_changes": q_table_diff_to_changes,
 }

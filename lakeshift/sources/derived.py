@@ -260,6 +260,28 @@ def customers_capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log
 
 
+def customers_avro_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``customers_capture_log`` as Confluent-framed Avro (value schema id 11, key schema id 12), and its registry rows."""
+    import json
+
+    value = [{"name": "c_custkey", "type": "long"}, *({"name": n, "type": ["null", t]} for n, t in (("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")))]
+    row = {"type": "record", "name": "Value", "fields": value}
+    envelope = {"type": "record", "name": "Envelope", "fields": [{"name": "before", "type": ["null", row]}, {"name": "after", "type": ["null", "Value"]}, {"name": "op", "type": "string"}]}
+    key = {"type": "record", "name": "Key", "fields": [{"name": "c_custkey", "type": "long"}]}
+    schemas = {11: json.dumps(envelope), 12: json.dumps(key)}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = {k: avro_binary.parse_schema(v) for k, v in schemas.items()}
+        framed = lambda sid, text: None if text is None else avro_binary.frame(sid, avro_binary.encode(nodes[sid], json.loads(text)))
+        for b in batches:
+            cols = [[framed(12, x) for x in b.column("key").to_pylist()], [framed(11, x) for x in b.column("value").to_pylist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), b.column("topic"), b.column("partition"), b.column("offset")], ["key", "value", "topic", "partition", "offset"])
+
+    log = customers_capture_log(spark, sf_dir).withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
+    rows = [(11, f"{CUSTOMERS_TOPIC}-value", 1, schemas[11]), (12, f"{CUSTOMERS_TOPIC}-key", 1, schemas[12])]
+    return log.mapInArrow(encode, "key binary, value binary, topic string, partition int, offset bigint"), spark.createDataFrame(rows, "schema_id int, subject string, version int, schema string")
+
+
 def customers_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_to_changes(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMERS_TOPIC, LOG_PARTITIONS, {"db": "shop", "table": "customers"})
 
