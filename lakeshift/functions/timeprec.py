@@ -24,11 +24,6 @@ def epoch_micros(ts_ntz) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch(), _c(ts_ntz))
 
 
-def micros_to_ntz(us) -> Column:
-    """Epoch microseconds -> UTC wall-clock ``timestamp_ntz``."""
-    return F.timestamp_add("MICROSECOND", _c(us), _epoch())
-
-
 def precision_class(ts_us) -> Column:
     """Resolution actually carried by an epoch-µs value.
 

@@ -49,15 +49,22 @@ def path_precision(hop_prec: DataFrame) -> DataFrame:
     return hop_prec.groupBy("run_id").agg(_label(F.max(_rank(F.col("precision")))).alias("precision"))
 
 
-def untraced_columns(schema_cols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sink columns of a run with no edge to any source column."""
-    traced = edges.select("run_id", "out_col").distinct()
-    return schema_cols.select("run_id", "out_col").join(traced, ["run_id", "out_col"], "left_anti")
+def untraced_columns(schema_cols: DataFrame, edges: DataFrame, reaching: DataFrame) -> DataFrame:
+    """Sink columns of a run that do not trace to a source column: ``run_id, out_col, mark``.
+
+    ``edges`` (with ``in_ns, in_name, in_col``) are the run's own; ``reaching`` are the upstream columns
+    that reach a source column over any number of hops.  ``mark`` is ``inferred`` where the run has an edge that leads nowhere, ``lost``
+    where it has none.
+    """
+    ends = reaching.select("in_ns", "in_name", "in_col").distinct().withColumn("_reaches", F.lit(1))
+    per = edges.join(ends, ["in_ns", "in_name", "in_col"], "left").groupBy("run_id", "out_col").agg(F.max(F.coalesce("_reaches", F.lit(0))).alias("_r"))
+    found = schema_cols.select("run_id", "out_col").join(per, ["run_id", "out_col"], "left").filter(F.coalesce("_r", F.lit(0)) == 0)
+    return found.select("run_id", "out_col", F.when(F.col("_r").isNull(), F.lit("lost")).otherwise(F.lit("inferred")).alias("mark"))
 
 
-def overclaimed_runs(claims: DataFrame, schema_cols: DataFrame, edges: DataFrame) -> DataFrame:
+def overclaimed_runs(claims: DataFrame, schema_cols: DataFrame, edges: DataFrame, reaching: DataFrame) -> DataFrame:
     """Runs that claim ``exact`` while their column-lineage facet misses table columns."""
-    missing = untraced_columns(schema_cols, edges).groupBy("run_id").agg(F.count(F.lit(1)).alias("missing_columns"))
+    missing = untraced_columns(schema_cols, edges, reaching).groupBy("run_id").agg(F.count(F.lit(1)).alias("missing_columns"))
     return claims.filter(F.col("claimed_precision") == "exact").join(missing, "run_id").select("run_id", "missing_columns")
 
 
@@ -72,10 +79,20 @@ def missing_markers(run_ids: DataFrame, markers: DataFrame, required: Sequence[s
 
 
 def complete_paths(run_ids: DataFrame, markers: DataFrame, events: DataFrame, required: Sequence[str] = REQUIRED_MARKERS) -> DataFrame:
-    """Runs with every marker and one deployment ``(instance_id, stack_epoch)``."""
+    """Runs with every marker and a whole chain in one deployment ``(instance_id, stack_epoch)``.
+
+    The chain is a source table, its topic among the run's inputs, and a dataset among its outputs; all
+    events of the run must come from one deployment, which is where the chain is looked for.
+    """
     gaps = missing_markers(run_ids, markers, required).select("run_id").distinct()
-    deploy = events.groupBy("run_id").agg(F.count_distinct("instance_id", "stack_epoch").alias("_d")).filter(F.col("_d") == 1)
-    return run_ids.select("run_id").join(gaps, "run_id", "left_anti").join(deploy.select("run_id"), "run_id")
+    from_source = F.exists("inputs", lambda i: i["name"].rlike(r"^[^.]+\.[^.]+\.[^.]+$"))  # a topic names its source table
+    per = events.groupBy("run_id").agg(
+        F.count_distinct("instance_id", "stack_epoch").alias("_d"),
+        F.bool_or(F.coalesce(from_source, F.lit(False))).alias("_in"),
+        F.bool_or(F.coalesce(F.size("outputs") > 0, F.lit(False))).alias("_out"),
+    )
+    whole = per.filter("_d = 1 AND _in AND _out").select("run_id")
+    return run_ids.select("run_id").join(gaps, "run_id", "left_anti").join(whole, "run_id")
 
 
 # --------------------------------------------------------------- identities ----------

@@ -192,7 +192,11 @@ r(root, node, depth) AS (
   UNION ALL
   SELECT r.root, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node)
 SELECT DISTINCT root, node, depth FROM r""",
-    "untraced_columns": "WITH " + SRUNS + "\nSELECT run_id, 'status' AS out_col FROM sr WHERE user_id % 6 = 4",
+    "untraced_columns": "WITH " + SRUNS + "\nSELECT run_id, 'status' AS out_col, 'lost' AS mark FROM sr WHERE user_id % 6 = 4",
+    "dataset_listing": "WITH " + STORE + "\nSELECT DISTINCT namespace_name, name FROM ds",
+    "connector_identity": """
+SELECT connector, 'debezium.' || connector AS physical_namespace, 'debezium:' || connector AS connector_logical, 'spark:load_' || connector AS job_logical
+FROM (SELECT DISTINCT 'shop-' || lower(c_mktsegment) || '-' || CAST(c_nationkey AS VARCHAR) AS connector FROM customer)""",
     "hop_precision": "WITH " + HOPF + "\nSELECT run_id, hop, precision FROM hp",
     "path_precision": "WITH " + HOPF + """
 SELECT run_id, CASE MAX(CASE precision WHEN 'exact' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END)

@@ -13,6 +13,7 @@ from ..functions.timeprec import gtid_source, gtid_txn, ns_is_derived, precision
 from ..operators.decode import decode_json, flatten_envelope, keep_decoded, live_changes, live_condition, split_confluent
 from ..operators.transform import latest_by_key
 from ..sources import changelog as cl
+from ..session import scratch_path
 from ..sources import derived as d
 from . import loader
 
@@ -120,9 +121,16 @@ def q_sample_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_route_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multi-table log (orders snapshot + events changes): messages per topic partition."""
-    log = d.orders_snapshot_log(spark, sf_dir).unionByName(d.events_log(spark, sf_dir))
-    return log.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("messages"))
+    """Two tables' changes routed to their topics and partitions, dropped as one folder per topic, and read back
+    topic by topic: messages per topic partition."""
+    root = scratch_path(spark, "routed")
+    for log, prefix, key in ((d.orders_snapshot_log(spark, sf_dir), "mysql", "o_orderkey"), (d.events_log(spark, sf_dir), "mysqljson", "user_id")):
+        name = F.split("topic", r"\.")
+        keyed = log.withColumn("db", name[1]).withColumn("table", name[2]).withColumn("_k", F.get_json_object(F.col("key").cast("string"), f"$.{key}").cast("bigint"))
+        routed = cl.route_topics(keyed.drop("topic", "partition"), prefix, d.LOG_PARTITIONS, ["_k"])
+        cl.write_routed(routed.select(*cl.LOG_COLUMNS), root)
+    back = cl.read_changelog(spark, root, topics=[d.ORDERS_TOPIC, d.EVENTS_TOPIC])
+    return back.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("messages"))
 
 
 def q_snapshot_to_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

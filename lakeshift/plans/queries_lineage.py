@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import identity as idn
 from ..lineage import audit, events as lev, graph
 from ..operators.decode import split_confluent
 from ..operators.transform import mapping_frame, mapping_to_edges
 from ..plans.sizing import bounded_broadcast
-from ..session import scratch_root
-from ..sources import derived as d
+from ..session import scratch_path, scratch_root
+from ..sources import derived as d, lineage_store
 from . import loader
 
 EVAL_TIME = "2024-01-31 00:00:00"
@@ -39,6 +40,27 @@ def q_datasets_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.count_by_namespace(_store(spark, sf_dir)["datasets"], "datasets")
 
 
+def q_dataset_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store, written and read back as its tables: every dataset by ``(namespace, name)``."""
+    root = scratch_path(spark, "lineage_store")
+    for name, rows in zip(lineage_store.TABLES, (_store(spark, sf_dir)[t] for t in ("datasets", "jobs", "job_versions", "io_mapping")), strict=True):
+        rows.write.parquet(f"{root}/{name}")
+    t = lineage_store.read_tables(spark, root)
+    return t["datasets"].select("namespace_name", "name").distinct().orderBy("namespace_name", "name")
+
+
+def q_connector_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connectors (one per customer segment and nation) and their load jobs: physical namespaces and logical keys."""
+    c = d.table(spark, sf_dir, "customer")
+    connector = F.concat_ws("-", F.lit("shop"), F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"))
+    return c.select(connector.alias("connector")).distinct().select(
+        "connector",
+        idn.connector_physical_namespace(F.col("connector")).alias("physical_namespace"),
+        idn.connector_logical(F.col("connector")).alias("connector_logical"),
+        idn.spark_job_logical(F.concat(F.lit("load_"), F.col("connector"))).alias("job_logical"),
+    )
+
+
 def q_jobs_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.count_by_namespace(_store(spark, sf_dir)["jobs"], "jobs")
 
@@ -179,16 +201,9 @@ def q_column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 MYSQL_NS = "mysql://mysql:3306"
 
 
-def q_trace_columns_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trace every sink column back through the topic to the source table column.
-
-    Column nodes are ``namespace|dataset|column``.  Spark-hop edges come from the column
-    lineage of all runs (deduplicated), connector-hop edges map each topic column to the
-    same column of the MySQL table named by the topic.
-    """
-    from ..functions import identity as idn
-
-    ce = column_edges(spark, spark_runs(spark, sf_dir, materialize=True))
+def _column_graph(ce: DataFrame) -> DataFrame:
+    """Column nodes ``namespace|dataset|column``: the Spark hop of all runs (deduplicated) and the connector hop, which
+    maps each topic column to the same column of the source table that the topic names.  Small after dedup; read every round."""
     spark_hop = ce.select(
         F.concat_ws("|", "in_ns", "in_name", "in_col").alias("src"), F.concat_ws("|", "out_ns", "out_name", "out_col").alias("dst")
     ).distinct()
@@ -197,11 +212,24 @@ def q_trace_columns_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("|", F.lit(MYSQL_NS), idn.mysql_dataset_name(F.col("in_name")), "in_col").alias("src"),
         F.concat_ws("|", "in_ns", "in_name", "in_col").alias("dst"),
     )
-    edges = spark_hop.unionByName(connector_hop).checkpoint()  # small after dedup; read every round
+    scratch_root(ce.sparkSession)
+    return spark_hop.unionByName(connector_hop).checkpoint()
+
+
+def q_trace_columns_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace every sink column back through the topic to the source table column."""
+    edges = _column_graph(column_edges(spark, spark_runs(spark, sf_dir, materialize=True)))
     seeds = edges.filter(F.col("dst").startswith(SINK_NS + "|")).select(F.col("dst").alias("root")).distinct()
     return graph.reachable(edges, seeds, "up")
 
 
+def _reaching_columns(ce: DataFrame) -> DataFrame:
+    """The columns that runs read and that go back to a source table column over any number of hops."""
+    nodes = ce.select("in_ns", "in_name", "in_col", F.concat_ws("|", "in_ns", "in_name", "in_col").alias("root")).distinct()
+    up = graph.reachable(_column_graph(ce), nodes.select("root"), "up")
+    return nodes.join(up.filter(F.col("node").startswith(MYSQL_NS + "|")).select("root").distinct(), "root").drop("root")
+
+
 def _schema_cols(spark: SparkSession, r: DataFrame) -> DataFrame:
     cols = bounded_broadcast(table_columns(spark), MAX_MAPPING_ROWS)
     return r.join(cols, r["out_name"] == cols["out_table"]).select("run_id", "out_col")
@@ -209,7 +237,8 @@ def _schema_cols(spark: SparkSession, r: DataFrame) -> DataFrame:
 
 def q_untraced_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spark_runs(spark, sf_dir, materialize=True)
-    return audit.untraced_columns(_schema_cols(spark, r), column_edges(spark, r))
+    ce = column_edges(spark, r)
+    return audit.untraced_columns(_schema_cols(spark, r), ce, _reaching_columns(ce))
 
 
 HOPS = ("mysql->kafka", "kafka->spark", "spark->sink")
@@ -244,7 +273,8 @@ def q_overclaimed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs claiming ``exact`` (``user_id`` even) whose facet misses table columns."""
     r = spark_runs(spark, sf_dir, materialize=True)
     claims = r.select("run_id", F.when(F.col("user_id") % 2 == 0, F.lit("exact")).otherwise(F.lit("inferred")).alias("claimed_precision"))
-    return audit.overclaimed_runs(claims, _schema_cols(spark, r), column_edges(spark, r))
+    ce = column_edges(spark, r)
+    return audit.overclaimed_runs(claims, _schema_cols(spark, r), ce, _reaching_columns(ce))
 
 
 # ------------------------------------------------------------------ markers ----------
@@ -345,8 +375,6 @@ def q_dataset_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MySQL table -> Kafka topic -> Spark run -> sink table, composed from identity joins:
     MySQL <-> Kafka on the ``{db}.{table}`` embedded in the topic, Kafka <-> Spark on the
     input dataset identity, Spark <-> sink through the storage -> physical -> logical map."""
-    from ..functions import identity as idn
-
     ev = d.table(spark, sf_dir, "events")
     mysql = ev.groupBy((F.col("user_id") % 4).alias("k")).agg(F.count(F.lit(1)).alias("source_rows")).select(
         F.concat(F.lit("shop.t"), F.col("k").cast("string")).alias("mysql_name"), "source_rows"
@@ -386,6 +414,8 @@ QUERIES = {
     "run_of_record": q_run_of_record,
     "column_edges": q_column_edges,
     "untraced_columns": q_untraced_columns,
+    "dataset_listing": q_dataset_listing,
+    "connector_identity": q_connector_identity,
     "hop_precision": q_hop_precision,
     "path_precision": q_path_precision,
     "overclaimed_runs": q_overclaimed_runs,

@@ -136,3 +136,24 @@ def test_event_documents(spark):
     assert lev.event_jobs(ev).count() == 1 and lev.event_datasets(ev).count() == 2
     plan = lev.flatten_events(ev)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") == 1 and "Union" not in plan
+
+
+def test_untraced_by_reach(spark):
+    cols = spark.createDataFrame([("r", c) for c in "abc"], "run_id string, out_col string")
+    edges = spark.createDataFrame([("r", "a", "n", "t", "x"), ("r", "b", "n", "t", "y")], "run_id string, out_col string, in_ns string, in_name string, in_col string")
+    reaching = spark.createDataFrame([("n", "t", "x")], "in_ns string, in_name string, in_col string")
+    got = {tuple(r) for r in audit.untraced_columns(cols, edges, reaching).collect()}
+    assert got == {("r", "b", "inferred"), ("r", "c", "lost")}
+
+
+def test_a_complete_path_needs_its_chain_in_one_deployment(spark):
+    io = "array<struct<ns:string,name:string>>"
+    topic, plain, sink = [("k", "p.db.t")], [("k", "t")], [("s", "x")]
+    rows = [
+        ("ok", "i", 1, topic, []), ("ok", "i", 1, [], sink), ("two", "i", 1, topic, sink), ("two", "i", 2, topic, sink),
+        ("no sink", "i", 1, topic, []), ("no topic", "i", 1, plain, sink), ("null", "i", 1, None, None),
+    ]
+    ev = spark.createDataFrame(rows, f"run_id string, instance_id string, stack_epoch int, inputs {io}, outputs {io}")
+    ids = ev.select("run_id").distinct()
+    marks = ids.crossJoin(spark.createDataFrame([(k,) for k in audit.REQUIRED_MARKERS], "marker_kind string"))
+    assert [r["run_id"] for r in audit.complete_paths(ids, marks, ev).collect()] == ["ok"]
