@@ -114,7 +114,7 @@ def diagram_id(s) -> Column:
 
 
 def diagram_label(s) -> Column:
-    """Escape ``|``, ``[`` and ``]`` for diagram labels."""
-    out = F.replace(_c(s), F.lit("|"), F.lit("\\|"))
+    """Escape ``|``, ``[`` and ``]`` for diagram labels, and drop double quotes."""
+    out = F.replace(F.replace(_c(s), F.lit('"'), F.lit("")), F.lit("|"), F.lit("\\|"))
     out = F.replace(out, F.lit("["), F.lit("\\["))
     return F.replace(out, F.lit("]"), F.lit("\\]"))

@@ -49,46 +49,44 @@ def graph_summary(datasets: DataFrame, jobs: DataFrame, edges: DataFrame) -> Dat
     return total(datasets, "datasets").unionByName(total(jobs, "jobs")).unionByName(total(edges, "current_edges"))
 
 
+#: Order of the lines of one group.
+_WITHIN = {"header": 0, "group": 1, "dataset": 2, "job": 2, "end": 3, "edge": 4}
+
+
 def export_edges(datasets: DataFrame, jobs: DataFrame, edges_by_name: DataFrame) -> DataFrame:
-    """Diagram text as ``(section, line)`` rows, written by Spark (``df.write.text``).
+    """Diagram text as ``(section, grp, line)`` rows, written by Spark (``df.write.text``).
 
-    Groups per namespace, one node line per dataset and job, one line per edge: INPUT is
-    ``dataset --> job``, OUTPUT is ``job --> dataset``.  Identifiers are sanitised and
-    labels escaped with column expressions; nothing is collected to the driver.
+    A header; per namespace of datasets (``DS_``) and of jobs (``JB_``) a group with its nodes and its ``end``; one line per
+    edge: INPUT is ``dataset --> job``, OUTPUT is ``job --> dataset``.  Identifiers are sanitised, labels escaped and rid of quotes, with
+    column expressions; nothing is collected to the driver.
     """
-    ds_groups = datasets.select("namespace_name").distinct().select(
-        F.lit("dataset_group").alias("section"),
-        F.concat(F.lit("subgraph DS_"), diagram_id(F.col("namespace_name")), F.lit('["'), F.col("namespace_name"), F.lit('"]')).alias("line"),
-    )
-    job_groups = jobs.select("namespace_name").distinct().select(
-        F.lit("job_group").alias("section"),
-        F.concat(F.lit("subgraph JB_"), diagram_id(F.col("namespace_name")), F.lit('["jobs: '), F.col("namespace_name"), F.lit('"]')).alias("line"),
-    )
-    ds_nodes = datasets.select(
-        F.lit("dataset").alias("section"),
-        F.concat(F.lit("D_"), diagram_id(F.concat_ws("/", "namespace_name", "name")), F.lit('["'), diagram_label(F.col("name")), F.lit('"]')).alias("line"),
-    )
-    job_nodes = jobs.select(
-        F.lit("job").alias("section"),
-        F.concat(F.lit("J_"), diagram_id(F.concat_ws("/", "namespace_name", "name")), F.lit("["), diagram_label(F.col("name")), F.lit("]")).alias("line"),
-    )
+    parts = []
+    for kind, rows, prefix, node, title in (("dataset", datasets, "DS_", "D_", ""), ("job", jobs, "JB_", "J_", "jobs: ")):
+        group = F.concat(F.lit(prefix), diagram_id(F.col("namespace_name")))
+        names = rows.select("namespace_name").distinct()
+        parts.append(names.select(F.lit("group").alias("section"), group.alias("grp"), F.concat(F.lit("subgraph "), group, F.lit(f'["{title}'), diagram_label(F.col("namespace_name")), F.lit('"]')).alias("line")))
+        parts.append(rows.select(F.lit(kind).alias("section"), group.alias("grp"), F.concat(F.lit(node), diagram_id(F.concat_ws("/", "namespace_name", "name")), F.lit('["'), diagram_label(F.col("name")), F.lit('"]')).alias("line")))
+        parts.append(names.select(F.lit("end").alias("section"), group.alias("grp"), F.lit("end").alias("line")))
     jid = F.concat(F.lit("J_"), diagram_id(F.col("job")))
     did = F.concat(F.lit("D_"), diagram_id(F.col("dataset")))
-    edge_lines = edges_by_name.select(
-        F.lit("edge").alias("section"),
-        F.when(F.col("io_type") == "INPUT", F.concat(did, F.lit(" -->|INPUT| "), jid)).otherwise(F.concat(jid, F.lit(" -->|OUTPUT| "), did)).alias("line"),
-    )
-    return ds_groups.unionByName(job_groups).unionByName(ds_nodes).unionByName(job_nodes).unionByName(edge_lines)
+    arrow = F.when(F.col("io_type") == "INPUT", F.concat(did, F.lit(" -->|INPUT| "), jid)).otherwise(F.concat(jid, F.lit(" -->|OUTPUT| "), did))
+    parts.append(edges_by_name.select(F.lit("edge").alias("section"), F.lit("").alias("grp"), arrow.alias("line")))
+    parts.append(datasets.sparkSession.range(1).select(F.lit("header").alias("section"), F.lit("").alias("grp"), F.lit("graph LR").alias("line")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def write_diagram(lines: DataFrame, path: str) -> None:
-    """Write ``export_edges`` output as text: groups, nodes, then edges.
+    """Write ``export_edges`` output as text: the header, each group with its nodes and its end, then the edges.
 
     A distributed sort (range partitioning) writes ordered part files; concatenated in
     part order they are the diagram.  No single task sees all lines.
     """
-    rank = F.when(F.col("section").endswith("group"), 0).when(F.col("section") == "edge", 2).otherwise(1)
-    lines.select(rank.alias("_r"), "line").orderBy("_r", "line").select("line").write.mode("overwrite").text(path)
+    within = F.element_at(F.create_map(*[F.lit(x) for kv in _WITHIN.items() for x in kv]), F.col("section"))
+    part = F.when(F.col("section") == "header", 0).when(F.col("section") == "edge", 2).otherwise(1)
+    lines.select(part.alias("_p"), "grp", within.alias("_w"), "line").orderBy("_p", "grp", "_w", "line").select("line").write.mode("overwrite").text(path)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:

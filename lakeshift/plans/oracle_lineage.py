@@ -95,20 +95,21 @@ UNION ALL SELECT 'current_edges', COUNT(*) FROM e""",
 x AS (
   SELECT jb.namespace_name || ':' || jb.name AS job, ds.namespace_name || ':' || ds.name AS dataset, e.io_type
   FROM e JOIN jb ON e.job_uuid = jb.uuid JOIN ds ON e.dataset_uuid = ds.uuid)
-SELECT 'dataset_group' AS section,
-       'subgraph DS_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g') || '["' || namespace_name || '"]' AS line
-FROM (SELECT DISTINCT namespace_name FROM ds)
+SELECT 'header' AS section, '' AS grp, 'graph LR' AS line
 UNION ALL
-SELECT 'job_group', 'subgraph JB_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g') || '["jobs: ' || namespace_name || '"]'
-FROM (SELECT DISTINCT namespace_name FROM jb)
+SELECT 'group', 'DS_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g'), 'subgraph ' || 'DS_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g') || '["' || replace(replace(replace(replace(namespace_name, '"', ''), '|', '\\|'), '[', '\\['), ']', '\\]') || '"]' FROM (SELECT DISTINCT namespace_name FROM ds)
 UNION ALL
-SELECT 'dataset', 'D_' || regexp_replace(namespace_name || '/' || name, '[^A-Za-z0-9_]', '_', 'g') || '["'
-       || replace(replace(replace(name, '|', '\\|'), '[', '\\['), ']', '\\]') || '"]' FROM ds
+SELECT 'dataset', 'DS_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g'), 'D_' || regexp_replace(namespace_name || '/' || name, '[^A-Za-z0-9_]', '_', 'g') || '["' || replace(replace(replace(replace(name, '"', ''), '|', '\\|'), '[', '\\['), ']', '\\]') || '"]' FROM ds
 UNION ALL
-SELECT 'job', 'J_' || regexp_replace(namespace_name || '/' || name, '[^A-Za-z0-9_]', '_', 'g') || '['
-       || replace(replace(replace(name, '|', '\\|'), '[', '\\['), ']', '\\]') || ']' FROM jb
+SELECT 'end', 'DS_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g'), 'end' FROM (SELECT DISTINCT namespace_name FROM ds)
 UNION ALL
-SELECT 'edge', CASE WHEN io_type = 'INPUT'
+SELECT 'group', 'JB_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g'), 'subgraph ' || 'JB_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g') || '["jobs: ' || replace(replace(replace(replace(namespace_name, '"', ''), '|', '\\|'), '[', '\\['), ']', '\\]') || '"]' FROM (SELECT DISTINCT namespace_name FROM jb)
+UNION ALL
+SELECT 'job', 'JB_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g'), 'J_' || regexp_replace(namespace_name || '/' || name, '[^A-Za-z0-9_]', '_', 'g') || '["' || replace(replace(replace(replace(name, '"', ''), '|', '\\|'), '[', '\\['), ']', '\\]') || '"]' FROM jb
+UNION ALL
+SELECT 'end', 'JB_' || regexp_replace(namespace_name, '[^A-Za-z0-9_]', '_', 'g'), 'end' FROM (SELECT DISTINCT namespace_name FROM jb)
+UNION ALL
+SELECT 'edge', '', CASE WHEN io_type = 'INPUT'
          THEN 'D_' || regexp_replace(dataset, '[^A-Za-z0-9_]', '_', 'g') || ' -->|INPUT| J_' || regexp_replace(job, '[^A-Za-z0-9_]', '_', 'g')
          ELSE 'J_' || regexp_replace(job, '[^A-Za-z0-9_]', '_', 'g') || ' -->|OUTPUT| D_' || regexp_replace(dataset, '[^A-Za-z0-9_]', '_', 'g') END
 FROM x""",

@@ -105,7 +105,7 @@ def test_tab_export_and_diagram_text(spark, scratch):
     import glob
 
     text = [ln.rstrip("\n") for f in sorted(glob.glob(f"{scratch}/diagram/part-*")) for ln in open(f)]
-    assert text[0].startswith("subgraph") and text[-1] == "J_spark_y -->|OUTPUT| D_ns_x"
+    assert text == ["graph LR", 'subgraph DS_ns["ns"]', 'D_ns_x["x"]', "end", 'subgraph JB_spark["jobs: spark"]', 'J_spark_y["y"]', "end", "J_spark_y -->|OUTPUT| D_ns_x"]
 
 
 def test_emit_events_appends(spark, scratch):
