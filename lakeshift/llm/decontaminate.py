@@ -40,11 +40,11 @@ SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int, containm
 
 
 class ItemIndex:
-    """The sketches and whole shingle sets of a block of items."""
+    """The sketches and whole shingle sets of a block of items (texts in lower case)."""
 
     def __init__(self, item_ids: list, texts: list[str], k: int, threshold: float):
         self.ids, self.sets, sketch, of = [], [], [], []
-        for i, s in hashing.shingle_sets(pa.array([t.lower() for t in texts], pa.large_string()), k, hashing.PUNCTUATION):
+        for i, s in hashing.shingle_sets(pa.array(texts, pa.large_string()), k, hashing.PUNCTUATION):
             if not len(s):
                 continue
             b = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
@@ -98,7 +98,8 @@ def _scan(index, k: int):
 def find_contamination(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``doc_id, item_id, n_item_shingles, n_shared, containment`` of every document and item with a containment of ``threshold`` or more."""
     spark = docs.sparkSession
-    items = items.select("item_id", text_of().alias("text")).filter(F.char_length("text") > 0)
+    # items and documents are put in lower case by the same function
+    items = items.select("item_id", F.lower(text_of()).alias("text")).filter(F.char_length("text") > 0)
     chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-chars // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
