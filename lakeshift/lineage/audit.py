@@ -16,6 +16,9 @@ from ..functions.identity import storage_to_logical
 # Precision order along a path (the weakest hop wins) and the markers a
 # complete path needs.
 PRECISION_RANK = {"exact": 0, "inferred": 1, "lost": 2}
+# The kinds of hop.  An opaque decode is inferred whatever a run claims; orchestration moves no data.
+HOPS = ("source->topic", "topic->job", "topic->job (opaque)", "job->sink", "orchestrator->job")
+NO_DATA = "n/a"
 REQUIRED_MARKERS = ("binlog", "kafka_offset", "snapshot_id")
 
 
@@ -38,15 +41,17 @@ def resolve_merge_edges(observed: DataFrame) -> DataFrame:
 
 
 def hop_precision(hops: DataFrame, facets: DataFrame) -> DataFrame:
-    """Precision per (run, hop); a hop without a facet is ``inferred``."""
-    return hops.join(facets, ["run_id", "hop"], "left").select(
-        "run_id", "hop", F.coalesce(F.col("precision"), F.lit("inferred")).alias("precision")
-    )
+    """Precision per (run, hop): what its facet claims, ``inferred`` without a facet; at best ``inferred`` for an opaque hop, and
+    ``n/a`` where no data moves."""
+    claimed = _rank(F.coalesce(F.col("precision"), F.lit("inferred")))
+    at_best = F.when(F.col("hop") == HOPS[2], PRECISION_RANK["inferred"]).otherwise(PRECISION_RANK["exact"])
+    precision = F.when(F.col("hop") == HOPS[4], F.lit(NO_DATA)).otherwise(_label(F.greatest(claimed, at_best)))
+    return hops.join(facets, ["run_id", "hop"], "left").select("run_id", "hop", precision.alias("precision"))
 
 
 def path_precision(hop_prec: DataFrame) -> DataFrame:
-    """Weakest hop along each run's path: exact only if every hop is exact."""
-    return hop_prec.groupBy("run_id").agg(_label(F.max(_rank(F.col("precision")))).alias("precision"))
+    """Weakest hop along each run's path: exact only if every hop that moves data is exact."""
+    return hop_prec.filter(F.col("precision") != NO_DATA).groupBy("run_id").agg(_label(F.max(_rank(F.col("precision")))).alias("precision"))
 
 
 def untraced_columns(schema_cols: DataFrame, edges: DataFrame, reaching: DataFrame) -> DataFrame:

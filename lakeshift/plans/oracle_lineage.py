@@ -58,13 +58,11 @@ m(out_col, in_col, transformation) AS (VALUES
   ('status', 'status', 'IDENTITY'), ('created_at', 'created_at', 'IDENTITY'), ('updated_at', 'updated_at', 'IDENTITY'))"""
 
 HOPF = SRUNS + """,
-h(hop) AS (VALUES ('mysql->kafka'), ('kafka->spark'), ('spark->sink')),
 hp AS (
-  SELECT run_id, hop,
-         CASE hop WHEN 'mysql->kafka' THEN CASE WHEN user_id % 4 = 0 THEN 'exact' ELSE 'inferred' END
-                  WHEN 'kafka->spark' THEN 'exact'
-                  ELSE CASE WHEN user_id % 9 = 8 THEN 'inferred' WHEN user_id % 6 = 4 THEN 'lost' ELSE 'exact' END END AS precision
-  FROM sr CROSS JOIN h)"""
+  SELECT run_id, 'source->topic' AS hop, CASE WHEN user_id % 4 = 0 THEN 'exact' ELSE 'inferred' END AS precision FROM sr
+  UNION ALL SELECT run_id, CASE WHEN user_id % 7 = 3 THEN 'topic->job (opaque)' ELSE 'topic->job' END, CASE WHEN user_id % 7 = 3 THEN 'inferred' ELSE 'exact' END FROM sr
+  UNION ALL SELECT run_id, 'job->sink', CASE WHEN user_id % 9 = 8 THEN 'inferred' WHEN user_id % 6 = 4 THEN 'lost' ELSE 'exact' END FROM sr
+  UNION ALL SELECT run_id, 'orchestrator->job', 'n/a' FROM sr)"""
 
 MARKERS = SRUNS + """,
 per AS (SELECT user_id, MAX(CASE WHEN event_type = 'purchase' THEN 1 END) AS has_p FROM events WHERE user_id % 10 <> 0 GROUP BY user_id),
@@ -202,7 +200,7 @@ FROM (SELECT DISTINCT 'shop-' || lower(c_mktsegment) || '-' || CAST(c_nationkey
     "path_precision": "WITH " + HOPF + """
 SELECT run_id, CASE MAX(CASE precision WHEN 'exact' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END)
                  WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'lost' END AS precision
-FROM hp GROUP BY run_id""",
+FROM hp WHERE precision <> 'n/a' GROUP BY run_id""",
     "overclaimed_runs": "WITH " + SRUNS + "\nSELECT run_id, CAST(1 AS BIGINT) AS missing_columns FROM sr WHERE user_id % 6 = 4 AND user_id % 2 = 0",
     "missing_markers": "WITH " + MARKERS + "\nSELECT run_id, marker_kind FROM mm",
     "complete_paths": "WITH " + MARKERS + ", " + RUNEV + """,

@@ -241,23 +241,29 @@ def q_untraced_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.untraced_columns(_schema_cols(spark, r), ce, _reaching_columns(ce))
 
 
-HOPS = ("mysql->kafka", "kafka->spark", "spark->sink")
+def _opaque(u):
+    """Runs that decode their topic in an opaque function: ``user_id % 7 = 3``."""
+    return u % 7 == 3
 
 
 def hop_facets(r: DataFrame) -> DataFrame:
     """Precision facets reported per hop: the connector hop only for ``user_id % 4 = 0``;
-    the sink hop is missing for ``user_id % 9 = 8`` and ``lost`` where a column is untraced."""
+    the sink hop is missing for ``user_id % 9 = 8`` and ``lost`` where a column is untraced.  Opaque runs claim ``exact`` too."""
     u = F.col("user_id")
+    hop = lambda name, precision: F.struct(F.lit(name).alias("hop"), precision.alias("precision"))
+    exact = F.lit("exact")
     rows = F.array(
-        F.when(u % 4 == 0, F.struct(F.lit(HOPS[0]).alias("hop"), F.lit("exact").alias("precision"))),
-        F.struct(F.lit(HOPS[1]).alias("hop"), F.lit("exact").alias("precision")),
-        F.when(u % 9 != 8, F.struct(F.lit(HOPS[2]).alias("hop"), F.when(u % 6 == 4, F.lit("lost")).otherwise(F.lit("exact")).alias("precision"))),
+        F.when(u % 4 == 0, hop(audit.HOPS[0], exact)),
+        F.when(_opaque(u), hop(audit.HOPS[2], exact)).otherwise(hop(audit.HOPS[1], exact)),
+        F.when(u % 9 != 8, hop(audit.HOPS[3], F.when(u % 6 == 4, F.lit("lost")).otherwise(exact))),
     )
     return r.select("run_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("f")).select("run_id", "f.hop", "f.precision")
 
 
 def _hops(r: DataFrame) -> DataFrame:
-    return r.select("run_id", F.explode(F.array(*[F.lit(h) for h in HOPS])).alias("hop"))
+    """The hops of a run: from the source, into the job (declared or opaque), to the sink, and from its orchestrator."""
+    source, declared, opaque, sink, orchestrator = map(F.lit, audit.HOPS)
+    return r.select("run_id", F.explode(F.array(source, F.when(_opaque(F.col("user_id")), opaque).otherwise(declared), sink, orchestrator)).alias("hop"))
 
 
 def q_hop_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
