@@ -40,6 +40,11 @@ def test_broken_markup_has_a_result(html):
     assert text_of(html) in ([], ["x"])
 
 
+def test_an_article_inside_main_and_articles_that_are_comments():
+    html = '<main><p>crumbs</p><article class="long-form main-nav"><p>a</p><article class="comment"><p>no</p></article></article></main>'
+    assert text_of(html) == ["a"] and [t for zone, t in blocks("<main><p>b</p><div class=sidebar>no</div></main>") if zone == "main"] == ["b"]
+
+
 def test_unclosed_inline_does_not_swallow_the_rest():
     assert text_of("<article><p><b>a <br><p>b</article><p>c") == ["a", "b"]
 
