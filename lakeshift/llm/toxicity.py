@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 MAX_TRAIN = 12_000
-#: Learned entries: least documents, most candidates, least smoothed share of toxic documents.
-LEAST_SUPPORT, MAX_CANDIDATES, LEAST_SHARE = 4, 50_000, 0.55
+#: Learned entries: least toxic documents that hold one, as a number and as a part of all that are learned from (copies of a
+#: document make its chance words frequent); most candidates; least smoothed share of toxic documents.
+LEAST_SUPPORT, LEAST_PART, MAX_CANDIDATES, LEAST_SHARE = 4, 0.02, 50_000, 0.55
 PREFIXES = range(3, 9)
 SCOPE = 3
 THRESHOLD = 0.3
@@ -155,7 +156,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     if not sizes.get(0) or not sizes.get(1):
         return {}
     of = lambda label, some: train.filter(F.col("toxic") == label).select("text").mapInPandas(_count_entries(some), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    toxic = of(1, None).filter(F.col("n") >= LEAST_SUPPORT).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()
+    toxic = of(1, None).filter(F.col("n") >= max(LEAST_SUPPORT, LEAST_PART * sizes[1])).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()
     names = spark.sparkContext.broadcast(frozenset(r.entry for r in toxic))
     clean = {r.entry: r.n for r in of(0, names).collect()}
     return choose_entries({r.entry: r.n for r in toxic}, clean, sizes[1] / (sizes[0] + sizes[1]))
