@@ -132,4 +132,34 @@ m AS (
   FROM (SELECT *, row_number() OVER () AS rn FROM p) p
   LEFT JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op5_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+k AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS key, g FROM s),
+sets AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(g) AS g FROM k WHERE n > 0 GROUP BY key),
+t AS (SELECT rep, n, unnest(g) AS x FROM sets),
+p AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT rep, rep FROM sets UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id
+FROM k LEFT JOIN sets ON k.n > 0 AND sets.key = k.key LEFT JOIN m ON m.rep = sets.rep""",
+    "op8_decontaminate": r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 'i', item_id, lower(text) FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(coalesce(t, ''), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM words),
+g AS (
+  SELECT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n)::INTEGER AS n_item_shingles, count(*)::INTEGER AS n_shared, count(*) / any_value(n.n)::DOUBLE AS containment
+FROM g d JOIN g i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x JOIN n ON n.id = i.id
+GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n.n)""",
 }
