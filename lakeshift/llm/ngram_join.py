@@ -113,7 +113,7 @@ def _count(blobs: pa.Table) -> pa.Table:
     seen, n = seen[n > 1], n[n > 1].astype("<u4")
     out = []
     for a in arrays:
-        a = np.unique(a)
+        a = hashing.distinct(a)
         at = np.searchsorted(seen, a)
         at = at[(at < len(seen)) & (seen[np.minimum(at, len(seen) - 1)] == a)] if len(seen) else at[:0]
         out.append((seen[at].tobytes(), n[at].tobytes()))

@@ -27,11 +27,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
+from .hashing import distinct
 
 ORDER = 5
 CHUNK_BYTES = 48_000_000
@@ -112,7 +114,7 @@ def _all_orders(keys: np.ndarray, order: int) -> np.ndarray:
     """The distinct n-grams of all orders in ``keys`` and the empty context, tagged and ascending; contexts of a text's first bytes too."""
     out = [np.zeros(1, _U), _tagged(keys, order)]
     for n in range(order - 1, 0, -1):
-        keys = np.unique(np.concatenate([keys & _U((1 << 8 * n) - 1), keys >> _U(8)]))
+        keys = distinct(np.concatenate([keys & _U((1 << 8 * n) - 1), keys >> _U(8)]))
         out.append(_tagged(keys, n))
     return np.sort(np.concatenate(out))
 
@@ -145,11 +147,11 @@ def _gather(order: int, shards: int):
             for a, b in _text_runs(texts):
                 keys, sizes = byte_keys(texts[a:b], order)
                 of = np.repeat(train[a:b], sizes)
-                seen.append(np.unique(keys[~of]))
+                seen.append(distinct(keys[~of]))
                 counted.append(np.unique(keys[of], return_counts=True))
                 seen.append(counted[-1][0])
             if len(seen) > 16:
-                seen = [np.unique(np.concatenate(seen))]
+                seen = [distinct(np.concatenate(seen))]
         rows = []
         chunk = key[0].as_py()
         if counted and sum(len(k) for k, _ in counted):
@@ -157,7 +159,7 @@ def _gather(order: int, shards: int):
             n = np.bincount(where, weights=np.concatenate([c for _, c in counted])).astype("<u8")
             rows.append((0, 0, chunk, len(keys), _squeeze(keys), n.tobytes()))
         if seen:
-            keys = _all_orders(np.unique(np.concatenate(seen)), order)
+            keys = _all_orders(distinct(np.concatenate(seen)), order)
             shard = _shard_of(keys, shards)
             rows += [(1, s, chunk, int((shard == s).sum()), _squeeze(keys[shard == s]), b"") for s in range(shards)]
         cols = list(zip(*rows, strict=True)) or [[]] * 6
@@ -262,8 +264,8 @@ def _score(order: int):
             held += docs.column("held").to_pylist()
             for a, b in _text_runs(texts):
                 keys, n = byte_keys(texts[a:b], order)
-                distinct, where = np.unique(keys, return_inverse=True)
-                loss = -_log_probabilities(distinct, known, logp, logg, order)[where]
+                where, once = pd.factorize(keys)
+                loss = -_log_probabilities(once, known, logp, logg, order)[where]
                 total = np.concatenate([[0.0], np.cumsum(loss)])
                 ends = np.cumsum(n)
                 losses.append((total[ends] - total[ends - n]) / np.maximum(n, 1))
