@@ -29,7 +29,7 @@ from .common import WHITE, WORD, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 2_000
 SEED = 20
 
 
