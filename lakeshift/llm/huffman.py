@@ -52,34 +52,49 @@ class Code:
         filled = np.repeat((ids[order].astype(np.int64) << 5) | lengths[order], first.astype(np.int64))
         self.table[: len(filled)] = filled
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """``(payload, checkpoints)``: the bits, and the bits of each run of ``LANE`` ids."""
-        if not len(ids):
-            return b"", b""
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code runs of ids, each from a byte boundary on.
+
+        ``(bytes, bytes per run, bit offsets within its run of every LANE-th id, such offsets per run)``.
+        """
         length = self.length[ids]
         end = np.cumsum(length)
         start = end - length
+        last = np.cumsum(sizes)
+        first = last - sizes
+        filled = sizes > 0
+        bits = np.zeros(len(sizes), np.int64)
+        bits[filled] = end[last[filled] - 1] - start[first[filled]]
+        n_bytes = (bits + 7) >> 3
+        base = np.zeros(len(sizes), np.int64)
+        base[filled] = start[first[filled]]
+        within = start - np.repeat(base, sizes)
+        start = within + np.repeat((np.cumsum(n_bytes) - n_bytes) * 8, sizes)
         v = self.code[ids] << (64 - length - (start & 31)).astype(np.uint64)
         word = start >> 5
-        runs = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        out = np.zeros(int(end[-1] >> 5) + 2, np.uint64)
-        out[word[runs]] = np.bitwise_or.reduceat(v >> np.uint64(32), runs)
-        out[word[runs] + 1] |= np.bitwise_or.reduceat(v & np.uint64(0xFFFFFFFF), runs)
-        payload = out.astype(">u4").tobytes()[: int(end[-1] + 7) // 8]
-        lanes = np.append(start[::LANE], end[-1])
-        return payload, np.diff(lanes).astype("<u2").tobytes()
+        total = int(n_bytes.sum())
+        out = np.zeros(total // 4 + 3, np.uint64)
+        if len(ids):
+            runs = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            out[word[runs]] = np.bitwise_or.reduceat(v >> np.uint64(32), runs)
+            out[word[runs] + 1] |= np.bitwise_or.reduceat(v & np.uint64(0xFFFFFFFF), runs)
+        place = np.arange(len(ids)) - np.repeat(first, sizes)
+        return np.frombuffer(out.astype(">u4").tobytes(), np.uint8)[:total], n_bytes, within[place % LANE == 0].astype("<u4"), -(-sizes // LANE)
 
-    def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
-        if not n:
-            return np.zeros(0, np.uint32)
+    def decode(self, payload: bytes, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of runs of ``sizes`` ids; ``offsets`` are their checkpoints, in bits from the start of ``payload``."""
         d = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
         window = (d[:-3] << 24) | (d[1:-2] << 16) | (d[2:-1] << 8) | d[3:]
-        lanes = np.frombuffer(checkpoints, "<u2").astype(np.int64)
-        at = np.cumsum(lanes) - lanes
-        out = np.zeros((len(lanes), LANE), np.uint32)
+        at = offsets.astype(np.int64)
+        out = np.zeros((len(at), LANE), np.uint32)
         mask, last = (1 << self.bits) - 1, len(window) - 1
         for j in range(LANE):
             got = self.table[(window[np.minimum(at >> 3, last)] >> (32 - self.bits - (at & 7))) & mask]
             out[:, j] = got >> 5
             at += got & 31
-        return out.reshape(-1)[:n]
+        # the last lane of a run is not full
+        lanes = -(-sizes // LANE)
+        full = np.full(len(at), LANE)
+        ends = np.cumsum(lanes)
+        full[ends[lanes > 0] - 1] = (sizes - (lanes - 1) * LANE)[lanes > 0]
+        return out[np.arange(LANE) < full[:, None]]
