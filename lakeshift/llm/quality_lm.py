@@ -36,7 +36,9 @@ from .common import stored, text_of
 from .hashing import distinct
 
 ORDER = 5
-CHUNK_BYTES = 48_000_000
+CHUNK_BYTES = 24_000_000
+#: Bytes of rows that a task packs at once; packing holds them several times.
+PACK_BYTES = 16_000_000
 SHARD_BYTES = 400_000_000
 QUANTILE, MARGIN, LEAST = 0.99, 1.5, 3.0
 FLOOR, SPREAD = 0.02, 1.2
@@ -66,9 +68,10 @@ def _pack():
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size > 64_000_000:
+            if size > PACK_BYTES:
                 yield from flush()
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield from flush()
 
