@@ -21,6 +21,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_key(column: str = "text") -> Column:
+    """SHA-256 of the text: with the id it tells rows apart that share an id, or have none."""
+    return F.sha2(text_of(column).cast("binary"), 256)
+
+
 def stored(df: DataFrame, *name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` below the session's shared folder and read it back.
 

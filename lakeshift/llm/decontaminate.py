@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import stored, text_of
+from .common import stored, text_key, text_of
 
 BLOCK_CHARS = 16_000_000
 SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int, containment double"
@@ -83,38 +83,47 @@ def _scan(index, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: ItemIndex = index.value
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text")
-            out = []
+            rows, out = [], []
             for i, doc in hashing.shingle_sets(texts, k, hashing.PUNCTUATION):
-                out += [(ids[i], items.ids[item], size, shared, shared / size) for item, size, shared in items.search(doc)]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
+                for item, size, shared in items.search(doc):
+                    rows.append(i)
+                    out.append((items.ids[item], size, shared, shared / size))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            keys = [c for c in batch.schema.names if c != "text"]
+            found = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keys] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(found, [*keys, "item_id", "n_item_shingles", "n_shared", "containment"])
 
     return run
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``doc_id, item_id, n_item_shingles, n_shared, containment`` of every document and item with a containment of ``threshold`` or more."""
-    spark = docs.sparkSession
+    return _find(docs.select("doc_id", F.lower(text_of()).alias("text")), items, k, threshold, SCHEMA)
+
+
+def _find(texts: DataFrame, items: DataFrame, k: int, threshold: float, schema: str) -> DataFrame:
+    """The same of lower-cased ``texts``, whose other columns are returned as they are."""
+    spark = texts.sparkSession
     # items and documents are put in lower case by the same function
     items = items.select("item_id", F.lower(text_of()).alias("text")).filter(F.char_length("text") > 0)
     chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-chars // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    texts = docs.select("doc_id", F.lower(text_of()).alias("text"))
-    out = spark.createDataFrame([], SCHEMA)
+    out = spark.createDataFrame([], schema)
     for b in range(n_blocks):
         rows = items.filter(block == b).collect()  # a block of the query set: bounded
         index = ItemIndex([r.item_id for r in rows], [r.text for r in rows], k, threshold)
         if index.ids:
-            out = out.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(index), k), SCHEMA))
+            out = out.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(index), k), schema))
     return out
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that contain no item."""
+    """The rows of ``docs`` that contain no item, each by its own text."""
+    texts = docs.select("doc_id", text_key().alias("digest"), F.lower(text_of()).alias("text"))
+    found = _find(texts, items, k, threshold, SCHEMA.replace("doc_id long", "doc_id long, digest string"))
     # stored, so that its size is known when the join is planned
-    bad = stored(find_contamination(docs, items, k, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = stored(found.select(F.col("doc_id").alias("_bad"), F.col("digest").alias("_digest")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (text_key() == F.col("_digest")), "left_anti")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import stored, text_of
+from .common import stored, text_key, text_of
 from .components import components
 
 #: A token in at most so many sets is indexed alone.
@@ -73,7 +73,8 @@ def _profile(k: int):
             for i, s in hashing.shingle_sets(batch.column("text"), k):
                 sizes[i] = len(s)
                 nodes[i] = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.binary())], ["doc_id", "n_shingles", "node"])
+            keys = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(sizes), pa.array(nodes, pa.binary())], [*keys, "n_shingles", "node"])
 
     return run
 
@@ -275,18 +276,23 @@ def link_nodes(index: DataFrame, threshold: int) -> DataFrame:
     return stored(all_labels.join(again, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "join-labels")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs``; ``threshold`` in per cent."""
+def _groups(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``doc_id, text`` and more: every row with its ``n_shingles, node`` instead of the text; and ``node, doc_id, label`` of every node."""
     if threshold < 75:
         raise ValueError("the index of long sets is exact from a threshold of 75 per cent on")
-    docs = docs.select("doc_id", text_of().alias("text"))
-    profile = stored(docs.mapInArrow(_profile(k), "doc_id long, n_shingles long, node binary"), "join-profile")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    profile = stored(docs.mapInArrow(_profile(k), f"{keys}, n_shingles long, node binary"), "join-profile")
     nodes = profile.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     nodes = stored(nodes, "join-nodes")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     index = stored(_search(docs, nodes, k, threshold, total), "join-index")
     labels = link_nodes(index, threshold)
-    named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return profile, nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row of ``docs``; ``threshold`` in per cent."""
+    profile, named = _groups(docs.select("doc_id", text_of().alias("text")), k, threshold)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
     out = profile.join(named, "node", "left")
@@ -294,18 +300,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with one document of every group: the one with the least id.
+    """``docs`` with one row of every group: of those with the least id (null last), the least by text.
 
-    Rows that repeat an id are one document; the least by text stays.  An id stays if any of its rows stands for its group.
+    Rows are told apart by id and text, so rows without an id, or with the same id and other texts, are documents of their own
+    that stay or go with their own group.  Rows without words are in no group: all of them stay.
     """
-    rows = stored(jaccard_components(docs, k, threshold), "join-groups")
-    by_id = rows.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    profile, named = _groups(docs.select("doc_id", text_key().alias("digest"), text_of().alias("text")), k, threshold)
+    copies = profile.filter("n_shingles > 0").groupBy("doc_id", "digest", "node").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(copies.join(named.select("node", "label"), "node").select("doc_id", "digest", "label", "n"), "join-groups")
+    per_id = rows.groupBy("label", "doc_id").agg(F.sum("n").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("best")
+    groups = per_id.groupBy("label").agg(best, F.sum("n").alias("all")).filter("all > 1").select("label", F.col("best.doc_id").alias("least"), F.col("best.n").alias("n_least"))
+    first = F.col("doc_id").eqNullSafe(F.col("least"))
     # stored, so that their sizes are known when the joins are planned
-    by_id = stored(by_id.filter("not stays or n > 1").withColumnRenamed("doc_id", "_id"), "join-dropped")
-    out = docs.join(by_id, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = by_id.filter("stays").select("_id")
-    if repeated.isEmpty():
+    going = rows.select("doc_id", "digest", "label").join(groups, "label").filter(~first | (F.col("n_least") > 1))
+    going = stored(going.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("label").alias("_label"), first.alias("_first")), "join-dropped")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_digest"))
+    out = docs.join(going, same, "left_anti")
+    again = going.filter("_first")
+    if again.isEmpty():
         return out
     least = F.min(F.struct(text_of().alias("_text"), F.struct(*docs.columns).alias("_row"))).alias("_least")
-    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").groupBy("doc_id").agg(least)
+    again = docs.join(again, same).groupBy("_label").agg(least)
     return out.unionByName(again.select("_least._row.*"))

@@ -24,6 +24,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import stored, text_key, text_of
 from .hashing import distinct
 
 ORDER = 5
@@ -252,19 +253,21 @@ def _log_probabilities(keys: np.ndarray, known: np.ndarray, logp: np.ndarray, lo
     return out
 
 
-def _score(order: int):
+def _score(order: int, digests: bool):
     def run(key, blobs: pa.Table, answers: pa.Table) -> pa.Table:
         known = [_widen(b, n) for b, n in zip(answers.column("keys").to_pylist(), answers.column("size").to_pylist(), strict=True)]
         known = np.concatenate(known) if known else np.zeros(0, _U)
         by = np.argsort(known)
         known = known[by]
         logp, logg = (np.concatenate([np.frombuffer(b, "<f4") for b in answers.column(c).to_pylist()] or [np.zeros(0, "<f4")])[by].astype(float) for c in ("logp", "logg"))
-        ids, langs, held, sizes, losses = [], [], [], [], []
+        ids, langs, held, sizes, losses, keys_of = [], [], [], [], [], []
         for docs in _unpack(blobs):
             texts = docs.column("text").to_pylist()
             ids += docs.column("doc_id").to_pylist()
             langs += docs.column("lang").to_pylist()
             held += docs.column("held").to_pylist()
+            if digests:
+                keys_of += [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             for a, b in _text_runs(texts):
                 keys, n = byte_keys(texts[a:b], order)
                 where, once = pd.factorize(keys)
@@ -274,13 +277,14 @@ def _score(order: int):
                 losses.append((total[ends] - total[ends - n]) / np.maximum(n, 1))
                 sizes.append(n)
         flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "held": pa.array(held, pa.bool_()), "n_bytes": pa.array(flat(sizes, np.int64)), "loss": pa.array(flat(losses, float))})
+        out = {"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "held": pa.array(held, pa.bool_()), "n_bytes": pa.array(flat(sizes, np.int64)), "loss": pa.array(flat(losses, float))}
+        return pa.table(out | ({"digest": pa.array(keys_of, pa.string())} if digests else {}))
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``doc_id, lang, n_bytes, perplexity, excess, threshold, kept`` per row of ``docs``."""
+def score_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, digests: bool = False) -> DataFrame:
+    """``doc_id, lang, n_bytes, perplexity, excess, threshold, kept`` per row of ``docs``; with ``digests``, the text's SHA-256 too."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"), (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_BACK)) == 0).alias("held"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -295,7 +299,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quanti
     model = model.withColumn("shard", (F.col("key") % SPREAD_BY % shards).cast("int"))
     asked = gathered.filter("kind = 1").select("shard", "chunk", "size", "keys")
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer, "chunk int, size int, keys binary, logp binary, logg binary")
-    scored = packed.cogroup(answers.groupBy("chunk")).applyInArrow(_score(order), "doc_id long, lang string, held boolean, n_bytes long, loss double")
+    scored = packed.cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, digests), "doc_id long, lang string, held boolean, n_bytes long, loss double" + ", digest string" * digests)
     scored = stored(scored, "lm-scored")
 
     sample = scored.filter("held and n_bytes > 0").join(trusted.select("doc_id"), "doc_id", "left_semi").select("lang", "n_bytes", "loss")
@@ -311,11 +315,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quanti
     out = out.withColumn("middle", F.coalesce("middle", F.lit(overall).cast("double"))).withColumn("threshold", F.coalesce("threshold", F.lit(overall_high).cast("double")))
     excess = F.when(F.col("n_bytes") > 0, (F.col("loss") - F.col("middle")) / unit)
     kept = F.coalesce(excess <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", "n_bytes", F.exp("loss").alias("perplexity"), excess.alias("excess"), "threshold", kept.alias("kept"))
+    return out.select("doc_id", "lang", "n_bytes", F.exp("loss").alias("perplexity"), excess.alias("excess"), "threshold", kept.alias("kept"), *["digest"] * digests)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject (of rows that repeat an id, all or none)."""
+    """The rows of ``docs`` that the classifier does not reject, each by its own text and language."""
     # stored, so that its size is known when the join is planned
-    bad = stored(score_quality(docs, labels).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "lm-rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    rejected = score_quality(docs, labels, digests=True).filter(~F.col("kept"))
+    bad = stored(rejected.select(F.col("doc_id").alias("_bad"), F.col("lang").alias("_lang"), F.col("digest").alias("_digest")).distinct(), "lm-rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & F.col("lang").cast("string").eqNullSafe(F.col("_lang"))
+    return docs.join(bad, same & (text_key() == F.col("_digest")), "left_anti")

@@ -1,5 +1,7 @@
 """The corpus pipeline on a small input: every stage's decisions against the operator that makes them."""
 
+import random
+
 import corpus_pipeline
 from lakeshift.llm import decontaminate, mixing, ngram_join, quality_lm
 from lakeshift.llm.common import table
@@ -44,3 +46,30 @@ def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "mix", "tokens"]
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_by_themselves(spark):
+    row = lambda i, t: (i, t, "en", "s", len(t or ""))
+    texts = [" ".join(f"{w}{n}" for w in "abcdefghij") for n in range(5)]
+    table_of = lambda rows: spark.createDataFrame([row(*r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    # different documents stay, of each group one row: the least id's, null last, and of its rows the least text
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (7, texts[3]), (4, texts[3]), (9, texts[4] + " x"), (9, texts[4]), (None, None), (None, "")]
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (4, texts[3]), (9, texts[4]), (None, None), (None, "")]
+    assert got(ngram_join.keep_one(table_of(rows))) == sorted(want, key=str)
+
+    # one contaminated row takes no other with it
+    items = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    rows = [(None, "so " + texts[0]), (None, texts[1]), (7, texts[0].upper()), (7, texts[2]), (None, None)]
+    assert got(decontaminate.remove_contaminated(table_of(rows), items)) == sorted([(None, texts[1]), (7, texts[2]), (None, None)], key=str)
+
+    # nor does a rejected one
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice(["an", "er", "ti", "on", "the", "st", "ou", "re"]) for _ in range(rnd.randint(1, 4)))
+    clean = [" ".join(word() for _ in range(rnd.randint(20, 120))) for _ in range(300)]
+    junk = [" ".join(word() + rnd.choice(["***", "%%%", "&&&"]) for _ in range(60)) for _ in range(2)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = [*enumerate(clean), (None, clean[5]), (None, clean[8]), (None, junk[0]), (400, clean[9]), (400, junk[1])]
+    kept = got(quality_lm.keep_quality(table_of(rows), labels))
+    assert {t for _, t in kept}.isdisjoint(junk) and (400, clean[9]) in kept and (None, clean[5]) in kept and (None, clean[8]) in kept
