@@ -13,7 +13,8 @@ model of their weights, never from isolated words alone: the same word weighs di
 in the four kinds of clause, as the labels have it.
 
 Learning uses at most ``MAX_TRAIN`` labelled documents (those with the least hash of their id), broadcast as ids, so
-documents are never shuffled; everything else reads every document and its whole text once.
+only these are shuffled, to count each distinct text once; an entry is learned if more toxic texts hold it than chance gives,
+however small a part of all toxic ones they are.  Everything else reads every document and its whole text once.
 Neither labels nor ``lang``, ``source`` or ``doc_id`` enter a score.
 
 Defined results: null and empty texts have no clause and score the model's base rate; without labels of both kinds nothing is
@@ -36,9 +37,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 MAX_TRAIN = 12_000
-#: Learned entries: least toxic documents that hold one, as a number and as a part of all that are learned from (copies of a
-#: document make its chance words frequent); most candidates; least smoothed share of toxic documents.
-LEAST_SUPPORT, LEAST_PART, MAX_CANDIDATES, LEAST_SHARE = 4, 0.02, 50_000, 0.55
+#: Learned entries: least toxic texts that hold one; least smoothed share of toxic texts.
+LEAST_SUPPORT, LEAST_SHARE = 4, 0.55
 PREFIXES = range(3, 9)
 SCOPE = 3
 THRESHOLD = 0.3
@@ -156,10 +156,20 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     if not sizes.get(0) or not sizes.get(1):
         return {}
     of = lambda label, some: train.filter(F.col("toxic") == label).select("text").mapInPandas(_count_entries(some), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    toxic = of(1, None).filter(F.col("n") >= max(LEAST_SUPPORT, LEAST_PART * sizes[1])).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()
-    names = spark.sparkContext.broadcast(frozenset(r.entry for r in toxic))
+    toxic = {r.entry: r.n for r in of(1, None).filter(F.col("n") >= LEAST_SUPPORT).collect()}  # of at most MAX_TRAIN texts
+    names = spark.sparkContext.broadcast(frozenset(toxic))
     clean = {r.entry: r.n for r in of(0, names).collect()}
-    return choose_entries({r.entry: r.n for r in toxic}, clean, sizes[1] / (sizes[0] + sizes[1]))
+    base = sizes[1] / (sizes[0] + sizes[1])
+    return choose_entries({e: n for e, n in toxic.items() if reliable(n, clean.get(e, 0), base, len(toxic))}, clean, base)
+
+
+def reliable(n: int, m: int, base: float, candidates: int) -> bool:
+    """Whether ``n`` toxic and ``m`` clean texts are more than chance at the base rate gives any of so many entries (Chernoff's bound)."""
+    part = n / (n + m)
+    if part <= base:
+        return False
+    rest = (1 - part) * math.log((1 - part) / (1 - base)) if m else 0.0
+    return (n + m) * (part * math.log(part / base) + rest) >= math.log(candidates)
 
 
 def choose_entries(toxic: dict[str, int], clean: dict[str, int], base: float) -> dict[str, float]:
@@ -216,7 +226,9 @@ def train_model(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in sample.collect()], "doc_id long, toxic int")  # at most max_train ids
     train = stored(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"), "tox-train")
-    lexicon = learn_lexicon(train)
+    # each distinct text once, so that copies make none of their words frequent; toxic if one of its copies is
+    once = train.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    lexicon = learn_lexicon(stored(once.select("text", "toxic"), "tox-texts"))
     grammar = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = train.mapInPandas(_with_features(grammar), "toxic int, f array<double>").collect()  # at most max_train rows of numbers
     if len({r.toxic for r in rows}) < 2:

@@ -87,6 +87,20 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score_toxicity(docs(spark, []), lab).count() == 0
 
 
+def test_a_rare_insult_is_learned_beside_many_copies(spark):
+    rnd = random.Random(6)
+    plain = ["".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(3, 7))) for _ in range(400)]
+    some = lambda *extra: " ".join([*extra, *rnd.choices(plain, k=rnd.randint(5, 60))])
+    copied = "zorkish " + " ".join(f"only{x}here" for x in plain[:20])
+    learned = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [some() for _ in range(600)] + [some("zorkish") for _ in range(200)] + [copied] * 400 + [some("quabble") for _ in range(10)]
+    rows = list(zip(learned, texts, strict=False))
+    labels = spark.createDataFrame([(i, 1, int("zorkish" in t or "quabble" in t)) for i, t in rows], "doc_id long, quality int, toxic int")
+    new = [(5000 + i, some("quabble")) for i in range(5)] + [(6000, copied.replace("zorkish", "")), (6001, some())]
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs(spark, rows + new), labels).collect()}
+    assert [out[i] for i, _ in new] == [1] * 5 + [0, 0]
+
+
 def test_grammar_marks_the_clause():
     g = toxicity.Grammar({"^idiot$": 2.0, "^moro": 1.5})
     name = lambda t: {toxicity.FEATURES[k] for k in np.flatnonzero(g.features(t)[:8])}
