@@ -60,6 +60,18 @@ def test_hosts_drop_what_repeats(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_content_and_articles_stay_whole(spark):
+    story = "a story without any article element that stands whole under many addresses of one host"
+    line = "all our offices are open on every weekday from nine"
+    pages = [(i, f"http://c.net/{i}", f"<body><div class=ad>advert {i}</div><p>{story}</p></body>") for i in range(5)]
+    pages += [(20 + i, f"http://d.net/{i}", f"<body><footer>{line}</footer><article><p>text of page {i}</p></article></body>") for i in range(3)]
+    quoted = f"they say that {line} but nobody came"
+    pages += [(30, "http://d.net/x", f"<article><p>Offices</p><p>{line}</p><p>{quoted}</p></article>"), (31, "http://e.net/x", f"<article><p>{line}</p></article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(df).collect()}
+    assert got == {**dict.fromkeys(range(5), story), **{20 + i: f"text of page {i}" for i in range(3)}, 30: f"Offices\n{line}\n{quoted}", 31: line}
+
+
 # --------------------------------------------------------------- toxicity
 
 
