@@ -23,11 +23,7 @@ sequence as one).  Two documents link when ``100 * |A & B| >= threshold * |A | B
    Linked sets differ in size by at most the threshold, so any two have one of these schemes in
    common.  If the first token that they share is rare they meet under it; otherwise all that they share
    is frequent, and they meet under a combination.
-4. *Verify.*  Every index entry has a pivot, its least node.  Nodes are verified against their pivots first;
-   this joins most of any large group in linear time.  What may still link meets again: the nodes of a pivot
-   that are in another component than the pivot are verified against all nodes of that pivot, in
-   blocks of ``BLOCK`` by ``BLOCK`` nodes, so that no task holds a group, and a block returns only a
-   spanning forest of the links that it found.  Nothing is capped or left out.
+4. *Verify.*  Nodes that share an index entry are candidates; ``linking`` verifies them on their full sets.
 
 Per document: ``doc_id, n_shingles, component_id`` (least id reachable by links, itself included).
 
@@ -42,21 +38,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
 from .common import stored, text_key, text_of
-from .components import components
+from .linking import link_nodes
 
 #: A token in at most so many sets is indexed alone.
 RARE = 64
 #: From so many shingles on, neighbouring frequent tokens are combined instead of all pairs.
-LONG = 500
-#: Nodes on either side of a verification task.
-BLOCK = 256
+LONG = 30
 #: Tokens of a chunk of documents, and of a shard of the hash range.
 CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 4_000_000
 _U = np.uint64
@@ -169,60 +162,6 @@ def _index(k: int, shards: int, threshold: int):
     return run
 
 
-def _linked(shared: int, a: int, b: int, threshold: int) -> bool:
-    return 100 * shared >= threshold * (a + b - shared)
-
-
-def _verify_pairs(threshold: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            keep = []
-            for x, y in zip(rows.tokens, rows.pivot_tokens, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                keep.append(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold))
-            yield rows.loc[keep, ["node", "pivot"]].rename(columns={"node": "a", "pivot": "b"})
-
-    return run
-
-
-def _verify_block(threshold: int):
-    """Links between the two sides of a block, as a spanning forest over their components."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[bytes, bytes] = {}
-
-        def root(x: bytes) -> bytes:
-            while (y := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(y, y)
-            return x
-
-        left, right = (list(rows[rows.side == side].itertuples()) for side in (0, 1))
-        links = []
-        at = 0
-        while at < len(left):  # so many left sets that their table of tokens stays small
-            end, tokens = at, 0
-            while end < len(left) and (end == at or (tokens + left[end].n) * (end - at + 1) <= 64_000_000):
-                tokens, end = tokens + left[end].n, end + 1
-            part, at = left[at:end], end
-            sets = [np.frombuffer(x.tokens, "<u8") for x in part]
-            known, where = np.unique(np.concatenate(sets), return_inverse=True)
-            holds = np.zeros((len(known), len(part)), np.uint8)
-            holds[where, np.repeat(np.arange(len(part)), [len(s) for s in sets])] = 1
-            sizes = np.array([x.n for x in part])
-            for y in right:
-                t = np.frombuffer(y.tokens, "<u8")
-                i = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                shared = holds[i[known[i] == t]].sum(axis=0, dtype=np.int64)
-                for p in np.flatnonzero(100 * shared >= threshold * (sizes + y.n - shared)):
-                    x = part[p]
-                    if x.label != y.label and (a := root(x.label)) != (b := root(y.label)):
-                        parent[a] = b
-                        links.append((x.label, y.label))
-        return pd.DataFrame(links, columns=["a", "b"])
-
-    return run
-
-
 def _search(docs: DataFrame, nodes: DataFrame, k: int, threshold: int, total: int) -> DataFrame:
     """The index: ``node, n, keys, tokens`` of every set that may link."""
     chunks = max(1, -(-total // CHUNK_TOKENS))
@@ -237,45 +176,6 @@ def _search(docs: DataFrame, nodes: DataFrame, k: int, threshold: int, total: in
     return texts.cogroup(right.groupBy("chunk")).applyInArrow(_index(k, shards, threshold), "node binary, n long, keys array<long>, tokens binary")
 
 
-def _close_in_size(threshold: int):
-    return F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * threshold
-
-
-def link_nodes(index: DataFrame, threshold: int) -> DataFrame:
-    """``node, label`` of every node that links with another."""
-    spark = index.sparkSession
-    entries = index.select("node", "n", F.explode("keys").alias("key"))
-    pivots = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = entries.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "key")
-    met = stored(met.select("node", "n", "pivot", "pivot_n").distinct(), "join-met")
-    tokens = index.select("node", "tokens")
-    pairs = met.filter(F.col("node") != F.col("pivot")).filter(_close_in_size(threshold)).select("node", "pivot")
-    pairs = pairs.join(tokens, "node").join(tokens.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
-    links = stored(pairs.mapInPandas(_verify_pairs(threshold), "a binary, b binary"), "join-links")
-    labels = stored(components(links), "join-labels")
-
-    # nodes of a pivot that are in another component than the pivot, against all nodes of the pivot
-    label = lambda c: F.coalesce(F.col("label"), F.col(c))
-    named = met.select("node", "n", "pivot").join(labels, "node", "left").select("node", "n", "pivot", label("node").alias("label"))
-    named = named.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left")
-    named = named.withColumn("other", F.col("label") != F.coalesce("pivot_label", "pivot")).drop("pivot_label")
-    sizes = named.groupBy("pivot").agg(F.sum(F.col("other").cast("long")).alias("others"), F.count(F.lit(1)).alias("all")).filter("others > 0")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    named = named.join(sizes.select("pivot", blocks("others").alias("nl"), blocks("all").alias("nr")), "pivot").withColumn("h", F.xxhash64("node"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["pivot", "i", "j", "side", "node", "n", "label"]
-    left = named.filter("other").withColumn("i", F.pmod("h", F.col("nl")).cast("int")).withColumn("j", every("nr")).withColumn("side", F.lit(0)).select(*cols)
-    right = named.withColumn("j", F.pmod("h", F.col("nr")).cast("int")).withColumn("i", every("nl")).withColumn("side", F.lit(1)).select(*cols)
-    both = left.unionByName(right).join(tokens, "node")
-    more = stored(both.groupBy("pivot", "i", "j").applyInPandas(_verify_block(threshold), "a binary, b binary").distinct(), "join-more")
-    if more.isEmpty():
-        return labels
-    again = stored(components(more), "join-merged")
-    all_labels = labels.unionByName(again.join(labels, again["node"] == labels["node"], "left_anti"))
-    again = again.select(F.col("node").alias("label"), F.col("label").alias("merged"))
-    return stored(all_labels.join(again, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "join-labels")
-
-
 def _groups(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Of rows ``doc_id, text`` and more: every row with its ``n_shingles, node`` instead of the text; and ``node, doc_id, label`` of every node."""
     if threshold < 75:

@@ -12,6 +12,7 @@ from .mixing import plan_mix
 from .ngram_join import jaccard_components
 from .quality_lm import score_quality
 from .stream_dedup import exact_dedup
+from .tensor_minhash import near_duplicates
 from .token_output import token_digests
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
@@ -63,10 +64,40 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_stream_dedup, op3_toxicity, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output, op10_quality_lm)}
+def op12_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_stream_dedup, op3_toxicity, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output, op10_quality_lm, op12_tensor_minhash)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+def _jaccard(k: int, threshold: int, columns: str) -> str:
+    """Components of documents whose sets of ``k``-word shingles have a similarity of ``threshold`` per cent or more."""
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {shingle}))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+k AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS key, g FROM s),
+sets AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(g) AS g FROM k WHERE n > 0 GROUP BY key),
+t AS (SELECT rep, n, unnest(g) AS x FROM sets),
+p AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {threshold} * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT rep, rep FROM sets UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a),
+o AS (
+  SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id
+  FROM k LEFT JOIN sets ON k.n > 0 AND sets.key = k.key LEFT JOIN m ON m.rep = sets.rep)
+SELECT doc_id, n_shingles, {columns} FROM o"""
+
+
 SQL = {
     "op2_stream_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -132,25 +163,8 @@ m AS (
   FROM (SELECT *, row_number() OVER () AS rn FROM p) p
   LEFT JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""",
-    "op5_ngram_jaccard": r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
-  FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
-                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
-k AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS key, g FROM s),
-sets AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(g) AS g FROM k WHERE n > 0 GROUP BY key),
-t AS (SELECT rep, n, unnest(g) AS x FROM sets),
-p AS (
-  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
-  FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
-l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
-e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r(a, b) AS (SELECT rep, rep FROM sets UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-m AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
-SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id
-FROM k LEFT JOIN sets ON k.n > 0 AND sets.key = k.key LEFT JOIN m ON m.rep = sets.rep""",
+    "op5_ngram_jaccard": _jaccard(3, 90, "component_id"),
+    "op12_tensor_minhash": _jaccard(4, 80, "component_id, doc_id = component_id AS kept"),
     "op8_decontaminate": r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 'i', item_id, lower(text) FROM benchmark),

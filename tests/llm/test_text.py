@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lakeshift.llm import decontaminate, html_extract, huffman, ngram_join, quality_lm, token_output, toxicity
+from lakeshift.llm import decontaminate, html_extract, huffman, linking, ngram_join, quality_lm, token_output, toxicity
 from lakeshift.llm.components import components
 from lakeshift.llm.html_blocks import blocks
 
@@ -172,10 +172,11 @@ def near_copies(seed, groups, length):
     return rows
 
 
-@pytest.mark.parametrize(("k", "threshold", "limits"), [(3, 90, (64, 500, 256)), (3, 90, (3, 60, 4)), (5, 80, (2, 40, 3))])
+@pytest.mark.parametrize(("k", "threshold", "limits"), [(3, 90, (64, 500, 256)), (3, 90, (3, 60, 4)), (5, 80, (2, 30, 3))])
 def test_join_equals_brute_force(spark, monkeypatch, k, threshold, limits):
-    for name, value in zip(("RARE", "LONG", "BLOCK", "CHUNK_TOKENS", "SHARD_TOKENS"), (*limits, 4000, 5000), strict=True):
+    for name, value in zip(("RARE", "LONG", "CHUNK_TOKENS", "SHARD_TOKENS"), (*limits[:2], 4000, 5000), strict=True):
         monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(linking, "BLOCK", limits[2])
     rows = near_copies(k + limits[0], 28, 150) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "a b"), (9004, "A  b"), (9005, "a"), (9006, "a b c d e f g h i j"), (9006, "q r s t u v"), (None, "lone words here and there")]
     got = [tuple(r) for r in ngram_join.jaccard_components(docs(spark, rows), k, threshold).collect()]
     assert sorted(got, key=str) == join_brute(rows, k, threshold)
