@@ -11,8 +11,10 @@ from .html_extract import extract_text
 from .mixing import plan_mix
 from .ngram_join import jaccard_components
 from .quality_lm import score_quality
+from .spelling import spelling_variants
 from .stream_dedup import exact_dedup
 from .tensor_minhash import near_duplicates
+from .token_align import alignment_digests
 from .token_output import token_digests
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
@@ -64,11 +66,21 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_stream_dedup, op3_toxicity, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output, op10_quality_lm, op12_tensor_minhash)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_stream_dedup, op3_toxicity, op4_mix_sources, op5_ngram_jaccard, op6_chat_format, op7_url_filter, op8_decontaminate, op9_token_output, op10_quality_lm, op11_token_align, op12_tensor_minhash, op13_spelling_variants)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -176,4 +188,29 @@ n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n)::INTEGER AS n_item_shingles, count(*)::INTEGER AS n_shared, count(*) / any_value(n.n)::DOUBLE AS containment
 FROM g d JOIN g i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x JOIN n ON n.id = i.id
 GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n.n)""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT doc, run, count(*) AS n FROM runs GROUP BY 1, 2),
+bytes AS (SELECT *, hex(encode(doc || ':' || run)) AS h FROM counted),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+lost AS (SELECT n, CASE WHEN h % 97 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM lost WHERE len(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v),
+wild AS (SELECT word, n, i, word[:i - 1] AS before, word[i + 1:] AS after FROM places),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM wild a JOIN wild b ON a.i = b.i AND a.before = b.before AND a.after = b.after AND a.word <> b.word
+  UNION SELECT w.word, v.word, v.n FROM wild w JOIN v ON v.word = w.before || w.after
+  UNION SELECT v.word, w.word, w.n FROM wild w JOIN v ON v.word = w.before || w.after),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS form, max(near_n) AS form_n FROM near GROUP BY 1),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+r(word, top) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.top WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.top AS root, f.n, f.n_near, f.form_n
+FROM f JOIN r ON r.word = f.word JOIN f l ON l.word = r.top AND l.form IS NULL""",
 }

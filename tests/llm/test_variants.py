@@ -1,12 +1,18 @@
 """Tensored MinHash, cross-tokenizer alignment and spelling variants against brute force."""
 
+import hashlib
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_text import docs, join_brute, near_copies
 
-from lakeshift.llm import hashing, linking, tensor_minhash
+from lakeshift.llm import hashing, linking, spelling, tensor_minhash, token_align
 
 
 def edited(seed, groups):
@@ -25,6 +31,7 @@ def edited(seed, groups):
 @pytest.mark.parametrize(("k", "threshold", "block"), [(4, 80, 256), (4, 80, 3), (5, 90, 2)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, threshold, block):
     monkeypatch.setattr(linking, "BLOCK", block)
+    monkeypatch.setattr(linking, "WIDE", 2 * block)
     rows = near_copies(k + block, 12, 150) + edited(block, 16)
     rows += [(90000, None), (90001, ""), (90002, " \n"), (90003, "a b"), (90004, "A  b"), (90005, "a"), (90006, "a b c d e f g h i j"), (90006, "q r s t u v"), (None, "lone words here and there"), (None, "lone Words here and there")]
     got = tensor_minhash.near_duplicates(docs(spark, rows), k, threshold).collect()
@@ -49,3 +56,162 @@ def test_bands_estimate_similarity():
         hit = b[0] == b[1]
         shared += hit[: tensor_minhash.BANDS].mean(), hit[tensor_minhash.BANDS :].mean()
     assert np.allclose(shared / 400, s**tensor_minhash.ROWS, atol=0.03)
+
+
+# -------------------------------------------------------------- alignment
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def align_brute(rows):
+    """The contract of the query, token by token."""
+    one, two = token_align.tokenizer(A), token_align.tokenizer(B)
+    out = []
+    for i, text in rows:
+        a, b = one.encode([text or ""])[0], two.encode([text or ""])[0]
+        want = b" " + (text or "").encode()
+        if not text or b"".join(one.bytes[x] for x in a) != want or b"".join(two.bytes[x] for x in b) != want:
+            out.append((i, [], [], [], []))
+            continue
+        ends = lambda ids, table: np.cumsum([len(table[x]) for x in ids]).tolist()
+        ea, eb = ends(a, one.bytes), ends(b, two.bytes)
+        links = [(x, y) for x, e in zip(a, ea, strict=True) for y, f in zip(b, eb, strict=True) if e == f]
+        groups, la, lb = [], 0, 0
+        for cut in sorted(set(ea) & set(eb)):
+            groups.append(([x for x, e in zip(a, ea, strict=True) if la < e <= cut], [y for y, f in zip(b, eb, strict=True) if lb < f <= cut]))
+            la = lb = cut
+        out.append((i, a, b, links, groups))
+    n = Counter(p for _, _, _, links, _ in out for p in links)
+    top = {}
+    for (_, y), m in n.items():
+        top[y] = max(m, top.get(y, 0))
+    rows = []
+    for i, a, b, links, groups in out:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        best = sum(n[p] == top[p[1]] for p in links)
+        rows.append((i, len(a), len(b), len(groups), len(links), best, sum(n[p] for p in links), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+    return sorted(rows, key=str)
+
+
+TEXTS = ["plain words, and more words", "", None, "<s> a </s> ▁ x", "▁", "a  b\t\n c  ", "été ﬁ ½ 日本語 😀", "<|endoftext|> <0x41>", "\x00\x01", "supercalifragilistic " * 40, " lead", "x" * 3000, "plain words, and more words", "1234567890" * 9]
+
+
+def test_alignment_equals_brute_force(spark, monkeypatch):
+    rows = [(i if i != 4 else None, t) for i, t in enumerate(TEXTS)] + [(1, "plain words")]
+    want = align_brute(rows)
+    got = token_align.alignment_digests(docs(spark, rows).repartition(3), A, B).collect()
+    assert sorted(((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got), key=str) == want
+    assert token_align.alignment_digests(docs(spark, []), A, B).count() == 0
+
+
+@pytest.mark.parametrize("limits", [(1 << 20, 1 << 21), (10, 7)])
+def test_links_of_the_products(monkeypatch, limits):
+    monkeypatch.setattr(token_align, "BATCH_BYTES", limits[0])
+    monkeypatch.setattr(token_align, "AT_ONCE", limits[1])
+    texts = [t for t in TEXTS if t and "▁" not in t]
+    seen = 0
+    for start, _, whole, x in token_align._aligned(A, B)(pa.array(texts)):
+        assert whole.tolist() == list(range(len(whole)))
+        seen += len(whole)
+        ranges = [[(e - n, e) for e, n in zip(end.tolist(), np.diff(end, prepend=0).tolist(), strict=True)] for end in (x.a_end, x.b_end)]
+        both = {(i, j): min(p[1], q[1]) - max(p[0], q[0]) for i, p in enumerate(ranges[0]) for j, q in enumerate(ranges[1]) if min(p[1], q[1]) > max(p[0], q[0])}
+        assert dict(zip(zip(x.overlaps[0].tolist(), x.overlaps[1].tolist(), strict=True), x.overlaps[2].tolist(), strict=True)) == both
+        group = [np.searchsorted(x.ends, e).tolist() for e in (x.a_end, x.b_end)]
+        shared = [(i, j) for r, c, v in x.shared_groups() for i, j, k in zip(r.tolist(), c.tolist(), v.tolist(), strict=True) if k == 1]
+        assert shared == [(i, j) for i, g in enumerate(group[0]) for j, h in enumerate(group[1]) if g == h]
+    assert seen == len(texts)
+
+
+def test_row_products_equal_dense_ones(monkeypatch):
+    monkeypatch.setattr(token_align, "AT_ONCE", 5)
+    rnd = np.random.default_rng(3)
+    x, y = rnd.integers(0, 3, (9, 7)), rnd.integers(0, 3, (7, 8))
+    csr = lambda m: token_align.Csr(np.concatenate([[0], np.cumsum((m > 0).sum(axis=1))]), np.nonzero(m)[1], m[m > 0], m.shape[1])
+    got = np.zeros((9, 8), int)
+    for r, c, v in token_align.row_products(csr(x), csr(y).transposed().transposed()):
+        got[r, c] += v
+    assert (got == x @ y).all()
+
+
+def test_alignment_table(spark):
+    row = token_align.alignments(docs(spark, [(1, "tokenization aligns"), (2, None)]), A, B).orderBy("doc_id").collect()
+    assert sum(row[0].a_groups) == len(row[0].a_ids) and sum(row[0].b_groups) == len(row[0].b_ids) and len(row[0].links) == len(row[0].a_groups)
+    assert sum(o["bytes"] for o in row[0].overlaps) == len(" tokenization aligns") and row[1].a_ids == []
+
+
+# --------------------------------------------------------------- spelling
+
+
+def variants_brute(rows):
+    n = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    words = {w: m for w, m in n.items() if m >= 3 and len(w) >= 5}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    of = {w: [x for x in words if near(w, x)] for w in words}
+    form = {w: f for w, xs in of.items() if xs and words[f := min(xs, key=lambda x: (-words[x], x))] >= 2 * words[w]}
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted(((w, form.get(w), root(w), m, len(of[w]), words.get(form.get(w))) for w, m in words.items()), key=str)
+
+
+def misspelt(seed, alphabet):
+    rnd = random.Random(seed)
+    bases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(4, 14))) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(120):
+            w = list(rnd.choice(bases[: rnd.randint(1, len(bases))]))
+            for _ in range(rnd.choice([0, 0, 0, 1, 2])):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randint(0, 1)] = [rnd.choice(alphabet)] * rnd.randint(0, 1)
+            words.append("".join(w).title() if rnd.random() < 0.2 else "".join(w))
+        rows.append((i if i % 7 else None, rnd.choice([" ", ", ", "-1"]).join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("alphabet", "limits"), [("abcdefgh", (100_000, 32, 20_000)), ("abé", (100_000, 32, 20_000)), ("abcdeÿ", (3, 1, 4)), ("ab", (1000, 2, 50))])
+def test_spelling_variants_equal_brute_force(spark, monkeypatch, alphabet, limits):
+    for name, value in zip(("MOST_FREQUENT", "LEAST_FREQUENT", "LONG_LIST"), limits, strict=True):
+        monkeypatch.setattr(spelling, name, value)
+    monkeypatch.setattr(spelling, "AT_ONCE", 64)
+    long = "abcdefghij" * 30
+    rows = misspelt(len(alphabet), alphabet) + [(900, None), (901, ""), (902, "1 2 ß×x"), (903, f"{long} " * 6 + f"{long[:70]}y{long[70:]} " * 3 + f"{long}z " * 3)]
+    got = spelling.spelling_variants(docs(spark, rows)).collect()
+    assert sorted(((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got), key=str) == variants_brute(rows)
+
+
+def test_spelling_variants_of_nothing(spark):
+    assert spelling.spelling_variants(docs(spark, [])).count() == 0
+    assert spelling.spelling_variants(docs(spark, [(1, "word word"), (2, None)])).count() == 0
+
+
+def test_near_words_share_a_list():
+    """The bound of affected grams, over all edits of random words, at any set of frequent grams."""
+    rnd = random.Random(8)
+    for _ in range(400):
+        alphabet = rnd.choice(["ab", "abcd", "abcdefghijk"])
+        word = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(5, 12)))
+        other = list(word)
+        at = rnd.randrange(len(word) + 1)
+        kind = rnd.choice("ird") if len(word) > 5 else rnd.choice("ir")
+        other[at : at + (kind != "i")] = [] if kind == "d" else [rnd.choice(alphabet)]
+        other = "".join(other)
+        if other == word or len(other) < 5:
+            continue
+        text = "".join(rnd.choice(alphabet + spelling.BEGIN + spelling.END) for _ in range(60)) + word + other
+        frequent = {text[i : i + q]: rnd.randint(1, 9) for q in (2, 3, 4, 5) for i in range(len(text)) if rnd.random() < 0.7}
+        lists = [{k for m in spelling.schemes(len(w)) for k in spelling.lists_of(w, frequent, m)} for w in (word, other)]
+        assert lists[0] & lists[1], (word, other)
