@@ -1,14 +1,17 @@
 """Links between sets that share an index key, verified exactly, as components.
 
-An index has one row per set: ``node, n, keys, tokens`` (digest, size, index entries, sorted 64-bit hashes).  Two sets that
-share a key are candidates; they link when ``100 * |A & B| >= threshold * |A | B|``.
+An index has one row per set: ``node, n, keys, sketch, tokens`` (digest, size, index entries, histogram, sorted 64-bit hashes).
+Two sets that share a key are candidates; they link when ``100 * |A & B| >= threshold * |A | B|``.  The sketch counts a set's
+hashes in ``CELLS`` parts of their range: the sum of the lesser counts of two sets is never below the number of hashes that
+they share, so pairs whose sketches rule a link out need no tokens.
 
 1. Every key has a pivot, its least node.  A node is first verified against the least of its pivots: one pair per node,
    which joins most of any large group of near copies whatever the number of its keys.
-2. Then against its other pivots, as far as these are still in another component.
-3. The nodes of a pivot that are still in another component than the pivot are verified against all nodes of that
-   pivot, in blocks of ``BLOCK`` by ``BLOCK`` nodes of near sizes, so that no task holds a group, and a block returns only a
-   spanning forest of the links that it found.
+2. Then against its other pivots, as far as these are still in another component and the sketches allow a link.
+3. The nodes of a pivot that are still in another component than the pivot meet all nodes of that pivot, in blocks of
+   nodes of near sizes, so that no task holds a group.  Blocks of ``WIDE`` by ``WIDE`` sketches first return the nodes that may
+   link with any other; only these meet with their tokens, in blocks of ``BLOCK`` by ``BLOCK``, which return a spanning forest
+   of the links that they found.
 
 No pair of linked sets that share a key is left apart: where a step passes over a pair, the two are in one component already.
 Nothing is capped.
@@ -26,14 +29,53 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
-#: Nodes on either side of a verification task.
-BLOCK = 256
+#: Nodes on either side of a verification task: with their sketches, with their tokens.
+WIDE, BLOCK = 2048, 256
+CELLS = 64
 
 
-def linked(shared: int, a: int, b: int, threshold: int) -> bool:
+def sketch(tokens: np.ndarray) -> bytes:
+    """Histogram of 64-bit hashes."""
+    return np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes()
+
+
+def linked(shared, a, b, threshold: int):
+    """Of numbers or arrays of numbers."""
     return 100 * shared >= threshold * (a + b - shared)
 
 
+def _sketch_pairs(threshold: int):
+    """Of pairs of sketches, those that may link."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, y = (np.frombuffer(b"".join(rows[c]), "<u4").reshape(-1, CELLS).astype(np.int64) for c in ("sketch", "pivot_sketch"))
+            keep = linked(np.minimum(x, y).sum(axis=1), x.sum(axis=1), y.sum(axis=1), threshold)
+            yield rows.loc[keep, ["node", "pivot"]]
+
+    return run
+
+
+def _sketch_block(threshold: int):
+    """The nodes of either side that may link with one of the other side in another component."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = (rows[rows.side == side] for side in (0, 1))
+        x, y = (np.frombuffer(b"".join(part.sketch), "<u4").reshape(-1, CELLS) for part in (left, right))
+        small = max(left.n.max(), right.n.max()) < 1 << 16 if len(left) and len(right) else False
+        x, y = (np.ascontiguousarray(m.T, np.uint16 if small else np.int64) for m in (x, y))  # a row per cell
+        sizes, label = right.n.to_numpy(np.int64), right.label.to_numpy()
+        may_left, may_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for i, (n, own) in enumerate(zip(left.n, left.label, strict=True)):
+            bound = np.minimum(y, x[:, i : i + 1]).sum(axis=0, dtype=x.dtype).astype(np.int64)
+            hit = linked(bound, n, sizes, threshold) & (label != own)
+            may_left[i] = hit.any()
+            may_right |= hit
+        return pd.concat([left[may_left], right[may_right]])[["pivot", "step", "side", "node", "n", "label"]]
+
+    return run
+
+
 def _verify_pairs(threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -86,8 +128,12 @@ def _verify_block(threshold: int):
 
 def _pairs(pairs: DataFrame, tokens: DataFrame, threshold: int) -> DataFrame:
     """Of pairs ``node, pivot``, those that link, as ``a, b``."""
-    both = pairs.join(tokens, "node").join(tokens.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
-    return both.mapInPandas(_verify_pairs(threshold), "a binary, b binary")
+    return _beside(pairs, tokens, "tokens").mapInPandas(_verify_pairs(threshold), "a binary, b binary")
+
+
+def _beside(pairs: DataFrame, index: DataFrame, column: str) -> DataFrame:
+    """Pairs ``node, pivot`` with ``column`` of both."""
+    return pairs.join(index.select("node", column), "node").join(index.select(F.col("node").alias("pivot"), F.col(column).alias(f"pivot_{column}")), "pivot")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -114,24 +160,30 @@ def _size_step(n: Column, threshold: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(101.0 / threshold))).cast("int")
 
 
-def _blocks(met: DataFrame, labels: DataFrame, tokens: DataFrame, threshold: int) -> DataFrame:
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """Rows ``pivot, step, side, node, ...`` dealt to blocks ``i, j`` in which every node of side 0 meets every node of side 1."""
+    count = lambda side: F.ceil(F.count(F.when(F.col("side") == side, 1)) / size).cast("int")
+    sizes = rows.groupBy("pivot", "step").agg(count(0).alias("nl"), count(1).alias("nr")).filter("nl > 0 AND nr > 0")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = F.col("side") == 0
+    every = F.sequence(F.lit(0), F.when(left, F.col("nr")).otherwise(F.col("nl")) - 1)
+    both = rows.join(sizes, ["pivot", "step"]).withColumn("every", F.explode(every))
+    both = both.withColumn("i", F.when(left, own("nl")).otherwise(F.col("every"))).withColumn("j", F.when(left, F.col("every")).otherwise(own("nr")))
+    return both.drop("nl", "nr", "every")
+
+
+def _blocks(met: DataFrame, labels: DataFrame, index: DataFrame, threshold: int) -> DataFrame:
     """Links between nodes of a pivot, some of which are in another component than the pivot: ``a, b`` of labels."""
     named = _with_labels(met, labels).select("node", "n", "pivot", "label", "other").withColumn("step", _size_step(F.col("n"), threshold))
-    # a node's step pairs with its own and both neighbouring steps
-    near = named.filter("other").select("pivot", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.lit(1).alias("one"))
-    lefts = near.groupBy("pivot", "step").agg(F.count("one").alias("lefts"))
-    rights = named.groupBy("pivot", "step").agg(F.count(F.lit(1)).alias("rights"))
-    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sizes = lefts.join(rights, ["pivot", "step"]).select("pivot", "step", count("lefts").alias("nl"), count("rights").alias("nr"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["pivot", "step", "i", "j", "side", "node", "n", "label"]
-    h = F.xxhash64("node")
-    left = named.filter("other").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).join(sizes, ["pivot", "step"])
-    left = left.withColumn("i", F.pmod(h, F.col("nl")).cast("int")).withColumn("j", every("nr")).withColumn("side", F.lit(0)).select(*cols)
-    right = named.join(sizes, ["pivot", "step"])
-    right = right.withColumn("j", F.pmod(h, F.col("nr")).cast("int")).withColumn("i", every("nl")).withColumn("side", F.lit(1)).select(*cols)
-    both = left.unionByName(right).join(tokens, "node")
-    return both.groupBy("pivot", "step", "i", "j").applyInPandas(_verify_block(threshold), "a binary, b binary").distinct()
+    at = F.col("step")
+    # a node of another component meets its own step of sizes and both neighbouring steps
+    left = named.filter("other").withColumn("step", F.explode(F.array(at - 1, at, at + 1))).withColumn("side", F.lit(0))
+    rows = left.unionByName(named.withColumn("side", F.lit(1))).drop("other")
+    meet = ["pivot", "step", "i", "j"]
+    wide = _dealt(rows, WIDE).join(index.select("node", "sketch"), "node").groupBy(*meet)
+    may = stored(wide.applyInPandas(_sketch_block(threshold), "pivot binary, step int, side int, node binary, n long, label binary").distinct(), "join-may")
+    both = _dealt(may, BLOCK).join(index.select("node", "tokens"), "node")
+    return both.groupBy(*meet).applyInPandas(_verify_block(threshold), "a binary, b binary").distinct()
 
 
 def link_nodes(index: DataFrame, threshold: int) -> DataFrame:
@@ -143,12 +195,14 @@ def link_nodes(index: DataFrame, threshold: int) -> DataFrame:
     tokens = index.select("node", "tokens")
     apart = met.filter(F.col("node") != F.col("pivot")).filter(_near_in_size("n", "pivot_n", threshold)).select("node", "pivot")
     labels = stored(components(_pairs(apart.groupBy("node").agg(F.min("pivot").alias("pivot")), tokens, threshold)), "join-labels")
-    rest = stored(_with_labels(apart, labels).filter("other").select("node", "pivot"), "join-rest")
+    rest = _beside(_with_labels(apart, labels).filter("other").select("node", "pivot"), index, "sketch")
+    rest = stored(rest.mapInPandas(_sketch_pairs(threshold), "node binary, pivot binary"), "join-rest")
     if not rest.isEmpty():
         links = _pairs(rest, tokens, threshold)
         name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
         links = stored(links.distinct(), "join-links")
-        labels = _merged(labels, links)
-    more = stored(_blocks(met.select("node", "n", "pivot"), labels, tokens, threshold), "join-more")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+    more = stored(_blocks(met.select("node", "n", "pivot"), labels, index, threshold), "join-more")
     return labels if more.isEmpty() else _merged(labels, more)

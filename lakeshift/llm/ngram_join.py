@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import stored, text_key, text_of
-from .linking import link_nodes
+from .linking import link_nodes, sketch
 
 #: A token in at most so many sets is indexed alone.
 RARE = 64
@@ -156,14 +156,14 @@ def _index(k: int, shards: int, threshold: int):
                 df[hit] = freq[at[hit]]
             keys = _keys(s, df, threshold)
             if len(keys):
-                rows.append((node, len(s), keys.astype(np.int64), s.astype("<u8").tobytes()))
-        return pa.table({"node": pa.array([r[0] for r in rows], pa.binary()), "n": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "tokens": pa.array([r[3] for r in rows], pa.binary())})
+                rows.append((node, len(s), keys.astype(np.int64), sketch(s), s.astype("<u8").tobytes()))
+        return pa.table({"node": pa.array([r[0] for r in rows], pa.binary()), "n": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "sketch": pa.array([r[3] for r in rows], pa.binary()), "tokens": pa.array([r[4] for r in rows], pa.binary())})
 
     return run
 
 
 def _search(docs: DataFrame, nodes: DataFrame, k: int, threshold: int, total: int) -> DataFrame:
-    """The index: ``node, n, keys, tokens`` of every set that may link."""
+    """The index: ``node, n, keys, sketch, tokens`` of every set that may link."""
     chunks = max(1, -(-total // CHUNK_TOKENS))
     shards = max(1, -(-total // SHARD_TOKENS))
     spread = lambda df: df.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
@@ -173,7 +173,7 @@ def _search(docs: DataFrame, nodes: DataFrame, k: int, threshold: int, total: in
     back = sent.groupBy("shard").applyInArrow(_count, "chunk int, shard int, tokens binary, n binary")
     right = back.select("chunk", F.lit(None).cast("binary").alias("node"), "shard", "tokens", "n")
     right = right.unionByName(stand, allowMissingColumns=True)
-    return texts.cogroup(right.groupBy("chunk")).applyInArrow(_index(k, shards, threshold), "node binary, n long, keys array<long>, tokens binary")
+    return texts.cogroup(right.groupBy("chunk")).applyInArrow(_index(k, shards, threshold), "node binary, n long, keys array<long>, sketch binary, tokens binary")
 
 
 def _groups(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import stored, text_of
-from .linking import link_nodes
+from .linking import link_nodes, sketch
 
 #: Bands of a collection, and minhashes of a band.
 BANDS, ROWS = 14, 2
@@ -85,8 +85,8 @@ def _profile(k: int):
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.astype("<u8").tobytes() for _, s in hashing.shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "tokens"])
+            rows = [(sketch(s), s.astype("<u8").tobytes()) for _, s in hashing.shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]], ["node", "sketch", "tokens"])
 
     return run
 
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     # the texts that stand for a node with keys; rows that repeat id and text give the same set
     wanted = nodes.join(keyed.select("node"), "node").select("node", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     whole = texts.join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    sets = whole.mapInArrow(_tokens(k), "node binary, tokens binary").dropDuplicates(["node"])
+    sets = whole.mapInArrow(_tokens(k), "node binary, sketch binary, tokens binary").dropDuplicates(["node"])
     index = stored(sets.join(keyed, "node").join(nodes.select("node", "n"), "node"), "tensor-index")
     labels = link_nodes(index, threshold)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))

@@ -177,6 +177,7 @@ def test_join_equals_brute_force(spark, monkeypatch, k, threshold, limits):
     for name, value in zip(("RARE", "LONG", "CHUNK_TOKENS", "SHARD_TOKENS"), (*limits[:2], 4000, 5000), strict=True):
         monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(linking, "BLOCK", limits[2])
+    monkeypatch.setattr(linking, "WIDE", limits[2] + 1)
     rows = near_copies(k + limits[0], 28, 150) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "a b"), (9004, "A  b"), (9005, "a"), (9006, "a b c d e f g h i j"), (9006, "q r s t u v"), (None, "lone words here and there")]
     got = [tuple(r) for r in ngram_join.jaccard_components(docs(spark, rows), k, threshold).collect()]
     assert sorted(got, key=str) == join_brute(rows, k, threshold)

@@ -68,7 +68,7 @@ def align_brute(rows):
     one, two = token_align.tokenizer(A), token_align.tokenizer(B)
     out = []
     for i, text in rows:
-        a, b = one.encode([text or ""])[0], two.encode([text or ""])[0]
+        a, b = one.tokenizer.encode(" " + (text or ""), add_special_tokens=False).ids, two.model.encode(text or "")
         want = b" " + (text or "").encode()
         if not text or b"".join(one.bytes[x] for x in a) != want or b"".join(two.bytes[x] for x in b) != want:
             out.append((i, [], [], [], []))
@@ -104,6 +104,21 @@ def test_alignment_equals_brute_force(spark, monkeypatch):
     assert token_align.alignment_digests(docs(spark, []), A, B).count() == 0
 
 
+def test_texts_in_strings_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_align, "MEMORY", 5000)
+    rnd = random.Random(5)
+    alphabet = [*"abcdefgXYZ019.,'-|<>/é ß日😀\u2028\u00a0\u0301\x00▁", " ", " ", "  ", "\n", "\t", "\r\n", "the ", " ing", "<s>", "<0x0A>", "<|endoftext|>", "'re", "\u3000"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(6000)]
+    one, two = token_align.tokenizer(A), token_align.tokenizer(B)
+    assert one.splits and two.splits
+    assert one.encode(texts) == [e.ids for e in one.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    direct = two.model.encode(texts)
+    kept = [i for i, t in enumerate(texts) if t and b"".join(two.bytes[x] for x in direct[i]) == b" " + t.encode()]
+    got = two.encode(texts)
+    assert len(kept) > 3000 and all(got[i] == direct[i] for i in kept)
+    assert all(b"".join(two.bytes[x] for x in got[i]) != b" " + t.encode() for i, t in enumerate(texts) if t and i not in set(kept))
+
+
 @pytest.mark.parametrize("limits", [(1 << 20, 1 << 21), (10, 7)])
 def test_links_of_the_products(monkeypatch, limits):
     monkeypatch.setattr(token_align, "BATCH_BYTES", limits[0])
