@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
+from .hashing import mix
 
 LEAST_LENGTH, LEAST_COUNT, LOSES = 5, 3, 97
 #: Frequent grams of a length, at most; a gram that so many words hold or fewer is never frequent.
@@ -51,6 +52,9 @@ WIDEST = 64
 BEGIN, END = "\x02", "\x03"
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
+_U, _ALL = np.uint64, 2**64 - 1
+#: Powers of an odd number and of its inverse, modulo 2**64.
+_UP, _DOWN = (np.array([pow(base, i, 2**64) for i in range(WIDEST + 2)], np.uint64) for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)))
 
 
 # ------------------------------------------------------------- vocabulary
@@ -170,12 +174,24 @@ def _index(frequent):
 # ----------------------------------------------------------------- verify
 
 
-def halves(word: str) -> list[tuple[int, int, str]]:
-    """``(length of the shorter word, side, half)`` of the word as the shorter (or equal) and as the longer of a pair."""
-    out = []
-    for shorter in (len(word), len(word) - 1):
+def _half_keys(code: np.ndarray, size: np.ndarray, words: list[str]) -> np.ndarray:
+    """Per word four numbers: its first and second half as the shorter (or equal) and as the longer word of a pair, each with the
+    length of the shorter one.  Equal halves have equal numbers; others only by chance, which costs a comparison."""
+    n, width = code.shape
+    hash_of = np.zeros((n, width + 1), np.uint64)
+    np.cumsum((code.astype(np.uint64) + _U(1)) * _UP[:width], axis=1, out=hash_of[:, 1:])
+    rows = np.arange(n)
+    out = np.empty((n, 4), np.uint64)
+    for k, shorter in ((0, size), (2, size - 1)):
         h = shorter // 2
-        out += [(shorter, 0, word[:h]), (shorter, 1, word[len(word) - (shorter - h) :])]
+        begin, stop = size - (shorter - h), np.minimum(size, width)
+        begin = np.minimum(begin, stop)
+        out[:, k] = hash_of[rows, np.minimum(h, width)] * _U(2)
+        out[:, k + 1] = (hash_of[rows, stop] - hash_of[rows, begin]) * _DOWN[begin] * _U(2) + _U(1)
+        for i in np.flatnonzero(size > WIDEST):
+            w, m = words[i], int(h[i])
+            out[i, k], out[i, k + 1] = hash(w[:m]) & _ALL, hash((w[len(w) - (int(shorter[i]) - m) :], 1)) & _ALL
+        out[:, k : k + 2] = mix(out[:, k : k + 2] + shorter.astype(np.uint64)[:, None] * _U(0xD1342543DE82EF95))
     return out
 
 
@@ -207,9 +223,7 @@ def near_pairs(lists: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndar
     # four rows per word: as the shorter and the longer of a pair, by its first and its second half
     at = np.tile(np.arange(n), 4)
     longer = np.repeat([0, 0, 1, 1], n)
-    side = np.repeat([0, 1, 0, 1], n)
-    half = [hash((s, d, x)) for k in range(4) for s, d, x in (halves(w)[k] for w in words)]
-    key = pd.factorize(pd.MultiIndex.from_arrays([np.tile(lists, 4), np.array(half, np.int64), side]))[0] if n else np.zeros(0, np.int64)
+    key = mix(_half_keys(code, size, words).T.reshape(-1) ^ mix(np.tile(lists, 4).astype(np.uint64)))
     order = np.lexsort((longer, key))
     at, longer, key = at[order], longer[order], key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
@@ -240,14 +254,15 @@ def near_pairs(lists: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndar
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by list; each list is taken whole, many at once."""
+    """Near pairs of rows sorted by list, the smaller word first; each list is taken whole, many at once."""
 
     def near(table: pa.Table) -> pa.RecordBatch:
         words, n = table.column("word").to_pylist(), table.column("n").to_numpy()
         a, b = near_pairs(pd.factorize(table.column("list").to_pandas())[0], words)
-        one, two = np.concatenate([a, b]), np.concatenate([b, a])
+        turn = np.fromiter((words[i] > words[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
         column = pa.array(words, pa.string())
-        return pa.RecordBatch.from_arrays([column.take(pa.array(one)), pa.array(n[one], pa.int64()), column.take(pa.array(two)), pa.array(n[two], pa.int64())], ["word", "n", "near", "near_n"])
+        return pa.RecordBatch.from_arrays([column.take(pa.array(a)), pa.array(n[a], pa.int64()), column.take(pa.array(b)), pa.array(n[b], pa.int64())], ["word", "n", "near", "near_n"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -281,7 +296,9 @@ def near_words(words: DataFrame) -> DataFrame:
     frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words))
     index = words.mapInArrow(_index(frequent), "list string, word string, n long")
     dealt = _dealt(stored(index, "gram-index")).repartition(shuffle_partitions(words.sparkSession), "list").sortWithinPartitions("list")
-    return dealt.mapInArrow(_verify, "word string, n long, near string, near_n long").distinct()
+    pairs = dealt.mapInArrow(_verify, "word string, n long, near string, near_n long").distinct()
+    turned = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    return pairs.select(F.inline(F.array(F.struct("word", "n", "near", "near_n"), turned)))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
