@@ -22,14 +22,18 @@ instead of a digest.  Rows come back as often as they come; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import sys
 import types
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,11 @@ from .common import stored, text_of
 
 #: Bytes of texts in one matrix, products computed at once.
 BATCH_BYTES, AT_ONCE = 1 << 20, 1 << 21
+#: Strings that a worker remembers the ids of.
+MEMORY = 400_000
+#: Fixed value: the splitting pattern of byte-level tokenizers.
+BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SPACED = re.compile(r"[\n\t]| *[^ \n\t]+| +")
 
 
 # --------------------------------------------------------------- matrices
@@ -101,13 +110,35 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteLevel:
-    """A byte-level tokenizer of the tokenizers library; it sees a space before the text."""
+class Known:
+    """Ids of strings that come again, in a memory of about ``MEMORY`` strings."""
+
+    def __init__(self):
+        self.ids: dict[str, list[int]] = {}
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts, from those of the independent strings that ``split`` cuts them into."""
+        parts = list(map(self.split, texts))
+        new = list({x for part in parts for x in part if x not in self.ids})
+        if len(self.ids) + len(new) > MEMORY:
+            self.ids = {}
+            new = list({x for part in parts for x in part})
+        for i in range(0, len(new), 4096):
+            self.ids.update(zip(new[i : i + 4096], self.look_up(new[i : i + 4096]), strict=True))
+        return [list(chain.from_iterable(map(self.ids.__getitem__, part))) for part in parts]
+
+
+class ByteLevel(Known):
+    """A byte-level tokenizer of the tokenizers library; it sees a space before the text.
+
+    Its own splitting pattern cuts texts into strings that it encodes one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         letters = _byte_letters()
@@ -116,23 +147,45 @@ class ByteLevel:
         for entry, i in vocabulary.items():
             if all(c in letters for c in entry):
                 self.bytes[i] = bytes(letters[c] for c in entry)
+        layout = json.loads(self.tokenizer.to_str())
+        before = layout["pre_tokenizer"] or {}
+        self.splits = layout["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+
+    def split(self, text: str) -> list[str]:
+        return BYTE_LEVEL.findall(" " + text) if self.splits else [" " + text]
+
+    def look_up(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
+class Pieces(Known):
+    """A sentencepiece model that puts a space before the text.
 
-class Pieces:
-    """A sentencepiece model that puts a space before the text."""
+    Where no piece of the vocabulary goes on across the beginning of a run of spaces, or holds a line end or a tab, merges never
+    cross these, and texts are cut there.  A string is encoded behind a line end, which keeps it apart from the space that the
+    model adds.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        super().__init__()
         self.model = SentencePieceProcessor(model_file=path)
-        ids = range(self.model.get_piece_size())
-        self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, self.model.id_to_piece(list(ids)), strict=True)]
+        ids = list(range(self.model.get_piece_size()))
+        pieces = self.model.id_to_piece(ids)
+        self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)]
+        crossing = re.compile("[^▁]▁|[\n\t]")
+        self.begin = self.model.encode("\n")
+        self.splits = not any(crossing.search(p) for p in pieces) and [self.bytes[i] for i in self.begin] == [b" ", b"\n"]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def split(self, text: str) -> list[str]:
+        return SPACED.findall(" " + text) if self.splits else [" " + text]
+
+    def look_up(self, strings: list[str]) -> list[list[int]]:
+        if not self.splits:
+            return self.model.encode([x[1:] for x in strings], num_threads=1)
+        ids = self.model.encode(["\n" + x for x in strings], num_threads=1)
+        return [x[len(self.begin) :] for x in ids]
 
 
 def tokenizer(path: str) -> ByteLevel | Pieces:
@@ -169,8 +222,8 @@ def align(ids_a: list[list[int]], ids_b: list[list[int]], a_bytes: list[bytes],
     """Align texts whose tokens cover the same bytes."""
     sides = []
     for ids, table in ((ids_a, a_bytes), (ids_b, b_bytes)):
-        flat = np.fromiter((i for x in ids for i in x), np.int64)
-        ends = np.cumsum(np.fromiter((len(table[i]) for x in ids for i in x), np.int64))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, map(table.__getitem__, chain.from_iterable(ids))), np.int64))
         sides.append((flat, ends, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)))
     (a, a_end, a_cut), (b, b_end, b_cut) = sides
     found = list(row_products(incidence(a_end), incidence(b_end).transposed()))
