@@ -24,12 +24,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import sys
 import types
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,6 @@ BATCH_BYTES, AT_ONCE = 1 << 20, 1 << 21
 MEMORY = 400_000
 #: Fixed value: the splitting pattern of byte-level tokenizers.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-SPACED = re.compile(r"[\n\t]| *[^ \n\t]+| +")
 
 
 # --------------------------------------------------------------- matrices
@@ -110,35 +108,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Known:
-    """Ids of strings that come again, in a memory of about ``MEMORY`` strings."""
-
-    def __init__(self):
-        self.ids: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts, from those of the independent strings that ``split`` cuts them into."""
-        parts = list(map(self.split, texts))
-        new = list({x for part in parts for x in part if x not in self.ids})
-        if len(self.ids) + len(new) > MEMORY:
-            self.ids = {}
-            new = list({x for part in parts for x in part})
-        for i in range(0, len(new), 4096):
-            self.ids.update(zip(new[i : i + 4096], self.look_up(new[i : i + 4096]), strict=True))
-        return [list(chain.from_iterable(map(self.ids.__getitem__, part))) for part in parts]
-
-
-class ByteLevel(Known):
+class ByteLevel:
     """A byte-level tokenizer of the tokenizers library; it sees a space before the text.
 
-    Its own splitting pattern cuts texts into strings that it encodes one by one.
+    Its own splitting pattern cuts texts into strings that it encodes one by one; their ids are kept in a memory of about
+    ``MEMORY`` strings.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, tuple[int, ...]] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         letters = _byte_letters()
@@ -151,41 +132,30 @@ class ByteLevel(Known):
         before = layout["pre_tokenizer"] or {}
         self.splits = layout["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
 
-    def split(self, text: str) -> list[str]:
-        return BYTE_LEVEL.findall(" " + text) if self.splits else [" " + text]
-
-    def look_up(self, strings: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        parts = [BYTE_LEVEL.findall(" " + t) if self.splits else [" " + t] for t in texts]
+        strings = set(chain.from_iterable(parts))
+        if len(self.known) > MEMORY:
+            self.known = {}
+        new = list(strings - self.known.keys())
+        for i in range(0, len(new), 4096):
+            found = self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
+            self.known.update((x, tuple(e.ids)) for x, e in zip(new[i : i + 4096], found, strict=True))
+        return [list(chain.from_iterable(map(self.known.__getitem__, part))) for part in parts]
 
-class Pieces(Known):
-    """A sentencepiece model that puts a space before the text.
 
-    Where no piece of the vocabulary goes on across the beginning of a run of spaces, or holds a line end or a tab, merges never
-    cross these, and texts are cut there.  A string is encoded behind a line end, which keeps it apart from the space that the
-    model adds.
-    """
+class Pieces:
+    """A sentencepiece model that puts a space before the text."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        super().__init__()
         self.model = SentencePieceProcessor(model_file=path)
         ids = list(range(self.model.get_piece_size()))
-        pieces = self.model.id_to_piece(ids)
-        self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)]
-        crossing = re.compile("[^▁]▁|[\n\t]")
-        self.begin = self.model.encode("\n")
-        self.splits = not any(crossing.search(p) for p in pieces) and [self.bytes[i] for i in self.begin] == [b" ", b"\n"]
-
-    def split(self, text: str) -> list[str]:
-        return SPACED.findall(" " + text) if self.splits else [" " + text]
+        self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, self.model.id_to_piece(ids), strict=True)]
 
-    def look_up(self, strings: list[str]) -> list[list[int]]:
-        if not self.splits:
-            return self.model.encode([x[1:] for x in strings], num_threads=1)
-        ids = self.model.encode(["\n" + x for x in strings], num_threads=1)
-        return [x[len(self.begin) :] for x in ids]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 def tokenizer(path: str) -> ByteLevel | Pieces:
@@ -218,12 +188,12 @@ class Alignment:
         return row_products(of_a, of_b.transposed())
 
 
-def align(ids_a: list[list[int]], ids_b: list[list[int]], a_bytes: list[bytes], b_bytes: list[bytes]) -> Alignment:
-    """Align texts whose tokens cover the same bytes."""
+def align(ids_a: list[list[int]], ids_b: list[list[int]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> Alignment:
+    """Align texts whose tokens cover the same bytes; with the numbers of bytes of both vocabularies."""
     sides = []
-    for ids, table in ((ids_a, a_bytes), (ids_b, b_bytes)):
+    for ids, table in ((ids_a, a_sizes), (ids_b, b_sizes)):
         flat = np.fromiter(chain.from_iterable(ids), np.int64)
-        ends = np.cumsum(np.fromiter(map(len, map(table.__getitem__, chain.from_iterable(ids))), np.int64))
+        ends = np.cumsum(table[flat])
         sides.append((flat, ends, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)))
     (a, a_end, a_cut), (b, b_end, b_cut) = sides
     found = list(row_products(incidence(a_end), incidence(b_end).transposed()))
@@ -237,6 +207,7 @@ def _aligned(path_a: str, path_b: str):
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, Alignment]]:
         one, two = tokenizer(path_a), tokenizer(path_b)
+        bytes_in = [np.fromiter(map(len, t.bytes), np.int64) for t in (one, two)]
         raw = [t or "" for t in texts.to_pylist()]
         start = 0
         while start < len(raw):
@@ -249,7 +220,7 @@ def _aligned(path_a: str, path_b: str):
                 want = b" " + t.encode()
                 if t and b"".join(map(one.bytes.__getitem__, ids_a[i])) == want == b"".join(map(two.bytes.__getitem__, ids_b[i])):
                     whole.append(i)
-            yield start, stop, np.array(whole, np.int64), align([ids_a[i] for i in whole], [ids_b[i] for i in whole], one.bytes, two.bytes)
+            yield start, stop, np.array(whole, np.int64), align([ids_a[i] for i in whole], [ids_b[i] for i in whole], *bytes_in)
             start = stop
 
     return run
@@ -290,14 +261,22 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def groups_text(a: list[int], b: list[int], a_last: list[int], b_last: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3`` of the ids of a text and the places of each group's last tokens."""
-    out, i, j = [], 0, 0
-    sa, sb = list(map(str, a)), list(map(str, b))
-    for p, q in zip(a_last, b_last, strict=True):
-        out.append(f"{sa[p]}|{sb[q]}" if i == p and j == q else ",".join(sa[i : p + 1]) + "|" + ",".join(sb[j : q + 1]))
-        i, j = p + 1, q + 1
-    return ";".join(out)
+def groups_texts(x: Alignment, width: int) -> Iterator[str]:
+    """Per text ``a1,a2|b1;a3|b2,b3``; ``width`` is the number of B ids."""
+    of = [np.searchsorted(x.ends, e) for e in (x.a_end, x.b_end)]
+    part = np.concatenate([2 * of[0], 2 * of[1] + 1])  # the two sides of a group, in order
+    order = np.argsort(part, kind="stable")
+    part, ids = part[order], np.concatenate([x.a + width, x.b])[order]
+    goes_on = np.concatenate([part[1:] == part[:-1], [False]])
+    after = np.where(goes_on, 0, 1 + (part & 1))
+    kept = sys.modules.setdefault("_lakeshift_aligners", types.ModuleType("_lakeshift_aligners")).__dict__
+    names = kept.setdefault(("names", width), [])
+    for i in range(len(names) // 3, int(ids.max(initial=0)) + 1):  # every id with each mark that may follow it
+        name = str(i - width if i >= width else i)
+        names += [name + ",", name + "|", name + ";"]
+    marks = list(map(names.__getitem__, (3 * ids + after).tolist()))
+    for lo, hi in pairwise((x.a_cut + x.b_cut).tolist()):
+        yield "".join(marks[lo:hi])[:-1]
 
 
 def _digest(path_a: str, path_b: str, width: int):
@@ -317,11 +296,8 @@ def _digest(path_a: str, path_b: str, width: int):
                 counts[:, whole] = [np.diff(x.a_cut), np.diff(x.b_cut), groups, links, _per_text(x, x.overlaps[0]), shared]
                 key = (x.a[x.links[0]] * width + x.b[x.links[1]]).astype("<i8")
                 at = np.concatenate([[0], np.cumsum(links)])
-                for n, i in enumerate(whole.tolist()):
-                    a0, b0 = x.a_cut[n], x.b_cut[n]
-                    mine = slice(at[n], at[n + 1])
-                    text = groups_text(x.a[a0 : x.a_cut[n + 1]].tolist(), x.b[b0 : x.b_cut[n + 1]].tolist(), (x.links[0][mine] - a0).tolist(), (x.links[1][mine] - b0).tolist())
-                    sha[i], pairs[i] = hashlib.sha256(text.encode()).hexdigest(), key[mine].tobytes()
+                for n, (i, text) in enumerate(zip(whole.tolist(), groups_texts(x, width), strict=True)):
+                    sha[i], pairs[i] = hashlib.sha256(text.encode()).hexdigest(), key[at[n] : at[n + 1]].tobytes()
                 columns = [batch.column("doc_id").slice(start, stop - start), *map(pa.array, counts), pa.array(sha, pa.string()), pa.array(pairs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "groups_sha256", "pairs"])
 

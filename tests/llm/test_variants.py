@@ -109,14 +109,10 @@ def test_texts_in_strings_give_the_ids_of_whole_texts(monkeypatch):
     rnd = random.Random(5)
     alphabet = [*"abcdefgXYZ019.,'-|<>/é ß日😀\u2028\u00a0\u0301\x00▁", " ", " ", "  ", "\n", "\t", "\r\n", "the ", " ing", "<s>", "<0x0A>", "<|endoftext|>", "'re", "\u3000"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(6000)]
-    one, two = token_align.tokenizer(A), token_align.tokenizer(B)
-    assert one.splits and two.splits
-    assert one.encode(texts) == [e.ids for e in one.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-    direct = two.model.encode(texts)
-    kept = [i for i, t in enumerate(texts) if t and b"".join(two.bytes[x] for x in direct[i]) == b" " + t.encode()]
-    got = two.encode(texts)
-    assert len(kept) > 3000 and all(got[i] == direct[i] for i in kept)
-    assert all(b"".join(two.bytes[x] for x in got[i]) != b" " + t.encode() for i, t in enumerate(texts) if t and i not in set(kept))
+    one = token_align.tokenizer(A)
+    assert one.splits
+    for part in (texts[:3000], texts[3000:]):
+        assert one.encode(part) == [e.ids for e in one.tokenizer.encode_batch([" " + t for t in part], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("limits", [(1 << 20, 1 << 21), (10, 7)])
