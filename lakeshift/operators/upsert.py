@@ -1,39 +1,40 @@
-"""Upsert into a versioned table, with a snapshot log and version markers.
-
-Catalog tables that support row-level operations get a ``MERGE INTO``.  Otherwise a table is a
-set of key buckets: a merge reads and rewrites only the buckets that hold a staged key,
-and the commit is one file in the table's log that names, per bucket, the version that
-wrote it.  The file's name is the version number and its creation fails if it exists, so
-of two writers with the same base one commits and the other reads again.
-
-Stored rows carry the log offset of their change (``_offset``) and a delete flag (``_deleted``).
-Every path (batch load, stream) compares offsets, so an older image can neither overwrite nor
-revive a newer state; readers do not see deleted rows or the two columns.
+"""Upsert into a versioned table, with a snapshot table and version markers.
+
+Catalog tables that support row-level operations get a ``MERGE INTO``.  Otherwise a load adds its stage to the table as one
+folder, written by ``DataFrameWriter`` with as many tasks as the stage has partitions, and then one row to the snapshot
+table: that row is the commit, and carries the load's counts, the offset ranges that it consumed and its version
+markers, so none of them can be there without the others.  A load that dies before its row has changed nothing; when it runs
+again under the same load id it overwrites its own folder.
+
+Stored rows carry the log offset of their change (``_offset``) and a delete flag (``_deleted``).  A version of a table is the newest
+row of each key over its loads.  That does not depend on the order of the loads, so batch loads and streams, also several at a
+time, may write one table without locks or retries: an older image can neither overwrite nor revive a newer state.
+``compact`` writes the newest rows as one load that stands for the earlier ones; loads do it every ``COMPACT_EVERY`` of them.
 """
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_root
 
+RANGES = "array<struct<topic:string,partition:int,start_offset:bigint,end_offset:bigint>>"
+MARKERS = "array<struct<hop:string,marker_kind:string,marker_value:string>>"
 SNAPSHOT_DDL = (
-    "table string, version bigint, snapshot_id bigint, committed_at timestamp_ntz, operation string, inserted bigint, updated bigint, "
-    "deleted bigint, kept bigint, app_id string, batch_id bigint, buckets int, files map<string,bigint>"
+    "table string, version bigint, snapshot_id bigint, committed_at timestamp_ntz, operation string, inserted bigint, updated bigint, deleted bigint, kept bigint, "
+    f"app_id string, batch_id bigint, load_id string, keys array<string>, replaces array<string>, run_id string, consumed {RANGES}, markers {MARKERS}"
 )
 MARKER_DDL = "run_id string, hop string, marker_kind string, marker_value string"
 HIDDEN_DDL = "_offset bigint, _deleted boolean"
-BUCKETS = 16
+#: Loads of a table that a reader merges, at most; the next load writes them as one.
+COMPACT_EVERY = 32
 
 
 def merge_upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], with_action: bool = False, order_col: str | None = None) -> DataFrame:
@@ -94,30 +95,36 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _log_path(root: str) -> str:
-    return f"{root}/_log"
+def _snapshot_path(root: str) -> str:
+    return f"{root}/_snapshots"
 
 
 def _marker_path(root: str) -> str:
     return f"{root}/_markers"
 
 
-def table_path(root: str, table: str, snapshot_id: int) -> str:
-    return f"{root}/{table}/snapshot_id={snapshot_id}"
+def load_path(root: str, table: str, load_id: str) -> str:
+    return f"{root}/{table}/_load={load_id}"
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot log; empty only when there is no log.  Any other read error is raised."""
-    if not _exists(spark, _log_path(root)):
+    """The snapshot table; empty only when there is none.  Any other read error is raised."""
+    if not _exists(spark, _snapshot_path(root)):
         return spark.createDataFrame([], SNAPSHOT_DDL)
-    rows = spark.read.schema(SNAPSHOT_DDL).option("recursiveFileLookup", "true").json(_log_path(root))
-    return rows.filter(F.col("version").isNotNull())  # a commit that is being written is not there yet
+    return spark.read.schema(SNAPSHOT_DDL).parquet(_snapshot_path(root))
 
 
 def read_markers(spark: SparkSession, root: str) -> DataFrame:
+    """The markers that were committed with snapshots, and those of catalog tables."""
+    of_loads = read_snapshots(spark, root).select("run_id", F.inline("markers"))
     if not _exists(spark, _marker_path(root)):
-        return spark.createDataFrame([], MARKER_DDL)
-    return spark.read.schema(MARKER_DDL).parquet(_marker_path(root))
+        return of_loads
+    return of_loads.unionByName(spark.read.schema(MARKER_DDL).parquet(_marker_path(root)))
+
+
+def consumed_ranges(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """``run_id, topic, partition, start_offset, end_offset`` of every load of the table."""
+    return read_snapshots(spark, root).filter(F.col("table") == table).select("run_id", F.inline("consumed"))
 
 
 def current_snapshots(snaps: DataFrame) -> DataFrame:
@@ -130,21 +137,26 @@ def current_snapshots(snaps: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TableState:
-    """A version of a table: its number, snapshot id, number of buckets, and which snapshot wrote each bucket."""
+    """A version of a table: its number, snapshot id, key columns and the loads that it consists of."""
 
     version: int = 0
     snapshot_id: int | None = None
-    buckets: int = BUCKETS
-    files: dict[str, int] = field(default_factory=dict)
+    keys: tuple[str, ...] = ()
+    loads: tuple[str, ...] = ()
 
 
 def table_state(spark: SparkSession, root: str, table: str, snapshot_id: int | None = None) -> TableState:
-    """The current version, or that of ``snapshot_id``; version 0 when there is none.  One row comes back."""
-    snaps = read_snapshots(spark, root).filter(F.col("table") == table)
+    """The current version, or that of ``snapshot_id``; version 0 when there is none.  One row per load comes back."""
+    rows = read_snapshots(spark, root).filter(F.col("table") == table).select("version", "committed_at", "snapshot_id", "load_id", "keys", "replaces").collect()
+    rows.sort(key=lambda r: (r["version"], r["committed_at"], r["snapshot_id"]))
     if snapshot_id is not None:
-        snaps = snaps.filter(F.col("snapshot_id") == snapshot_id)
-    row = snaps.agg(F.max_by(F.struct("version", "snapshot_id", "buckets", "files"), "version").alias("s")).first()["s"]
-    return TableState() if row is None else TableState(row["version"], row["snapshot_id"], row["buckets"], row["files"] or {})
+        at = [i for i, r in enumerate(rows) if r["snapshot_id"] == snapshot_id]
+        rows = rows[: at[0] + 1] if at else []
+    if not rows:
+        return TableState()
+    gone = {x for r in rows for x in r["replaces"] or ()}
+    loads = tuple(r["load_id"] for r in rows if r["load_id"] is not None and r["load_id"] not in gone)
+    return TableState(rows[-1]["version"], rows[-1]["snapshot_id"], tuple(rows[-1]["keys"] or ()), loads)
 
 
 def current_snapshot(spark: SparkSession, root: str, table: str) -> int:
@@ -155,17 +167,24 @@ def current_snapshot(spark: SparkSession, root: str, table: str) -> int:
     return state.snapshot_id
 
 
-def committed(spark: SparkSession, root: str, table: str, app_id: str, batch_id: int) -> bool:
-    """Did this application already commit this batch?  (Replay guard for streams.)"""
-    snaps = read_snapshots(spark, root)
-    return not snaps.filter((F.col("table") == table) & (F.col("app_id") == app_id) & (F.col("batch_id") == batch_id)).isEmpty()
+def committed(spark: SparkSession, root: str, table: str, load_id: str) -> bool:
+    """Is this load in the table already?  (Replay guard for streams.)"""
+    return not read_snapshots(spark, root).filter((F.col("table") == table) & (F.col("load_id") == load_id)).isEmpty()
 
 
-def _read_files(spark: SparkSession, root: str, table: str, state: TableState, schema: T.StructType, buckets: Sequence[int] | None = None) -> DataFrame:
-    wanted = state.files if buckets is None else {str(b): state.files[str(b)] for b in buckets if str(b) in state.files}
-    if not wanted:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{table_path(root, table, sid)}/_bucket={b}" for b, sid in sorted(wanted.items())])
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the greatest offset of each key (none is the least; of equal ones that of the greatest load id).  Rows with a
+    NULL key never match another: all of them stay, around the aggregate."""
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    vals = [c for c in rows.columns if c not in keys]
+    order = F.struct(F.coalesce("_offset", F.lit(-(2**63))), "_load")
+    best = rows.filter(~null_key).groupBy(*keys).agg(F.max_by(F.struct(*vals), order).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+    return best.unionByName(rows.filter(null_key))
+
+
+Resolve = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def _schema(ddl: T.StructType | str, hidden: bool) -> T.StructType:
@@ -174,51 +193,51 @@ def _schema(ddl: T.StructType | str, hidden: bool) -> T.StructType:
     return T.StructType([*s.fields, *[f for f in extra if f.name not in s.fieldNames()]])
 
 
-def read_version(spark: SparkSession, root: str, table: str, snapshot_id: int, schema: T.StructType | str) -> DataFrame:
-    """Rows of one version, without deleted ones."""
-    rows = _read_files(spark, root, table, table_state(spark, root, table, snapshot_id), _schema(schema, True))
-    return rows.filter(~F.coalesce("_deleted", F.lit(False))).select(*_schema(schema, False).fieldNames())
+def _stored_rows(spark: SparkSession, root: str, table: str, state: TableState, schema: T.StructType, resolve: Resolve = newest) -> DataFrame:
+    """One row per key of a version, deleted ones included.  A single load has one row per key already."""
+    if not state.loads:
+        return spark.createDataFrame([], schema)
+    paths = [load_path(root, table, x) for x in state.loads]
+    rows = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*paths).withColumn("_load", F.col("_load").cast("string"))
+    return (rows if len(paths) == 1 else resolve(rows, state.keys)).select(*schema.fieldNames())
 
 
-def read_current(spark: SparkSession, root: str, table: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of the current version, or an empty frame of ``schema`` if the table is new."""
-    state = table_state(spark, root, table)
-    rows = _read_files(spark, root, table, state, _schema(schema, True))
-    return rows.filter(~F.coalesce("_deleted", F.lit(False))).select(*_schema(schema, False).fieldNames())
+def read_version(spark: SparkSession, root: str, table: str, snapshot_id: int | None, schema: T.StructType | str, resolve: Resolve = newest) -> DataFrame:
+    """Rows of one version (None: the current one), without deleted ones; an empty frame of ``schema`` if there is none."""
+    state = table_state(spark, root, table, snapshot_id)
+    rows = _stored_rows(spark, root, table, state, _schema(schema, resolve is newest), resolve)
+    if resolve is newest:
+        rows = rows.filter(~F.coalesce("_deleted", F.lit(False)))
+    return rows.select(*_schema(schema, False).fieldNames())
 
 
-class CommitConflict(RuntimeError):
-    """Another writer committed to the table after this writer read its base version."""
+def read_current(spark: SparkSession, root: str, table: str, schema: T.StructType | str, resolve: Resolve = newest) -> DataFrame:
+    return read_version(spark, root, table, None, schema, resolve)
 
 
-def _commit(spark: SparkSession, root: str, table: str, base: TableState, row: dict) -> None:
-    """Claim the version after ``base`` by creating its file, which fails if it exists."""
-    version = base.version + 1
-    fs, path = _fs(spark, f"{_log_path(root)}/{table}/{version:012d}.json")
-    text = json.dumps({"table": table, "version": version, "committed_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f"), **row})
-    try:
-        out = fs.create(path, False)
-    except Py4JJavaError as e:
-        if "AlreadyExists" in str(e.java_exception.getClass().getName()):
-            raise CommitConflict(f"{table}: version {version} is taken") from e
-        raise
-    out.write(bytearray(text, "utf-8"))
-    out.close()
+def _commit(spark: SparkSession, root: str, table: str, version: int, operation: str, app_id: str, **row) -> int:
+    """Add one row to the snapshot table; returns its snapshot id."""
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    sid = uuid.uuid4().int >> 65
+    row = {"inserted": 0, "updated": 0, "deleted": 0, "kept": 0} | row
+    row |= {"table": table, "version": version, "snapshot_id": sid, "committed_at": now, "operation": operation, "app_id": app_id or spark.sparkContext.applicationId}
+    row["markers"] = [*row.get("markers", ()), ("topic->table", "snapshot_id", str(sid))] if operation not in ("create", "compact") else []
+    fields = T.StructType.fromDDL(SNAPSHOT_DDL).fieldNames()
+    spark.createDataFrame([tuple(row.get(f) for f in fields)], SNAPSHOT_DDL).coalesce(1).write.mode("append").parquet(_snapshot_path(root))
+    return sid
 
 
-def ensure_table(spark: SparkSession, root: str, table: str, app_id: str = "", buckets: int = BUCKETS) -> None:
-    """``CREATE TABLE IF NOT EXISTS``: an empty first version when the log has none."""
-    state = table_state(spark, root, table)
-    if state.version == 0:
-        try:
-            _commit(spark, root, table, state, _row(spark, "create", app_id, None, uuid.uuid4().int >> 65, buckets, {}, {}))
-        except CommitConflict:
-            pass  # someone else created it
+def ensure_table(spark: SparkSession, root: str, table: str, app_id: str = "", keys: Sequence[str] = ()) -> None:
+    """``CREATE TABLE IF NOT EXISTS``: an empty first version when there is none."""
+    if table_state(spark, root, table).version == 0:
+        _commit(spark, root, table, 1, "create", app_id, keys=list(keys))
 
 
-def _row(spark: SparkSession, operation: str, app_id: str, batch_id: int | None, sid: int, buckets: int, files: dict[str, int], counts: dict[str, int]) -> dict:
-    n = {name: int(counts.get(a, 0)) for name, a in (("inserted", "insert"), ("updated", "update"), ("deleted", "delete"), ("kept", "keep"))}
-    return {"operation": operation, "snapshot_id": sid, **n, "app_id": app_id or spark.sparkContext.applicationId, "batch_id": batch_id, "buckets": buckets, "files": files}
+def action_counts(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> dict[str, int]:
+    """Rows per action of a merge by offset, from the keys, offsets and flags alone."""
+    slim = [*keys, "_offset", "_deleted"]
+    merged = merge_changes(target.select(*slim), staged.select(*slim), keys)
+    return {r["_action"]: r["n"] for r in merged.groupBy("_action").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def merge_into_table(
@@ -228,46 +247,46 @@ def merge_into_table(
     schema: T.StructType | str,
     staged: DataFrame,
     keys: Sequence[str],
-    combine: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame] = merge_changes,
+    resolve: Resolve = newest,
     operation: str = "merge",
     app_id: str = "",
     batch_id: int | None = None,
-    max_attempts: int = 5,
-    buckets: int = BUCKETS,
+    load_id: str | None = None,
+    run_id: str = "",
+    consumed: Sequence[tuple] = (),
+    markers: Sequence[tuple] = (),
 ) -> int:
-    """Merge a materialised stage into the current version and commit; returns the snapshot id.
+    """Add a materialised stage (one row per key) to the table and commit it; returns the snapshot id.
 
-    ``combine(target, stage, keys)`` returns the merged rows of the buckets that hold a staged key (with ``_action``,
-    if it counts); only these buckets are read and written, the others stay the files they are.
-    A commit that finds its version taken reads the new base and merges again.
+    With the default ``resolve`` the newer offset wins, deletes included, and the snapshot row counts the actions.
     """
-    ensure_table(spark, root, table, app_id, buckets)
-    full = _schema(schema, combine is merge_changes)
-    for attempt in range(max_attempts):
-        base = table_state(spark, root, table)
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(base.buckets)).cast("int")
-        touched = [r[0] for r in staged.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
-        target = _read_files(spark, root, table, base, full, touched)
-        sid = uuid.uuid4().int >> 65
-        merged = combine(target, staged, keys).withColumn("_bucket", bucket)
-        path = table_path(root, table, sid)
-        merged.repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(path)
-        counts = {}
-        if "_action" in merged.columns and touched:
-            written = spark.read.schema("_action string").parquet(path)
-            counts = {r["_action"]: r["n"] for r in written.groupBy("_action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        files = {**base.files, **{str(b): sid for b in touched}}
-        try:
-            _commit(spark, root, table, base, _row(spark, operation, app_id, batch_id, sid, base.buckets, files, counts))
-            return sid
-        except CommitConflict:
-            if attempt == max_attempts - 1:
-                raise
-            time.sleep(0.2 * (attempt + 1))
-    raise AssertionError("unreachable")
+    ensure_table(spark, root, table, app_id, keys)
+    state = table_state(spark, root, table)
+    if len(state.loads) >= COMPACT_EVERY:
+        compact(spark, root, table, schema, resolve, app_id)
+        state = table_state(spark, root, table)
+    full = _schema(schema, resolve is newest)
+    load = load_id or uuid.uuid4().hex
+    staged.select(*full.fieldNames()).write.mode("overwrite").parquet(load_path(root, table, load))
+    counts = action_counts(_stored_rows(spark, root, table, state, full), staged, keys) if resolve is newest else {}
+    n = {name: counts.get(a, 0) for name, a in (("inserted", "insert"), ("updated", "update"), ("deleted", "delete"), ("kept", "keep"))}
+    rest = {"batch_id": batch_id, "load_id": load, "keys": list(keys), "run_id": run_id or app_id or spark.sparkContext.applicationId, "consumed": list(consumed), "markers": list(markers)}
+    return _commit(spark, root, table, state.version + 1, operation, app_id, **n, **rest)
+
+
+def compact(spark: SparkSession, root: str, table: str, schema: T.StructType | str, resolve: Resolve = newest, app_id: str = "") -> int | None:
+    """Write the newest rows as one load that stands for those it was made of; loads committed meanwhile are not among them."""
+    state = table_state(spark, root, table)
+    if not state.loads:
+        return None
+    rows = _stored_rows(spark, root, table, state, _schema(schema, resolve is newest), resolve)
+    load = uuid.uuid4().hex
+    rows.write.parquet(load_path(root, table, load))
+    return _commit(spark, root, table, state.version + 1, "compact", app_id, load_id=load, keys=list(state.keys), replaces=list(state.loads))
 
 
 def record_marker(spark: SparkSession, root: str, run_id: str, hop: str, kind: str, value: str) -> None:
+    """A marker of a catalog table, whose snapshots are the catalog's."""
     spark.createDataFrame([(run_id, hop, kind, value)], MARKER_DDL).coalesce(1).write.mode("append").parquet(_marker_path(root))
 
 

@@ -1,7 +1,7 @@
 """The composed change-log -> table load: one declarative ``TableSpec`` per table.
 
 scan -> decode (JSON or Avro) -> flatten -> live filter -> latest per key -> projection
--> guard -> merge by offset into the touched buckets -> commit -> marker.  Everything up to the write is one lazy
+-> guard -> merge by offset -> one commit of counts, consumed ranges and markers.  Everything up to the write is one lazy
 plan; the only shuffles are the one by primary key (latest-per-key, partial aggregate
 first) and the merge join by primary key.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..operators.decode import decode_avro, decode_avro_key, decode_json, drop_tombstones, keep_decoded, live_changes, live_condition, split_confluent
 from ..operators.transform import ColumnRule, TableSpec, assert_unique_keys, latest_by_key, project
 from ..operators import upsert
+from ..sources.changelog import exclude_offsets, offset_ranges, restrict_offsets
 from ..sources.derived import EVENTS_AFTER_DDL, EVENTS_TOPIC, EVENTS_AVRO_TOPIC, CUSTOMER_AFTER_DDL, CUSTOMERS_TOPIC
 
 EVENTS_AVRO_AFTER = T.StructType(
@@ -152,6 +153,22 @@ def register_stage_views(log: DataFrame, spec: TableSpec, prefix: str, registry:
     return [f"{prefix}_flat", f"{prefix}_dedup", f"{prefix}_stage"]
 
 
+def source_marker(log: DataFrame, consumed: list[tuple]) -> list[tuple]:
+    """The binlog position of the newest consumed change that has one: only the last row of each consumed range is read."""
+    if not consumed:
+        return []
+    last = restrict_offsets(log, [(t, p, end - 1, end) for t, p, _, end in consumed])
+    at = F.from_json(F.col("value").cast("string"), "source struct<file string, pos bigint>")["source"]
+    row = last.select(at.alias("s")).filter("s.file IS NOT NULL").agg(F.max("s").alias("s")).first()["s"]
+    return [("mysql", "binlog", f"{row['file']}:{row['pos']}")] if row else []
+
+
+def load_markers(log: DataFrame, spec: TableSpec, consumed: list[tuple]) -> list[tuple]:
+    """A load's markers but for the snapshot id: the binlog position (JSON envelopes) and the offset range of each topic partition."""
+    offsets = [("kafka", "kafka_offset", f"{t}:{p}:{a}-{b}") for t, p, a, b in consumed]
+    return (source_marker(log, consumed) if spec.fmt == "json" else []) + offsets
+
+
 def load_table(
     spark: SparkSession,
     spec: TableSpec,
@@ -162,21 +179,27 @@ def load_table(
     app_id: str = "",
     batch_id: int | None = None,
     run_id: str = "",
+    resume: bool = False,
 ) -> int | None:
-    """Run one load: stage -> guard -> merge into the current version -> commit -> marker.
+    """Run one load: offsets -> stage -> guard -> merge by offset -> one commit of counts, consumed ranges and markers.
 
-    The stage is materialised once, checked to hold one row per key, and merged by offset (``upsert.merge_changes``),
-    deletes included.  A catalog table that supports it gets the same as ``MERGE INTO`` (and returns None); else
-    the snapshot id is returned.  The run's version marker is recorded after the commit.
+    The offset ranges are fixed first and the log is restricted to them, so what is recorded is what was read, also of a log that
+    grows.  With ``resume`` the offsets that earlier loads of the table consumed are left out of the scan: gaps, new topic
+    partitions and everything behind are read.  The stage is materialised once and checked to hold one row per key.  A
+    catalog table that supports it gets the same as ``MERGE INTO`` (and returns None); else the snapshot id is returned.
     """
+    if resume:
+        log = exclude_offsets(log, upsert.consumed_ranges(spark, root, spec.table))
+    consumed = sorted(tuple(r) for r in offset_ranges(log).select("topic", "partition", "start_offset", "end_offset").collect())  # one row per topic partition
+    log = restrict_offsets(log, consumed)
     staged = upsert.materialised(stage_changes(log, spec, registry))
     keyed = staged.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in spec.keys))
     assert_unique_keys(keyed, spec.keys)
     run = run_id or app_id or spark.sparkContext.applicationId
+    markers = load_markers(log, spec, consumed)
     if upsert.supports_merge(spark, spec.table):
         upsert.merge_into_catalog(spark, spec.table, staged, list(spec.keys))
-        upsert.record_marker(spark, root, run, "topic->table", "catalog_merge", spec.table)
+        for hop, kind, value in [*markers, ("topic->table", "catalog_merge", spec.table)]:
+            upsert.record_marker(spark, root, run, hop, kind, value)
         return None
-    sid = upsert.merge_into_table(spark, root, spec.table, sink_ddl, staged, list(spec.keys), app_id=app_id, batch_id=batch_id)
-    upsert.record_marker(spark, root, run, "topic->table", "snapshot_id", str(sid))
-    return sid
+    return upsert.merge_into_table(spark, root, spec.table, sink_ddl, staged, list(spec.keys), app_id=app_id, batch_id=batch_id, run_id=run, consumed=consumed, markers=markers)

@@ -6,12 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import upsert
-
 from ..session import scratch_path
 from ..sources import derived as d
-from ..streaming.run_state import TABLE_DDL as RUN_STATE_TABLE_DDL
-from ..streaming.run_state import stream_run_state, with_stale
+from ..streaming.run_state import read_run_state, stream_run_state, with_stale
 from ..streaming.stream import current_table, stream_upsert, write_log_files
 from . import loader
 
@@ -51,8 +48,7 @@ def q_stream_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     ddl = spark.read.parquet(f"{root}/events").schema
     q = stream_run_state(spark, f"{root}/events", ddl, f"{root}/tables", f"{root}/_checkpoint", max_files_per_trigger=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
-    t = upsert.read_current(spark, f"{root}/tables", "lineage.run_state", RUN_STATE_TABLE_DDL)
-    return with_stale(t).select("run_id", "state", "started_at", "ended_at", "last_event_at", "stale")
+    return with_stale(read_run_state(spark, f"{root}/tables")).select("run_id", "state", "started_at", "ended_at", "last_event_at", "stale")
 
 
 def q_load_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

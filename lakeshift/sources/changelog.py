@@ -83,27 +83,79 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     return r.select("topic", "partition", "start_offset", F.when(F.col("_end") != far, F.col("_end")).alias("end_offset"))
 
 
+RANGE_DDL = "topic string, partition int, start_offset bigint, end_offset bigint"
+
+
+def _segments(ranges: DataFrame) -> DataFrame:
+    """``topic, partition, start_offset, end_offset, depth`` between all ends of the ranges: the sum of the ``w`` of those that
+    cover each.  A range is ``[start_offset, end_offset)``, a NULL end open.  Only ends are sorted, per topic partition."""
+    far = F.lit(2**63 - 1)
+    r = ranges.withColumn("_end", F.coalesce("end_offset", far)).filter("start_offset < _end")
+    end = lambda at, step: F.struct(F.col(at).alias("at"), step.alias("step"))
+    ends = r.select("topic", "partition", F.inline(F.array(end("start_offset", F.col("w")), end("_end", -F.col("w")))))
+    steps = ends.groupBy("topic", "partition", "at").agg(F.sum("step").alias("step"))
+    w = Window.partitionBy("topic", "partition").orderBy("at")
+    cut = steps.select("topic", "partition", F.col("at").alias("start_offset"), F.lead("at").over(w).alias("_end"), F.sum("step").over(w).alias("depth"))
+    return cut.filter("_end IS NOT NULL").select("topic", "partition", "start_offset", F.when(F.col("_end") != far, F.col("_end")).alias("end_offset"), "depth")
+
+
+def subtract_ranges(ranges: DataFrame, minus: DataFrame) -> DataFrame:
+    """What ``ranges`` cover and ``minus`` do not, as disjoint ranges that do not touch."""
+    cols = ["topic", "partition", "start_offset", "end_offset"]
+    wide = 1 << 40  # one range to subtract outweighs all others
+    both = ranges.select(*cols, F.lit(1).cast("bigint").alias("w")).unionByName(minus.select(*cols, F.lit(wide).alias("w")))
+    return merged_ranges(_segments(both).filter((F.col("depth") > 0) & (F.col("depth") < wide)))
+
+
+def resume_ranges(consumed: DataFrame) -> DataFrame:
+    """What is still to be read of the topic partitions in ``consumed``: from offset 0 on, open at the end."""
+    every = consumed.select("topic", "partition").distinct()
+    return subtract_ranges(every.select("topic", "partition", F.lit(0).cast("bigint").alias("start_offset"), F.lit(None).cast("bigint").alias("end_offset")), consumed)
+
+
+def offset_gaps(consumed: DataFrame) -> DataFrame:
+    """``topic, partition, kind, start_offset, end_offset``: what lies between consumed ranges unread (gap) or was read more than once (overlap)."""
+    depth = _segments(consumed.withColumn("w", F.lit(1)))
+    gaps = merged_ranges(depth.filter("depth = 0")).withColumn("kind", F.lit("gap"))
+    twice = merged_ranges(depth.filter("depth > 1")).withColumn("kind", F.lit("overlap"))
+    return gaps.unionByName(twice).select("topic", "partition", "kind", "start_offset", "end_offset")
+
+
+def _inside(few: list) -> Column:
+    cond = F.lit(False)
+    for topic, part, start, end in (tuple(r) for r in few):
+        c = (F.col("topic") == topic) & (F.col("partition") == part) & (F.col("offset") >= start)
+        cond = cond | (c & (F.col("offset") < end) if end is not None else c)
+    return cond
+
+
+def _by_ranges(log: DataFrame, ranges: DataFrame, keep: bool) -> DataFrame:
+    merged = merged_ranges(ranges)
+    few = merged.limit(MAX_PREDICATE_RANGES + 1).collect()
+    if len(few) <= MAX_PREDICATE_RANGES:
+        return log.filter(_inside(few) if keep else ~F.coalesce(_inside(few), F.lit(False)))
+    r = merged.select(F.col("topic").alias("_t"), F.col("partition").alias("_p"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"))
+    inside = (F.col("offset") >= F.col("_a")) & (F.col("_b").isNull() | (F.col("offset") < F.col("_b")))
+    return log.join(r, (F.col("topic") == F.col("_t")) & (F.col("partition") == F.col("_p")) & inside, "left_semi" if keep else "left_anti")
+
+
 def restrict_offsets(log: DataFrame, ranges: DataFrame | list) -> DataFrame:
     """Rows with ``start_offset <= offset < end_offset`` for some range of their (topic, partition), once each, all columns.
 
     Ranges may overlap; they are merged first.  Few become a predicate on ``offset`` that reaches the parquet scan
     (row-group skipping on min/max), more a semi-join; both keep the same rows.  A NULL ``end_offset`` means "to the end".
-    ``ranges`` may also be collected rows (``topic, partition, start_offset, end_offset``).
+    ``ranges`` may also be collected rows (``topic, partition, start_offset, end_offset``); few of these need no job.
     """
     if isinstance(ranges, list):
-        ddl = "topic string, partition int, start_offset bigint, end_offset bigint"
-        ranges = log.sparkSession.createDataFrame([tuple(r) for r in ranges], ddl)
-    merged = merged_ranges(ranges)
-    few = merged.limit(MAX_PREDICATE_RANGES + 1).collect()
-    if len(few) <= MAX_PREDICATE_RANGES:
-        cond = F.lit(False)
-        for topic, part, start, end in (tuple(r) for r in few):
-            c = (F.col("topic") == topic) & (F.col("partition") == part) & (F.col("offset") >= start)
-            cond = cond | (c & (F.col("offset") < end) if end is not None else c)
-        return log.filter(cond)
-    r = merged.select(F.col("topic").alias("_t"), F.col("partition").alias("_p"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"))
-    inside = (F.col("offset") >= F.col("_a")) & (F.col("_b").isNull() | (F.col("offset") < F.col("_b")))
-    return log.join(r, (F.col("topic") == F.col("_t")) & (F.col("partition") == F.col("_p")) & inside, "left_semi")
+        if len(ranges) <= MAX_PREDICATE_RANGES:
+            return log.filter(_inside(ranges))
+        ranges = log.sparkSession.createDataFrame([tuple(r) for r in ranges], RANGE_DDL)
+    return _by_ranges(log, ranges, True)
+
+
+def exclude_offsets(log: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows in none of the ranges, those of topic partitions without any range included; few ranges are a predicate of the scan."""
+    return _by_ranges(log, ranges, False)
 
 
 def offset_ranges(log: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Streaming run state, without state in Python.
 
 Every micro-batch is reduced to one row per run by a plain aggregate (map-side first, so a run that holds
-a third of all events costs one row per partition) and merged into a versioned table by an order-independent
-combine: first START = min, last terminal event = max, current state = newest event.  No watermark drops a late
+a third of all events costs one row per partition) and added to a versioned table, whose rows are combined in any order
+when it is read or compacted: first START = min, last terminal event = max, current state = newest event.  No watermark drops a late
 event: in whatever order events arrive, the table equals the batch ``run_state`` of what has arrived.
 
 A run is *stale* when it is still open and its last event is older than ``stale_after`` before the newest event of the
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upsert
+from .stream import load_of, stream_identity
 
 TABLE_DDL = "run_id string, state string, started_at timestamp_ntz, ended_at timestamp_ntz, last_event_at timestamp_ntz, last_seq bigint"
 TERMINAL = ("COMPLETE", "FAIL")
@@ -36,9 +37,8 @@ def reduce_events(events: DataFrame) -> DataFrame:
     )
 
 
-def merge_run_state(target: DataFrame, updates: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+def combine_run_state(both: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Order-independent combine of run-state rows."""
-    both = target.unionByName(updates.select(*target.columns))
     newest = F.struct("last_event_at", "last_seq")
     return both.groupBy(*keys).agg(
         F.max_by("state", newest).alias("state"),
@@ -57,11 +57,19 @@ def with_stale(table: DataFrame, stale_after: str = "1 day") -> DataFrame:
     return rows.withColumn("stale", F.coalesce(stale, F.lit(False))).drop("_one", "_now")
 
 
-def sink_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, table: str, run_id: str) -> None:
-    if upsert.committed(spark, root, table, run_id, batch_id):
+def sink_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, table: str, run_id: str, stream: str) -> None:
+    load = load_of(stream, batch_id)
+    if upsert.committed(spark, root, table, load):
         return
     staged = upsert.materialised(reduce_events(batch))
-    upsert.merge_into_table(spark, root, table, TABLE_DDL, staged, ["run_id"], combine=merge_run_state, operation="stream-merge", app_id=run_id, batch_id=batch_id)
+    markers = [("stream", "checkpoint", stream), ("stream", "batch_id", str(batch_id))]
+    upsert.merge_into_table(
+        spark, root, table, TABLE_DDL, staged, ["run_id"], resolve=combine_run_state, operation="stream-merge", app_id=run_id, batch_id=batch_id, load_id=load, run_id=run_id, markers=markers
+    )
+
+
+def read_run_state(spark: SparkSession, root: str, table: str = "lineage.run_state") -> DataFrame:
+    return upsert.read_current(spark, root, table, TABLE_DDL, resolve=combine_run_state)
 
 
 def stream_run_state(
@@ -78,7 +86,7 @@ def stream_run_state(
     stream = spark.readStream.schema(events_ddl).option("maxFilesPerTrigger", max_files_per_trigger).parquet(events_dir)
     return (
         stream.select("run_id", "seq", "event_type", "event_time")
-        .writeStream.foreachBatch(lambda df, bid: sink_batch(spark, df, bid, root, table, run_id))
+        .writeStream.foreachBatch(lambda df, bid: sink_batch(spark, df, bid, root, table, run_id, stream_identity(spark, checkpoint)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

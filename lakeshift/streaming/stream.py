@@ -3,10 +3,9 @@
 * ``stream_changelog``: ``readStream`` over a parquet drop folder with the change-log
   layout (or a Kafka topic when the connector is on the classpath).
 * ``stream_upsert``: every micro-batch is staged (decode -> live -> latest per key),
-  merged newer-offset-wins into the current version and committed with its ``batch_id``;
-  a replayed batch id is skipped, so the sink is idempotent under retries.  The batch id
-  is recorded as the stream hop's version marker and the checkpoint folder is the
-  stream's own dataset.
+  merged newer-offset-wins and committed under the stream's identity (from its checkpoint) and its ``batch_id``;
+  a replayed batch is skipped, so the sink is idempotent under retries.  Checkpoint identity, batch id and consumed offset
+  ranges are the stream hop's version markers, committed with the batch.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import upsert
 from ..operators.transform import TableSpec
 from ..plans import loader
-from ..sources.changelog import LOG_DDL, LOG_COLUMNS
+from ..sources.changelog import LOG_COLUMNS, LOG_DDL, offset_ranges
 
 
 def stream_changelog(spark: SparkSession, source: str, fmt: str = "parquet", max_files_per_trigger: int = 1, options: dict | None = None) -> DataFrame:
@@ -28,16 +27,32 @@ def stream_changelog(spark: SparkSession, source: str, fmt: str = "parquet", max
     return spark.readStream.schema(LOG_DDL).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
 
 
-def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, spec: TableSpec, root: str, sink_ddl: str, run_id: str) -> None:
-    """One micro-batch: skip if this stream already committed it, else merge by offset and commit.
+def stream_identity(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when its checkpoint was made: another checkpoint is another stream."""
+    meta = spark.read.text(f"{checkpoint.rstrip('/')}/metadata")
+    return meta.select(F.get_json_object("value", "$.id").alias("id")).filter("id IS NOT NULL").first()["id"]
 
-    The snapshot-log row carries ``(app_id, batch_id)``: it is the stream hop's version marker, written last as
-    the commit point.  A batch load and a stream may write one table: both compare offsets.
+
+def load_of(stream: str, batch_id: int) -> str:
+    return f"{stream}-{batch_id}"
+
+
+def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, spec: TableSpec, root: str, sink_ddl: str, run_id: str, stream: str) -> None:
+    """One micro-batch: skip if this stream already committed it, else add it as a load of its own.
+
+    The load is named by the stream's identity and the batch id, so a batch that is replayed overwrites or finds its own load and
+    no other stream's.  Its snapshot row carries the consumed offset ranges and the batch's markers.
     """
-    if upsert.committed(spark, root, spec.table, run_id, batch_id):
+    load = load_of(stream, batch_id)
+    if upsert.committed(spark, root, spec.table, load):
         return
+    batch = upsert.materialised(batch)
+    consumed = sorted(tuple(r) for r in offset_ranges(batch).select("topic", "partition", "start_offset", "end_offset").collect())
     staged = upsert.materialised(loader.stage_changes(batch, spec))
-    upsert.merge_into_table(spark, root, spec.table, sink_ddl, staged, list(spec.keys), operation="stream-merge", app_id=run_id, batch_id=batch_id)
+    markers = [*loader.load_markers(batch, spec, consumed), ("stream", "checkpoint", stream), ("stream", "batch_id", str(batch_id))]
+    upsert.merge_into_table(
+        spark, root, spec.table, sink_ddl, staged, list(spec.keys), operation="stream-merge", app_id=run_id, batch_id=batch_id, load_id=load, run_id=run_id, consumed=consumed, markers=markers
+    )
 
 
 def stream_upsert(
@@ -53,9 +68,8 @@ def stream_upsert(
 ):
     """Start the streaming upsert; with ``available_now`` it drains the folder and stops."""
     stream = stream_changelog(spark, log_dir, max_files_per_trigger=max_files_per_trigger)
-    writer = stream.writeStream.foreachBatch(lambda df, bid: upsert_batch(spark, df, bid, spec, root, sink_ddl, run_id)).option(
-        "checkpointLocation", checkpoint
-    )
+    run = lambda df, bid: upsert_batch(spark, df, bid, spec, root, sink_ddl, run_id, stream_identity(spark, checkpoint))
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
