@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..operators.decode import decode_avro, decode_avro_key, decode_json, drop_tombstones, keep_decoded, live_changes, live_condition, split_confluent
 from ..operators.transform import ColumnRule, TableSpec, assert_unique_keys, latest_by_key, project
 from ..operators import upsert
-from ..sources.changelog import exclude_offsets, offset_ranges, restrict_offsets
+from ..sources.changelog import exclude_offsets, offset_ranges, restrict_offsets, subtract_ranges
 from ..sources.derived import EVENTS_AFTER_DDL, EVENTS_TOPIC, EVENTS_AVRO_TOPIC, CUSTOMER_AFTER_DDL, CUSTOMERS_TOPIC
 
 EVENTS_AVRO_AFTER = T.StructType(
@@ -188,9 +188,10 @@ def load_table(
     partitions and everything behind are read.  The stage is materialised once and checked to hold one row per key.  A
     catalog table that supports it gets the same as ``MERGE INTO`` (and returns None); else the snapshot id is returned.
     """
-    if resume:
-        log = exclude_offsets(log, upsert.consumed_ranges(spark, root, spec.table))
-    consumed = sorted(tuple(r) for r in offset_ranges(log).select("topic", "partition", "start_offset", "end_offset").collect())  # one row per topic partition
+    before = upsert.consumed_ranges(spark, root, spec.table) if resume else None
+    ranges = offset_ranges(exclude_offsets(log, before) if resume else log).select("topic", "partition", "start_offset", "end_offset")
+    ranges = subtract_ranges(ranges, before) if resume else ranges
+    consumed = sorted(tuple(r) for r in ranges.collect())  # one row per topic partition, and per gap that earlier loads left
     log = restrict_offsets(log, consumed)
     staged = upsert.materialised(stage_changes(log, spec, registry))
     keyed = staged.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in spec.keys))

@@ -77,7 +77,7 @@ def q_load_table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, spec = _two_loads(spark, sf_dir, "load_versions", "ignore")
     snaps = read_snapshots(spark, root).filter(F.col("table") == spec.table)
     marks = read_markers(spark, root).filter("marker_kind = 'snapshot_id'").select(F.col("marker_value").cast("bigint").alias("snapshot_id"), "run_id", "hop")
-    return snaps.join(marks, "snapshot_id", "left").select("version", "operation", "inserted", "updated", "deleted", "run_id", "hop")
+    return snaps.drop("run_id").join(marks, "snapshot_id", "left").select("version", "operation", "inserted", "updated", "deleted", "run_id", "hop")
 
 
 def q_current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
