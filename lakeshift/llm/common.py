@@ -26,6 +26,23 @@ def text_key(column: str = "text") -> Column:
     return F.sha2(text_of(column).cast("binary"), 256)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """SHA-256 of a whole row: rows that agree in it are copies of each other in every column."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return F.unhex(F.sha2(F.concat(text_key(), F.to_json(F.struct(F.lit(0).alias("0"), *others))), 256))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores put before those that ``docs`` has a column of."""
+    used = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, *name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` below the session's shared folder and read it back.
 

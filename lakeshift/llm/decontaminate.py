@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import stored, text_key, text_of
+from .common import free_names, stored, text_key, text_of
 
 BLOCK_CHARS = 16_000_000
 SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int, containment double"
@@ -125,5 +125,6 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold
     texts = docs.select("doc_id", text_key().alias("digest"), F.lower(text_of()).alias("text"))
     found = _find(texts, items, k, threshold, SCHEMA.replace("doc_id long", "doc_id long, digest string"))
     # stored, so that its size is known when the join is planned
-    bad = stored(found.select(F.col("doc_id").alias("_bad"), F.col("digest").alias("_digest")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (text_key() == F.col("_digest")), "left_anti")
+    doc, digest = free_names(docs, "_bad", "_digest")
+    bad = stored(found.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest)).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key() == F.col(digest)), "left_anti")

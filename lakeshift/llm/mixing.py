@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WHITE, WORD, stored, text_of
+from .common import WHITE, WORD, free_names, row_key, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -56,13 +56,18 @@ def source_targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS,
     return level.select("source", "source_size", "n_rows", "weight", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, total: float | None = None, seed: int = SEED) -> DataFrame:
-    """One row per document: ``doc_id, source, key, size, source_size, target, taken``."""
-    rows = stored(docs.select("doc_id", "source", n_words(text_of()).alias("size")), "mix-sizes")
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, total: float | None = None, seed: int = SEED, by_row: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, source, key, size, source_size, target, taken``.
+
+    ``by_row`` puts the ``row`` key beside them and into the random key, so that rows without an id, or with the same one, are
+    spread over the order like any others.
+    """
+    own = [row_key(docs).alias("row")] if by_row else []
+    rows = stored(docs.select("doc_id", "source", n_words(text_of()).alias("size"), *own), "mix-sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     targets = source_targets(per_source, weights, max_epochs, total)
     targets = targets.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / ROWS_PER_SLICE))).withColumn("budget", F.round("target").cast("long"))
-    key = F.md5(F.concat_ws(":", F.lit(seed), "doc_id", "size").cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), "doc_id", "size", *[F.hex("row")] * by_row).cast("binary"))
     rows = rows.withColumn("key", key).withColumn("rank", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))  # 32 uniform bits, which the slices cut
     rows = rows.join(targets.drop("n_rows", "weight"), rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("slice", F.floor(F.col("rank") * F.col("slices") / F.lit(2**32)).cast("int"))
@@ -77,23 +82,27 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     rest = F.col("budget") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - start))
     taken = F.least(epochs * F.col("size") + part, F.lit(max_epochs) * F.col("size"))
-    return rows.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"), *["row"] * by_row)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, total: float | None = None, seed: int = SEED) -> DataFrame:
     """The mixture itself: the columns of ``docs``; a document stands once per whole epoch, and
     the one at the cut once more with only its first words."""
-    marked = docs.withColumn("_size", n_words(text_of()))
-    plan = plan_mix(docs, weights, max_epochs, total, seed)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken")).alias("_takes"))
-    same = marked["doc_id"].eqNullSafe(plan["doc_id"]) & marked["source"].eqNullSafe(plan["source"]) & (marked["_size"] == plan["size"])
-    joined = marked.join(plan.filter(F.aggregate("_takes", F.lit(0).cast("long"), lambda a, x: a + x) > 0), same).drop(plan["doc_id"], plan["source"], plan["size"])
-    # rows that agree in id, source and size take the mean of what they take together
-    taken = F.floor(F.aggregate("_takes", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("_takes"))
-    joined = joined.withColumn("_taken", taken.cast("long"))
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
-    lengths = F.concat(F.array_repeat(F.col("_size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    each = joined.withColumn("_words", F.explode(lengths))
+    size, row, take, n, words_of = free_names(docs, "_size", "_row", "_taken", "_n", "_words")
+    marked = docs.withColumn(row, row_key(docs)).withColumn(size, n_words(text_of()))
+    plan = stored(plan_mix(docs, weights, max_epochs, total, seed, by_row=True).select(F.col("row").alias(row), F.col("taken").alias(take)), "mix-plan")
+    repeats = stored(plan.groupBy(row).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).select(row), "mix-repeats")
+    taking = plan.filter(F.col(take) > 0)
+    joined = marked.join(taking.join(repeats, row, "left_anti"), row)
+    if not repeats.isEmpty():
+        # copies in every column: it does not matter which of them takes what, so one stands for all, with the number that take as much
+        one = marked.join(repeats, row, "left_semi").dropDuplicates([row])
+        counts = taking.join(repeats, row, "left_semi").groupBy(row, take).agg(F.count(F.lit(1)).alias(n))
+        copies = one.join(counts, row).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(n)
+        joined = joined.unionByName(copies.select(*joined.columns))
+    whole, part = F.floor(F.col(take) / F.col(size)).cast("int"), F.col(take) % F.col(size)
+    lengths = F.concat(F.array_repeat(F.col(size), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    each = joined.withColumn(words_of, F.explode(lengths))
     words = F.filter(F.split("text", WHITE + "+"), lambda w: w != "")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " "))
-    return each.select(*[text.alias("text") if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    text = F.when(F.col(words_of) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(words_of).cast("int")), " "))
+    return each.select(*[text.alias("text") if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import stored, text_key, text_of
+from .common import free_names, stored, text_key, text_of
 from .linking import link_nodes, sketch
 
 #: A token in at most so many sets is indexed alone.
@@ -213,13 +213,14 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     groups = per_id.groupBy("label").agg(best, F.sum("n").alias("all")).filter("all > 1").select("label", F.col("best.doc_id").alias("least"), F.col("best.n").alias("n_least"))
     first = F.col("doc_id").eqNullSafe(F.col("least"))
     # stored, so that their sizes are known when the joins are planned
+    i, d, l, f, t, r = free_names(docs, "_id", "_digest", "_label", "_first", "_text", "_row")
     going = rows.select("doc_id", "digest", "label").join(groups, "label").filter(~first | (F.col("n_least") > 1))
-    going = stored(going.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("label").alias("_label"), first.alias("_first")), "join-dropped")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_digest"))
+    going = stored(going.select(F.col("doc_id").alias(i), F.col("digest").alias(d), F.col("label").alias(l), first.alias(f)), "join-dropped")
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (text_key() == F.col(d))
     out = docs.join(going, same, "left_anti")
-    again = going.filter("_first")
+    again = going.filter(F.col(f))
     if again.isEmpty():
         return out
-    least = F.min(F.struct(text_of().alias("_text"), F.struct(*docs.columns).alias("_row"))).alias("_least")
-    again = docs.join(again, same).groupBy("_label").agg(least)
-    return out.unionByName(again.select("_least._row.*"))
+    least = F.min(F.struct(text_of().alias(t), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(r))).alias("best")
+    again = docs.join(again, same).groupBy(l).agg(least)
+    return out.unionByName(again.select(f"best.{r}.*"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_key, text_of
+from .common import free_names, stored, text_key, text_of
 from .hashing import distinct
 
 ORDER = 5
@@ -322,6 +322,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, each by its own text and language."""
     # stored, so that its size is known when the join is planned
     rejected = score_quality(docs, labels, digests=True).filter(~F.col("kept"))
-    bad = stored(rejected.select(F.col("doc_id").alias("_bad"), F.col("lang").alias("_lang"), F.col("digest").alias("_digest")).distinct(), "lm-rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & F.col("lang").cast("string").eqNullSafe(F.col("_lang"))
-    return docs.join(bad, same & (text_key() == F.col("_digest")), "left_anti")
+    doc, lang, digest = free_names(docs, "_bad", "_lang", "_digest")
+    bad = stored(rejected.select(F.col("doc_id").alias(doc), F.col("lang").alias(lang), F.col("digest").alias(digest)).distinct(), "lm-rejected")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("lang").cast("string").eqNullSafe(F.col(lang))
+    return docs.join(bad, same & (text_key() == F.col(digest)), "left_anti")

@@ -95,8 +95,25 @@ def test_mix(spark, monkeypatch):
     out = mixing.mix(d)
     assert out.columns == d.columns
     words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
-    for s in target:
-        assert abs(words.get(s, 0) - round(target[s])) <= 2  # rows that repeat id, source and size share what they take
+    assert all(words.get(s, 0) == round(target[s]) for s in target)
+
+
+def test_mix_of_rows_without_an_id(spark):
+    """Ten documents of ten words without an id and a budget of 35: three whole ones and half of a fourth."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(10)]
+    out = [r["text"] for r in mixing.mix(docs(spark, [(None, t, "s") for t in texts]), total=35).collect()]
+    assert sorted(len(t.split()) for t in out) == [5, 10, 10, 10] and sum(t in texts for t in out) == 3
+    same = [r["text"] for r in mixing.mix(docs(spark, [(1, texts[0], "s")] * 10 + [(None, texts[1], "s")] * 3), total=95).collect()]
+    assert sum(len(t.split()) for t in same) == 95 and sum(t in texts for t in same) == 9
+
+
+def test_hot_null_ids_are_spread(spark, monkeypatch):
+    """A third of all rows without an id, of one size and source, in slices like any others."""
+    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 10)
+    rows = [(None if i % 3 == 0 else i, f"word{i} b c", "s") for i in range(300)]
+    plan = mixing.plan_mix(docs(spark, rows), by_row=True)
+    of_null = plan.filter("doc_id IS NULL").select((F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * 30 / 2**32).cast("int").alias("slice"))
+    assert of_null.distinct().count() > 20 and plan.agg(F.sum("taken")).first()[0] == 900
 
 
 def test_mix_of_nothing(spark):

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lakeshift.llm import decontaminate, mixing, ngram_join, quality_lm
 from lakeshift.llm.common import table
@@ -73,3 +75,22 @@ def test_rows_that_share_an_id_or_have_none_are_decided_by_themselves(spark):
     rows = [*enumerate(clean), (None, clean[5]), (None, clean[8]), (None, junk[0]), (400, clean[9]), (400, junk[1])]
     kept = got(quality_lm.keep_quality(table_of(rows), labels))
     assert {t for _, t in kept}.isdisjoint(junk) and (400, clean[9]) in kept and (None, clean[5]) in kept and (None, clean[8]) in kept
+
+
+def test_extra_columns_with_clashing_names(spark, scratch):
+    """Every stage but the last returns extra columns as they came, whatever they are called."""
+    import corpus_pipeline
+
+    names = ["_id", "_digest", "_label", "_first", "_text", "_row", "_bad", "_lang", "_size", "_words", "_taken", "_n", "digest", "label", "node", "chunk", "size", "row", "key", "slice", "best"]
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    wide = plain.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    wide = wide.unionByName(wide.limit(1))
+    wide.write.parquet(f"{scratch}/wide")
+    wide = spark.read.parquet(f"{scratch}/wide")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf).count() == 61
