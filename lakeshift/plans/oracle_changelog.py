@@ -27,12 +27,12 @@ STAGE_COLUMNS = """user_id, quantity, unit_price,
        CAST(CAST(ts AS DATE) AS TIMESTAMP) AS created_at,
        ts AS updated_at"""
 
-CUST_V1 = "v1 AS (SELECT * FROM customer WHERE c_custkey % 2 = 0)"
+CUST_V1 = "v1 AS (SELECT * FROM customer WHERE c_custkey % 5 <> 1)"
 CUST_V2 = """v2 AS (
   SELECT c_custkey, c_name, c_nationkey,
          CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal,
          c_mktsegment
-  FROM customer WHERE (c_custkey % 2 = 0 AND c_custkey % 7 <> 0) OR c_custkey % 5 = 1)"""
+  FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 5 = 1)"""
 
 SQL = {
     "live_changes": "WITH " + EV + """
