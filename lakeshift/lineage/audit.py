@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import storage_to_logical
+from .graph import bottleneck
 
 # Precision order along a path (the weakest hop wins) and the markers a
 # complete path needs.
@@ -271,3 +272,17 @@ def check_retention(
     live = F.col("committed_at") >= now_c - F.expr(f"INTERVAL {snapshot_retention}")
     replayable = F.coalesce(F.col("first_ts") >= now_c - F.expr(f"INTERVAL {topic_retention}"), F.lit(False))
     return j.select("table", "snapshot_id", "run_id", live.alias("live"), replayable.alias("replayable"), (live & ~replayable).alias("violation"))
+
+
+# ------------------------------------------------------------ precision of paths -----
+
+
+def column_path_precision(edges: DataFrame, sinks: DataFrame) -> DataFrame:
+    """Per sink column and column upstream of it, how precisely the best path between them is known: ``out_col, in_col, precision``.
+
+    ``edges``: ``src, dst, precision`` of the column graph, ``sinks``: ``out_col``.  A path is as precise as its weakest hop, a hop without
+    a precision is ``inferred``, and of several paths, or several claims for one hop, the most precise counts.
+    """
+    ranked = edges.select("src", "dst", _rank(F.col("precision")).alias("rank"))
+    best = bottleneck(ranked, sinks.select(F.col("out_col").alias("root")), "up")
+    return best.select(F.col("root").alias("out_col"), F.col("node").alias("in_col"), _label(F.col("rank")).alias("precision"))

@@ -129,6 +129,32 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> Da
     return out
 
 
+def bottleneck(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> DataFrame:
+    """Best path by its weakest edge: ``(root, node, rank)``, the least over all paths of the greatest ``rank`` along the path.
+
+    ``edges``: ``(src, dst, rank)``; ``seeds``: ``(root)``.  A round relaxes the pairs that the round before improved, so it ends for any
+    cycles, after at most as many rounds as the longest simple path has edges.  Pairs keep one partitioning by ``(root, node)``.
+    """
+    scratch_root(edges.sparkSession)
+    ends = ("src", "dst") if direction == "down" else ("dst", "src")
+    e = edges.groupBy(F.col(ends[0]).alias("_from"), F.col(ends[1]).alias("node")).agg(F.min("rank").alias("_rank")).checkpoint()
+    frontier = seeds.select("root", F.col("root").alias("_from"), F.lit(None).cast("int").alias("rank")).distinct()
+    best = None
+    while True:
+        found = frontier.join(e, "_from").groupBy("root", "node").agg(F.min(F.greatest("rank", "_rank")).cast("int").alias("rank"))
+        if best is None:
+            state = found.withColumn("_new", F.lit(True))
+        else:
+            old = best.select("root", "node", F.col("rank").alias("_old"))
+            state = old.join(found, ["root", "node"], "full_outer").select("root", "node", F.least("_old", "rank").alias("rank"), F.coalesce(F.col("rank") < F.col("_old"), F.col("_old").isNull()).alias("_new"))
+        state = state.checkpoint()
+        fresh = state.filter("_new")
+        best = state.select("root", "node", "rank")
+        if fresh.isEmpty():
+            return best
+        frontier = fresh.select("root", F.col("node").alias("_from"), "rank")
+
+
 def end_to_end_paths(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """Chained equi-joins along a fixed hop sequence of node kinds (``kind:id`` nodes).
 

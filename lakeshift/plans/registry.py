@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_changelog, oracle_lineage, oracle_runs, oracle_versioning, queries_changelog, queries_lineage, queries_runs, queries_streaming, queries_versioning
+from . import oracle_changelog, oracle_lineage, oracle_paths, oracle_runs, oracle_versioning, queries_changelog, queries_lineage, queries_paths, queries_runs, queries_streaming, queries_versioning
 
 _MODULES = [
     (queries_changelog, oracle_changelog),
     (queries_versioning, oracle_versioning),
     (queries_lineage, oracle_lineage),
     (queries_runs, oracle_runs),
+    (queries_paths, oracle_paths),
     (queries_streaming, oracle_changelog),
     (queries_streaming, oracle_lineage),
 ]
