@@ -3,7 +3,7 @@
 A test item is short, a document may be long, so their Jaccard similarity says nothing; what counts is the
 share of the item's shingles that the document holds.  Words are runs of letters and digits
 (case folded, all other ASCII parts them, so punctuation does not hide a copy); a
-shingle is ``k`` words, of an item with fewer words the whole item.
+shingle is ``k`` words, of an item with fewer words the whole item, which a document is then searched for at the item's own length.
 
 1. *Size partitions.*  Items are partitioned by the power of two of their number of shingles.  The sketch of
    an item is its ``b`` least shingle hashes (a bottom-b MinHash), where ``b`` is one more than
@@ -19,7 +19,7 @@ block against all documents, so what is broadcast has a fixed bound however many
 never move: each block is one map over the whole texts, with no shuffle.
 
 Defined results: null or wordless items and documents match nothing; repeated items or documents give repeated
-rows; empty tables give no rows; documents with fewer words than ``k`` hold only their whole sequence, like items; other
+rows; empty tables give no rows; an item of fewer words than ``k`` is found wherever its words stand together; other
 columns are ignored.
 """
 
@@ -40,7 +40,7 @@ SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int, containm
 
 
 class ItemIndex:
-    """The sketches and whole shingle sets of a block of items (texts in lower case)."""
+    """The sketches and whole shingle sets of items of at least ``k`` words (texts in lower case)."""
 
     def __init__(self, item_ids: list, texts: list[str], k: int, threshold: float):
         self.ids, self.sets, sketch, of = [], [], [], []
@@ -79,16 +79,35 @@ class ItemIndex:
                     yield item, len(s), shared
 
 
-def _scan(index, k: int):
+def _by_length(ids: list, texts: list[str], k: int, threshold: float) -> list[tuple[int, dict]]:
+    """``(m, index)`` for every length of shingle ``m`` that the items need: ``k`` words, or all words of a shorter item.
+
+    An index is given as its plain arrays, which a task can read without this package.
+    """
+    size = np.zeros(len(texts), np.int64)
+    for first, data, starts, ends in hashing.batches(pa.array(texts, pa.large_string())):
+        _, a, b = hashing.words(data, starts, ends, hashing.PUNCTUATION)
+        size[first : first + len(a)] = np.minimum(b - a, k)
+    lengths = [int(m) for m in np.unique(size[size > 0])]
+    mine = lambda values, m: [x for x, n in zip(values, size, strict=True) if n == m]
+    return [(m, vars(ItemIndex(mine(ids, m), mine(texts, m), m, threshold))) for m in lengths]
+
+
+def _scan(blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: ItemIndex = index.value
+        indexes = []
+        for m, state in blocks.value:
+            items = ItemIndex.__new__(ItemIndex)
+            vars(items).update(state)
+            indexes.append((m, items))
         for batch in batches:
             texts = batch.column("text")
             rows, out = [], []
-            for i, doc in hashing.shingle_sets(texts, k, hashing.PUNCTUATION):
-                for item, size, shared in items.search(doc):
-                    rows.append(i)
-                    out.append((items.ids[item], size, shared, shared / size))
+            for m, items in indexes:
+                for i, doc in hashing.shingle_sets(texts, m, hashing.PUNCTUATION):
+                    for item, size, shared in items.search(doc):
+                        rows.append(i)
+                        out.append((items.ids[item], size, shared, shared / size))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64())
             keys = [c for c in batch.schema.names if c != "text"]
@@ -114,9 +133,9 @@ def _find(texts: DataFrame, items: DataFrame, k: int, threshold: float, schema:
     out = spark.createDataFrame([], schema)
     for b in range(n_blocks):
         rows = items.filter(block == b).collect()  # a block of the query set: bounded
-        index = ItemIndex([r.item_id for r in rows], [r.text for r in rows], k, threshold)
-        if index.ids:
-            out = out.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(index), k), schema))
+        index = _by_length([r.item_id for r in rows], [r.text for r in rows], k, threshold)
+        if index:
+            out = out.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema))
     return out
 
 

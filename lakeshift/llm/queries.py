@@ -181,12 +181,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 'i', item_id, lower(text) FROM benchmark),
 w AS (SELECT kind, id, list_filter(regexp_split_to_array(coalesce(t, ''), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM words),
+m AS (SELECT DISTINCT least(len(w), 5) AS m FROM w WHERE kind = 'i' AND len(w) > 0),
 g AS (
-  SELECT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
-                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+  SELECT kind, id, m, unnest(list_distinct(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))) AS x
+  FROM w, m WHERE len(w) >= m AND (kind = 'd' OR m = least(len(w), 5))),
 n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n)::INTEGER AS n_item_shingles, count(*)::INTEGER AS n_shared, count(*) / any_value(n.n)::DOUBLE AS containment
-FROM g d JOIN g i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x JOIN n ON n.id = i.id
+FROM g d JOIN g i ON d.kind = 'd' AND i.kind = 'i' AND d.m = i.m AND d.x = i.x JOIN n ON n.id = i.id
 GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n.n)""",
     "op13_spelling_variants": r"""
 WITH RECURSIVE crc AS (

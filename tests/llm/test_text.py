@@ -204,12 +204,12 @@ def test_components_of_long_chains(spark):
 
 def contains_brute(rows, items, k, threshold):
     words = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) if w]
-    grams = lambda w: frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    grams = lambda w, m: frozenset(tuple(w[i : i + m]) for i in range(len(w) - m + 1)) if m else frozenset()
     out = []
     for i, t in rows:
-        have = grams(words(t))
         for j, u in items:
-            want = grams(words(u))
+            m = min(k, len(words(u)))  # an item of fewer words is looked for at its own length
+            have, want = grams(words(t), m), grams(words(u), m)
             if want and len(want & have) >= threshold * len(want) - 1e-9:
                 out.append((i, j, len(want), len(want & have)))
     return sorted(out, key=str)
@@ -241,6 +241,21 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0 and decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):
+    items = spark.createDataFrame([(1, "Capital of France is"), (2, "zyx"), (3, "of France"), (4, "one two three four five")], "item_id long, text string")
+    rows = [(1, "the capital, of france IS paris and more words"), (2, "capital of spain is"), (3, "France"), (4, "zyx"), (5, "a b zyxw c"), (6, "four of france one two three four five zyx")]
+    got = decontaminate.find_contamination(docs(spark, rows), items)
+    assert sorted((r["doc_id"], r["item_id"], r["n_item_shingles"], r["containment"]) for r in got.collect()) == [(1, 1, 1, 1.0), (1, 3, 1, 1.0), (4, 2, 1, 1.0), (6, 2, 1, 1.0), (6, 3, 1, 1.0), (6, 4, 1, 1.0)]
+
+
+def test_what_is_broadcast_needs_no_package():
+    import pickletools
+    import pickle
+
+    sent = pickle.dumps(decontaminate._by_length([1, 2], ["a b", "a b c d e f g"], 5, 0.8))
+    assert not [a for _, a, _ in pickletools.genops(sent) if isinstance(a, str) and "lakeshift" in a]
+
+
 # ----------------------------------------------------------- token output
 
 
