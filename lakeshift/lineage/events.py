@@ -67,6 +67,7 @@ def runs(events: DataFrame) -> DataFrame:
         F.max("job_name").alias("job_name"),
         F.max(F.col("facets")["run_type"]).alias("run_type"),
         F.max(F.col("facets")["app_id"]).alias("app_id"),
+        F.max(F.col("facets")["logical_date"]).try_cast("date").alias("logical_date"),
         F.min("event_time").alias("started_at"),
         F.max("event_time").alias("last_event_at"),
     )
@@ -109,9 +110,13 @@ def latest_attempt(run_table: DataFrame) -> DataFrame:
 
 def run_of_record(run_table: DataFrame) -> DataFrame:
     """Flag the run of record per (job, logical date): scheduled > manual > backfill, then
-    the latest start.  All runs are kept; backfills never overwrite the scheduled run."""
+    the latest start.  All runs are kept; backfills never overwrite the scheduled run.
+
+    The logical date is the one that the run carries, as a backfill starts long after the date it is for; a run without one stands
+    for the day it started.
+    """
     rank = F.coalesce(*[F.when(F.col("run_type") == k, F.lit(v)) for k, v in RUN_TYPE_RANK.items()], F.lit(99))
-    r = run_table.withColumn("logical_date", F.to_date("started_at")).withColumn("_rank", rank)
+    r = run_table.withColumn("logical_date", F.coalesce("logical_date", F.to_date("started_at"))).withColumn("_rank", rank)
     chosen = r.groupBy("job_name", "logical_date").agg(
         F.max_by("run_id", F.struct(-F.col("_rank"), F.col("started_at"), F.col("run_id"))).alias("_chosen")
     )

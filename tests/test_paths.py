@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from lakeshift.lineage.audit import column_path_precision
+from lakeshift.lineage.events import run_of_record
 from lakeshift.lineage.graph import bottleneck
 from lakeshift.lineage.identity_map import as_of_join, sink_identity_as_of
 from lakeshift.lineage.retention import oldest_consumed, retention_by_offsets
@@ -67,6 +68,19 @@ def test_oldest_consumed_equals_a_scan(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_backfill_stands_for_its_own_date(spark):
+    when = lambda day: dt.datetime(2024, 2, day)
+    rows = [
+        ("s1", "job", "scheduled", None, when(1)), ("s2", "job", "scheduled", None, when(9)),
+        ("b1", "job", "backfill", dt.date(2024, 2, 1), when(9)),  # does not overwrite the scheduled run of its date
+        ("b2", "job", "backfill", dt.date(2024, 2, 5), when(9)), ("b3", "job", "backfill", dt.date(2024, 2, 5), when(10)),
+        ("m1", "job", "manual", dt.date(2024, 2, 5), when(8)), ("b4", "job", "backfill", dt.date(2024, 2, 7), when(9)), ("b5", "other", "backfill", dt.date(2024, 2, 1), when(9)),
+    ]
+    got = run_of_record(spark.createDataFrame(rows, "run_id string, job_name string, run_type string, logical_date date, started_at timestamp_ntz")).collect()
+    assert len(got) == len(rows) and {r["run_id"] for r in got if r["is_run_of_record"]} == {"s1", "s2", "m1", "b4", "b5"}
+    assert {r["run_id"]: r["logical_date"].day for r in got}["b1"] == 1
+
+
 def test_retention_rule(spark):
     at = lambda h: dt.datetime(2024, 1, 10) - dt.timedelta(hours=h)
     messages = spark.createDataFrame([("t", 0, 0, at(30)), ("t", 0, 1, at(9)), ("t", 0, 2, at(8))], "topic string, partition int, offset long, ts timestamp_ntz")
