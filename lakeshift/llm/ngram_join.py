@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -52,6 +52,8 @@ RARE = 64
 LONG = 30
 #: Tokens of a chunk of documents, and of a shard of the hash range.
 CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 4_000_000
+#: Bits of the filter that ``_without`` broadcasts: at most ``FILTER_BITS / 64`` rows of two longs.
+FILTER_BITS = 1 << 26
 _U = np.uint64
 
 
@@ -199,6 +201,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _bit(*key: Column) -> tuple[Column, Column]:
+    """Place of a key in the filter: the number of its word, and the word with its bit set."""
+    at = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+
+
+def _without(docs: DataFrame, going: DataFrame, id_: str, digest: str) -> DataFrame:
+    """``docs`` without the rows whose id and text ``going`` names.
+
+    A filter of bounded size shows which rows may be named. Only these move to the exact anti-join; the fuller the filter, the more
+    of the others move with them, with the same result."""
+    w, b = free_names(docs, "_word", "_bits")
+    word, bit = _bit(F.col(id_), F.col(digest))
+    words = F.broadcast(going.select(word.alias(w), bit.alias(b)).groupBy(w).agg(F.bit_or(b).alias(b)))
+    word, bit = _bit(F.col("doc_id"), text_key())
+    may = (word == F.col(w)) & (F.col(b).bitwiseAND(bit) != 0)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_key() == F.col(digest))
+    return docs.join(words, may, "left_anti").unionByName(docs.join(words, may, "left_semi").join(going, same, "left_anti"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with one row of every group: of those with the least id (null last), the least by text.
 
@@ -217,7 +239,7 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     going = rows.select("doc_id", "digest", "label").join(groups, "label").filter(~first | (F.col("n_least") > 1))
     going = stored(going.select(F.col("doc_id").alias(i), F.col("digest").alias(d), F.col("label").alias(l), first.alias(f)), "join-dropped")
     same = F.col("doc_id").eqNullSafe(F.col(i)) & (text_key() == F.col(d))
-    out = docs.join(going, same, "left_anti")
+    out = _without(docs, going, i, d)
     again = going.filter(F.col(f))
     if again.isEmpty():
         return out

@@ -183,7 +183,9 @@ def test_join_equals_brute_force(spark, monkeypatch, k, threshold, limits):
     assert sorted(got, key=str) == join_brute(rows, k, threshold)
 
 
-def test_keep_one(spark):
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_keep_one(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (8, "x y z"), (8, "x y z"), (9, None), (10, ""), (None, "n o p")]
     kept = ngram_join.keep_one(docs(spark, rows))
     got = sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
