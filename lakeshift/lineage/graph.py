@@ -8,6 +8,7 @@ executor recomputes at most one round.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark import StorageLevel
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import diagram_id, diagram_label, qualified
-from ..session import scratch_root
+from ..session import scratch_path, scratch_root
 
 
 def current_edges(datasets: DataFrame, jobs: DataFrame, job_versions: DataFrame, io_mapping: DataFrame, order: bool = True) -> DataFrame:
@@ -155,6 +156,67 @@ def bottleneck(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> D
         frontier = fresh.select("root", F.col("node").alias("_from"), "rank")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage, and with it constraints that a loop of joins would pile up."""
+    path = scratch_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _greatest_source(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, colour``: the greatest node that reaches it, itself included.
+
+    Colours run along the edges.  What reaches a node's colour reaches the node, so a round also takes over its colour's own colour,
+    which saves rounds.
+    """
+    now = _written(nodes.select("node", F.col("node").alias("colour")))
+    while True:
+        sent = edges.join(now, edges["src"] == now["node"]).select(F.col("dst").alias("node"), "colour", F.lit(None).cast("string").alias("old"))
+        met = now.withColumn("old", F.col("colour")).unionByName(sent).groupBy("node").agg(F.max("colour").alias("colour"), F.max("old").alias("old"))
+        over = now.select(F.col("node").alias("colour"), F.col("colour").alias("further"))
+        met = _written(met.join(over, "colour").select("node", F.greatest("colour", "further").alias("colour"), "old"))
+        now = met.select("node", "colour")
+        if met.filter("colour <> old").isEmpty():
+            return now
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` of every node that lies on a cycle (a node with an edge to itself too); the component is its least node.
+
+    ``edges``: ``(src, dst)`` strings; edges with a NULL end are ignored.  Forward-backward colouring by equi-joins: the greatest node that
+    reaches a node colours it, the greatest node that it reaches along edges of its colour answers; where both agree, it is in that node's component.
+    A component has one colour and one answer, so edges between colours or between answers go, as do finished nodes and ends without a
+    way in or out, until no edge is left.
+    """
+    edges = _written(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    left, found = edges.filter("src <> dst"), []
+    while True:
+        ends = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = _written(left.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
+        if left.isEmpty():
+            break
+        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        forward = _greatest_source(nodes, left)
+        inside = _written(_within(left, forward, "colour"))
+        back = _greatest_source(nodes, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("colour", "answer")
+        both = _written(forward.join(back, "node"))
+        found.append(both.filter("colour = answer").select("node", F.col("colour").alias("root")))
+        left = _within(inside, both.filter("colour <> answer"), "answer")
+    if not found:
+        return loops
+    rows = reduce(DataFrame.unionByName, found)  # materialised pieces
+    named = rows.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cycles = rows.join(named, "root").select("node", "component")
+    return cycles.unionByName(loops.join(cycles, "node", "left_anti"))
+
+
+def _within(edges: DataFrame, marks: DataFrame, mark: str) -> DataFrame:
+    """Edges both of whose ends are in ``marks``, with the same ``mark``."""
+    one, two = (marks.select(F.col("node").alias(end), F.col(mark).alias(f"_{end}")) for end in ("src", "dst"))
+    return edges.join(one, "src").join(two, "dst").filter("_src = _dst").select("src", "dst")
+
+
 def end_to_end_paths(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """Chained equi-joins along a fixed hop sequence of node kinds (``kind:id`` nodes).
 

@@ -5,6 +5,16 @@ from __future__ import annotations
 UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
 
 SQL = {
+    "lineage_cycles": """
+WITH RECURSIVE c AS (SELECT c_custkey AS c, c_nationkey AS n, c_custkey - c_custkey % 6 AS base FROM customer),
+e AS (
+  SELECT 'data|' || c AS src, 'job|' || c AS dst FROM c
+  UNION SELECT 'job|' || c, 'data|' || (base + (5 * c + n) % 6) FROM c
+  UNION SELECT 'job|' || c, 'data|' || (base + (c + 7) % 6) FROM c WHERE n % 3 = 0),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+s AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src),
+m AS (SELECT node, MIN(other) AS component FROM s GROUP BY node)
+SELECT component, node, COUNT(*) FILTER (node LIKE 'job|%') OVER (PARTITION BY component) AS n_jobs FROM m""",
     "sink_identity_as_of": f"""
 WITH m AS (
   SELECT k, ts, event_id, 'poc/shop_t' || k || '_json_' || {UUID} AS storage

@@ -1,4 +1,4 @@
-"""Queries on identities as of a snapshot, retention by consumed offsets, and precision along column paths."""
+"""Queries on identities as of a snapshot, retention by consumed offsets, precision along column paths, and cycles of jobs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as idn
 from ..lineage import audit
+from ..lineage.graph import strong_components
 from ..lineage.identity_map import sink_identity_as_of
 from ..lineage.retention import retention_by_offsets
 from ..sources import derived as d
@@ -85,7 +86,25 @@ def q_column_path_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.column_path_precision(*column_graph(spark, sf_dir))
 
 
+def job_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges ``data -> job -> data``, a job per customer: job ``c`` reads dataset ``c`` and writes dataset ``(5 c + nation) % 6`` of its six,
+    for nations divisible by 3 also dataset ``(c + 7) % 6`` of them."""
+    c = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n")).withColumn("base", F.expr("c - c % 6"))
+    node = lambda kind, key: F.concat(F.lit(f"{kind}|"), key.cast("string"))
+    out = lambda rows, key: rows.select(node("job", F.col("c")).alias("src"), node("data", F.expr(key)).alias("dst"))
+    reads = c.select(node("data", F.col("c")).alias("src"), node("job", F.col("c")).alias("dst"))
+    return reads.unionByName(out(c, "base + (5 * c + n) % 6")).unionByName(out(c.filter("n % 3 = 0"), "base + (c + 7) % 6"))
+
+
+def q_lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of a cycle, its component and how many jobs that has."""
+    cycles = strong_components(job_graph(spark, sf_dir))
+    jobs = cycles.groupBy("component").agg(F.count_if(F.col("node").startswith("job|")).alias("n_jobs"))
+    return cycles.join(jobs, "component").select("component", "node", "n_jobs")
+
+
 QUERIES = {
+    "lineage_cycles": q_lineage_cycles,
     "sink_identity_as_of": q_sink_identity_as_of,
     "retention_by_offsets": q_retention_by_offsets,
     "column_path_precision": q_column_path_precision,

@@ -5,7 +5,7 @@ import random
 
 from lakeshift.lineage.audit import column_path_precision
 from lakeshift.lineage.events import run_of_record
-from lakeshift.lineage.graph import bottleneck
+from lakeshift.lineage.graph import bottleneck, strong_components
 from lakeshift.lineage.identity_map import as_of_join, sink_identity_as_of
 from lakeshift.lineage.retention import oldest_consumed, retention_by_offsets
 
@@ -125,3 +125,32 @@ def test_path_precision_of_unequal_paths(spark):
     assert {(r["out_col"], r["in_col"]): r["precision"] for r in got.collect()} == {
         ("out", "a"): "lost", ("out", "c"): "exact", ("out", "b"): "inferred", ("out", "s"): "inferred", ("out", "x"): "lost",
     }
+
+
+def test_strong_components_equal_the_closure(spark):
+    rnd = random.Random(21)
+    chain = [(f"c{n:02}", f"c{n - 1:02}") for n in range(30, 0, -1)]  # long, no cycle
+    ring = [(f"r{n}", f"r{(n + 1) % 9}") for n in range(9)]
+    edges = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(52)] + chain + ring + ring[:2] + [("c00", "r3"), ("s", "s"), ("r1", "r1"), ("s", "t"), (None, "t"), ("t", None)]
+    arcs = {(a, b) for a, b in edges if a and b}
+
+    def closure(pairs):
+        reach = set(pairs)
+        while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+            reach |= more
+        return reach
+
+    plain = closure(arcs)
+    want = {a: min(b for b in {x for p in arcs for x in p} if (a, b) in plain and (b, a) in plain) for a, b in plain if a == b}
+    rows = [tuple(r) for r in strong_components(spark.createDataFrame(edges, "src string, dst string")).select("node", "component").collect()]
+    got = dict(rows)
+    assert got == want and len(got) == len(rows) and want["r4"] == "r0" and want["s"] == "s" and "c05" not in want
+    # the condensed graph reaches what the plain one does
+    name = lambda n: got.get(n, n)
+    condensed = closure({(name(a), name(b)) for a, b in arcs if name(a) != name(b)})
+    assert condensed == {(name(a), name(b)) for a, b in plain if name(a) != name(b)}
+
+
+def test_graphs_without_a_cycle(spark):
+    frame = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
+    assert strong_components(frame).count() == 0 and strong_components(frame.limit(0)).count() == 0
