@@ -51,6 +51,24 @@ x AS (
   LEFT JOIN s ON s.run_id = k.run_id AND s.instance_id = k.instance_id AND s.stack_epoch = k.stack_epoch)"""
 
 SQL = {
+    "facet_column_edges": """
+WITH e AS (SELECT event_id AS e, user_id % 4 AS k FROM events WHERE event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_id % 7 <> 0),
+f AS (
+  SELECT k, 'id' AS out_col, 'id' AS in_col, 0 AS r FROM e
+  UNION ALL SELECT k, 'total', c, CASE WHEN e.e % 3 <> 0 THEN 0 ELSE 1 END FROM e, (VALUES ('quantity'), ('price')) v(c)
+  UNION ALL SELECT k, 'c' || (e.e % 5), CASE WHEN e.e % 2 = 0 THEN 'raw' END, CASE WHEN e.e % 2 = 0 THEN 1 ELSE 2 END FROM e)
+SELECT 'spark' AS job_ns, 'load_t' || k AS job_name, 's3://warehouse' AS out_ns, 'poc/shop_t' || k AS out_name, out_col,
+       CASE WHEN in_col IS NOT NULL THEN 'kafka://broker:9092' END AS in_ns, CASE WHEN in_col IS NOT NULL THEN 'mysqljson.shop.t' || k END AS in_name, in_col,
+       CASE MIN(r) WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'lost' END AS precision, COUNT(*) AS n_claims
+FROM f GROUP BY k, out_col, in_col""",
+    "facet_problems": """
+WITH e AS (
+  SELECT event_id % 13 = 0 AS cut, CASE WHEN event_id % 13 <> 0 THEN user_id % 4 END AS k, event_id % 11 = 0 AS bad,
+         CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 11 = 0 OR event_id % 7 = 0 THEN 3 WHEN event_id % 10 = 0 THEN 0 ELSE 1 END AS untraced
+  FROM events)
+SELECT CASE WHEN k IS NOT NULL THEN 'spark' END AS job_ns, CASE WHEN k IS NOT NULL THEN 'load_t' || k END AS job_name, COUNT(*) AS n_documents,
+       COUNT(*) FILTER (cut) AS n_malformed, COUNT(*) FILTER (bad AND NOT cut) AS n_bad_facets, CAST(SUM(untraced) AS BIGINT) AS n_untraced
+FROM e GROUP BY k""",
     "resume_ranges": LOADS + """
 SELECT 'mysqljson.shop.events' AS topic, part AS partition, start_offset, end_offset FROM (
   SELECT part, 0 AS start_offset, a1 AS end_offset FROM w UNION ALL SELECT part, b1, a2 FROM w UNION ALL SELECT part, b2, NULL FROM w)

@@ -1,13 +1,14 @@
-"""Registered queries: resume from consumed offsets, the lineage store folded from event documents, run chains."""
+"""Registered queries: resume from consumed offsets, the lineage store folded from event documents, run chains, facets of documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage.audit import REQUIRED_MARKERS
 from ..lineage.chains import complete_runs, run_chains
 from ..lineage.events import parse_events
+from ..lineage.facets import facet_column_edges, facet_problems
 from ..lineage.graph import current_edges
 from ..lineage.store import store_from_events
 from ..operators.upsert import consumed_ranges, read_current
@@ -136,7 +137,37 @@ def q_complete_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete_runs(run_chains(consumed, produced, snaps), markers, list(REQUIRED_MARKERS))
 
 
+def facet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event document per event with a schema facet of ``id, total, c0`` and a column facet of ``id``, ``total`` and ``c{event_id % 5}``.
+
+    ``total`` is computed from two columns, for every third event indirectly; ``c...`` has an input for even events only.  Events divisible
+    by 7 have no column facet, those by 11 one of another shape, and documents of those by 13 are cut off.
+    """
+    e, k = F.col("event_id"), (F.col("user_id") % 4).cast("string")
+    def field(name: str, direct: Column) -> Column:
+        kind = F.when(direct, F.lit("DIRECT")).otherwise(F.lit("INDIRECT"))
+        return F.struct(F.lit("kafka://broker:9092").alias("namespace"), F.concat(F.lit("mysqljson.shop.t"), k).alias("name"), F.lit(name).alias("field"), F.array(F.struct(kind.alias("type"))).alias("transformations"))
+    raw = F.array(field("raw", F.lit(False)))
+    spec = lambda fields: F.struct(fields.alias("inputFields"))
+    total = F.array(field("quantity", e % 3 != 0), field("price", e % 3 != 0))
+    fields = F.create_map(F.lit("id"), spec(F.array(field("id", F.lit(True)))), F.lit("total"), spec(total), F.concat(F.lit("c"), (e % 5).cast("string")), spec(F.when(e % 2 == 0, raw).otherwise(F.slice(raw, 1, 0))))
+    claim = F.when(e % 11 == 0, F.lit('"columnLineage":{"fields":"none"},')).when(e % 7 == 0, F.lit("")).otherwise(F.concat(F.lit('"columnLineage":{"fields":'), F.to_json(fields), F.lit("},")))
+    head = F.concat(F.lit('{"job":{"namespace":"spark","name":"load_t'), k, F.lit('"},"outputs":[{"namespace":"s3://warehouse","name":"poc/shop_t'), k)
+    text = F.concat(head, F.lit('","facets":{'), claim, F.lit('"schema":{"fields":[{"name":"id"},{"name":"total"},{"name":"c0"}]}}}]}'))
+    return d.table(spark, sf_dir, "events", spread=True).select(F.when(e % 13 == 0, F.substring(text, 1, 100)).otherwise(text).alias("value"))
+
+
+def q_facet_column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facet_column_edges(facet_documents(spark, sf_dir))
+
+
+def q_facet_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facet_problems(facet_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "facet_column_edges": q_facet_column_edges,
+    "facet_problems": q_facet_problems,
     "resume_ranges": q_resume_ranges,
     "offset_gaps": q_offset_gaps,
     "resumed_load": q_resumed_load,

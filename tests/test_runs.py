@@ -61,3 +61,24 @@ def test_chains_stay_in_one_deployment(spark):
     assert got == {("r1", 1): ("c1", 0, True), ("r1", 2): (None, 1, False), ("r2", 1): (None, 2, False), ("r3", 1): ("c3", None, False), ("r4", 1): (None, 3, False), ("r5", 1): ("c1", 5, True)}
     markers = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r1", "b"), ("r5", "a"), ("r2", "a"), ("r2", "b")], "run_id string, marker_kind string")
     assert [tuple(r) for r in complete_runs(chains, markers, ["a", "b"]).collect()] == [("r1", "i", 1)]
+
+
+def test_facets_of_any_shape(spark):
+    import json
+
+    from lakeshift.lineage.facets import facet_column_edges, facet_problems
+
+    use = lambda name, *kinds: {"namespace": "k", "name": "src", "field": name, "transformations": [{"type": t} for t in kinds]}
+    doc = lambda *outs: json.dumps({"job": {"namespace": "s", "name": "j"}, "outputs": list(outs)})
+    out = lambda fields, *columns: {"namespace": "w", "name": "t", "facets": {"columnLineage": {"fields": fields}, "schema": {"fields": [{"name": c} for c in columns]}}}
+    rows = [
+        doc(out({"a": {"inputFields": [use("x", "INDIRECT")]}, "b": {"inputFields": []}, "odd key.$": {"inputFields": [use("y")]}}, "a", "b", "c")),
+        doc(out({"a": {"inputFields": [use("x", "INDIRECT", "DIRECT")]}, "b": {"inputFields": 7}}, "a"), out([1], "a"), {"name": "bare"}),
+        doc(out({}, "a")), doc(out(None)), doc({"facets": {"columnLineage": None}}), doc(), json.dumps({"job": 3, "outputs": {}}), "[]", "", "{cut", None,
+    ]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string")
+    got = {(r["out_col"], r["in_col"]): (r["precision"], r["n_claims"], r["in_name"], r["out_name"]) for r in facet_column_edges(lines).collect()}
+    assert got == {("a", "x"): ("exact", 2, "src", "t"), ("b", None): ("lost", 2, None, "t"), ("odd key.$", "y"): ("inferred", 1, "src", "t")}
+    found = {r["job_name"]: tuple(r)[2:] for r in facet_problems(lines).collect()}
+    assert found["j"] == (6, 0, 2, 2 + 1 + 1) and sum(n for n, *_ in found.values()) == 10 and sum(bad for _, bad, *_ in found.values()) == 2
+    assert facet_column_edges(lines.limit(0)).count() == 0 and facet_problems(lines.limit(0)).count() == 0
