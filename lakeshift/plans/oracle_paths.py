@@ -5,6 +5,12 @@ from __future__ import annotations
 UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
 
 SQL = {
+    "run_outages": """
+WITH b AS (SELECT 'connector-' || CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 7 END AS run_id, ts, event_type = 'error' AS ended FROM events),
+g AS (SELECT run_id, ts AS silent_from, LEAD(ts) OVER (PARTITION BY run_id ORDER BY ts, ended) AS resumed_at, ended FROM b),
+x AS (SELECT *, coalesce(resumed_at, TIMESTAMP '2024-01-31 00:00:00') AS stop FROM g WHERE resumed_at IS NOT NULL OR NOT ended)
+SELECT run_id, silent_from, resumed_at, CAST((epoch_us(stop) - epoch_us(silent_from)) // 1000000 AS BIGINT) AS seconds
+FROM x WHERE stop >= silent_from + INTERVAL 2 HOURS""",
     "lineage_cycles": """
 WITH RECURSIVE c AS (SELECT c_custkey AS c, c_nationkey AS n, c_custkey - c_custkey % 6 AS base FROM customer),
 e AS (

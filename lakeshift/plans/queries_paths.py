@@ -1,4 +1,4 @@
-"""Queries on identities as of a snapshot, retention by consumed offsets, precision along column paths, and cycles of jobs."""
+"""Queries on identities as of a snapshot, retention by consumed offsets, precision along column paths, cycles of jobs, and outages of runs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..functions import identity as idn
 from ..lineage import audit
 from ..lineage.graph import strong_components
 from ..lineage.identity_map import sink_identity_as_of
+from ..lineage.outages import run_outages
 from ..lineage.retention import retention_by_offsets
 from ..sources import derived as d
 from .queries_versioning import EVAL_TIME
@@ -103,7 +104,16 @@ def q_lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cycles.join(jobs, "component").select("component", "node", "n_jobs")
 
 
+def q_run_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven connector runs, every event a heartbeat of one: run 0 holds the events of a third of all users.  An error ends a run."""
+    u = F.col("user_id")
+    run = F.concat(F.lit("connector-"), F.when(u % 3 == 0, 0).otherwise(u % 7).cast("string"))
+    beats = d.table(spark, sf_dir, "events").select(run.alias("run_id"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("ended"))
+    return run_outages(beats, EVAL_TIME)
+
+
 QUERIES = {
+    "run_outages": q_run_outages,
     "lineage_cycles": q_lineage_cycles,
     "sink_identity_as_of": q_sink_identity_as_of,
     "retention_by_offsets": q_retention_by_offsets,

@@ -7,6 +7,7 @@ from lakeshift.lineage.audit import column_path_precision
 from lakeshift.lineage.events import run_of_record
 from lakeshift.lineage.graph import bottleneck, strong_components
 from lakeshift.lineage.identity_map import as_of_join, sink_identity_as_of
+from lakeshift.lineage.outages import run_outages
 from lakeshift.lineage.retention import oldest_consumed, retention_by_offsets
 
 
@@ -154,3 +155,35 @@ def test_strong_components_equal_the_closure(spark):
 def test_graphs_without_a_cycle(spark):
     frame = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
     assert strong_components(frame).count() == 0 and strong_components(frame.limit(0)).count() == 0
+
+
+def test_outages_equal_brute_force(spark, monkeypatch):
+    from lakeshift.lineage import outages
+
+    monkeypatch.setattr(outages, "SLICES", 2)
+    rnd = random.Random(3)
+    day = dt.datetime(2024, 1, 1)
+    beats = [(rnd.choice(["hot", "hot", "hot", "a"]), day + dt.timedelta(minutes=20 * rnd.randrange(900)), False) for _ in range(260)]
+    beats += [("done", day, False), ("done", day + dt.timedelta(days=5), True), ("edge", day, None), ("edge", day + dt.timedelta(hours=2), False), (None, day, False), ("none", None, True)]
+    until = day + dt.timedelta(days=14)
+    columns = "run_id string, at timestamp_ntz, ended boolean"
+
+    def brute(rows):
+        out = []
+        for run in {r for r, at, _ in rows if r and at}:
+            mine = sorted((at, bool(end)) for r, at, end in rows if r == run and at)
+            for (a, _), (b, _) in zip(mine, mine[1:]):
+                if b - a >= dt.timedelta(hours=2):
+                    out.append((run, a, b, int((b - a).total_seconds())))
+            if not mine[-1][1] and until - mine[-1][0] >= dt.timedelta(hours=2):
+                out.append((run, mine[-1][0], None, int((until - mine[-1][0]).total_seconds())))
+        return sorted(out, key=str)
+
+    found = lambda rows: sorted((tuple(r) for r in run_outages(spark.createDataFrame(rows, columns), str(until)).collect()), key=str)
+    want = brute(beats)
+    assert found(beats) == want and len([w for w in want if w[0] == "hot"]) > 20 and ("edge", day, day + dt.timedelta(hours=2), 7200) in want
+    # a late heartbeat in the middle closes a gap
+    run, a, b, seconds = next(w for w in want if w[2] and 7200 < w[3] < 14400 and w[0] == "hot")
+    late = [*beats, (run, a + dt.timedelta(seconds=seconds // 2), False)]
+    assert found(late) == brute(late) and (run, a, b, seconds) not in found(late)
+    assert found([]) == []
