@@ -188,7 +188,7 @@ def _half_keys(code: np.ndarray, size: np.ndarray, words: list[str]) -> np.ndarr
         begin = np.minimum(begin, stop)
         out[:, k] = hash_of[rows, np.minimum(h, width)] * _U(2)
         out[:, k + 1] = (hash_of[rows, stop] - hash_of[rows, begin]) * _DOWN[begin] * _U(2) + _U(1)
-        for i in np.flatnonzero(size > WIDEST):
+        for i in np.flatnonzero(shorter > WIDEST):
             w, m = words[i], int(h[i])
             out[i, k], out[i, k + 1] = hash(w[:m]) & _ALL, hash((w[len(w) - (int(shorter[i]) - m) :], 1)) & _ALL
         out[:, k : k + 2] = mix(out[:, k : k + 2] + shorter.astype(np.uint64)[:, None] * _U(0xD1342543DE82EF95))
@@ -218,7 +218,7 @@ def near_pairs(lists: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndar
     size = np.array([len(w) for w in words], np.int64)
     code = np.zeros((n, min(int(size.max(initial=0)), WIDEST) + 1), np.uint32)
     for i, w in enumerate(words):
-        if len(w) <= WIDEST:
+        if len(w) <= WIDEST + 1:  # one more: as the longer of a pair it meets words of WIDEST
             code[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
     # four rows per word: as the shorter and the longer of a pair, by its first and its second half
     at = np.tile(np.arange(n), 4)
@@ -302,21 +302,17 @@ def near_words(words: DataFrame) -> DataFrame:
 
 
 def _roots(forms: DataFrame) -> DataFrame:
-    """``word, root`` of ``word, form``: forms followed to the last, by doubling the step; counts grow along a chain, so it ends."""
-    step = stored(forms.select("word", F.col("form").alias("root")), "spelling-step")
-    done = None
-    while not step.isEmpty():
-        far = step.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        on = stored(step.join(far, "root", "left").select("word", "root", "further"), "spelling-step")
-        ended = on.filter("further is null").select("word", "root")
-        done = ended if done is None else done.unionByName(ended)
-        # words whose step ends at a word that goes on; steps of ended words serve the others by one more look
-        more = on.filter("further is not null").select("word", F.col("further").alias("root"))
-        last = done.select(F.col("word").alias("root"), F.col("root").alias("end"))
-        more = more.join(last, "root", "left")
-        done = stored(done.unionByName(more.filter("end is not null").select("word", F.col("end").alias("root"))), "spelling-roots")
-        step = stored(more.filter("end is null").select("word", "root"), "spelling-step")
-    return done if done is not None else step
+    """``word, root`` of ``word, form``: forms followed to the last, by doubling the step; counts grow along a chain, so it ends.
+
+    Every word stays in the table to the end: a root that it does not hold has no form, so it is the last.
+    """
+    now = stored(forms.select("word", F.col("form").alias("root")), "spelling-step")
+    while True:
+        far = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
+        on = stored(now.join(far, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-step")
+        now = on.select("word", "root")
+        if on.filter("moved").isEmpty():
+            return now
 
 
 def spelling_variants(docs: DataFrame) -> DataFrame:

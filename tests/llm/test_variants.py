@@ -204,6 +204,25 @@ def test_spelling_variants_equal_brute_force(spark, monkeypatch, alphabet, limit
     assert sorted(((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got), key=str) == variants_brute(rows)
 
 
+def test_roots_of_long_chains(spark):
+    words = ["z" * i + "abcdefghij"[i:] for i in range(10)]
+    rows = [(i, " ".join([w] * (3 * 2**i))) for i, w in enumerate(words)]
+    got = {r.word: (r.form, r.root) for r in spelling.spelling_variants(docs(spark, rows)).collect()}
+    assert got == {w: (words[i + 1] if i < 9 else None, words[9]) for i, w in enumerate(words)}
+    assert got == {w: (f, r) for w, f, r, *_ in variants_brute(rows)}
+
+
+def test_near_words_about_the_width_of_the_table(spark):
+    rnd = random.Random(6)
+    rows = []
+    for size in range(spelling.WIDEST - 2, spelling.WIDEST + 4):
+        word = "".join(rnd.choice("abcdef") for _ in range(size))
+        for at in (3, size // 2, size - 2):
+            rows.append((len(rows), f"{word} " * 7 + f"{word[:at]}{word[at + 1:]} " * 3 + f"{word[:at]}x{word[at:]} " * 3 + f"{word[:at]}y{word[at + 1:]} " * 3))
+    got = spelling.spelling_variants(docs(spark, rows)).collect()
+    assert sorted(((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got), key=str) == variants_brute(rows)
+
+
 def test_spelling_variants_of_nothing(spark):
     assert spelling.spelling_variants(docs(spark, [])).count() == 0
     assert spelling.spelling_variants(docs(spark, [(1, "word word"), (2, None)])).count() == 0
