@@ -4,8 +4,12 @@ A page's markup gives its blocks of text, each in one of three zones: *article*
 pages without one inside ``main``), *furniture* (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by element or by
 class, id and role), and *open* (neither).  Scripts, styles and the head have no text.
 
-* A page with article blocks is its article blocks, whole.  An article may share passages with others (licence
-  lines, quotations, copies of the page); nothing of it is dropped for that.
+* On a page with article blocks these are the candidates, and markup speaks for them.  An article may share passages with others (licence
+  lines, quotations, copies of the page), so the host must contradict it: a block of
+  ``min_tokens`` or more goes, whole, if every token of it is covered by windows that
+  article blocks of ``most_pages`` distinct contents or more hold, and of ``MOST`` of all contents of the host that have an article.  A page that would
+  lose half of its tokens so is a near copy of others, and stays whole.  Where a window begins a block is where it is looked for first: a block
+  whose first window is not so common has a first token that nothing covers, so only the other blocks' further suffixes are sorted.
 * On other pages, the open blocks are the candidates, and the host decides.  The token streams of all open and
   furniture blocks of a host's pages are one long text; its suffixes are sorted by their first ``min_tokens``
   tokens, and where neighbours in that order agree on them and come from ``min_pages`` distinct page contents or more, these
@@ -14,7 +18,7 @@ class, id and role), and *open* (neither).  Scripts, styles and the head have no
 
 The suffix array is a relation ``(host, window, page, block, position)`` grouped by ``(host, window)``; no task holds a host, and
 windows are first made distinct per content and counted on the map side, so a host or a menu line with a
-third of all pages is one row per content and partition.  Pages are parsed once; the parsed blocks are stored.
+third of all pages is one row per content and partition.  Windows that most contents of a host hold are about as many as one page's.  Pages are parsed once; the parsed blocks are stored.
 
 Text: character references decoded, white space inside a block is one space, trimmed, blocks in page order
 joined by one newline.  Defined results: null or empty html gives an empty text; markup that never closes ends with
@@ -27,6 +31,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,22 +43,24 @@ from .url_filter import url_parts
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
-PARSED = "page_id long, url string, host string, content binary, text string, open array<string>, furniture array<string>"
+#: Contents that hold a boilerplate window in their article, at least; and their share, in per cent, of the host's contents with an article.
+MOST_PAGES, MOST = 10, 80
+PARSED = "page_id long, url string, host string, content binary, article array<string>, open array<string>, furniture array<string>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        content, text, free, rest = [], [], [], []
+        content, main, free, rest = [], [], [], []
         for html in batch.column("html").to_pylist():
             found = blocks(html)
             article = [t for zone, t in found if zone == "article"] or [t for zone, t in found if zone == "main"]
-            text.append("\n".join(article))
+            main.append(article)
             free.append([] if article else [t for zone, t in found if zone == "open"])
             rest.append([t for zone, t in found if zone == "furniture" or article and zone != "article"])
             content.append(hashlib.blake2b("\n".join(article or free[-1] or rest[-1]).encode(), digest_size=16).digest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c).cast(t) for c, t in (("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()))] + [pa.array(content, pa.binary()), pa.array(text, pa.string()), pa.array(free, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))],
-            ["page_id", "url", "host", "content", "text", "open", "furniture"],
+            [batch.column(c).cast(t) for c, t in (("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()))] + [pa.array(content, pa.binary()), *[pa.array(x, pa.list_(pa.string())) for x in (main, free, rest)]],
+            ["page_id", "url", "host", "content", "article", "open", "furniture"],
         )
 
 
@@ -117,16 +124,83 @@ def _finish(min_tokens: int):
     return run
 
 
-def extract_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> DataFrame:
+def _article_windows(min_tokens: int, first_only: bool):
+    """``host, window, content`` of article blocks: their first windows, or all windows of the blocks whose first is in ``common``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, of, known = [], [], []
+            common = None if first_only else batch.column("common").to_pylist()
+            for i, blocks_of in enumerate(batch.column("article").to_pylist()):
+                blocks_of = [t for t in blocks_of if t.count(" ") + 1 >= min_tokens]
+                texts += [" ".join(t.split(" ", min_tokens)[:min_tokens]) for t in blocks_of] if first_only else blocks_of
+                of += [i] * len(blocks_of)
+            block, first, window = _windows(texts, min_tokens)
+            window, page = window.astype(np.int64), np.array(of, np.int64)[block]
+            if not first_only:
+                known = [set(c) for c in common]
+                begins = np.zeros(len(texts), bool)
+                starts = np.flatnonzero(first == 0)
+                begins[block[starts]] = [w in known[p] for w, p in zip(window[starts].tolist(), page[starts].tolist(), strict=True)]
+                window, page = window[begins[block]], page[begins[block]]
+            rows = pd.DataFrame({"page": page, "window": window}).drop_duplicates()
+            at = pa.array(rows.page.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("host").take(at), pa.array(rows.window.to_numpy(), pa.int64()), batch.column("content").take(at)], ["host", "window", "content"])
+
+    return run
+
+
+def kept_blocks(article: list[str], common: set[int], min_tokens: int) -> list[str]:
+    """The blocks that ``common`` windows do not cover; all of them where the covered ones hold half of the tokens or more."""
+    block, _, window = _windows(article, min_tokens)
+    size = np.array([t.count(" ") + 1 for t in article])
+    covered = size >= min_tokens
+    covered[block[[w not in common for w in window.astype(np.int64).tolist()]]] = False
+    return article if 2 * size[covered].sum() >= size.sum() else [t for t, gone in zip(article, covered.tolist(), strict=True) if not gone]
+
+
+def _without_common(min_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["\n".join(kept_blocks(article, set(common), min_tokens)) for article, common in zip(batch.column("article").to_pylist(), batch.column("common").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
+
+
+def _articles(pages: DataFrame, min_tokens: int, most_pages: int) -> DataFrame:
+    """``page_id, url, text`` of parsed pages with article blocks."""
+    contents = pages.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("contents")).filter(F.col("contents") >= most_pages)
+    columns = "host string, window long, content binary"
+
+    def common(windows: DataFrame) -> DataFrame:
+        """``host, common``: the windows that most contents of the host hold."""
+        held = windows.distinct().groupBy("host", "window").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= most_pages)
+        held = held.join(contents, "host").filter(F.col("pages") * 100 >= F.col("contents") * MOST)
+        return stored(held.groupBy("host").agg(F.collect_list("window").alias("common")), "html-common")
+
+    whole = pages.select("page_id", "url", F.array_join("article", "\n").alias("text"))
+    begin = common(pages.select("host", "content", "article").mapInArrow(_article_windows(min_tokens, True), columns))
+    if begin.isEmpty():
+        return whole
+    every = common(pages.join(begin, "host").select("host", "content", "article", "common").mapInArrow(_article_windows(min_tokens, False), columns))
+    doubted = pages.join(every, "host").select("page_id", "url", "article", "common").mapInArrow(_without_common(min_tokens), "page_id long, url string, text string")
+    return pages.join(every, "host", "left_anti").select(*whole.columns[:2], F.array_join("article", "\n").alias("text")).unionByName(doubted)
+
+
+def extract_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, most_pages: int = MOST_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages``."""
     host = F.coalesce(url_parts(F.col("url"))[0], F.lit(""))
     parsed = stored(pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), "html").mapInArrow(_parse, PARSED), "html-parsed")
-    suffixes = parsed.select("content", "host", "open", "furniture").mapInArrow(_suffixes(min_tokens), "host string, window long, content binary")
+    undecided = parsed.filter(F.size("open") > 0)
+    # only hosts with an open page need their furniture
+    suffixes = parsed.join(undecided.select("host").distinct(), "host", "left_semi").select("content", "host", "open", "furniture").mapInArrow(_suffixes(min_tokens), "host string, window long, content binary")
     repeated = suffixes.distinct().groupBy("host", "window").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "window")
 
-    undecided = parsed.filter(F.size("open") > 0).withColumn("row", F.sha2(F.concat_ws("\x01", F.col("page_id"), F.col("url"), F.array_join("open", "\n")), 256))
+    undecided = undecided.withColumn("row", F.sha2(F.concat_ws("\x01", F.col("page_id"), F.col("url"), F.array_join("open", "\n")), 256))
     gone = undecided.select("row", "host", "open").distinct().mapInArrow(_open_windows(min_tokens), "row string, host string, window long").join(repeated, ["host", "window"])
     gone = gone.groupBy("row").agg(F.collect_set("window").alias("gone"))
     decided = undecided.join(gone, "row", "left").select("page_id", "url", "open", "gone").mapInArrow(_finish(min_tokens), "page_id long, url string, text string")
-    articles = parsed.filter(F.size("open") == 0).select("page_id", "url", "text")
-    return articles.unionByName(decided).withColumn("n_chars", F.char_length("text").cast("long"))
+    empty = parsed.filter((F.size("open") == 0) & (F.size("article") == 0)).select("page_id", "url", F.lit("").alias("text"))
+    articles = _articles(parsed.filter(F.size("article") > 0), min_tokens, most_pages)
+    return articles.unionByName(decided).unionByName(empty).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -72,6 +72,22 @@ def test_copies_of_a_page_are_one_content_and_articles_stay_whole(spark):
     assert got == {**dict.fromkeys(range(5), story), **{20 + i: f"text of page {i}" for i in range(3)}, 30: f"Offices\n{line}\n{quoted}", 31: line}
 
 
+def test_a_line_in_most_articles_of_a_host_is_a_notice(spark):
+    notice = "you have read two of your five free stories this month so join us today"
+    shared = "all rights are with the writers of this page and with nobody else at all"
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    page = lambda i, *blocks: (i, f"http://n.net/{i}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>")
+    pages = [page(i, body(i), *([notice] if i else []), f"{notice} they wrote on page {i}", *([shared] if i % 2 else []), "end") for i in range(12)]
+    # near copies stay whole, and so do the articles of a host with few contents
+    copies = [(100 + i, f"http://copies.net/{i}", f"<article><p>{body(500)}</p><p>copy {i}</p></article>") for i in range(12)]
+    few = [(200 + i, f"http://few.net/{i}", f"<article><p>{body(i)}</p><p>{notice}</p></article>") for i in range(9)]
+    df = spark.createDataFrame(pages + copies + few, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract_text(df.repartition(5)).collect()}
+    want = {i: "\n".join([body(i), f"{notice} they wrote on page {i}", *([shared] if i % 2 else []), "end"]) for i in range(12)}
+    want |= {100 + i: f"{body(500)}\ncopy {i}" for i in range(12)} | {200 + i: f"{body(i)}\n{notice}" for i in range(9)}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 # --------------------------------------------------------------- toxicity
 
 
