@@ -8,26 +8,31 @@ executor recomputes at most one round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import diagram_id, diagram_label, qualified
 from ..session import scratch_path, scratch_root
 
 
-def current_edges(datasets: DataFrame, jobs: DataFrame, job_versions: DataFrame, io_mapping: DataFrame, order: bool = True) -> DataFrame:
+def current_edges(
+    datasets: DataFrame, jobs: DataFrame, job_versions: DataFrame, io_mapping: DataFrame, order: bool = True, named: Callable[[str, str], Column] = qualified
+) -> DataFrame:
     """``(job, dataset, io_type)`` for current job versions: io_mapping -> job_versions ->
     jobs, io_mapping -> datasets.  The filter runs before the joins; the planner sizes
-    each join (broadcast when the runtime size allows, sort-merge otherwise)."""
+    each join (broadcast when the runtime size allows, sort-merge otherwise).  Job versions
+    meet their jobs first, so the mapping, the largest table, moves once less; ``named`` makes
+    the names of namespace and name, once per job and dataset."""
     m = io_mapping.filter(F.col("is_current_job_version")).select("job_version_uuid", "dataset_uuid", "io_type")
     jv = job_versions.select(F.col("uuid").alias("job_version_uuid"), "job_uuid")
-    j = jobs.select(F.col("uuid").alias("job_uuid"), qualified("namespace_name", "name").alias("job"))
-    d = datasets.select(F.col("uuid").alias("dataset_uuid"), qualified("namespace_name", "name").alias("dataset"))
-    e = m.join(jv, "job_version_uuid").join(j, "job_uuid").join(d, "dataset_uuid").select("job", "dataset", "io_type")
+    j = jobs.select(F.col("uuid").alias("job_uuid"), named("namespace_name", "name").alias("job"))
+    d = datasets.select(F.col("uuid").alias("dataset_uuid"), named("namespace_name", "name").alias("dataset"))
+    e = m.join(jv.join(j, "job_uuid").select("job_version_uuid", "job"), "job_version_uuid").join(d, "dataset_uuid").select("job", "dataset", "io_type")
     return e.orderBy("io_type", "job") if order else e
 
 
@@ -54,12 +59,17 @@ def graph_summary(datasets: DataFrame, jobs: DataFrame, edges: DataFrame) -> Dat
 _WITHIN = {"header": 0, "group": 1, "dataset": 2, "job": 2, "end": 3, "edge": 4}
 
 
-def export_edges(datasets: DataFrame, jobs: DataFrame, edges_by_name: DataFrame) -> DataFrame:
+def diagram_node(namespace: str, name: str) -> Column:
+    """Identifier of a node, as ``export_edges`` makes it of the qualified name."""
+    return diagram_id(qualified(namespace, name))
+
+
+def export_edges(datasets: DataFrame, jobs: DataFrame, edges_by_name: DataFrame, identified: bool = False) -> DataFrame:
     """Diagram text as ``(section, grp, line)`` rows, written by Spark (``df.write.text``).
 
     A header; per namespace of datasets (``DS_``) and of jobs (``JB_``) a group with its nodes and its ``end``; one line per
     edge: INPUT is ``dataset --> job``, OUTPUT is ``job --> dataset``.  Identifiers are sanitised, labels escaped and rid of quotes, with
-    column expressions; nothing is collected to the driver.
+    column expressions; nothing is collected to the driver.  ``identified``: the ends of the edges are identifiers (``diagram_node``) already.
     """
     parts = []
     for kind, rows, prefix, node, title in (("dataset", datasets, "DS_", "D_", ""), ("job", jobs, "JB_", "J_", "jobs: ")):
@@ -68,8 +78,8 @@ def export_edges(datasets: DataFrame, jobs: DataFrame, edges_by_name: DataFrame)
         parts.append(names.select(F.lit("group").alias("section"), group.alias("grp"), F.concat(F.lit("subgraph "), group, F.lit(f'["{title}'), diagram_label(F.col("namespace_name")), F.lit('"]')).alias("line")))
         parts.append(rows.select(F.lit(kind).alias("section"), group.alias("grp"), F.concat(F.lit(node), diagram_id(F.concat_ws("/", "namespace_name", "name")), F.lit('["'), diagram_label(F.col("name")), F.lit('"]')).alias("line")))
         parts.append(names.select(F.lit("end").alias("section"), group.alias("grp"), F.lit("end").alias("line")))
-    jid = F.concat(F.lit("J_"), diagram_id(F.col("job")))
-    did = F.concat(F.lit("D_"), diagram_id(F.col("dataset")))
+    of = F.col if identified else diagram_id
+    jid, did = F.concat(F.lit("J_"), of("job")), F.concat(F.lit("D_"), of("dataset"))
     arrow = F.when(F.col("io_type") == "INPUT", F.concat(did, F.lit(" -->|INPUT| "), jid)).otherwise(F.concat(jid, F.lit(" -->|OUTPUT| "), did))
     parts.append(edges_by_name.select(F.lit("edge").alias("section"), F.lit("").alias("grp"), arrow.alias("line")))
     parts.append(datasets.sparkSession.range(1).select(F.lit("header").alias("section"), F.lit("").alias("grp"), F.lit("graph LR").alias("line")))

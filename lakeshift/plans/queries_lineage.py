@@ -73,8 +73,8 @@ def q_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir)
-    edges = graph.current_edges(s["datasets"], s["jobs"], s["job_versions"], s["io_mapping"], order=False)
-    return graph.export_edges(s["datasets"], s["jobs"], edges)
+    edges = graph.current_edges(s["datasets"], s["jobs"], s["job_versions"], s["io_mapping"], order=False, named=graph.diagram_node)
+    return graph.export_edges(s["datasets"], s["jobs"], edges, identified=True)
 
 
 def q_trace_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:

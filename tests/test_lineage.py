@@ -157,3 +157,13 @@ def test_a_complete_path_needs_its_chain_in_one_deployment(spark):
     ids = ev.select("run_id").distinct()
     marks = ids.crossJoin(spark.createDataFrame([(k,) for k in audit.REQUIRED_MARKERS], "marker_kind string"))
     assert [r["run_id"] for r in audit.complete_paths(ids, marks, ev).collect()] == ["ok"]
+
+
+def test_diagram_identifiers_are_made_once_per_node(spark):
+    ds = spark.createDataFrame([("d1", "s3://a-b", "x/y"), ("d2", "s3://a-b", "z|"), ("d2", "n", None)], "uuid string, namespace_name string, name string")
+    jobs = spark.createDataFrame([("j1", "spark.a", "load-1"), ("j2", "spark.b", "load 2")], "uuid string, namespace_name string, name string")
+    versions = spark.createDataFrame([("v1", "j1"), ("v2", "j2"), ("v2", "j2"), (None, "j1")], "uuid string, job_uuid string")
+    io = spark.createDataFrame([("v1", "d1", "INPUT", True), ("v2", "d2", "OUTPUT", True), ("v1", "d2", "INPUT", False), (None, "d1", "INPUT", True)], "job_version_uuid string, dataset_uuid string, io_type string, is_current_job_version boolean")
+    plain = graph.export_edges(ds, jobs, graph.current_edges(ds, jobs, versions, io, order=False))
+    once = graph.export_edges(ds, jobs, graph.current_edges(ds, jobs, versions, io, order=False, named=graph.diagram_node), identified=True)
+    assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect())) and once.filter("section = 'edge'").count() == 5
