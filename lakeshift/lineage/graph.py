@@ -144,25 +144,31 @@ def bottleneck(edges: DataFrame, seeds: DataFrame, direction: str = "down") -> D
     """Best path by its weakest edge: ``(root, node, rank)``, the least over all paths of the greatest ``rank`` along the path.
 
     ``edges``: ``(src, dst, rank)``; ``seeds``: ``(root)``.  A round relaxes the pairs that the round before improved, so it ends for any
-    cycles, after at most as many rounds as the longest simple path has edges.  Pairs keep one partitioning by ``(root, node)``.
+    cycles, after at most as many rounds as the longest simple path has edges.  Pairs keep one partitioning by ``(root, node)`` and edges one by
+    their start, in a number of partitions that stays as it is, so a round moves its frontier and what it finds; one that finds nothing writes no pairs.
     """
-    scratch_root(edges.sparkSession)
+    spark = edges.sparkSession
+    scratch_root(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = ("src", "dst") if direction == "down" else ("dst", "src")
-    e = edges.groupBy(F.col(ends[0]).alias("_from"), F.col(ends[1]).alias("node")).agg(F.min("rank").alias("_rank")).checkpoint()
+    e = edges.select(F.col(ends[0]).alias("_from"), F.col(ends[1]).alias("node"), "rank").filter("_from is not null")
+    e = e.repartition(n, "_from").groupBy("_from", "node").agg(F.min("rank").alias("_rank")).sortWithinPartitions("_from").checkpoint()
     frontier = seeds.select("root", F.col("root").alias("_from"), F.lit(None).cast("int").alias("rank")).distinct()
     best = None
     while True:
-        found = frontier.join(e, "_from").groupBy("root", "node").agg(F.min(F.greatest("rank", "_rank")).cast("int").alias("rank"))
+        met = frontier.join(e, "_from").select("root", "node", F.greatest("rank", "_rank").cast("int").alias("rank"))
+        found = met.repartition(n, "root", "node").groupBy("root", "node").agg(F.min("rank").alias("rank")).checkpoint()
+        if found.isEmpty():
+            return found if best is None else best
         if best is None:
-            state = found.withColumn("_new", F.lit(True))
+            fresh = best = found
         else:
             old = best.select("root", "node", F.col("rank").alias("_old"))
-            state = old.join(found, ["root", "node"], "full_outer").select("root", "node", F.least("_old", "rank").alias("rank"), F.coalesce(F.col("rank") < F.col("_old"), F.col("_old").isNull()).alias("_new"))
-        state = state.checkpoint()
-        fresh = state.filter("_new")
-        best = state.select("root", "node", "rank")
-        if fresh.isEmpty():
-            return best
+            better = F.coalesce(F.col("rank") < F.col("_old"), F.col("_old").isNull())
+            state = old.join(found, ["root", "node"], "full_outer").select("root", "node", F.least("_old", "rank").alias("rank"), better.alias("_new")).checkpoint()
+            fresh, best = state.filter("_new"), state.select("root", "node", "rank")
+            if fresh.isEmpty():
+                return best
         frontier = fresh.select("root", F.col("node").alias("_from"), "rank")
 
 

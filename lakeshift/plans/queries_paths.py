@@ -65,14 +65,21 @@ def q_retention_by_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention_by_offsets(snaps, ranges, messages, EVAL_TIME, topic_hours=336)
 
 
-def column_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Column edges brand -> part -> order -> customer, line items with number 7 also part -> customer, and the customers as sinks.
+#: Kinds of columns; the last two bits of a column's number.
+KINDS = ("brand", "part", "order", "customer")
 
-    Hops carry ``exact``, ``inferred`` or ``lost`` by the remainder of a key; every seventh part has no facet.
+
+def column_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Column edges brand -> part -> order -> customer, line items with number 7 also part -> customer, the customers as sinks, and the brands.
+
+    Hops carry ``exact``, ``inferred`` or ``lost`` by the remainder of a key; every seventh part has no facet.  Columns are numbers:
+    the key, for a brand its ``brand_id``, times four plus the place of its kind.
     """
     claim = lambda n: F.element_at(F.array(F.lit("exact"), F.lit("inferred"), F.lit("lost")), (n % 3 + 1).cast("int"))
-    node = lambda kind, c: F.concat(F.lit(f"{kind}|"), F.col(c).cast("string"))
-    part = d.table(spark, sf_dir, "part").select(node("brand", "p_brand").alias("src"), node("part", "p_partkey").alias("dst"), F.when(F.col("p_partkey") % 7 != 0, claim(F.col("p_partkey"))).alias("precision"))
+    node = lambda kind, c: F.col(c).cast("long") * 4 + KINDS.index(kind)
+    parts = d.table(spark, sf_dir, "part")
+    brands = parts.select("p_brand").distinct().filter("p_brand is not null").withColumn("brand_id", F.monotonically_increasing_id()).checkpoint()
+    part = parts.join(brands, "p_brand", "left").select(node("brand", "brand_id").alias("src"), node("part", "p_partkey").alias("dst"), F.when(F.col("p_partkey") % 7 != 0, claim(F.col("p_partkey"))).alias("precision"))
     lines = d.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     used = lines.select(node("part", "l_partkey").alias("src"), node("order", "l_orderkey").alias("dst"), claim(F.col("l_linenumber")).alias("precision"))
     orders = d.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -80,11 +87,16 @@ def column_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     direct = lines.filter("l_linenumber = 7").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     direct = direct.select(node("part", "l_partkey").alias("src"), node("customer", "o_custkey").alias("dst"), F.lit("exact").alias("precision"))
     sinks = d.table(spark, sf_dir, "customer").select(node("customer", "c_custkey").alias("out_col"))
-    return part.unionByName(used).unionByName(summed).unionByName(direct), sinks
+    return part.unionByName(used).unionByName(summed).unionByName(direct), sinks, brands
 
 
 def q_column_path_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.column_path_precision(*column_graph(spark, sf_dir))
+    edges, sinks, brands = column_graph(spark, sf_dir)
+    found = audit.column_path_precision(edges, sinks)
+    kind, key = F.col("in_col").bitwiseAND(3), F.shiftright("in_col", 2)
+    names = found.join(brands.select((F.col("brand_id") * 4).alias("in_col"), "p_brand"), "in_col", "left")
+    in_col = F.concat(F.element_at(F.array(*[F.lit(f"{k}|") for k in KINDS]), (kind + 1).cast("int")), F.when(kind == 0, F.col("p_brand")).otherwise(key.cast("string")))
+    return names.select(F.concat(F.lit("customer|"), F.shiftright("out_col", 2).cast("string")).alias("out_col"), in_col.alias("in_col"), "precision")
 
 
 def job_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

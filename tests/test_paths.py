@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from lakeshift.lineage.audit import column_path_precision
 from lakeshift.lineage.events import run_of_record
 from lakeshift.lineage.graph import bottleneck, strong_components
@@ -187,3 +189,16 @@ def test_outages_equal_brute_force(spark, monkeypatch):
     late = [*beats, (run, a + dt.timedelta(seconds=seconds // 2), False)]
     assert found(late) == brute(late) and (run, a, b, seconds) not in found(late)
     assert found([]) == []
+
+
+def test_columns_of_the_path_query_are_numbers(spark):
+    """Pairs of long names cost a shuffle of names a round; numbers come back as names at the end, brands too."""
+    from lakeshift.plans import queries_paths as paths
+
+    edges, sinks, brands = paths.column_graph(spark, "/root/testdata/sf0.001")
+    assert [edges.schema[c].dataType.simpleString() for c in ("src", "dst")] == ["bigint"] * 2 and sinks.schema["out_col"].dataType.simpleString() == "bigint"
+    got = paths.q_column_path_precision(spark, "/root/testdata/sf0.001")
+    kinds = {r[0]: r[1] for r in got.groupBy(F.split("in_col", "[|]")[0]).count().collect()}
+    assert set(kinds) == {"brand", "part", "order"} and got.filter("in_col is null or out_col is null").isEmpty()
+    named = {r[0] for r in got.select(F.expr("substring(in_col, 7)")).filter(F.col("in_col").startswith("brand|")).distinct().collect()}
+    assert named <= {r.p_brand for r in brands.collect()}
