@@ -4,11 +4,11 @@ Tokenizer A encodes a space and the text, tokenizer B the text, to which it adds
 bytes; a text is aligned only if both give back exactly these.
 
 1. *Incidence.*  The tokens of a batch of texts and the bytes that they cover make two sparse matrices (compressed rows, built by
-   hand): a row per token, a column per byte.
+   hand): a row per token, a column per run of bytes without an end of a token inside, its entries in A the run's length.
 2. *Overlap links.*  The rows of ``A · Bᵀ`` are computed one after the other after Gustavson: a row of A selects rows of
    ``Bᵀ``, whose entries are added up by column.  An entry is a pair of tokens that overlap, its value the bytes that they share.
    Those whose byte ranges end together are the *links*; their ends cut the tokens into groups.
-3. *Shared-group links.*  With a column per group instead of a byte, the same product gives all pairs of tokens in one group.
+3. *Shared-group links.*  With a column per group instead of a run, the same product gives all pairs of tokens in one group.
 4. *Counts.*  How many links of the corpus hold a pair of ids linked is summed over all documents.  The bytes of one token of a
    linked pair end those of the other, so there are at most as many pairs as the tokens of both vocabularies have bytes; with this
    bound (274,883 for the two given ones) the counts come to the driver and go out to all tasks.
@@ -26,8 +26,10 @@ import json
 import os
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, pairwise
 
 import numpy as np
@@ -39,9 +41,9 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 #: Bytes of texts in one matrix, products computed at once.
-BATCH_BYTES, AT_ONCE = 1 << 20, 1 << 21
+BATCH_BYTES, AT_ONCE = 1 << 20, 1 << 20
 #: Strings that a worker remembers the ids of.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Fixed value: the splitting pattern of byte-level tokenizers.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -65,10 +67,9 @@ class Csr:
         return Csr(indptr, rows[order], self.data[order], len(self.indptr) - 1)
 
 
-def incidence(ends: np.ndarray) -> Csr:
-    """Tokens that cover the bytes from 0 on one after the other, ending at ``ends``, by these bytes."""
-    total = int(ends[-1]) if len(ends) else 0
-    return Csr(np.concatenate([[0], ends]), np.arange(total), np.ones(total, np.int64), total)
+def incidence(runs: np.ndarray, data: np.ndarray) -> Csr:
+    """Tokens that cover runs of bytes from the first on one after the other, each up to so many of ``runs``; ``data`` per run."""
+    return Csr(np.concatenate([[0], runs]), np.arange(len(data)), data, len(data))
 
 
 def membership(groups: np.ndarray, count: int) -> Csr:
@@ -119,7 +120,8 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.lossy: set[str] = set()  # strings that their ids do not give back
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         letters = _byte_letters()
@@ -132,16 +134,30 @@ class ByteLevel:
         before = layout["pre_tokenizer"] or {}
         self.splits = layout["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def arrays(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of the texts, and whether their bytes are those of space and text: surely, if those of all its strings are."""
         parts = [BYTE_LEVEL.findall(" " + t) if self.splits else [" " + t] for t in texts]
         strings = set(chain.from_iterable(parts))
         if len(self.known) > MEMORY:
-            self.known = {}
+            self.known, self.lossy = {}, set()
         new = list(strings - self.known.keys())
         for i in range(0, len(new), 4096):
             found = self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-            self.known.update((x, tuple(e.ids)) for x, e in zip(new[i : i + 4096], found, strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, part))) for part in parts]
+            for x, e in zip(new[i : i + 4096], found, strict=True):
+                ids = e.ids
+                self.known[x] = array("i", ids).tobytes()
+                if b"".join(map(self.bytes.__getitem__, ids)) != x.encode():
+                    self.lossy.add(x)
+        lossy = strings & self.lossy
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32) for p in parts]
+        surely = [sum(map(len, p)) == len(t) + 1 and (not lossy or lossy.isdisjoint(p)) for t, p in zip(texts, parts, strict=True)]
+        return ids, [sure or self.gives_back(x, t) for sure, x, t in zip(surely, ids, texts, strict=True)]
+
+    def gives_back(self, ids: np.ndarray, text: str) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == b" " + text.encode()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.arrays(texts)[0]]
 
 
 class Pieces:
@@ -157,6 +173,11 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def arrays(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """As of ``ByteLevel``."""
+        ids = self.encode(texts)
+        return [np.array(x, np.int32) for x in ids], [b"".join(map(self.bytes.__getitem__, x)) == b" " + t.encode() for x, t in zip(ids, texts, strict=True)]
+
 
 def tokenizer(path: str) -> ByteLevel | Pieces:
     """By the kind of file; a worker that is used for many tasks keeps it, in a module of its own, as functions come by value."""
@@ -183,20 +204,29 @@ class Alignment:
     links: tuple[np.ndarray, np.ndarray]
     ends: np.ndarray  # of the groups
 
+    @cached_property
+    def groups(self) -> list[np.ndarray]:
+        """The group of each token of A, and of B."""
+        return [np.searchsorted(self.ends, e) for e in (self.a_end, self.b_end)]
+
     def shared_groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        of_a, of_b = (membership(np.searchsorted(self.ends, e), len(self.ends)) for e in (self.a_end, self.b_end))
+        of_a, of_b = (membership(g, len(self.ends)) for g in self.groups)
         return row_products(of_a, of_b.transposed())
 
 
-def align(ids_a: list[list[int]], ids_b: list[list[int]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> Alignment:
+def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], a_sizes: np.ndarray, b_sizes: np.ndarray) -> Alignment:
     """Align texts whose tokens cover the same bytes; with the numbers of bytes of both vocabularies."""
     sides = []
     for ids, table in ((ids_a, a_sizes), (ids_b, b_sizes)):
-        flat = np.fromiter(chain.from_iterable(ids), np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *ids])
         ends = np.cumsum(table[flat])
         sides.append((flat, ends, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)))
     (a, a_end, a_cut), (b, b_end, b_cut) = sides
-    found = list(row_products(incidence(a_end), incidence(b_end).transposed()))
+    cut = np.zeros((int(a_end[-1]) if len(a_end) else 0) + 1, bool)
+    cut[a_end] = cut[b_end] = True
+    cut[0] = False
+    runs, size = np.cumsum(cut), np.diff(np.flatnonzero(cut), prepend=0)
+    found = list(row_products(incidence(runs[a_end], size), incidence(runs[b_end], np.ones_like(size)).transposed()))
     i, j, shared = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
     together = a_end[i] == b_end[j]
     return Alignment(a, b, a_end, b_end, a_cut, b_cut, (i, j, shared), (i[together], j[together]), a_end[i[together]])
@@ -215,11 +245,8 @@ def _aligned(path_a: str, path_b: str):
             while stop < len(raw) and (stop == start or size + len(raw[stop]) <= BATCH_BYTES):
                 size, stop = size + len(raw[stop]), stop + 1
             part = raw[start:stop]
-            ids_a, ids_b, whole = one.encode(part), two.encode(part), []
-            for i, t in enumerate(part):
-                want = b" " + t.encode()
-                if t and b"".join(map(one.bytes.__getitem__, ids_a[i])) == want == b"".join(map(two.bytes.__getitem__, ids_b[i])):
-                    whole.append(i)
+            (ids_a, whole_a), (ids_b, whole_b) = one.arrays(part), two.arrays(part)
+            whole = [i for i, t in enumerate(part) if t and whole_a[i] and whole_b[i]]
             yield start, stop, np.array(whole, np.int64), align([ids_a[i] for i in whole], [ids_b[i] for i in whole], *bytes_in)
             start = stop
 
@@ -263,7 +290,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def groups_texts(x: Alignment, width: int) -> Iterator[str]:
     """Per text ``a1,a2|b1;a3|b2,b3``; ``width`` is the number of B ids."""
-    of = [np.searchsorted(x.ends, e) for e in (x.a_end, x.b_end)]
+    of = x.groups
     part = np.concatenate([2 * of[0], 2 * of[1] + 1])  # the two sides of a group, in order
     order = np.argsort(part, kind="stable")
     part, ids = part[order], np.concatenate([x.a + width, x.b])[order]

@@ -133,6 +133,23 @@ def test_links_of_the_products(monkeypatch, limits):
     assert seen == len(texts)
 
 
+def test_incidence_has_a_column_per_run_and_strings_are_verified_once():
+    """One column per byte made four times the entries; texts were joined again for each occurrence of a string."""
+    one = token_align.tokenizer(A)
+    ids, whole = one.arrays(TEXTS[:2] + TEXTS[3:])
+    for x, sure, t in zip(ids, whole, TEXTS[:2] + TEXTS[3:], strict=True):
+        assert x.dtype == np.int32 and sure == one.gives_back(x, t)
+    size = np.array([2, 3])
+    m = token_align.incidence(np.array([1, 2]), size)
+    assert m.columns == 2 and m.indptr.tolist() == [0, 1, 2] and m.data.tolist() == [2, 3]
+    one.known, kept = {" ab": np.array([1], np.int32).tobytes()}, one.known
+    one.lossy, before = {" ab"}, one.lossy
+    try:
+        assert one.arrays(["ab"])[1] == [False]
+    finally:
+        one.known, one.lossy = kept, before
+
+
 def test_row_products_equal_dense_ones(monkeypatch):
     monkeypatch.setattr(token_align, "AT_ONCE", 5)
     rnd = np.random.default_rng(3)
