@@ -1,6 +1,7 @@
 """Links between sets that share an index key, verified exactly, as components.
 
-An index has one row per set: ``node, n, keys, sketch, tokens`` (digest, size, index entries, histogram, sorted 64-bit hashes).
+An index has one row per set: ``node, n, keys, sketch, tokens`` (digest, size, index entries, histogram, sorted 64-bit hashes;
+hashes that no other set has may be missing in the last two, but count in the size).
 Two sets that share a key are candidates; they link when ``100 * |A & B| >= threshold * |A | B|``.  The sketch counts a set's
 hashes in ``CELLS`` parts of their range: the sum of the lesser counts of two sets is never below the number of hashes that
 they share, so pairs whose sketches rule a link out need no tokens.
@@ -50,7 +51,7 @@ def _sketch_pairs(threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             x, y = (np.frombuffer(b"".join(rows[c]), "<u4").reshape(-1, CELLS).astype(np.int64) for c in ("sketch", "pivot_sketch"))
-            keep = linked(np.minimum(x, y).sum(axis=1), x.sum(axis=1), y.sum(axis=1), threshold)
+            keep = linked(np.minimum(x, y).sum(axis=1), rows.n, rows.pivot_n, threshold)
             yield rows.loc[keep, ["node", "pivot"]]
 
     return run
@@ -80,9 +81,9 @@ def _verify_pairs(threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             keep = []
-            for x, y in zip(rows.tokens, rows.pivot_tokens, strict=True):
+            for x, y, a, b in zip(rows.tokens, rows.pivot_tokens, rows.n, rows.pivot_n, strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold))
+                keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), a, b, threshold))
             yield rows.loc[keep, ["node", "pivot"]].rename(columns={"node": "a", "pivot": "b"})
 
     return run
@@ -126,14 +127,15 @@ def _verify_block(threshold: int):
     return run
 
 
-def _pairs(pairs: DataFrame, tokens: DataFrame, threshold: int) -> DataFrame:
+def _pairs(pairs: DataFrame, index: DataFrame, threshold: int) -> DataFrame:
     """Of pairs ``node, pivot``, those that link, as ``a, b``."""
-    return _beside(pairs, tokens, "tokens").mapInPandas(_verify_pairs(threshold), "a binary, b binary")
+    return _beside(pairs, index, "tokens").mapInPandas(_verify_pairs(threshold), "a binary, b binary")
 
 
 def _beside(pairs: DataFrame, index: DataFrame, column: str) -> DataFrame:
-    """Pairs ``node, pivot`` with ``column`` of both."""
-    return pairs.join(index.select("node", column), "node").join(index.select(F.col("node").alias("pivot"), F.col(column).alias(f"pivot_{column}")), "pivot")
+    """Pairs ``node, pivot`` with ``n`` and ``column`` of both."""
+    pivots = index.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col(column).alias(f"pivot_{column}"))
+    return pairs.join(index.select("node", "n", column), "node").join(pivots, "pivot")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,13 +194,12 @@ def link_nodes(index: DataFrame, threshold: int) -> DataFrame:
     pivots = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = entries.join(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "key")
     met = stored(met.select("node", "n", "pivot", "pivot_n").distinct(), "join-met")
-    tokens = index.select("node", "tokens")
     apart = met.filter(F.col("node") != F.col("pivot")).filter(_near_in_size("n", "pivot_n", threshold)).select("node", "pivot")
-    labels = stored(components(_pairs(apart.groupBy("node").agg(F.min("pivot").alias("pivot")), tokens, threshold)), "join-labels")
+    labels = stored(components(_pairs(apart.groupBy("node").agg(F.min("pivot").alias("pivot")), index, threshold)), "join-labels")
     rest = _beside(_with_labels(apart, labels).filter("other").select("node", "pivot"), index, "sketch")
     rest = stored(rest.mapInPandas(_sketch_pairs(threshold), "node binary, pivot binary"), "join-rest")
     if not rest.isEmpty():
-        links = _pairs(rest, tokens, threshold)
+        links = _pairs(rest, index, threshold)
         name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
         links = stored(links.distinct(), "join-links")

@@ -35,7 +35,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,26 +87,33 @@ def _shard_of(tokens: np.ndarray, shards: int) -> np.ndarray:
     return ((tokens >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
+def sent(chunk: int, sets: list[np.ndarray], shards: int) -> pa.Table:
+    """The tokens of a chunk's sets, a row per shard: ``shard, chunk, tokens``."""
+    tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, _U)
+    cuts = np.searchsorted(_shard_of(tokens, shards), np.arange(shards + 1))
+    low = (tokens & _U(0xFFFFFFFF)).astype("<u4")
+    full = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+    return pa.table({"shard": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "tokens": pa.array([low[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())})
+
+
 def _send(k: int, shards: int):
     def run(key, docs: pa.Table, nodes: pa.Table) -> pa.Table:
-        sets = [s for _, s in _distinct_sets(docs, nodes, k)]
-        tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, _U)
-        cuts = np.searchsorted(_shard_of(tokens, shards), np.arange(shards + 1))
-        low = (tokens & _U(0xFFFFFFFF)).astype("<u4")
-        full = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
-        return pa.table({"shard": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int32()), "tokens": pa.array([low[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())})
+        return sent(key[0].as_py(), [s for _, s in _distinct_sets(docs, nodes, k)], shards)
 
     return run
 
 
-def _count(blobs: pa.Table) -> pa.Table:
+def count_shard(blobs: pa.Table) -> pa.Table:
     """Of one shard: to each chunk, its tokens that two or more sets hold, with their frequency.
 
     Tokens are told apart by 32 bits and their shard; where two tokens agree in these, both count as
     more frequent, in every set alike, which the proof allows."""
     arrays = [np.frombuffer(b, "<u4") for b in blobs.column("tokens").to_pylist()]
-    seen, n = np.unique(np.concatenate(arrays), return_counts=True)
-    seen, n = seen[n > 1], n[n > 1].astype("<u4")
+    every = np.sort(np.concatenate(arrays))
+    again = np.concatenate([[False], every[1:] == every[:-1], [False]])
+    first, last = np.flatnonzero(again[1:] & ~again[:-1]), np.flatnonzero(again[:-1] & ~again[1:])
+    seen, n = every[first], (last - first + 1).astype("<u4")
+    del every, again, first, last
     out = []
     for a in arrays:
         a = hashing.distinct(a)
@@ -136,27 +143,36 @@ def _keys(tokens: np.ndarray, df: np.ndarray, threshold: int) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
+def frequencies(back: pa.Table, shards: int) -> Callable[[np.ndarray], np.ndarray]:
+    """From what the shards returned to a chunk, in how many sets each token of a set occurs."""
+    high, n = [], []
+    for shard, t, f in zip(back.column("shard").to_pylist(), back.column("tokens").to_pylist(), back.column("n").to_pylist(), strict=True):
+        t = np.frombuffer(t, "<u4").astype(_U)
+        high.append((_U(shard) << _U(32)) | t)
+        n.append(np.frombuffer(f, "<u4"))
+    many = np.concatenate(high) if high else np.zeros(0, _U)
+    freq = np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)
+    order = np.argsort(many)
+    many, freq = many[order], freq[order]
+
+    def of(s: np.ndarray) -> np.ndarray:
+        short = (_shard_of(s, shards).astype(_U) << _U(32)) | (s & _U(0xFFFFFFFF))
+        df = np.ones(len(s), np.int64)
+        if len(many):
+            at = np.minimum(np.searchsorted(many, short), len(many) - 1)
+            hit = many[at] == short
+            df[hit] = freq[at[hit]]
+        return df
+
+    return of
+
+
 def _index(k: int, shards: int, threshold: int):
     def run(key, docs: pa.Table, right: pa.Table) -> pa.Table:
-        back = right.filter(right.column("shard").is_valid())
-        high, n = [], []
-        for shard, t, f in zip(back.column("shard").to_pylist(), back.column("tokens").to_pylist(), back.column("n").to_pylist(), strict=True):
-            t = np.frombuffer(t, "<u4").astype(_U)
-            high.append((_U(shard) << _U(32)) | t)
-            n.append(np.frombuffer(f, "<u4"))
-        many = np.concatenate(high) if high else np.zeros(0, _U)
-        freq = np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)
-        order = np.argsort(many)
-        many, freq = many[order], freq[order]
+        frequency = frequencies(right.filter(right.column("shard").is_valid()), shards)
         rows = []
         for node, s in _distinct_sets(docs, right, k):
-            short = (_shard_of(s, shards).astype(_U) << _U(32)) | (s & _U(0xFFFFFFFF))
-            df = np.ones(len(s), np.int64)
-            if len(many):
-                at = np.minimum(np.searchsorted(many, short), len(many) - 1)
-                hit = many[at] == short
-                df[hit] = freq[at[hit]]
-            keys = _keys(s, df, threshold)
+            keys = _keys(s, frequency(s), threshold)
             if len(keys):
                 rows.append((node, len(s), keys.astype(np.int64), sketch(s), s.astype("<u8").tobytes()))
         return pa.table({"node": pa.array([r[0] for r in rows], pa.binary()), "n": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "sketch": pa.array([r[3] for r in rows], pa.binary()), "tokens": pa.array([r[4] for r in rows], pa.binary())})
@@ -172,7 +188,7 @@ def _search(docs: DataFrame, nodes: DataFrame, k: int, threshold: int, total: in
     texts = spread(docs).select("chunk", "text").groupBy("chunk")
     stand = spread(nodes).select("chunk", "node")
     sent = texts.cogroup(stand.groupBy("chunk")).applyInArrow(_send(k, shards), "shard int, chunk int, tokens binary")
-    back = sent.groupBy("shard").applyInArrow(_count, "chunk int, shard int, tokens binary, n binary")
+    back = sent.groupBy("shard").applyInArrow(count_shard, "chunk int, shard int, tokens binary, n binary")
     right = back.select("chunk", F.lit(None).cast("binary").alias("node"), "shard", "tokens", "n")
     right = right.unionByName(stand, allowMissingColumns=True)
     return texts.cogroup(right.groupBy("chunk")).applyInArrow(_index(k, shards, threshold), "node binary, n long, keys array<long>, sketch binary, tokens binary")

@@ -14,7 +14,12 @@ Sets of similarity ``s`` share a key unless one of the collections has no common
 2. *Bands.*  A band that no other node shares cannot be part of a shared key.  These go first, so that only nodes with a
    shared band in either collection make keys, from shared bands alone: a document that is like no other makes none.
 3. *Tables.*  The remaining bands of a node are combined, one of either collection, to its keys.
-4. *Verify.*  The whole texts of nodes with a shared key are shingled again, and ``linking`` confirms links on full sets.
+4. *Sets in common.*  The whole texts of nodes with a shared key are shingled again, and the hashes counted over all of them, by
+   shards of the hash range.  A link needs ``threshold`` per cent of either set in the other, so a node of which fewer hashes
+   occur in any other set links with nothing and goes.  Of a large group of copies that differ too much, each with changes
+   of its own, these are the most; left in, each would be compared with all of the group.  The others keep the hashes that
+   another set has, too, so that their histograms rule out more.
+5. *Verify.*  ``linking`` confirms links on full sets.
 
 Per document: ``doc_id, n_shingles, component_id`` (least id reachable by links, itself included), ``kept`` (is it that one?).
 
@@ -33,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing
+from . import hashing, ngram_join
 from .common import stored, text_of
 from .linking import link_nodes, sketch
+from .ngram_join import count_shard, frequencies, sent
 
 #: Bands of a collection, and minhashes of a band.
 BANDS, ROWS = 14, 2
@@ -85,12 +91,43 @@ def _profile(k: int):
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(sketch(s), s.astype("<u8").tobytes()) for _, s in hashing.shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]], ["node", "sketch", "tokens"])
+            sets = [s for _, s in hashing.shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, sets), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
 
     return run
 
 
+def _send(shards: int):
+    def run(key: tuple[pa.Scalar, ...], sets: pa.Table) -> pa.Table:
+        return sent(key[0].as_py(), [np.frombuffer(t, "<u8") for t in sets.column("tokens").to_pylist()], shards)
+
+    return run
+
+
+def _held_by_others(shards: int, threshold: int):
+    def run(key, sets: pa.Table, back: pa.Table) -> pa.Table:
+        frequency = frequencies(back, shards)
+        rows = []
+        for node, n, tokens in zip(*(sets.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
+            s = np.frombuffer(tokens, "<u8")
+            held = s[frequency(s) > 1]
+            if 100 * len(held) >= threshold * n:
+                rows.append((node, n, sketch(held), held.tobytes()))
+        kinds = {"node": pa.binary(), "n": pa.int64(), "sketch": pa.binary(), "tokens": pa.binary()}
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+
+    return run
+
+
+def _in_common(sets: DataFrame, threshold: int) -> DataFrame:
+    """``node, n, sketch, tokens`` of those ``node, n, tokens`` that may link with another, with the tokens that others have, too."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chunks, shards = max(1, -(-total // ngram_join.CHUNK_TOKENS)), max(1, -(-total // ngram_join.SHARD_TOKENS))
+    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int")).groupBy("chunk")
+    back = dealt.applyInArrow(_send(shards), "shard int, chunk int, tokens binary").groupBy("shard").applyInArrow(count_shard, "chunk int, shard int, tokens binary, n binary")
+    return dealt.cogroup(back.groupBy("chunk")).applyInArrow(_held_by_others(shards, threshold), "node binary, n long, sketch binary, tokens binary")
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
     """``node, keys`` of every node that shares a band of either collection with another node."""
     bands = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
@@ -107,15 +144,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         raise ValueError("the bands are made for thresholds of 70 per cent and more")
     texts = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     profile = stored(texts.mapInArrow(_profile(k), "doc_id long, h long, n_shingles long, node binary, bands array<long>"), "tensor-profile")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", F.col("n_shingles").alias("n"), "bands")).alias("best")
-    nodes = profile.filter("node is not null").groupBy("node").agg(best).select("node", "best.doc_id", "best.h", "best.n", "best.bands")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "bands")).alias("best")
+    nodes = profile.filter("node is not null").groupBy("node").agg(best).select("node", "best.doc_id", "best.h", "best.bands")
     nodes = stored(nodes, "tensor-nodes")
     keyed = stored(_keys(nodes), "tensor-keys")
     # the texts that stand for a node with keys; rows that repeat id and text give the same set
     wanted = nodes.join(keyed.select("node"), "node").select("node", F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     whole = texts.join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    sets = whole.mapInArrow(_tokens(k), "node binary, sketch binary, tokens binary").dropDuplicates(["node"])
-    index = stored(sets.join(keyed, "node").join(nodes.select("node", "n"), "node"), "tensor-index")
+    sets = stored(whole.mapInArrow(_tokens(k), "node binary, n long, tokens binary").dropDuplicates(["node"]), "tensor-sets")
+    index = stored(_in_common(sets, threshold).join(keyed, "node"), "tensor-index")
     labels = link_nodes(index, threshold)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))

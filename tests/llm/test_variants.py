@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from test_text import docs, join_brute, near_copies
 
-from lakeshift.llm import hashing, linking, spelling, tensor_minhash, token_align
+from lakeshift.llm import hashing, linking, ngram_join, spelling, tensor_minhash, token_align
 
 
 def edited(seed, groups):
@@ -46,6 +46,22 @@ def test_near_duplicates_of_nothing(spark):
         tensor_minhash.near_duplicates(docs(spark, []), 5, 60)
 
 
+def test_copies_with_changes_of_their_own_meet_no_group(spark, monkeypatch):
+    """Each was compared with all of its group, though most of its shingles are in no other text."""
+    monkeypatch.setattr(ngram_join, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(ngram_join, "SHARD_TOKENS", 500)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["end"]))]
+    rows += [(10 + c, " ".join(f"own{c}x{i}" if i % 9 == 0 else w for i, w in enumerate(base))) for c in range(30)]
+    compared, link_nodes = [], tensor_minhash.link_nodes
+    monkeypatch.setattr(tensor_minhash, "link_nodes", lambda index, threshold: compared.extend(index.collect()) or link_nodes(index, threshold))
+    got = tensor_minhash.near_duplicates(docs(spark, rows), 4, 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == join_brute(rows, 4, 80)
+    assert len(compared) == 2
+    # the shingles that no other text has are left out, but count
+    assert sorted((r.n, len(r.tokens) // 8, sum(np.frombuffer(r.sketch, "<u4"))) for r in compared) == [(57, 56, 56), (57, 57, 57)]
+
+
 def test_bands_estimate_similarity():
     """A band of ``r`` minhashes is shared with probability ``s**r``; the two collections are independent of each other."""
     rnd = np.random.default_rng(4)
