@@ -13,7 +13,8 @@ bytes; a text is aligned only if both give back exactly these.
    linked pair end those of the other, so there are at most as many pairs as the tokens of both vocabularies have bytes; with this
    bound (274,883 for the two given ones) the counts come to the driver and go out to all tasks.
 
-Texts are encoded once; the links of a document are kept as ids of pairs in the shared folder until the counts are known.
+Texts are encoded once; the links of a document are kept as ids of pairs in the shared folder until the counts are known, of four
+bytes each if the vocabularies allow: these are most of what the later passes move.
 
 Defined results: null or empty texts, and those that a tokenizer does not give back, have no tokens: zeros, and the empty string
 instead of a digest.  Rows come back as often as they come; an empty table gives no rows; other columns are ignored.
@@ -26,7 +27,6 @@ import json
 import os
 import sys
 import types
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -42,8 +42,8 @@ from .common import stored, text_of
 
 #: Bytes of texts in one matrix, products computed at once.
 BATCH_BYTES, AT_ONCE = 1 << 20, 1 << 20
-#: Strings that a worker remembers the ids of.
-MEMORY = 250_000
+#: Strings that a worker remembers the ids of, words that it encodes as one text.
+MEMORY, RUN = 250_000, 64
 #: Fixed value: the splitting pattern of byte-level tokenizers.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -130,6 +130,7 @@ class ByteLevel:
         for entry, i in vocabulary.items():
             if all(c in letters for c in entry):
                 self.bytes[i] = bytes(letters[c] for c in entry)
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64)
         layout = json.loads(self.tokenizer.to_str())
         before = layout["pre_tokenizer"] or {}
         self.splits = layout["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
@@ -141,11 +142,13 @@ class ByteLevel:
         if len(self.known) > MEMORY:
             self.known, self.lossy = {}, set()
         new = list(strings - self.known.keys())
-        for i in range(0, len(new), 4096):
-            found = self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-            for x, e in zip(new[i : i + 4096], found, strict=True):
-                ids = e.ids
-                self.known[x] = array("i", ids).tobytes()
+        words = [x for x in new if x[0] == " " and x[1:].isalpha()] if self.splits else []
+        for i in range(0, len(words), 4096):
+            self._learn_words(words[i : i + 4096])
+        rest = [x for x in new if x not in self.known]
+        for i in range(0, len(rest), 4096):
+            for x, ids in zip(rest[i : i + 4096], self._ids(rest[i : i + 4096]), strict=True):
+                self.known[x] = np.array(ids, np.int32).tobytes()
                 if b"".join(map(self.bytes.__getitem__, ids)) != x.encode():
                     self.lossy.add(x)
         lossy = strings & self.lossy
@@ -153,6 +156,23 @@ class ByteLevel:
         surely = [sum(map(len, p)) == len(t) + 1 and (not lossy or lossy.isdisjoint(p)) for t, p in zip(texts, parts, strict=True)]
         return ids, [sure or self.gives_back(x, t) for sure, x, t in zip(surely, ids, texts, strict=True)]
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Of letters after a space, which the pattern takes for a string of their own wherever they stand before another space:
+        ``RUN`` of them are encoded as one text, and told apart by their bytes.  Without effect if their bytes do not come back."""
+        runs = self._ids(["".join(words[i : i + RUN]) for i in range(0, len(words), RUN)])
+        ids = np.fromiter(chain.from_iterable(runs), np.int32)
+        coded = [x.encode() for x in words]
+        if b"".join(map(self.bytes.__getitem__, ids.tolist())) != b"".join(coded):
+            return
+        ends, total = np.cumsum(np.fromiter(map(len, coded), np.int64)), np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(total, ends)
+        if (total[cuts] == ends).all():
+            raw, at = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            self.known.update((x, raw[a:b]) for x, (a, b) in zip(words, pairwise(at), strict=True))
+
     def gives_back(self, ids: np.ndarray, text: str) -> bool:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())) == b" " + text.encode()
 
@@ -169,14 +189,20 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         ids = list(range(self.model.get_piece_size()))
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, self.model.id_to_piece(ids), strict=True)]
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
     def arrays(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """As of ``ByteLevel``."""
-        ids = self.encode(texts)
-        return [np.array(x, np.int32) for x in ids], [b"".join(map(self.bytes.__getitem__, x)) == b" " + t.encode() for x, t in zip(ids, texts, strict=True)]
+        """As of ``ByteLevel``: surely, if all texts together have the right bytes and each has the right number."""
+        ids = [np.array(x, np.int32) for x in self.encode(texts)]
+        want = [b" " + t.encode() for t in texts]
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        sizes = [int(self.sizes[x].sum()) for x in ids]
+        if sizes == list(map(len, want)) and b"".join(map(self.bytes.__getitem__, flat.tolist())) == b"".join(want):
+            return ids, [True] * len(texts)
+        return ids, [b"".join(map(self.bytes.__getitem__, x.tolist())) == w for x, w in zip(ids, want, strict=True)]
 
 
 def tokenizer(path: str) -> ByteLevel | Pieces:
@@ -237,7 +263,6 @@ def _aligned(path_a: str, path_b: str):
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, Alignment]]:
         one, two = tokenizer(path_a), tokenizer(path_b)
-        bytes_in = [np.fromiter(map(len, t.bytes), np.int64) for t in (one, two)]
         raw = [t or "" for t in texts.to_pylist()]
         start = 0
         while start < len(raw):
@@ -247,7 +272,7 @@ def _aligned(path_a: str, path_b: str):
             part = raw[start:stop]
             (ids_a, whole_a), (ids_b, whole_b) = one.arrays(part), two.arrays(part)
             whole = [i for i, t in enumerate(part) if t and whole_a[i] and whole_b[i]]
-            yield start, stop, np.array(whole, np.int64), align([ids_a[i] for i in whole], [ids_b[i] for i in whole], *bytes_in)
+            yield start, stop, np.array(whole, np.int64), align([ids_a[i] for i in whole], [ids_b[i] for i in whole], one.sizes, two.sizes)
             start = stop
 
     return run
@@ -306,7 +331,12 @@ def groups_texts(x: Alignment, width: int) -> Iterator[str]:
         yield "".join(marks[lo:hi])[:-1]
 
 
-def _digest(path_a: str, path_b: str, width: int):
+def pair_kind(count: int) -> str:
+    """What the ids of ``count`` pairs are kept as."""
+    return "<u4" if count <= 1 << 32 else "<i8"
+
+
+def _digest(path_a: str, path_b: str, width: int, kind: str = "<i8"):
     batches_of = _aligned(path_a, path_b)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_shared"]
 
@@ -321,7 +351,7 @@ def _digest(path_a: str, path_b: str, width: int):
                     shared += _per_text(x, rows)
                 groups = np.diff(np.searchsorted(x.ends, np.concatenate([[0], x.a_end])[x.a_cut], side="right"))
                 counts[:, whole] = [np.diff(x.a_cut), np.diff(x.b_cut), groups, links, _per_text(x, x.overlaps[0]), shared]
-                key = (x.a[x.links[0]] * width + x.b[x.links[1]]).astype("<i8")
+                key = (x.a[x.links[0]].astype(np.int64) * width + x.b[x.links[1]]).astype(kind)
                 at = np.concatenate([[0], np.cumsum(links)])
                 for n, (i, text) in enumerate(zip(whole.tolist(), groups_texts(x, width), strict=True)):
                     sha[i], pairs[i] = hashlib.sha256(text.encode()).hexdigest(), key[at[n] : at[n + 1]].tobytes()
@@ -331,15 +361,18 @@ def _digest(path_a: str, path_b: str, width: int):
     return run
 
 
-def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    blobs = batch.column("pairs").to_pylist()
-    return np.frombuffer(b"".join(blobs), "<i8"), np.array([len(x) // 8 for x in blobs], np.int64)
+def _keys(batch: pa.RecordBatch, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("pairs").to_pylist()), kind)
+
 
+def _sizes(batch: pa.RecordBatch, kind: str) -> np.ndarray:
+    return pa.compute.binary_length(batch.column("pairs")).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _slices(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``AT_ONCE`` links."""
     for batch in batches:
-        total = np.concatenate([[0], np.cumsum(_sizes(batch))])
+        total = np.concatenate([[0], np.cumsum(_sizes(batch, kind))])
         row = 0
         while row < batch.num_rows:
             stop = max(row + 1, int(np.searchsorted(total, total[row] + AT_ONCE, side="right")) - 1)
@@ -347,25 +380,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = stop
 
 
-def _sizes(batch: pa.RecordBatch) -> np.ndarray:
-    return pa.compute.binary_length(batch.column("pairs")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(0, kind), np.zeros(0, np.int64)
+        for batch in _slices(batches, kind):
+            more, m = np.unique(_keys(batch, kind), return_counts=True)
+            seen, place = np.unique(np.concatenate([seen, more]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n, m]), minlength=len(seen)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n, pa.int64())], ["pair", "n"])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in _slices(batches):
-        more, m = np.unique(_keys(batch)[0], return_counts=True)
-        seen, place = np.unique(np.concatenate([seen, more]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([n, m]), minlength=len(seen)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+    return run
 
 
-def _weigh(counts):
+def _weigh(counts, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = counts.value
-        for batch in _slices(batches):
-            keys, sizes = _keys(batch)
-            at = np.searchsorted(pairs, keys)
+        for batch in _slices(batches, kind):
+            sizes = _sizes(batch, kind)
+            at = np.searchsorted(pairs, _keys(batch, kind))
             ends = np.cumsum(sizes)
             sums = [np.concatenate([[0], np.cumsum(v[at])]) for v in (best.astype(np.int64), n)]
             rest = [c for c in batch.schema.names if c != "pairs"]
@@ -374,9 +406,9 @@ def _weigh(counts):
     return run
 
 
-def pair_counts(linked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def pair_counts(linked: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the pairs that any link holds, in order, and how many do; bounded by the bytes of both vocabularies."""
-    rows = linked.select("pairs").mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().sort_values("pair")
+    rows = linked.select("pairs").mapInArrow(_count(kind), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().sort_values("pair")
     return rows.pair.to_numpy(np.int64), rows.n.to_numpy(np.int64)
 
 
@@ -387,10 +419,11 @@ def alignment_digests(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
     spark = docs.sparkSession
     width = len(tokenizer(path_b).bytes)
+    kind = pair_kind(len(tokenizer(path_a).bytes) * width)
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, n_shared long, groups_sha256 string, pairs binary"
-    linked = stored(docs.select("doc_id", text_of().alias("text")).mapInArrow(_digest(path_a, path_b, width), schema), "alignment")
-    pairs, n = pair_counts(linked)
+    linked = stored(docs.select("doc_id", text_of().alias("text")).mapInArrow(_digest(path_a, path_b, width, kind), schema), "alignment")
+    pairs, n = pair_counts(linked, kind)
     most = np.zeros(width, np.int64)
     np.maximum.at(most, pairs % width, n)
-    counts = spark.sparkContext.broadcast((pairs, n, n == most[pairs % width]))
-    return linked.mapInArrow(_weigh(counts), schema.replace("pairs binary", "n_best long, count_sum long"))
+    counts = spark.sparkContext.broadcast((pairs.astype(kind), n, n == most[pairs % width]))
+    return linked.mapInArrow(_weigh(counts, kind), schema.replace("pairs binary", "n_best long, count_sum long"))

@@ -166,6 +166,29 @@ def test_incidence_has_a_column_per_run_and_strings_are_verified_once():
         one.known, one.lossy = kept, before
 
 
+def test_pairs_are_kept_in_four_bytes(spark, monkeypatch):
+    """Of eight bytes each they were the largest column that the last pass moves."""
+    assert token_align.pair_kind(1 << 32) == "<u4" and token_align.pair_kind((1 << 32) + 1) == "<i8"
+    rows, kept = [(1, "plain words"), (2, "other words, plain")], []
+    stored = token_align.stored
+    monkeypatch.setattr(token_align, "stored", lambda df, *name: kept.append(stored(df, *name)) or kept[0])
+    got = token_align.alignment_digests(docs(spark, rows), A, B).collect()
+    assert sorted(((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got), key=str) == align_brute(rows)
+    assert all(len(r.pairs) == 4 * r.n_links for r in kept[0].collect())
+
+
+def test_words_in_runs_give_their_own_ids(monkeypatch):
+    """Each new word was a text of its own for the tokenizer."""
+    monkeypatch.setattr(token_align, "MEMORY", 100)
+    rnd = random.Random(8)
+    words = [" " + "".join(rnd.choice("abcdeéß日ﬁ") for _ in range(rnd.randint(1, 12))) for _ in range(500)]
+    one = token_align.ByteLevel(A)
+    one._learn_words(list(dict.fromkeys(words)))
+    assert len(one.known) == len(set(words))
+    for x, ids in one.known.items():
+        assert np.frombuffer(ids, np.int32).tolist() == one.tokenizer.encode(x, add_special_tokens=False).ids
+
+
 def test_row_products_equal_dense_ones(monkeypatch):
     monkeypatch.setattr(token_align, "AT_ONCE", 5)
     rnd = np.random.default_rng(3)
