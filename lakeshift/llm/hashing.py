@@ -94,8 +94,10 @@ def shingles(h: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.nd
     return texts, hashes
 
 
-def batches(texts: pa.Array, most_bytes: int = 1 << 21):
-    """Cut a string array into runs of about ``most_bytes``: ``(first text, data, starts, ends)``; null is empty."""
+def batches(texts: pa.Array, most_bytes: int = 1 << 19):
+    """Cut a string array into runs of about ``most_bytes``: ``(first text, data, starts, ends)``; null is empty.
+
+    Words and shingles of a run take some 40 times its bytes while they are made."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
