@@ -13,7 +13,7 @@ bytes; a text is aligned only if both give back exactly these.
    linked pair end those of the other, so there are at most as many pairs as the tokens of both vocabularies have bytes; with this
    bound (274,883 for the two given ones) the counts come to the driver and go out to all tasks.
 
-Texts are encoded once; the links of a document are kept as ids of pairs in the shared folder until the counts are known, of four
+Texts are encoded once, most of them from the ids that their pieces had before; the links of a document are kept as ids of pairs in the shared folder until the counts are known, of four
 bytes each if the vocabularies allow: these are most of what the later passes move.
 
 Defined results: null or empty texts, and those that a tokenizer does not give back, have no tokens: zeros, and the empty string
@@ -27,6 +27,7 @@ import json
 import os
 import sys
 import types
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -44,6 +45,8 @@ from .common import stored, text_of
 BATCH_BYTES, AT_ONCE = 1 << 20, 1 << 20
 #: Strings that a worker remembers the ids of, words that it encodes as one text.
 MEMORY, RUN = 250_000, 64
+#: Pieces of texts that a worker remembers the ids of, by both tokenizers, and those that it learns at once.
+PIECES, LEARNED = 250_000, 4096
 #: Fixed value: the splitting pattern of byte-level tokenizers.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -190,10 +193,18 @@ class Pieces:
         ids = list(range(self.model.get_piece_size()))
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, self.model.id_to_piece(ids), strict=True)]
         self.sizes = np.fromiter(map(len, self.bytes), np.int64)
+        # no piece goes on from another character to a space or a line feed
+        self.splits = not any(regex.search(r"[^▁][▁ \n]", self.model.id_to_piece(i)) for i in ids)
+        self.head = len(self.model.encode("a"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Of texts that begin with a space, which the model adds, or with a line feed."""
+        ids = self.encode([x[1:] if x[0] == " " else "a" + x for x in texts])
+        return [i if x[0] == " " else i[self.head :] for x, i in zip(texts, ids, strict=True)]
+
     def arrays(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """As of ``ByteLevel``: surely, if all texts together have the right bytes and each has the right number."""
         ids = [np.array(x, np.int32) for x in self.encode(texts)]
@@ -205,14 +216,105 @@ class Pieces:
         return ids, [b"".join(map(self.bytes.__getitem__, x.tolist())) == w for x, w in zip(ids, want, strict=True)]
 
 
+def cut(text: str) -> list[str]:
+    """Space and text, cut before every space and line feed."""
+    return (" " + text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+
+
+def closed(piece: str) -> bool:
+    """Does it end with a visible character?"""
+    return piece[-1].isalnum() or unicodedata.category(piece[-1])[0] not in "CZ"
+
+
+class Together:
+    """Ids of texts by both tokenizers, put together from the ids of their pieces.
+
+    No token of either tokenizer goes on from a visible character to a space or a line feed, so a text cut there has the
+    tokens of its pieces.  Texts with other white space before a cut, and those of which a tokenizer does not give back a piece, are
+    encoded as they are.  A piece is a number in ``number``: of its ids in ``flat``, where they start and how many they are.
+    """
+
+    def __init__(self, one: ByteLevel | Pieces, two: ByteLevel | Pieces):
+        self.sides = one, two
+        self.splits = one.splits and two.splits
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int32) for _ in self.sides]
+        self.start = [np.zeros(0, np.int64) for _ in self.sides]
+        self.count = [np.zeros(0, np.int64) for _ in self.sides]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """``RUN`` pieces are encoded as one text and told apart by their bytes; those that do not come back are not learned."""
+        coded = list(map(str.encode, pieces))
+        ends, whole, got = np.cumsum(np.fromiter(map(len, coded), np.int64)), b"".join(coded), []
+        for side in self.sides:
+            runs = side._ids(["".join(pieces[i : i + RUN]) for i in range(0, len(pieces), RUN)])
+            ids = np.fromiter(chain.from_iterable(runs), np.int32)
+            total = np.cumsum(side.sizes[ids])
+            cuts = np.searchsorted(total, ends)
+            if b"".join(map(side.bytes.__getitem__, ids.tolist())) != whole or (total[cuts] != ends).any():
+                step = len(pieces) // RUN or 1
+                for i in range(0, len(pieces) if len(pieces) > 1 else 0, step):
+                    self._learn(pieces[i : i + step])
+                return
+            got.append((ids, cuts + 1))
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+        for k, (ids, cuts) in enumerate(got):
+            first = np.concatenate([[0], cuts[:-1]])
+            self.start[k] = np.concatenate([self.start[k], first + len(self.flat[k])])
+            self.count[k] = np.concatenate([self.count[k], cuts - first])
+            self.flat[k] = np.concatenate([self.flat[k], ids])
+
+    def arrays(self, texts: list[str]) -> list[tuple[list[np.ndarray], list[bool]]]:
+        """Of each tokenizer, the ids of the texts, and whether their bytes are those of space and text."""
+        parts = [cut(t) if self.splits and "\0" not in t else [] for t in texts]
+        pieces = set(chain.from_iterable(parts))
+        if len(self.number) > PIECES:
+            self._forget()
+        new = [x for x in pieces - self.number.keys() if closed(x)]
+        for i in range(0, len(new), LEARNED):
+            self._learn(new[i : i + LEARNED])
+        odd = pieces - self.number.keys()
+        apart = [i for i, p in enumerate(parts) if not p or odd and not odd.isdisjoint(p)]
+        for i in apart:
+            parts[i] = []
+        sizes = list(map(len, parts))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+        out = []
+        for side, flat, start, count in zip(self.sides, self.flat, self.start, self.count, strict=True):
+            n = count[numbers]
+            before = np.concatenate([[0], np.cumsum(n)])
+            every = flat[np.repeat(start[numbers] - before[:-1], n) + np.arange(before[-1])]
+            at = before[np.cumsum([0, *sizes])]
+            ids, whole = [every[a:b] for a, b in pairwise(at.tolist())], [True] * len(texts)
+            for i, x, sure in zip(apart, *side.arrays([texts[i] for i in apart]), strict=True):
+                ids[i], whole[i] = x, sure
+            out.append((ids, whole))
+        return out
+
+
+def _kept() -> dict:
+    """What a worker that is used for many tasks keeps, in a module of its own, as functions come by value."""
+    return sys.modules.setdefault("_lakeshift_aligners", types.ModuleType("_lakeshift_aligners")).__dict__
+
+
 def tokenizer(path: str) -> ByteLevel | Pieces:
-    """By the kind of file; a worker that is used for many tasks keeps it, in a module of its own, as functions come by value."""
-    kept = sys.modules.setdefault("_lakeshift_aligners", types.ModuleType("_lakeshift_aligners")).__dict__
+    """By the kind of file."""
+    kept = _kept()
     if path not in kept:
         kept[path] = ByteLevel(path) if path.endswith(".json") else Pieces(path)
     return kept[path]
 
 
+def together(path_a: str, path_b: str) -> Together:
+    kept = _kept()
+    if (path_a, path_b) not in kept:
+        kept[path_a, path_b] = Together(tokenizer(path_a), tokenizer(path_b))
+    return kept[path_a, path_b]
+
+
 # --------------------------------------------------------------- alignment
 
 
@@ -262,7 +364,7 @@ def _aligned(path_a: str, path_b: str):
     """Batches of texts, each with which of its texts are aligned and their alignment."""
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, Alignment]]:
-        one, two = tokenizer(path_a), tokenizer(path_b)
+        both = together(path_a, path_b)
         raw = [t or "" for t in texts.to_pylist()]
         start = 0
         while start < len(raw):
@@ -270,9 +372,9 @@ def _aligned(path_a: str, path_b: str):
             while stop < len(raw) and (stop == start or size + len(raw[stop]) <= BATCH_BYTES):
                 size, stop = size + len(raw[stop]), stop + 1
             part = raw[start:stop]
-            (ids_a, whole_a), (ids_b, whole_b) = one.arrays(part), two.arrays(part)
+            (ids_a, whole_a), (ids_b, whole_b) = both.arrays(part)
             whole = [i for i, t in enumerate(part) if t and whole_a[i] and whole_b[i]]
-            yield start, stop, np.array(whole, np.int64), align([ids_a[i] for i in whole], [ids_b[i] for i in whole], one.sizes, two.sizes)
+            yield start, stop, np.array(whole, np.int64), align([ids_a[i] for i in whole], [ids_b[i] for i in whole], *[side.sizes for side in both.sides])
             start = stop
 
     return run
@@ -321,8 +423,7 @@ def groups_texts(x: Alignment, width: int) -> Iterator[str]:
     part, ids = part[order], np.concatenate([x.a + width, x.b])[order]
     goes_on = np.concatenate([part[1:] == part[:-1], [False]])
     after = np.where(goes_on, 0, 1 + (part & 1))
-    kept = sys.modules.setdefault("_lakeshift_aligners", types.ModuleType("_lakeshift_aligners")).__dict__
-    names = kept.setdefault(("names", width), [])
+    names = _kept().setdefault(("names", width), [])
     for i in range(len(names) // 3, int(ids.max(initial=0)) + 1):  # every id with each mark that may follow it
         name = str(i - width if i >= width else i)
         names += [name + ",", name + "|", name + ";"]

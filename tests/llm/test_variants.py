@@ -190,6 +190,30 @@ def test_words_in_runs_give_their_own_ids(monkeypatch):
         assert np.frombuffer(ids, np.int32).tolist() == one.tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_pieces_give_the_ids_of_whole_texts_by_both(monkeypatch):
+    """Every text was encoded anew by the second tokenizer, and cut by a pattern for the first."""
+    monkeypatch.setattr(token_align, "PIECES", 3000)
+    rnd = random.Random(6)
+    alphabet = [*"abcdefgXYZ019.,'-|<>/é ß日😀\u2028\u00a0\u0301\u180e\x00▁", *" " * 9, "  ", "\n", "\n", "\t", "\r\n", "the ", " ing", "<s>", "<0x0A>", "<|endoftext|>", "'re", "\u3000", ". ", ",\n"]
+    texts = TEXTS[:2] + TEXTS[3:] + ["".join(rnd.choice(alphabet[: rnd.choice((20, 60, 99))]) for _ in range(rnd.randint(0, 60))) for _ in range(6000)]
+    plain = [" ".join("".join(rnd.choice("abcdeéß.,'日1") for _ in range(rnd.randint(1, 8))) for _ in range(20)).replace(" b", "\nb") for _ in range(800)]
+    both = token_align.Together(token_align.tokenizer(A), token_align.tokenizer(B))
+    assert both.splits
+    for part in (texts[:3000], texts[3000:], plain[:400], plain[400:], []):
+        (a, whole_a), (b, whole_b) = both.arrays(part)
+        assert [x.tolist() for x in a] == [e.ids for e in both.sides[0].tokenizer.encode_batch([" " + t for t in part], add_special_tokens=False)]
+        for x, whole, y, t in zip(b, whole_b, both.sides[1].encode(part), part, strict=True):
+            assert whole == (b"".join(both.sides[1].bytes[i] for i in y) == b" " + t.encode())
+            assert x.tolist() == y
+        assert all(whole_a)
+    # pieces that are known reach no tokenizer again
+    monkeypatch.setattr(token_align, "PIECES", 1 << 30)
+    before = both.arrays(plain)
+    monkeypatch.setattr(token_align.Pieces, "encode", lambda self, texts: pytest.fail("encoded again") if texts else [])
+    again = both.arrays(plain[::-1])
+    assert [[x.tolist() for x in ids] for ids, _ in again] == [[x.tolist() for x in ids[::-1]] for ids, _ in before]
+
+
 def test_row_products_equal_dense_ones(monkeypatch):
     monkeypatch.setattr(token_align, "AT_ONCE", 5)
     rnd = np.random.default_rng(3)
