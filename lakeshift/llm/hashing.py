@@ -7,6 +7,9 @@ words or shingles share a hash with a probability of about 2**-64.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -112,10 +115,21 @@ def batches(texts: pa.Array, most_bytes: int = 1 << 19):
         i = j
 
 
+def hand_back() -> None:
+    """Give free memory back to the system.
+
+    Of arrays that this and earlier tasks of a worker are done with, the C library keeps what lies below others.
+    """
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shingle_sets(texts: pa.Array, k: int, separator: np.ndarray = WHITE_SPACE):
     """Per text, its number and the sorted distinct hashes of its shingles."""
+    hand_back()
     for first, data, starts, ends in batches(texts):
         of, hashes = shingles(*words(data, starts, ends, separator), k)
         cuts = np.searchsorted(of, np.arange(len(starts) + 1))
         for i in range(len(starts)):
             yield first + i, distinct(hashes[cuts[i] : cuts[i + 1]])
+    hand_back()

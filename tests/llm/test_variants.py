@@ -342,3 +342,14 @@ def test_texts_are_hashed_in_small_runs():
         tracemalloc.stop()
     assert sizes == [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in map(str.split, texts)]
     assert peak < 50e6
+
+
+def test_free_memory_goes_back_after_shingles():
+    """What earlier tasks of a worker had freed stayed with it."""
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024  # noqa: E731, SIM115
+    arrays = [np.ones(12_000) for _ in range(2000)]  # below the size from which the C library maps arrays one by one
+    kept = arrays[-1]
+    del arrays
+    before = held()
+    assert [len(s) for _, s in hashing.shingle_sets(pa.array(["a b c", None]), 2)] == [2, 0]
+    assert held() < before - 100 and kept[0] == 1
