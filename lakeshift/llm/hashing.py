@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +116,18 @@ def batches(texts: pa.Array, most_bytes: int = 1 << 19):
         i = j
 
 
+#: Modules in which the operators that tokenize keep what they learned for a worker's next task.
+KEPT = ("_lakeshift_worker", "_lakeshift_aligners")
+
+
 def hand_back() -> None:
-    """Give free memory back to the system.
+    """Give memory back to the system that this worker does not need now.
 
-    Of arrays that this and earlier tasks of a worker are done with, the C library keeps what lies below others.
+    That is what other operators keep for their next task, which build it again then, and free memory: of arrays that
+    this and earlier tasks are done with, the C library keeps what lies below others.
     """
+    for name in KEPT:
+        sys.modules.pop(name, None)
     with contextlib.suppress(OSError, AttributeError):  # a C library without it
         ctypes.CDLL(None).malloc_trim(0)
 

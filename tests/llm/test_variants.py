@@ -353,3 +353,12 @@ def test_free_memory_goes_back_after_shingles():
     before = held()
     assert [len(s) for _, s in hashing.shingle_sets(pa.array(["a b c", None]), 2)] == [2, 0]
     assert held() < before - 100 and kept[0] == 1
+
+
+def test_hashing_shingles_drops_what_tokenizers_keep():
+    """A worker kept their memory while it hashed shingles for other stages."""
+    one, ids = token_align.tokenizer(A), token_align.together(A, B).arrays(["ab cd"])
+    assert token_align.tokenizer(A) is one
+    list(hashing.shingle_sets(pa.array(["a b c"]), 2))
+    assert token_align.tokenizer(A) is not one
+    assert str(token_align.together(A, B).arrays(["ab cd"])) == str(ids)
