@@ -26,6 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import free_names, stored, text_key, text_of
+from .ngram_join import without
 
 BLOCK_CHARS = 16_000_000
 SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int, containment double"
@@ -130,20 +132,22 @@ def _find(texts: DataFrame, items: DataFrame, k: int, threshold: float, schema:
     chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-chars // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    out = spark.createDataFrame([], schema)
+    found = []
     for b in range(n_blocks):
         rows = items.filter(block == b).collect()  # a block of the query set: bounded
         index = _by_length([r.item_id for r in rows], [r.text for r in rows], k, threshold)
         if index:
-            out = out.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema))
-    return out
+            found.append(texts.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema))
+    if not found:
+        return spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in map(str.split, schema.split(", "))])
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that contain no item, each by its own text."""
     texts = docs.select("doc_id", text_key().alias("digest"), F.lower(text_of()).alias("text"))
     found = _find(texts, items, k, threshold, SCHEMA.replace("doc_id long", "doc_id long, digest string"))
-    # stored, so that its size is known when the join is planned
+    # stored, as the filter and the exact join both read it
     doc, digest = free_names(docs, "_bad", "_digest")
     bad = stored(found.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest)).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key() == F.col(digest)), "left_anti")
+    return without(docs, bad, {doc: F.col("doc_id"), digest: text_key()})

@@ -120,16 +120,22 @@ def batches(texts: pa.Array, most_bytes: int = 1 << 19):
 KEPT = ("_lakeshift_worker", "_lakeshift_aligners")
 
 
+def trim() -> None:
+    """Give free memory back to the system: of arrays that this and earlier tasks are done with, Arrow's pool keeps
+    some for later ones, and the C library what lies below others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hand_back() -> None:
     """Give memory back to the system that this worker does not need now.
 
-    That is what other operators keep for their next task, which build it again then, and free memory: of arrays that
-    this and earlier tasks are done with, the C library keeps what lies below others.
+    That is what other operators keep for their next task, which build it again then, and free memory.
     """
     for name in KEPT:
         sys.modules.pop(name, None)
-    with contextlib.suppress(OSError, AttributeError):  # a C library without it
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
 
 
 def shingle_sets(texts: pa.Array, k: int, separator: np.ndarray = WHITE_SPACE):

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ RARE = 64
 LONG = 30
 #: Tokens of a chunk of documents, and of a shard of the hash range.
 CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 4_000_000
-#: Bits of the filter that ``_without`` broadcasts: at most ``FILTER_BITS / 64`` rows of two longs.
+#: Bits of the filter that ``without`` broadcasts: at most ``FILTER_BITS / 64`` rows of two longs.
 FILTER_BITS = 1 << 26
 _U = np.uint64
 
@@ -223,18 +224,19 @@ def _bit(*key: Column) -> tuple[Column, Column]:
     return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
 
 
-def _without(docs: DataFrame, going: DataFrame, id_: str, digest: str) -> DataFrame:
-    """``docs`` without the rows whose id and text ``going`` names.
+def without(docs: DataFrame, going: DataFrame, same: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows that agree with one of ``going``: ``same`` has a value of ``docs`` for each of its columns.
 
     A filter of bounded size shows which rows may be named. Only these move to the exact anti-join; the fuller the filter, the more
     of the others move with them, with the same result."""
     w, b = free_names(docs, "_word", "_bits")
-    word, bit = _bit(F.col(id_), F.col(digest))
+    kinds = dict(going.dtypes)
+    word, bit = _bit(*[F.col(c) for c in same])
     words = F.broadcast(going.select(word.alias(w), bit.alias(b)).groupBy(w).agg(F.bit_or(b).alias(b)))
-    word, bit = _bit(F.col("doc_id"), text_key())
+    word, bit = _bit(*[value.cast(kinds[c]) for c, value in same.items()])
     may = (word == F.col(w)) & (F.col(b).bitwiseAND(bit) != 0)
-    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_key() == F.col(digest))
-    return docs.join(words, may, "left_anti").unionByName(docs.join(words, may, "left_semi").join(going, same, "left_anti"))
+    agree = reduce(Column.__and__, [value.eqNullSafe(F.col(c)) for c, value in same.items()])
+    return docs.join(words, may, "left_anti").unionByName(docs.join(words, may, "left_semi").join(going.select(*same), agree, "left_anti"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -255,7 +257,7 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     going = rows.select("doc_id", "digest", "label").join(groups, "label").filter(~first | (F.col("n_least") > 1))
     going = stored(going.select(F.col("doc_id").alias(i), F.col("digest").alias(d), F.col("label").alias(l), first.alias(f)), "join-dropped")
     same = F.col("doc_id").eqNullSafe(F.col(i)) & (text_key() == F.col(d))
-    out = _without(docs, going, i, d)
+    out = without(docs, going, {i: F.col("doc_id"), d: text_key()})
     again = going.filter(F.col(f))
     if again.isEmpty():
         return out

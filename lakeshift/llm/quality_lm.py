@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import free_names, stored, text_key, text_of
 from .hashing import distinct
+from .ngram_join import without
 
 ORDER = 5
 CHUNK_BYTES = 24_000_000
@@ -320,9 +321,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quanti
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, each by its own text and language."""
-    # stored, so that its size is known when the join is planned
+    # stored, as the filter and the exact join both read it
     rejected = score_quality(docs, labels, digests=True).filter(~F.col("kept"))
     doc, lang, digest = free_names(docs, "_bad", "_lang", "_digest")
     bad = stored(rejected.select(F.col("doc_id").alias(doc), F.col("lang").alias(lang), F.col("digest").alias(digest)).distinct(), "lm-rejected")
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("lang").cast("string").eqNullSafe(F.col(lang))
-    return docs.join(bad, same & (text_key() == F.col(digest)), "left_anti")
+    return without(docs, bad, {doc: F.col("doc_id"), lang: F.col("lang").cast("string"), digest: text_key()})

@@ -94,3 +94,37 @@ def test_extra_columns_with_clashing_names(spark, scratch):
         rows = out.collect()
         assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
     assert corpus_pipeline.STAGES[-1][1](spark, wide, sf).count() == 61
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_goes_moves_no_text_of_what_stays(spark, monkeypatch):
+    texts = [" ".join(f"{w}{n}" for w in "abcdefghij") for n in range(5)]
+    rows = [(None, texts[0], "en"), (None, texts[1], "en"), (7, texts[0], None), (7, texts[2], None), (7, texts[2], "de"), (8, None, "de"), (9, "", None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    scores = [(None, texts[1], "en", False), (7, texts[2], None, False), (8, None, "de", False), (9, "", None, True)]
+    scored = spark.createDataFrame(scores, "doc_id long, text string, lang string, kept boolean").withColumn("digest", ngram_join.text_key())
+    monkeypatch.setattr(quality_lm, "score_quality", lambda *a, **b: scored)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as it is when many rows go
+    try:
+        got = {}
+        for name, kept in (("clean", decontaminate.remove_contaminated(docs, items)), ("good", quality_lm.keep_quality(docs, None))):
+            assert kept.columns == docs.columns and "BroadcastHashJoin" in plan_of(kept)
+            got[name] = sorted(((r["doc_id"], r["text"], r["lang"]) for r in kept.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert got["clean"] == sorted([r for r in rows if r[1] != texts[0]], key=str)
+    assert got["good"] == sorted([rows[i] for i in (0, 2, 4, 6)], key=str)
+
+
+def test_stages_start_no_python_workers_beside_those_of_their_operators(spark):
+    docs = table(spark, SF, "documents").limit(5)
+    digests = corpus_pipeline.tokens(spark, docs, SF)
+    found = decontaminate.find_contamination(docs, table(spark, SF, "benchmark"))
+    none = decontaminate.find_contamination(docs, table(spark, SF, "benchmark").limit(0))
+    assert not [df for df in (digests, found, none) if "ExistingRDD" in plan_of(df)]
+    assert none.count() == 0 and none.schema == found.schema

@@ -406,3 +406,32 @@ def test_packed_keys_round_trip():
     k, sizes = quality_lm.byte_keys(["ab", "", "é"], 3)
     assert sizes.tolist() == [2, 0, 2] and k.tolist() == [0x0A0A61, 0x0A6162, 0x0A0AC3, 0x0AC3A9]
     assert quality_lm.byte_keys([], 3)[0].tolist() == []
+
+
+def test_a_batch_becomes_strings_in_runs(monkeypatch):
+    import sys
+    import tracemalloc
+    import types
+
+    import pyarrow as pa
+
+    encoder = types.SimpleNamespace(encode=lambda texts: (np.zeros(len(texts), np.uint32), np.ones(len(texts), np.int64)))
+    monkeypatch.setitem(sys.modules, "_lakeshift_worker", types.SimpleNamespace(encoder=encoder, encoder_of=("t", 2)))
+    n = 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(["word " * 1000] * (n - 1) + [None])], ["doc_id", "h", "text"])
+    tracemalloc.start()
+    out = list(token_output._tokenise("t", 2)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == n and peak < batch.nbytes / 2
+
+
+def test_free_memory_of_arrow_goes_back(monkeypatch):
+    import types
+
+    from lakeshift.llm import hashing
+
+    asked = []
+    monkeypatch.setattr(hashing.pa, "default_memory_pool", lambda: types.SimpleNamespace(release_unused=lambda: asked.append(1)))
+    hashing.hand_back()
+    assert asked
